@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .chat_format import format_chats
+from .decontaminate import decontaminate
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
 from .url_filters import filter_urls
 
@@ -56,6 +59,78 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query(r"""
+with d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+    select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bw as (
+    select distinct item_id, n, list_slice(w, i, i + n - 1) as x
+    from (select item_id, w, least(10, len(w)) as n, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as i from b where len(w) > 0)
+), dw as (
+    select doc_id, i, n, list_slice(w, i, i + n - 1) as x
+    from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from bw) where len(w) >= n)
+), hits as (
+    select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.x = bw.x
+), covered as (
+    select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as j from (select distinct doc_id, i, n from hits)) group by doc_id
+), items as (
+    select doc_id, count(distinct item_id) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as items_sha256 from (select distinct doc_id, item_id from hits) group by doc_id
+)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+""")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query(r"""
+with l as (
+    select doc_id, source, i, x from (select doc_id, source, unnest(string_split(text, chr(10))) as x, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as i from documents where text is not null)
+), w as (
+    select * from l where regexp_matches(x, '[^\x20\x09-\x0D]')
+), b as (
+    select x, min((doc_id, i)) as f from w group by x having count(distinct source) >= 10
+), gone as (
+    select w.doc_id, w.i from w join b on w.x = b.x where (w.doc_id, w.i) <> b.f
+), t as (
+    select l.doc_id, string_agg(l.x, chr(10) order by l.i) as kept from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i where gone.doc_id is null group by l.doc_id
+), n as (
+    select doc_id, count(*) as n_lines from w group by doc_id
+), g as (
+    select doc_id, count(*) as n_removed from gone group by doc_id
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+    case when text is null then null else sha256(coalesce(kept, '')) end as text_sha256
+from documents d left join t using (doc_id) left join n using (doc_id) left join g using (doc_id)
+""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(r"""
+with t as (
+    select conv_id, turn, '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as said,
+        row_number() over (partition by conv_id order by turn, role, text) as pos, count(*) over (partition by conv_id) as n_turns
+    from conversations where conv_id is not null
+), p as (
+    select conv_id, pos, n_turns, sha256(string_agg(said, '' order by pos) over (partition by conv_id order by pos)) as prefix from t
+), e as (
+    select prefix, min(conv_id) as conv_id from p where pos = n_turns group by prefix
+), m as (
+    select conv_id from e where prefix not in (select prefix from p where pos < n_turns)
+)
+select conv_id, cast(0 as bigint) as part, any_value(n_turns) as n_turns, length(string_agg(said, '')) as n_chars, sha256(string_agg(said, '' order by pos)) as chat_sha256
+from t where conv_id in (select conv_id from m) group by conv_id
+""")
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "part", "n_turns", F.length("chat").cast("long").alias("n_chars"), F.sha2("chat", 256).alias("chat_sha256"))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted documents: those that labels.quality marks 1."""
