@@ -10,7 +10,9 @@ from .chat_format import format_chats
 from .decontaminate import decontaminate
 from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
+from .sentencepiece_codec import encode_decode
 from .url_filters import filter_urls
+from .warc import archive, read_archives
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -137,3 +139,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
+
+
+@query("""
+with p as (
+    select page_id, encode(coalesce(html, '')) as b from pages
+), h as (
+    select page_id, octet_length(b) as payload_bytes, sha1(b) as payload_digest from p
+), m as (
+    select *, max(page_id) over (partition by payload_digest) as last from h
+)
+select page_id, payload_bytes, payload_digest,
+    case when payload_bytes < 1000 or page_id = last then 'response' else 'revisit' end as record_type,
+    case when payload_bytes < 1000 or page_id = last then null else last end as refers_to from m
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = archive(table(spark, sf_dir, "pages"))
+    back = read_archives(manifest, payloads=False)
+    return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def piece_model() -> str:
+    """The model of op6, a file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query()
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    ids = F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ",")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
