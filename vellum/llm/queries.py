@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from .chat_format import format_chats
 from .decontaminate import decontaminate
+from .language_id import identify_held_out
 from .line_dedup import dedup_lines
+from .quality_classifier import classify_held_out
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode_decode
 from .url_filters import filter_urls
@@ -171,3 +173,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
     ids = F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ",")
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify_held_out(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_held_out(docs).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").cast("long").alias("n_languages"))
