@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .chat_format import format_chats
 from .decontaminate import decontaminate
+from .jaccard_join import near_duplicates
 from .language_id import identify_held_out
 from .line_dedup import dedup_lines
 from .quality_classifier import classify_held_out
@@ -186,3 +187,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_held_out(docs).select("doc_id", "held_out", "lang_pred", "score", F.size("languages").cast("long").alias("n_languages"))
+
+
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
