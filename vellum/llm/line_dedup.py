@@ -16,6 +16,8 @@ from .shared import written
 
 #: Sites from which a line is boilerplate.
 MIN_SITES = 10
+#: What makes a line one with a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: Log2 of the sketch's registers, and the relative error beyond which an estimate is trusted (three standard errors).
 LG_K = 10
 ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -23,7 +25,7 @@ ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
 
 def exploded_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row for each line with a word: l_id, l_key (hash of the text), site, at, line (hash)."""
-    word = F.length(F.translate("l_line", " \t\n\x0b\x0c\r", "")) > 0
+    word = F.col("l_line").rlike(WORD)
     return (
         docs.select(F.col(id_col).alias("l_id"), F.xxhash64(F.col(text_col)).alias("l_key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "l_line"))
         .where(word)
@@ -73,17 +75,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = (
         lines.join(boiler, F.col("line") == F.col("b_line"))
         .where(~(F.col("l_id").eqNullSafe(F.col("first.l_id")) & (F.col("at") == F.col("first.at"))))
-        .groupBy("l_id", "l_key")
-        .agg(F.collect_set("at").alias("gone"))
+        .groupBy(F.col("l_id").alias("_ld_id"), F.col("l_key").alias("_ld_key"))
+        .agg(F.collect_set("at").alias("_ld_gone"))
     )
     text = F.col(text_col)
     lined = F.split(text, "\n")
     return (
-        kept.withColumn("k_key", F.xxhash64(text))
-        .join(gone, F.col(id_col).eqNullSafe(F.col("l_id")) & (F.col("k_key") == F.col("l_key")), "left")
-        .withColumn("n_lines", F.coalesce(F.size(F.filter(lined, lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)), F.lit(0)).cast("long"))
+        kept.withColumn("_ld_k_key", F.xxhash64(text))
+        .join(gone, F.col(id_col).eqNullSafe(F.col("_ld_id")) & F.col("_ld_k_key").eqNullSafe(F.col("_ld_key")), "left")
+        .withColumn("n_lines", F.coalesce(F.size(F.filter(lined, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
         .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
-        .withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lined) - 1), F.col("gone"))), lambda i: F.get(lined, i)), "\n")))
-        .drop("k_key", "l_id", "l_key", "gone")
+        .withColumn("n_removed", F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.size("_ld_gone")).cast("long"))
+        .withColumn(text_col, F.when(F.col("_ld_gone").isNull(), text).otherwise(F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lined) - 1), F.col("_ld_gone"))), lambda i: F.get(lined, i)), "\n")))
+        .drop("_ld_k_key", "_ld_id", "_ld_key", "_ld_gone")
     )
