@@ -3,11 +3,11 @@
 Words are hashed in runs of ``K``; of every ``W`` consecutive run hashes the smallest is a fingerprint. ``K + W - 1``
 equals the window of ten words, so each ten-word window that a document shares with the benchmark holds a
 fingerprint that both sides choose, at the same place in the window: the join of fingerprints misses no shared window.
-Each hit is extended to the whole window by comparing the hash of its ten words at that alignment. Benchmark items
+Each hit is extended to the whole window at that alignment by comparing the hashes of its two halves. Benchmark items
 with fewer words than a window are joined by the hash of their whole word sequence.
 
-Only DataFrame expressions are used. Documents are exploded into fingerprints (two of seven words) beside the hashes
-of the six windows around each; nothing else of a document is moved before the join has thrown out what doesn't match.
+Only DataFrame expressions are used. Documents are exploded into fingerprints (two of seven words) beside the run
+hashes around each; nothing else of a document is moved before the join has thrown out what doesn't match.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, small_side
+from .shared import LOWER, UPPER, small_side, written
 
 WINDOW = 10
 K = 5
@@ -23,62 +23,74 @@ W = WINDOW - K + 1
 #: Up to so many distinct benchmark windows (about 50 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_WINDOWS = 300_000
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, before and after lower-casing.
+BETWEEN_ANY, BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: F.Column) -> F.Column:
     """The words of a text in order, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    given = F.coalesce(text, F.lit(""))
+    # lower() does the same as translate(), and faster, where all is ASCII
+    lowered = F.when(F.octet_length(given) == F.length(given), F.lower(given)).otherwise(F.translate(given, UPPER, LOWER))
+    return F.array_remove(F.split(lowered, BETWEEN), "")
+
+
+def word_hashes(text: F.Column) -> F.Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def word_count(text: F.Column) -> F.Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_ANY), "")).cast("long")
 
 
 def _run_hashes(words_col: str, n: int) -> str:
-    """SQL for the array of hashes of every ``n`` consecutive words; empty if there are fewer."""
+    """SQL for the array of hashes of every ``n`` consecutive word hashes; empty if there are fewer."""
     args = ", ".join(f"{words_col}[i + {j}]" if j else f"{words_col}[i]" for j in range(n))
     return f"if(size({words_col}) < {n}, cast(array() as array<bigint>), transform(sequence(0, size({words_col}) - {n}), i -> xxhash64({n}, {args})))"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Windows of each item: (item_id, len, hash, fingerprint, offset of the fingerprint in the window).
+    """Windows of each item: (item, len, hash, left and right half, fingerprint, its offset in the window).
 
     An item shorter than a window has one row, without fingerprint. Items without words have none.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
     lowest = ", ".join(f"k[i + {j}]" for j in range(W))
     full = (
         items.where(f"size(w) >= {WINDOW}")
-        .select("item", F.expr(_run_hashes("w", K)).alias("k"), F.expr(_run_hashes("w", WINDOW)).alias("h"))
-        .select("item", F.explode(F.expr(f"transform(h, (x, i) -> struct({WINDOW} as len, x as hash, least({lowest}) as fp, array_position(slice(k, i + 1, {W}), least({lowest})) - 1 as off))")).alias("x"))
+        .select("item", F.expr(_run_hashes("w", K)).alias("k"))
+        .select("item", F.explode(F.expr(f"""transform(sequence(0, size(k) - {W}), i -> struct({WINDOW} as len, xxhash64(k[i], k[i + {K}]) as hash,
+            k[i] as left, k[i + {K}] as right, least({lowest}) as fp, cast(array_position(slice(k, i + 1, {W}), least({lowest})) as int) - 1 as off))""")).alias("x"))
         .select("item", "x.*")
     )
     whole = " ".join(f"when {n} then xxhash64({n}, {', '.join(f'w[{j}]' for j in range(n))})" for n in range(1, WINDOW))
-    short = items.where(f"size(w) < {WINDOW}").select("item", F.size("w").alias("len"), F.expr(f"case size(w) {whole} end").alias("hash"), F.lit(None).cast("bigint").alias("fp"), F.lit(None).cast("bigint").alias("off"))
+    short = items.where(f"size(w) < {WINDOW}").select("item", F.size("w").alias("len"), F.expr(f"case size(w) {whole} end").alias("hash"), *(F.lit(None).cast("bigint").alias(x) for x in ("left", "right", "fp")), F.lit(None).cast("int").alias("off"))
     return full.unionByName(short)
 
 
 def contaminated_spans(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(d_id, d_key, start, len, hash) of every place in ``docs`` (d_id, d_key, w) where a benchmark window occurs."""
-    distinct = windows.select("len", "hash", "fp", "off").distinct()
-    full = small_side(distinct.where("fp is not null").select("hash", "fp", "off"), BROADCAST_WINDOWS)
+    distinct = windows.drop("item").distinct()
+    full = small_side(distinct.where("fp is not null").drop("len"), BROADCAST_WINDOWS)
     # a position is chosen if its hash is the least of some window of W hashes: the greatest of the least values around it
     least = ", ".join(f"k[i + {j}]" for j in range(W))
     around = ", ".join(f"get(m, i - {j})" for j in range(W))
-    near = ", ".join(f"get(h, i - {j})" for j in range(W))
+    # no filter on the words: it would be pushed below them and compute them twice; too short a text has no m
     marked = (
-        docs.where(f"size(w) >= {WINDOW}")
-        .select("d_id", "d_key", F.expr(_run_hashes("w", K)).alias("k"), F.expr(_run_hashes("w", WINDOW)).alias("h"))
-        .withColumn("m", F.expr(f"transform(sequence(0, size(k) - {W}), i -> least({least}))"))
+        docs.select("d_id", "d_key", F.expr(_run_hashes("w", K)).alias("k"))
+        .withColumn("m", F.expr(f"if(size(k) < {W}, null, transform(sequence(0, size(k) - {W}), i -> least({least})))"))
         .select("d_id", "d_key", F.explode(F.expr(f"""
-            transform(filter(sequence(0, size(k) - 1), i -> k[i] = greatest({around})),
-                i -> struct(i as at, k[i] as fp, array({near}) as near))""")).alias("x"))
-        .select("d_id", "d_key", "x.at", F.col("x.fp").alias("d_fp"), "x.near")
-    )
-    found = marked.join(full, (F.col("d_fp") == F.col("fp")) & (F.expr("get(near, cast(off as int))") == F.col("hash"))).select(
-        "d_id", "d_key", (F.col("at") - F.col("off")).cast("int").alias("start"), F.lit(WINDOW).alias("len"), "hash"
+            transform(filter(if(m is null, null, sequence(0, size(k) - 1)), i -> k[i] = greatest({around})),
+                i -> struct(i as at, k[i] as fp, greatest(0, i - {K}) as begin, slice(k, greatest(0, i - {K}) + 1, {WINDOW + 1}) as near))""")).alias("x"))
+        .select("d_id", "d_key", "x.at", F.col("x.fp").alias("d_fp"), "x.begin", "x.near")
     )
+    # the window begins `off` before the hit: both its halves must be the item's
+    same = F.expr(f"get(near, at - off - begin) = left and get(near, at - off - begin + {K}) = right")
+    found = marked.join(full, (F.col("d_fp") == F.col("fp")) & same).select("d_id", "d_key", (F.col("at") - F.col("off")).alias("start"), F.lit(WINDOW).alias("len"), "hash")
     lengths = sorted(r.len for r in distinct.where("fp is null").select("len").distinct().collect())  # nine at most
     for n in lengths:
         short = small_side(distinct.where(f"fp is null and len = {n}").select("hash"), BROADCAST_WINDOWS)
-        runs = docs.where(f"size(w) >= {n}").select("d_id", "d_key", F.posexplode(F.expr(_run_hashes("w", n))).alias("start", "d_hash"))
+        runs = docs.select("d_id", "d_key", F.posexplode(F.expr(_run_hashes("w", n))).alias("start", "d_hash"))
         found = found.unionByName(runs.join(short, F.col("d_hash") == F.col("hash")).select("d_id", "d_key", "start", F.lit(n).alias("len"), "hash"))
     return found
 
@@ -97,8 +109,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = docs.drop(*(x for x in made if x not in (id_col, text_col)))
     windows = benchmark_windows(benchmark)
     key = F.xxhash64(F.col(text_col))
-    parts = docs.select(F.col(id_col).alias("d_id"), key.alias("d_key"), words(F.col(text_col)).alias("w"))
-    spans = contaminated_spans(parts, windows)
+    parts = docs.select(F.col(id_col).alias("d_id"), key.alias("d_key"), word_hashes(F.col(text_col)).alias("w"))
+    spans = written(contaminated_spans(parts, windows), "contaminated-spans")  # few rows: those that match
     by_doc = spans.groupBy("d_id", "d_key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("stop")))).alias("spans"))
     covered = F.expr("aggregate(spans, struct(0L as n, 0 as stop), (a, s) -> struct(a.n + greatest(0, s.stop - greatest(s.start, a.stop)) as n, greatest(a.stop, s.stop) as stop), a -> a.n)")
     of_item = small_side(windows.select(F.col("hash").alias("i_hash"), F.col("len").alias("i_len"), "item").distinct(), BROADCAST_WINDOWS)
@@ -110,16 +122,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     hits = by_doc.select("d_id", "d_key", covered.alias("n_hit")).join(items.withColumnsRenamed({"d_id": "i_id", "d_key": "i_key"}), F.col("d_id").eqNullSafe(F.col("i_id")) & (F.col("d_key") == F.col("i_key")), "left").select(
-        "d_id", "d_key", "n_hit", "items"
+        F.col("d_id").alias("_dc_id"), F.col("d_key").alias("_dc_key"), F.col("n_hit").alias("_dc_hit"), F.col("items").alias("_dc_items")
     )
     return (
-        kept.withColumn("c_key", key)
-        .withColumn("n_words", F.size(words(F.col(text_col))).cast("long"))
-        .join(hits, F.col(id_col).eqNullSafe(F.col("d_id")) & (F.col("c_key") == F.col("d_key")), "left")
-        .drop("c_key", "d_id", "d_key")
-        .withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-        .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+        kept.withColumn("_dc_own", key)
+        .withColumn("n_words", word_count(F.col(text_col)))
+        .join(hits, F.col(id_col).eqNullSafe(F.col("_dc_id")) & (F.col("_dc_own") == F.col("_dc_key")), "left")
+                .withColumn("n_hit", F.coalesce("_dc_hit", F.lit(0)).cast("long"))
+        .withColumn("items", F.coalesce("_dc_items", F.array().cast("array<string>")))
         .withColumn("n_items", F.size("items").cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
         .withColumn("contaminated", F.col("n_hit") > 0)
+        .drop("_dc_own", "_dc_id", "_dc_key", "_dc_hit", "_dc_items")
     )
