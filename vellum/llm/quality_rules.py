@@ -1,7 +1,7 @@
 """Quality rules: base counts of each text, then a hashed n-gram log-likelihood ratio.
 
-Tokens (runs of letters and digits, runs of other visible characters) and pairs of neighbouring tokens hash into a
-fixed number of buckets. Two multinomials over these buckets, one of trusted documents and one of the whole corpus,
+Tokens (runs of letters and digits, runs of other visible characters) and pairs of neighbouring tokens (the last one
+paired with the end of the text) hash into a fixed number of buckets. Two multinomials over these buckets, one of trusted documents and one of the whole corpus,
 give each bucket a log ratio; a document's score is the mean ratio over its n-grams. A document is kept if no base
 rule fails and its score reaches the threshold: no draw is involved, every document is judged alike.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_side
 
-#: Buckets of hashed n-grams: the model is one array of so many doubles, whatever the corpus.
+#: Buckets of hashed n-grams (a power of two): the model is one array of so many doubles, whatever the corpus.
 BUCKETS = 8192
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.15
@@ -37,31 +37,33 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = (
-        docs.withColumn("q_text", text)
-        .withColumn("q_words", F.filter(F.split("q_text", WHITE), lambda x: x != ""))
-        .withColumn("n_words", F.size("q_words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate("q_text", " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length("q_text") - F.length(F.translate("q_text", "#*$%&|<>", ""))).cast("long"))
-        .withColumn("q_lines", F.filter(F.split("q_text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
-        .withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
-        .withColumn("q_windows", F.expr("""if(n_words < 5, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 5),
-            i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2], q_words[i + 3], q_words[i + 4])))"""))
-        .withColumn("q_unlike", F.size(F.array_distinct("q_windows")) == F.size("q_windows"))
-        .withColumn("q_sorted", F.expr("if(q_unlike, null, array_sort(transform(q_windows, (h, i) -> struct(h as h, i as i))))"))
-        .withColumn("q_twice", F.expr("""array_sort(transform(filter(q_sorted,
-            (x, k) -> x.h <=> get(q_sorted, k - 1).h or x.h <=> get(q_sorted, k + 1).h), x -> x.i))"""))
-        .withColumn("n_repeat_words", F.expr("""coalesce(aggregate(q_twice, struct(0L as n, -5 as last),
+        docs.withColumn("_q_text", text)
+        .withColumn("_q_words", F.filter(F.split("_q_text", WHITE), lambda x: x != ""))
+        .withColumn("n_words", F.size("_q_words").cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_q_words", "")).cast("long"))
+        .withColumn("n_symbols", (F.size(F.split("_q_text", "[#*$%&|<>]")) - 1).cast("long"))
+        .withColumn("_q_lines", F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+        .withColumn("n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
+        .withColumn("_q_windows", F.expr("""if(n_words < 5, cast(array() as array<bigint>), transform(sequence(0, cast(n_words as int) - 5),
+            i -> xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2], _q_words[i + 3], _q_words[i + 4])))"""))
+        .withColumn("_q_unlike", F.size(F.array_distinct("_q_windows")) == F.size("_q_windows"))
+        .withColumn("_q_sorted", F.expr("if(_q_unlike, null, sort_array(transform(_q_windows, (h, i) -> struct(h as h, i as i))))"))
+        .withColumn("_q_twice", F.expr("""sort_array(transform(filter(_q_sorted,
+            (x, k) -> x.h <=> get(_q_sorted, k - 1).h or x.h <=> get(_q_sorted, k + 1).h), x -> x.i))"""))
+        .withColumn("n_repeat_words", F.expr("""coalesce(aggregate(_q_twice, struct(0L as n, -5 as last),
             (a, i) -> struct(a.n + least(5, i - a.last) as n, i as last), a -> a.n), 0L)"""))
     )
-    return counted.drop("q_text", "q_words", "q_lines", "q_windows", "q_unlike", "q_sorted", "q_twice")
+    return counted.drop("_q_text", "_q_words", "_q_lines", "_q_windows", "_q_unlike", "_q_sorted", "_q_twice")
 
 
-def hashed_ngrams(text: F.Column) -> F.Column:
-    """Bucket numbers of a text's tokens and neighbouring pairs, in order."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), 0)
-    singles = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")))
-    return F.filter(F.concat(singles, pairs), lambda x: x.isNotNull())
+def tokens(text: F.Column) -> F.Column:
+    """Runs of letters and digits, and runs of other visible characters, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), 0)
+
+
+#: SQL for the buckets of the token at ``i`` of ``_q_tokens``, and of it with the next one (or the end of the text).
+SINGLE = f"cast(xxhash64(_q_tokens[i]) & {BUCKETS - 1} as int)"
+PAIR = f"cast(xxhash64(1, _q_tokens[i], get(_q_tokens, i + 1)) & {BUCKETS - 1} as int)"
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
@@ -73,7 +75,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ids = small_side(trusted.select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct().withColumn("t_trusted", F.lit(True)), BROADCAST_IDS)
     marked = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("d_text")).join(ids, F.col("d_id") == F.col("t_id"), "left")
     rows = (
-        marked.select(F.explode(hashed_ngrams(F.col("d_text"))).alias("bucket"), F.coalesce("t_trusted", F.lit(False)).alias("t_trusted"))
+        marked.select(tokens(F.col("d_text")).alias("_q_tokens"), F.coalesce("t_trusted", F.lit(False)).alias("t_trusted"))
+        .where("size(_q_tokens) > 0")
+        .select(F.explode(F.expr(f"flatten(transform(sequence(0, size(_q_tokens) - 1), i -> array({SINGLE}, {PAIR})))")).alias("bucket"), "t_trusted")
         .groupBy("bucket")
         .agg(F.count("*").alias("n"), F.count_if("t_trusted").alias("n_trusted"))
         .collect()
@@ -97,13 +101,14 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     (a null id is never trusted). Empty ``docs`` give no rows; empty ``trusted`` gives llr 0.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
-    table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
+    table = f"from_json('{json.dumps([round(x, 6) for x in ratios])}', 'array<double>')"
+    total = f"aggregate(sequence(0, size(_q_tokens) - 1), 0D, (a, i) -> a + {table}[{SINGLE}] + {table}[{PAIR}])"
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
     scored = (
         base_counts(docs.drop(*(x for x in made if x not in (id_col, text_col))), text_col)
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn("q_grams", hashed_ngrams(F.col(text_col)))
-        .withColumn("llr", F.when(F.size("q_grams") > 0, F.aggregate("q_grams", F.lit(0.0), lambda a, g: a + F.get(table, g)) / F.size("q_grams")).otherwise(0.0))
-        .drop("q_grams")
+        .withColumn("_q_tokens", tokens(F.col(text_col)))
+        .withColumn("llr", F.expr(f"if(size(_q_tokens) = 0, 0D, {total} / (2 * size(_q_tokens)))"))
+        .drop("_q_tokens")
     )
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
