@@ -1,8 +1,8 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Two documents link if their sets of five-word shingles reach a Jaccard similarity of 3/4: then they share at least
-T = ceil(3/7 of the sum of both sizes) shingles. Shingles are put in one order, those on very many documents last
-(the long lists), the others by hash. After the manner of DivideSkip the inverted lists are divided:
+T = ceil(3/7 of the sum of both sizes) shingles. Shingles are put in one order: those on few documents by hash, then
+those on many (the long lists) by their number. After the manner of DivideSkip the inverted lists are divided:
 
 * Of each set only the first quarter or so goes into lists that are merged. The merge counts how often two sets meet;
   sets that link must meet ``needed`` times there, which leaves out sets that share a passage but little else.
@@ -30,11 +30,12 @@ from .shared import small_side, written
 from .shingles import shingle_sets, text_groups
 
 #: Rows of a task's block that a shingle must be on to be counted there; documents from which a list is long; most long lists.
-LOCAL_MIN, LONG_LIST, MOST_LONG = 2, 64, 500_000
+LOCAL_MIN, LONG_LIST, MOST_LONG = 2, 16, 500_000
 #: Shingles that a block of the counting pass holds.
 BLOCK_SHINGLES = 4_000_000
-#: Sets compared with one copy of a hub; further rounds of hubs; most deliveries of texts that are broadcast.
-HUB_SETS, MOST_ROUNDS, BROADCAST_DELIVERIES = 256, 6, 400_000
+#: Sets compared with one copy of a hub; most rounds of hubs, and rows that may be left for each in a list without one more;
+#: most deliveries of texts that are broadcast.
+HUB_SETS, MOST_ROUNDS, LEFT_OVER, BROADCAST_DELIVERIES = 256, 6, 4, 400_000
 
 
 def prefix_length(n):
@@ -42,11 +43,11 @@ def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def long_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles on LONG_LIST documents or more, sorted; at most MOST_LONG of them.
+def long_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles on LONG_LIST documents or more, sorted, and their ranks by number; at most MOST_LONG of them.
 
     Every block of every task counts its shingles, those found at least LOCAL_MIN times are added up over all blocks.
-    Any choice gives the same links: it only decides which lists come last.
+    Any choice and order give the same links: they only decide which lists come last.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,74 +73,83 @@ def long_shingles(docs: DataFrame) -> np.ndarray:
     heavy, least = written(counts.where(F.col("n") >= LONG_LIST), "long-lists"), LONG_LIST
     while heavy.where(F.col("n") >= least).count() > MOST_LONG:
         least *= 2
-    return np.sort(np.array([r.token for r in heavy.where(F.col("n") >= least).select("token").collect()], np.int64).view(np.uint64))
+    found = heavy.where(F.col("n") >= least).collect()
+    token, n = (np.array([r[c] for r in found], np.int64) for c in ("token", "n"))
+    token = token.view(np.uint64)
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    order = np.argsort(token)
+    return token[order], rank[order]
 
 
-def set_table(docs: DataFrame, long: np.ndarray) -> DataFrame:
-    """(doc_id, n, set, short, long): size and 128-bit digest of each document's set, and its first shingles in order."""
+def set_table(docs: DataFrame, long: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, key, n, set, short, long): size and hash of each document's set, and its first shingles in order."""
     known = docs.sparkSession.sparkContext.broadcast(long)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("set", T.BinaryType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("long", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("long", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        last = known.value
+        last, rank = known.value
         for batch in batches:
-            for part in slices(batch, 1, 1_000_000):
-                sets = shingle_sets(part.column(1).to_pylist())
+            for part in slices(batch, 2, 1_000_000):
+                sets = shingle_sets(part.column(2).to_pylist())
                 size = np.array([len(x) for x in sets])
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                at = np.searchsorted(last, flat)
-                is_long = (last[np.minimum(at, len(last) - 1)] == flat) if len(last) else np.zeros(len(flat), bool)
+                at = np.minimum(np.searchsorted(last, flat), max(0, len(last) - 1))
+                is_long = (last[at] == flat) if len(last) else np.zeros(len(flat), bool)
                 ends = np.cumsum(size)
                 short, late = [], []
                 for u, e, n in zip(sets, ends.tolist(), size.tolist(), strict=True):
                     hot, take = is_long[e - n : e], prefix_length(n) if n else 0
                     first = u[~hot][:take]
                     short.append(first)
-                    late.append(u[hot][: take - len(first)])
+                    late.append(u[hot][np.argsort(rank[at[e - n : e][hot]])[: take - len(first)]] if take > len(first) else u[:0])
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (short, late)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), *lists], names=["doc_id", "n", "set", "short", "long"])
+                digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int32)), pa.array(digest), *lists], names=["doc_id", "key", "n", "set", "short", "long"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """(token, set, n) of the merged lists that hold two sets or more.
+    """(token, set, n, hub, hub_n, len) of the merged lists that hold two sets or more; hub is the first set of a list.
 
     Short lists are gathered by token, in order, and those of one set dropped on the way; long ones are only made
-    distinct, by token and set, so that no list has to fit a task.
+    distinct, by token and set, and get their hubs by a join, so that no long list has to fit a task.
     """
-    rows = sets.where("n > 0").select("set", "n", F.explode("short").alias("token")).select("token", "set", "n")
+    rows = sets.where("n > 0").select(F.explode("short").alias("token"), "set", "n")
+    schema = "token long, set long, n int, hub long, hub_n int, len int"
 
     def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last token so far: its list may go on in the next batch
+        held = [np.empty(0, np.int64)] * 3  # rows of the last token so far: its list may go on in the next batch
 
-        def shared(block: pa.Table) -> pa.Table:
-            token = block.column("token").to_numpy()
-            digest = np.frombuffer(b"".join(block.column("set").to_pylist()), np.uint64).reshape(-1, 2)
+        def shared(token: np.ndarray, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
-            token, places = token[fresh], np.flatnonzero(fresh)
-            _, inverse, n = np.unique(token, return_inverse=True, return_counts=True)
-            return block.take(pa.array(places[n[inverse] > 1]))
+            fresh[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
+            token, own, n = token[fresh], own[fresh], n[fresh]
+            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.append(start, len(token)))
+            first, count = np.repeat(start, length), np.repeat(length, length)
+            keep = count > 1
+            columns = token[keep], own[keep], n[keep].astype(np.int32), own[first[keep]], n[first[keep]].astype(np.int32), count[keep].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "set", "n", "hub", "hub_n", "len"])
 
         for batch in batches:
-            block = pa.Table.from_batches([batch])
-            if held is not None:
-                block = pa.concat_tables([held, block])
-            token = block.column("token").to_numpy()
-            if not len(token):
+            held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+            if not len(held[0]):
                 continue
-            cut = int(np.searchsorted(token, token[-1]))
-            held = block.slice(cut)
+            cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield from shared(block.slice(0, cut)).combine_chunks().to_batches()
-        if held is not None:
-            yield from shared(held).combine_chunks().to_batches()
-
-    short = rows.repartition("token").sortWithinPartitions("token", "set").mapInArrow(keep_shared, rows.schema)
-    late = sets.where("size(long) > 0").select(F.explode("long").alias("token"), "set", "n").distinct()
+                yield shared(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield shared(*held)
+
+    short = rows.repartition("token").sortWithinPartitions("token", "set").mapInArrow(keep_shared, schema)
+    late = written(sets.where("size(long) > 0").select(F.explode("long").alias("token"), "set", "n").distinct(), "long-list-rows")
+    hubs = late.groupBy(F.col("token").alias("h_token")).agg(F.min(F.struct("set", "n")).alias("hub"), F.count("*").cast("int").alias("len")).where("len > 1")
+    late = late.join(small_side(hubs, MOST_LONG), F.col("token") == F.col("h_token")).select("token", "set", "n", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"), "len")
     return short.unionByName(late)
 
 
@@ -155,19 +165,18 @@ def similar_sizes(n: str, m: str) -> F.Column:
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that reach the similarity, by binary probes of whole sets.
+    """The pairs (a, b, len) of sets that reach the similarity, by binary probes of whole sets.
 
-    The text of each ``a`` goes to its ``b``; a ``b`` with many is copied, so that HUB_SETS or so meet one copy.
+    The text of each ``a`` goes to its ``b``; ``len`` is the length of the list they met in: it tells into how many
+    copies a ``b`` is dealt, so that HUB_SETS or so meet one copy.
     """
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_SETS).cast("int").alias("copies"))
-    dealt = pairs.join(many.withColumnRenamed("b", "m_b"), F.col("b") == F.col("m_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
-    parcels = dealt.select("b", "copy", F.lit(1).alias("role"), F.col("a").alias("set")).unionByName(
-        many.select("b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), F.col("b").alias("set"))
-    )
-    addressed = written(parcels.join(reps.select("set", "rep"), "set"), "parcels")
+    dealt = pairs.withColumn("copies", F.ceil(F.col("len") / HUB_SETS).cast("int")).select("a", "b", "copies", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    parcels = dealt.select("b", "copies", "copy", F.lit(1).alias("role"), F.col("a").alias("set")).unionByName(dealt.select("b", "copies", "copy", F.lit(0).alias("role"), F.col("b").alias("set")).distinct())
+    addressed = written(parcels.join(reps, "set").select("b", "copies", "copy", "role", "set", "rep.*"), "parcels")
+    given = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
     sent = (
-        docs.join(small_side(addressed, BROADCAST_DELIVERIES), F.col("doc_id") == F.col("rep"))
-        .select("b", "copy", "role", "set", "text")
+        given.join(small_side(addressed, BROADCAST_DELIVERIES), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("key")))
+        .select("b", F.concat_ws("/", "copies", "copy").alias("copy"), "role", "set", "text")
         .repartition("b", "copy")
         .sortWithinPartitions("b", "copy", "role", "set")
     )
@@ -188,58 +197,55 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
                         if 7 * common >= 3 * (len(small) + len(large)):
                             found_a.append(own)
                             found_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    # repeated rows of a representative's id may bring it twice
-    return sent.mapInArrow(run, "a binary, b binary").distinct()
+    # repeated rows of a representative may bring a pair twice
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets of ``docs`` (doc_id, text) and the components of linked sets: (doc_id, n, set) and (node, root)."""
-    long = long_shingles(docs)
-    sets = written(set_table(docs, long), "shingle-sets")
-    reps = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    sets = written(set_table(docs, long_shingles(docs)), "shingle-sets")
+    reps = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
     lists = written(shared_lists(sets), "shared-lists")
-    links, roots = [], None
+    links, part = [], lists.where("set <> hub")
     for r in range(MOST_ROUNDS):
-        part = lists if roots is None else lists.join(roots, F.col("set") == F.col("node"), "left")
-        part = part.select("token", "set", "n", (F.col("set") if roots is None else F.coalesce("root", "set")).alias("root"))
-        # of each list the component with most sets, and of that one set as hub; lists within one component are done
-        by_root = part.groupBy("token", "root").agg(F.count("*").alias("n_sets"), F.min(F.struct(F.xxhash64("set", F.lit(r)).alias("h"), F.col("set"), F.col("n"))).alias("hub"))
-        chief = by_root.groupBy("token").agg(F.max(F.struct("n_sets", "root", "hub")).alias("chief"), F.sum("n_sets").alias("all"), F.count("*").alias("n_roots")).where("n_roots > 1")
-        chief = written(chief.select(F.col("token").alias("c_token"), F.col("chief.root").alias("c_root"), F.col("chief.hub.set").alias("c_set"), F.col("chief.hub.n").alias("c_n"), F.col("chief.n_sets").alias("c_sets"), "all"), "chiefs")
-        part = written(part.join(chief, F.col("token") == F.col("c_token")), "open-lists")
-        left = chief.agg(F.sum("all"), F.sum(F.expr("(all - c_sets) * all"))).first()
-        if not left[0]:
-            return sets.select("doc_id", "n", "set"), _roots(links, docs)
-        if r and left[1] <= 64 * left[0]:
-            break
-        pairs = part.where("root <> c_root").where(similar_sizes("n", "c_n")).groupBy(F.col("set").alias("a"), F.col("c_set").alias("b"), "n", "c_n").agg(F.count("*").alias("met"))
-        pairs = pairs.where(F.col("met") >= needed("n", "c_n")).groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
+        # each set goes to the hub that it meets most often, if often enough
+        pairs = part.where(similar_sizes("n", "hub_n")).groupBy(F.col("set").alias("a"), F.col("hub").alias("b"), "n", "hub_n").agg(F.count("*").alias("met"), F.max("len").alias("len"))
+        pairs = pairs.where(F.col("met") >= needed("n", "hub_n")).groupBy("a").agg(F.max(F.struct("met", "b", "len")).alias("best")).select("a", "best.b", "best.len")
         links.append(written(linked(pairs, reps, docs), "hub-links"))
-        roots = _roots(links, docs)
+        # sets linked to one hub are known to be of one component: only the others of a list are still open
+        known = _all(links).groupBy(F.col("a").alias("k_set")).agg(F.min("b").alias("k_root"))
+        rooted = lists.join(written(known, "known-roots"), F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "len", F.coalesce("k_root", "set").alias("root"))
+        rooted = written(rooted, "rooted-lists")
+        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("n_sets"), F.min(F.struct(F.xxhash64("set", F.lit(r)).alias("h"), F.col("set"), F.col("n"))).alias("hub"))
+        chief = by_root.groupBy("token").agg(F.max(F.struct("n_sets", "root", "hub")).alias("c"), F.count("*").alias("n_roots")).where("n_roots > 1")
+        chief = written(chief.select(F.col("token").alias("c_token"), F.col("c.root").alias("c_root"), F.col("c.n_sets").alias("c_sets"), F.col("c.hub.set").alias("hub"), F.col("c.hub.n").alias("hub_n")), "chiefs")
+        rows = written(rooted.join(chief, F.col("token") == F.col("c_token")).drop("c_token"), "open-lists")
+        part = rows.where("root <> c_root")
+        size = rows.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("c_root"), F.col("len").cast("long")))).first()
+        if (size[1] or 0) <= LEFT_OVER * size[0]:
+            break
     # what is left: every set outside its list's chief component against all of the list
-    mine = part.where("root <> c_root").select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    other = part.select(F.col("token").alias("o_token"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("c_root")).alias("chief"))
+    mine = part.select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "len")
+    other = rows.select(F.col("token").alias("o_token"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("c_root")).alias("chief"))
     met = (
         mine.join(other, (F.col("token") == F.col("o_token")) & (F.col("root_a") != F.col("root_b")) & (F.col("chief") | (F.col("a") < F.col("b"))) & similar_sizes("n_a", "n_b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"), "len")
         .groupBy("a", "b", "n_a", "n_b")
-        .agg(F.count("*").alias("met"))
+        .agg(F.count("*").alias("met"), F.max("len").alias("len"))
         .where(F.col("met") >= needed("n_a", "n_b"))
-        .select("a", "b")
+        .select("a", "b", "len")
     )
     links.append(written(linked(met, reps, docs), "last-links"))
-    return sets.select("doc_id", "n", "set"), _roots(links, docs)
+    return sets.select("doc_id", "n", "set"), written(connected_components(_all(links)), "components")
 
 
-def _roots(links: list[DataFrame], docs: DataFrame) -> DataFrame:
-    if not links:
-        return docs.sparkSession.createDataFrame([], "node binary, root binary")
+def _all(links: list[DataFrame]) -> DataFrame:
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
-    return written(connected_components(every), "components")
+    return every
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
