@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from .queries import business, parsing, retrieval, sequences, streams, tables
+
+FLAGSHIP = "hybrid_three_lane"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "price_stats_by_part"
+for module in (retrieval, tables, sequences, business, parsing, streams):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
