@@ -1 +1,95 @@
-QUERIES, ORACLES = {}, {}
+"""Parsing queries over the driver's texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import canonical, norm_slug, strip_accents, term_set
+from ..operators.parsing import citations, diff_counts, keep_in_force, provisions, truncate_at, word_diff
+from ..session import table
+from .register import registry
+
+QUERIES, ORACLES, query = registry()
+
+
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as blocks of a law: the number and flag of each line decide its level."""
+    lines = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    n = F.col("l_linenumber")
+    text = (
+        F.when(n == 1, F.concat(F.lit("Art. "), F.col("l_orderkey").cast("string"), F.lit("º Texto.")))
+        .when(n == 2, F.lit("§ 1º Texto."))
+        .when(n == 3, F.lit("II - texto;"))
+        .when(n == 4, F.lit("a) texto;"))
+        .when(n == 5, F.lit("Parágrafo único. Texto."))
+        .when(n == 6, F.lit("b) texto;"))
+        .otherwise(F.lit("Continuação do texto, sem marca alguma, que não é dispositivo nem título porque é longa demais."))
+    )
+    return lines.select(F.col("l_orderkey").alias("document"), n.alias("seq"), text.alias("text"))
+
+
+@query("""
+with l as (select distinct l_orderkey as document, l_linenumber as seq from lineitem), h as (select *, max(case when seq = 1 then 1 end) over (partition by document) as art,
+    max(case when seq = 2 then 1 end) over (partition by document) as p1, max(case when seq = 3 then 1 end) over (partition by document) as i3, max(case when seq = 5 then 1 end) over (partition by document) as p5 from l)
+select document, seq, case seq when 1 then 'article' when 2 then 'paragraph' when 3 then 'item' when 4 then 'letter' when 5 then 'paragraph' else 'letter' end as kind,
+    'art' || document || case when seq >= 5 and p5 = 1 then '-parunico' when seq >= 2 and p1 = 1 then '-par1' else '' end
+      || case when seq in (3, 4) and i3 = 1 then '-incII' when seq = 6 and p5 is null and i3 = 1 then '-incII' else '' end || case when seq = 4 then '-ala' when seq = 6 then '-alb' else '' end as path
+from h where art = 1 and seq <= 6
+""")
+def provision_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provisions(order_blocks(spark, sf_dir)).select("document", "seq", "kind", "path")
+
+
+@query("select o_custkey, arg_max(o_orderkey, (o_orderstatus <> 'F', o_orderkey)) as o_orderkey from orders group by o_custkey")
+def in_force_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("revoked"))
+    return keep_in_force(orders, ["o_custkey"], "revoked", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query()
+def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms cited in texts that name the number and year of each document's own row."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.substring("text", 1, 60), F.lit(". Conforme o art. "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(" da Lei nº 14."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("/2021 e do Decreto 99."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(", de 1990."))
+    return citations(docs.select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query()
+def word_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that differ between each conversation's turns and the turn before."""
+    from pyspark.sql import Window
+
+    turns = table(spark, sf_dir, "conversations")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = turns.withColumn("before", before).where("before is not null").select(F.struct("conv_id", "turn").alias("at"), word_diff("before", "text").alias("d"))
+    return diff_counts(pairs, "at", "d").select("at.*", "n_same", "n_removed", "n_added")
+
+
+@query()
+def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", truncate_at(F.col("text"), 0, 100).alias("t")).select("doc_id", F.length("t.text").alias("n_chars"), "t.next")
+
+
+@query(r"select doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+(\n|$)', '\1', 'g'), '\n+$', '') || chr(10)) as digest from documents")
+def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(canonical("text")).alias("digest"))
+
+
+@query("select doc_id, md5(strip_accents(text)) as digest from documents")
+def accents_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_accents("text")).alias("digest"))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'lei-' || o_orderkey || '-2021' when 1 then 'lc-' || o_orderkey || '-2025' when 2 then 'decreto-' || o_orderkey || '-1998' end as slug from orders")
+def norm_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    dotted = F.format_number(key, 0)
+    number = F.replace(dotted, F.lit(","), F.lit("."))
+    name = F.when(key % 4 == 0, F.concat(F.lit("Lei nº "), number, F.lit("/2021"))).when(key % 4 == 1, F.concat(F.lit("Lei Complementar "), number, F.lit(", de 2025"))).when(key % 4 == 2, F.concat(F.lit("Decreto nº "), number, F.lit(" de 1998"))).otherwise("Constituição Federal")
+    return table(spark, sf_dir, "orders").select("o_orderkey", norm_slug(name).alias("slug"))
+
+
+@query("select doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in ('das', 'dos', 'para', 'com', 'sem', 'por', 'tipo', 'cor', 'material', 'modelo', 'caracteristicas', 'adicionais', 'apresentacao', 'finalidade', 'uso')))) as n_terms from documents")
+def telling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(term_set("text")).cast("long").alias("n_terms"))
