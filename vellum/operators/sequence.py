@@ -72,7 +72,7 @@ def packed_chunks(pages: DataFrame, document: str, page: str, text: str, most: i
     A block (trimmed, not empty) is never cut: one longer than ``most`` makes a chunk of its own. Each block counts two
     characters more for the blank line that joins it. The fold runs over one document's blocks, inside its row.
     """
-    blocks = F.filter(F.transform(F.split(text, separator), F.trim), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split(text, separator), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
     per_page = pages.select(document, page, F.transform(blocks, lambda b: F.struct(F.length(b).alias("size"), b.alias("text"))).alias("blocks"))
     whole = per_page.groupBy(document).agg(F.sort_array(F.collect_list(F.struct(page, "blocks"))).alias("p"))
     flat = F.flatten(F.transform("p", lambda x: F.transform(x["blocks"], lambda b: F.struct(b["text"].alias("text"), b["size"].alias("size"), x[page].cast("long").alias("page")))))

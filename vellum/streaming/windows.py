@@ -14,13 +14,15 @@ LATENESS = "10 minutes"
 
 def tumbling_counts(events: DataFrame, ts: str, key: str, value: str, size: str = "1 day") -> DataFrame:
     """Count and sum by key and window of fixed size, aligned to the epoch in the session's time zone."""
-    rows = events.withWatermark(ts, LATENESS) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, LATENESS) if rows.isStreaming else rows
     return rows.groupBy(F.window(ts, size), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
 def session_counts(events: DataFrame, ts: str, key: str, gap: str = "5 minutes") -> DataFrame:
     """Sessions of each key: rows no more than ``gap`` apart."""
-    rows = events.withWatermark(ts, LATENESS) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, LATENESS) if rows.isStreaming else rows
     return rows.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), key, "n")
 
 
@@ -37,14 +39,14 @@ def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     """The fixed-window limiter over a stream (client, event_id, ts), with four numbers of state for each client.
 
     Within a trigger a client's calls are taken in order of time and id; only calls that pass are counted. State that
-    a client hasn't used for a day is dropped.
+    a client hasn't used for a day of event time is dropped.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        minute, minute_n, day, day_n = state.get if state.exists else (-1, 0, -1, 0)
         if state.hasTimedOut:
             state.remove()
             return
+        minute, minute_n, day, day_n = state.get if state.exists else (-1, 0, -1, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
         for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
@@ -58,10 +60,10 @@ def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
                 minute_n, day_n = minute_n + 1, day_n + 1
             out.append((key[0], event_id, scope is None, scope))
         state.update((minute, minute_n, day, day_n))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "scope"])
 
-    return calls.groupBy("client").applyInPandasWithState(run, LIMITS, STATE, "append", "ProcessingTimeTimeout")
+    return calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).groupBy("client").applyInPandasWithState(run, LIMITS, STATE, "append", "EventTimeTimeout")
 
 
 def upsert_batches(target: str, key: str, version: str):
