@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Chunks that a task's table holds at most, and characters of one batch worked on at a time.
-TABLE_CHUNKS = 500_000
-SLICE_CHARS = 4_000_000
+TABLE_CHUNKS = 150_000
+SLICE_CHARS = 1_000_000
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
