@@ -137,3 +137,24 @@ def transient_error(status: Column, message: Column) -> Column:
 def backoff_ms(attempt: Column, base: int = 500) -> Column:
     """Wait before a further attempt, without the random part."""
     return (F.lit(base) * F.pow(F.lit(2), attempt)).cast("long")
+
+
+#: What the sections of a ruling are called in its label.
+RULING_SECTIONS = {"sumario": "sumário", "voto": "voto", "relatorio": "relatório", "enunciado": "enunciado", "acordao": "item"}
+
+
+def ruling_label(number: Column, year: Column, body: Column, section: Column, mark: Column) -> Column:
+    """``Acórdão 12/2020-TCU-Plenário, voto §5``: paragraph and item numbers only where the mark has one, without leading zeros."""
+    base = F.concat(F.lit("Acórdão "), F.coalesce(number.cast("string"), F.lit("?")), F.lit("/"), F.coalesce(year.cast("string"), F.lit("?")), F.lit("-TCU-"), F.coalesce(body, F.lit("")))
+    paragraph = F.when(F.lower(mark).rlike(r"^p\d"), F.concat(F.lit(" §"), F.regexp_extract(F.lower(mark), r"^p0*(\d+)", 1))).otherwise("")
+    item = F.regexp_extract(F.lower(mark), r"^item\s*(\d.*)$", 1)
+    statement = F.regexp_replace(mark, r"^[eE](?=\d)", "")
+    tail = (
+        F.when(section == "sumario", F.lit(f", {RULING_SECTIONS['sumario']}"))
+        .when((section == "acordao") & (item != ""), F.concat(F.lit(f", {RULING_SECTIONS['acordao']} "), item))
+        .when(section == "voto", F.concat(F.lit(f", {RULING_SECTIONS['voto']}"), paragraph))
+        .when(section == "relatorio", F.concat(F.lit(f", {RULING_SECTIONS['relatorio']}"), paragraph))
+        .when(section == "enunciado", F.concat(F.lit(f", {RULING_SECTIONS['enunciado']} "), statement))
+        .otherwise("")
+    )
+    return F.concat(base, F.when(F.coalesce(mark, F.lit("")) == "", "").otherwise(F.coalesce(tail, F.lit(""))))

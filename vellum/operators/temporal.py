@@ -67,3 +67,16 @@ def equals_where_given(**wanted) -> Column:
         if value is not None:
             found = found & (F.col(name) == F.lit(value))
     return found
+
+
+def resolve_references(refs: DataFrame, catalogue: DataFrame, slug: str, key: str) -> DataFrame:
+    """Each reference with the catalogue's key: that equal to its slug, else the least one that ends in its number and year, else null.
+
+    Two equi-joins: the second, on number and year, takes only what the first has left.
+    """
+    ending = lambda c: F.regexp_extract(c, r"(\d+-\d{4})$", 1)
+    known = catalogue.select(F.col(key).alias("_exact")).distinct()
+    by_ending = catalogue.where(ending(F.col(key)) != "").groupBy(ending(F.col(key)).alias("_ending")).agg(F.min(key).alias("_like"))
+    exact = refs.join(known, F.col(slug) == F.col("_exact"), "left")
+    open_ending = F.when(F.col("_exact").isNull(), F.nullif(ending(F.col(slug)), F.lit("")))
+    return exact.withColumn("_open", open_ending).join(by_ending, F.col("_open") == F.col("_ending"), "left").withColumn(key, F.coalesce("_exact", "_like")).drop("_exact", "_open", "_ending", "_like")

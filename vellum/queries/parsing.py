@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, norm_slug, strip_accents, term_set
+from ..functions.text import canonical, norm_slug, ruling_label, strip_accents, term_set
 from ..operators.parsing import citations, diff_counts, keep_in_force, provisions, truncate_at, word_diff
+from ..operators.temporal import resolve_references
 from ..session import table
 from .register import registry
 
@@ -93,3 +94,30 @@ def norm_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in ('das', 'dos', 'para', 'com', 'sem', 'por', 'tipo', 'cor', 'material', 'modelo', 'caracteristicas', 'adicionais', 'apresentacao', 'finalidade', 'uso')))) as n_terms from documents")
 def telling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(term_set("text")).cast("long").alias("n_terms"))
+
+
+@query("""
+with r as (select o_orderkey, case o_orderkey % 3 when 0 then 'lei-' || o_orderkey || '-2021' when 1 then 'norma-' || o_orderkey || '-2021' else 'lei-x' end as slug from orders),
+c as (select 'lei-' || o_orderkey || '-2021' as norm from orders where o_orderkey % 2 = 0)
+select o_orderkey, coalesce((select min(norm) from c where norm = slug), (select min(norm) from c where regexp_extract(norm, '[0-9]+-[0-9]{4}$') = nullif(regexp_extract(slug, '[0-9]+-[0-9]{4}$'), ''))) as norm from r
+""")
+def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by exact slug, else by number and year."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    named = lambda kind: F.concat(F.lit(kind), key.cast("string"), F.lit("-2021"))
+    refs = orders.select("o_orderkey", F.when(key % 3 == 0, named("lei-")).when(key % 3 == 1, named("norma-")).otherwise("lei-x").alias("slug"))
+    catalogue = orders.where(key % 2 == 0).select(named("lei-").alias("norm"))
+    return resolve_references(refs, catalogue, "slug", "norm").select("o_orderkey", "norm")
+
+
+@query("""
+select l_orderkey, l_linenumber, 'Acórdão ' || l_orderkey || '/' || year(l_shipdate) || '-TCU-Plenário' || case l_linenumber when 1 then ', sumário' when 2 then ', item 9.' || l_orderkey when 3 then ', voto §' || (l_orderkey % 90) when 4 then ', relatório' when 5 then ', enunciado 0' || l_linenumber else '' end as label
+from lineitem
+""")
+def ruling_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    section = F.when(n == 1, "sumario").when(n == 2, "acordao").when(n == 3, "voto").when(n == 4, "relatorio").when(n == 5, "enunciado").otherwise("outra")
+    mark = F.when(n == 1, "x").when(n == 2, F.concat(F.lit("item9."), key)).when(n == 3, F.concat(F.lit("p0"), (F.col("l_orderkey") % 90).cast("string"))).when(n == 4, "w06").when(n == 5, F.concat(F.lit("e0"), n.cast("string"))).otherwise("y")
+    label = ruling_label(F.col("l_orderkey"), F.year("l_shipdate"), F.lit("Plenário"), section, mark)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"))

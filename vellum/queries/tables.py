@@ -177,3 +177,17 @@ def parent_child_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
     joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
     return joined.select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("returned", F.lit(0)).alias("n_returned"))
+
+
+@query(f"""
+with {SAMPLES}, i as (select p_partkey from part where p_name like 'small%' order by p_partkey limit 1),
+u as (select l_returnflag, count(*) filter (relevant) as n, quantile_cont(price, 0.5) filter (relevant) as p50, min(l_shipdate) filter (relevant) as d0 from s where l_partkey = (select p_partkey from i) and l_shipdate >= timestamp '1994-01-01' and l_shipdate <= timestamp '1999-12-31' group by l_returnflag)
+select (select p_partkey from i) as l_partkey, l_returnflag as unit, n, floor(round(p50, 4) + 0.5)::bigint as median, strftime(d0, '{DAY}') as first_date from u where n > 0 order by n desc, l_returnflag limit 1
+""")
+def reference_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best catalogue match, and the statistics of its prices from the contract's signature to a given day."""
+    best = table(spark, sf_dir, "part").where("p_name like 'small%'").orderBy("p_partkey").limit(1).select(F.col("p_partkey").alias("l_partkey"))
+    during = (F.col("l_shipdate") >= F.lit("1994-01-01").cast("timestamp")) & (F.col("l_shipdate") <= F.lit("1999-12-31").cast("timestamp"))
+    found = samples(spark, sf_dir).where(during).join(F.broadcast(best), "l_partkey")
+    out = price_statistics(found, "l_partkey", "l_returnflag", "price", "l_shipdate", "relevant").where("n > 0")
+    return out.select("l_partkey", "unit", "n", "median", day("first_date").alias("first_date"))
