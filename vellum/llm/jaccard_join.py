@@ -4,10 +4,11 @@ Two documents link if their sets of five-word shingles reach a Jaccard similarit
 T = ceil(3/7 of the sum of both sizes) shingles. Shingles are put in one order: those on few documents by hash, then
 those on many (the long lists) by their number. After the manner of DivideSkip the inverted lists are divided:
 
-* Of each set only the first quarter or so goes into lists that are merged. The merge counts how often two sets meet;
-  sets that link must meet ``needed`` times there, which leaves out sets that share a passage but little else.
-* The remaining lists, the long ones first of all, are never merged: for pairs that are left, the rest of the one set is
-  probed by binary search in the other, and pairs with T common shingles are links.
+* For a pair of sets the T - k last shingles of each are the long lists. What comes before them is merged: sets that link
+  must meet there at least k times (k is MEETINGS, or less for sets of unlike size). This leaves out sets that share a
+  passage, whose shingles are on many documents and come last, but little else.
+* The long lists are never merged: for pairs that are left, the one set is probed by binary search in the other, and
+  pairs with T common shingles are links.
 
 Equal sets count once. To avoid all pairs of a group of near copies, lists are first compared with one hub each, and
 sets found linked are one component; then only sets of different components still have to be compared, and this is
@@ -35,7 +36,11 @@ LOCAL_MIN, LONG_LIST, MOST_LONG = 2, 16, 500_000
 BLOCK_SHINGLES = 4_000_000
 #: Sets compared with one copy of a hub; most rounds of hubs, and rows that may be left for each in a list without one more;
 #: most deliveries of texts that are broadcast.
-HUB_SETS, MOST_ROUNDS, LEFT_OVER, BROADCAST_DELIVERIES = 256, 6, 4, 400_000
+HUB_SETS, MOST_ROUNDS, LEFT_OVER, BROADCAST_DELIVERIES = 256, 4, 0.5, 400_000
+#: Times that linked sets of like size must meet in merged lists.
+MEETINGS = 4
+#: Share of the pairs compared that a round of hubs must have linked for another one.
+WORTHWHILE = 0.1
 
 
 def prefix_length(n):
@@ -113,27 +118,29 @@ def set_table(docs: DataFrame, long: tuple[np.ndarray, np.ndarray]) -> DataFrame
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """(token, set, n, hub, hub_n, len) of the merged lists that hold two sets or more; hub is the first set of a list.
+    """(token, set, n, pos, hub, hub_n, len) of the merged lists that hold two sets or more; hub is the first set of a list.
+
+    pos is the token's place in its set's order, from 0.
 
     Short lists are gathered by token, in order, and those of one set dropped on the way; long ones are only made
     distinct, by token and set, and get their hubs by a join, so that no long list has to fit a task.
     """
-    rows = sets.where("n > 0").select(F.explode("short").alias("token"), "set", "n")
-    schema = "token long, set long, n int, hub long, hub_n int, len int"
+    rows = sets.where("n > 0").select("set", "n", F.posexplode("short").alias("pos", "token")).select("token", "set", "n", "pos")
+    schema = "token long, set long, n int, pos int, hub long, hub_n int, len int"
 
     def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3  # rows of the last token so far: its list may go on in the next batch
+        held = [np.empty(0, np.int64)] * 4  # rows of the last token so far: its list may go on in the next batch
 
-        def shared(token: np.ndarray, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def shared(token: np.ndarray, own: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
-            token, own, n = token[fresh], own[fresh], n[fresh]
+            token, own, n, pos = token[fresh], own[fresh], n[fresh], pos[fresh]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(start, len(token)))
             first, count = np.repeat(start, length), np.repeat(length, length)
             keep = count > 1
-            columns = token[keep], own[keep], n[keep].astype(np.int32), own[first[keep]], n[first[keep]].astype(np.int32), count[keep].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "set", "n", "hub", "hub_n", "len"])
+            columns = token[keep], own[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32), own[first[keep]], n[first[keep]].astype(np.int32), count[keep].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "set", "n", "pos", "hub", "hub_n", "len"])
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
@@ -147,9 +154,9 @@ def shared_lists(sets: DataFrame) -> DataFrame:
             yield shared(*held)
 
     short = rows.repartition("token").sortWithinPartitions("token", "set").mapInArrow(keep_shared, schema)
-    late = written(sets.where("size(long) > 0").select(F.explode("long").alias("token"), "set", "n").distinct(), "long-list-rows")
+    late = written(sets.where("size(long) > 0").select("set", "n", F.size("short").alias("before"), F.posexplode("long").alias("at", "token")).select("token", "set", "n", (F.col("before") + F.col("at")).alias("pos")).distinct(), "long-list-rows")
     hubs = late.groupBy(F.col("token").alias("h_token")).agg(F.min(F.struct("set", "n")).alias("hub"), F.count("*").cast("int").alias("len")).where("len > 1")
-    late = late.join(small_side(hubs, MOST_LONG), F.col("token") == F.col("h_token")).select("token", "set", "n", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"), "len")
+    late = late.join(small_side(hubs, MOST_LONG), F.col("token") == F.col("h_token")).select("token", "set", "n", "pos", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"), "len")
     return short.unionByName(late)
 
 
@@ -160,6 +167,16 @@ def needed(n: str, m: str) -> F.Column:
     return F.expr(f"greatest(1, least({first(n)} - ({n} - {overlap}), {first(m)} - ({m} - {overlap})))")
 
 
+def meetings(n: str, m: str) -> F.Column:
+    """Times that linked sets of sizes ``n`` and ``m`` must meet at places that ``early`` allows."""
+    return F.least(F.lit(MEETINGS), needed(n, m))
+
+
+def early(pos: str, n: str, m: str) -> F.Column:
+    """Whether the shingle at ``pos`` of a set of ``n`` stands before its long lists for a partner of size ``m``."""
+    return 7 * (F.col(n) - F.col(pos) + meetings(n, m) - 1) >= 3 * (F.col(n) + F.col(m))
+
+
 def similar_sizes(n: str, m: str) -> F.Column:
     return F.expr(f"4 * least({n}, {m}) >= 3 * greatest({n}, {m})")
 
@@ -208,39 +225,57 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(set_table(docs, long_shingles(docs)), "shingle-sets")
     reps = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
     lists = written(shared_lists(sets), "shared-lists")
-    links, part = [], lists.where("set <> hub")
+    links, roots = [], None
+    part = lists.where("set <> hub").withColumn("root", F.col("set")).withColumn("c_root", F.col("hub"))
     for r in range(MOST_ROUNDS):
         # each set goes to the hub that it meets most often, if often enough
-        pairs = part.where(similar_sizes("n", "hub_n")).groupBy(F.col("set").alias("a"), F.col("hub").alias("b"), "n", "hub_n").agg(F.count("*").alias("met"), F.max("len").alias("len"))
-        pairs = pairs.where(F.col("met") >= needed("n", "hub_n")).groupBy("a").agg(F.max(F.struct("met", "b", "len")).alias("best")).select("a", "best.b", "best.len")
+        pairs = part.where(similar_sizes("n", "hub_n")).groupBy(F.col("set").alias("a"), F.col("hub").alias("b"), "n", "hub_n", "root", "c_root").agg(F.count("*").alias("met"), F.max("len").alias("len"))
+        pairs = pairs.where(F.col("met") >= needed("n", "hub_n")).groupBy("a").agg(F.max(F.struct("met", "b", "len", "root", "c_root")).alias("best")).select("a", "best.b", "best.len", "best.root", "best.c_root")
+        pairs = written(pairs, "hub-pairs")
         links.append(written(linked(pairs, reps, docs), "hub-links"))
-        # sets linked to one hub are known to be of one component: only the others of a list are still open
-        known = _all(links).groupBy(F.col("a").alias("k_set")).agg(F.min("b").alias("k_root"))
-        rooted = lists.join(written(known, "known-roots"), F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "len", F.coalesce("k_root", "set").alias("root"))
+        # sets linked to a hub join its component: only the others of a list are still open
+        roots = written(_joined_roots(roots, links[-1].select("a").join(pairs, "a")), "known-roots")
+        rooted = lists.join(roots, F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "pos", "len", F.coalesce("k_root", "set").alias("root"))
         rooted = written(rooted, "rooted-lists")
         by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("n_sets"), F.min(F.struct(F.xxhash64("set", F.lit(r)).alias("h"), F.col("set"), F.col("n"))).alias("hub"))
         chief = by_root.groupBy("token").agg(F.max(F.struct("n_sets", "root", "hub")).alias("c"), F.count("*").alias("n_roots")).where("n_roots > 1")
-        chief = written(chief.select(F.col("token").alias("c_token"), F.col("c.root").alias("c_root"), F.col("c.n_sets").alias("c_sets"), F.col("c.hub.set").alias("hub"), F.col("c.hub.n").alias("hub_n")), "chiefs")
+        chief = written(chief.select(F.col("token").alias("c_token"), F.col("c.root").alias("c_root"), F.col("c.hub.set").alias("hub"), F.col("c.hub.n").alias("hub_n")), "chiefs")
         rows = written(rooted.join(chief, F.col("token") == F.col("c_token")).drop("c_token"), "open-lists")
         part = rows.where("root <> c_root")
-        size = rows.agg(F.count("*"), F.sum(F.when(F.col("root") != F.col("c_root"), F.col("len").cast("long")))).first()
-        if (size[1] or 0) <= LEFT_OVER * size[0]:
+        # rows that the last step would make, about: those at places where sets of like size may meet first
+        first = (F.col("root") != F.col("c_root")) & early("pos", "n", "n")
+        size = rows.agg(F.count("*"), F.sum(F.when(first, F.col("len").cast("long")))).first()
+        if (size[1] or 0) <= LEFT_OVER * size[0] or links[-1].count() <= WORTHWHILE * pairs.count():
             break
     # what is left: every set outside its list's chief component against all of the list
-    mine = part.select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), "len")
-    other = rows.select(F.col("token").alias("o_token"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("c_root")).alias("chief"))
+    mine = part.select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "len")
+    other = rows.select(F.col("token").alias("o_token"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("c_root")).alias("chief"))
+    apart = (F.col("root_a") != F.col("root_b")) & (F.col("chief") | (F.col("a") < F.col("b")))
     met = (
-        mine.join(other, (F.col("token") == F.col("o_token")) & (F.col("root_a") != F.col("root_b")) & (F.col("chief") | (F.col("a") < F.col("b"))) & similar_sizes("n_a", "n_b"))
+        mine.join(other, (F.col("token") == F.col("o_token")) & apart & similar_sizes("n_a", "n_b") & early("pos_a", "n_a", "n_b") & early("pos_b", "n_b", "n_a"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"), "len")
         .groupBy("a", "b", "n_a", "n_b")
         .agg(F.count("*").alias("met"), F.max("len").alias("len"))
-        .where(F.col("met") >= needed("n_a", "n_b"))
-        .select("a", "b", "len")
+        .where(F.col("met") >= meetings("n_a", "n_b"))
     )
     links.append(written(linked(met, reps, docs), "last-links"))
     return sets.select("doc_id", "n", "set"), written(connected_components(_all(links)), "components")
 
 
+def _joined_roots(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """(k_set, k_root) after components ``root`` and ``c_root`` of ``joined`` have been found to be one.
+
+    Sets of one root are of one component; one component may still have several roots, which only leaves more to compare.
+    """
+    parents = joined.where("root <> c_root").groupBy(F.greatest("root", "c_root").alias("high")).agg(F.min(F.least("root", "c_root")).alias("low"))
+    parents = written(parents, "parents")
+    known = parents.select(F.col("high").alias("k_set"), F.col("high").alias("k_root"))
+    known = known if roots is None else known.unionByName(roots)
+    for _ in range(2):
+        known = known.join(parents, F.col("k_root") == F.col("high"), "left").select("k_set", F.coalesce("low", "k_root").alias("k_root"))
+    return known
+
+
 def _all(links: list[DataFrame]) -> DataFrame:
     every = links[0]
     for x in links[1:]:
