@@ -50,9 +50,9 @@ def in_force_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Norms cited in texts that name the number and year of each document's own row."""
+    """Norms cited in whole texts, to which a sentence is added that names the number and year of each document's own row."""
     docs = table(spark, sf_dir, "documents")
-    text = F.concat(F.substring("text", 1, 60), F.lit(". Conforme o art. "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(" da Lei nº 14."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("/2021 e do Decreto 99."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(", de 1990."))
+    text = F.concat("text", F.lit(". Conforme o art. "), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(" da Lei nº 14."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit("/2021 e do Decreto 99."), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(", de 1990."))
     return citations(docs.select("doc_id", text.alias("text")), "doc_id", "text")
 
 
