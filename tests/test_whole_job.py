@@ -1,5 +1,6 @@
 """Queries and operators on fixtures where a part of the job would go missing."""
 
+import random
 from collections import Counter
 
 from vellum import registry
@@ -34,3 +35,22 @@ def test_parts_are_read_before_and_behind_a_citation(spark):
     docs = spark.createDataFrame([(1, "Lei 14.133/2021, art. 5, § 2, inciso I, alínea a")], "d long, t string")
     r = citations(docs, "d", "t").first()
     assert (r.article, r.paragraph, r.item, r.letter) == (5, "2", "I", "a")
+
+
+def test_passages_against_brute_force(spark, tmp_path):
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice("ab bcd efg hij kl mnop q".split()) + str(r.randrange(3)) for _ in range(n))
+    items = [(i, say(r.choice([1, 2, 3, 4, 12, 40]))) for i in range(90)] + [(90, ""), (91, None), (None, "ab0"), (92, "x " * 60)]
+    docs = [(i, f"{say(5)}{r.choice([' ', ''])}{items[r.randrange(90)][1]}{r.choice([' ', 's'])}{say(9)}") for i in range(60)]
+    docs += [(60, "  " + items[70][1].replace(" ", "\n ")), (61, items[89][1]), (61, say(30)), (62, None), (None, "-" + items[70][1]), (63, "x " * 60), (63, "x " * 60)]
+    sf = stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    form = lambda t: " ".join(t.split())
+    want = Counter((d, i, "equal" if form(t) == form(o) else "contained") for d, t in docs for i, o in items if t and i is not None and o and form(o) in form(t))
+    got = Counter((x.doc_id, x.item_id, x.relation) for x in registry.QUERIES["audit_passages"](spark, sf).collect())
+    assert got == want and {k[2] for k in got} == {"equal", "contained"} and any(k[1] >= 50 for k in got) and got[63, 92, "equal"] == 2
+
+
+def test_a_whole_text_can_be_the_literal_quote(spark, tmp_path):
+    item = "word " * 30 + "end"
+    sf = stored(spark, tmp_path, documents=([(1, item), (2, item + " more")], "doc_id long, text string"), benchmark=([(1, item), (2, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.status) for r in registry.QUERIES["audit_literal_match"](spark, sf).collect()} == {(1, "APROVADA"), (2, "REJEITADA")}

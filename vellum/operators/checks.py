@@ -29,6 +29,46 @@ def audit_citations(citations: DataFrame, official: DataFrame, ref: str, quote:
     return met.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "APROVADA").otherwise("REJEITADA")).withColumn("official_sha256", F.sha2("_official", 256)).drop("_ref", "_official")
 
 
+#: Words of an item by which it is looked for in documents. Up to so many items are broadcast; more are joined by shuffling.
+ANCHOR, BROADCAST_ITEMS = 8, 300_000
+
+
+def word_hashes(text: str) -> Column:
+    return F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+
+
+def word_runs(words: str, n: int) -> str:
+    """SQL for the hashes of every ``n`` consecutive word hashes. ``words`` is a column: an expression would be taken anew for each run."""
+    args = ", ".join(f"{words}[i + {j}]" for j in range(n))
+    return f"if(size({words}) < {n}, cast(array() as array<bigint>), transform(sequence(0, size({words}) - {n}), i -> xxhash64({n}, {args})))"
+
+
+def passages(docs: DataFrame, items: DataFrame, doc: str, item: str, doc_text: str, item_text: str) -> DataFrame:
+    """(doc, item, relation, official_sha256) of every pair where the document's text is ``equal`` to the item's or is longer and has it (``contained``), both in audit form.
+
+    The first and last word of an item may be parts of longer words in a document, but those between are the same words
+    there: the first ``ANCHOR`` of them (all, if there are fewer) are met by hash, and what meets is compared in full.
+    Items of one or two words are compared with every document. Items without text or id are in none; repeated rows give
+    a pair each.
+    """
+    own = items.select(F.col(item).alias("_item"), audit_form(item_text).alias("_official")).where("_item is not null and _official <> ''").withColumn("_w", word_hashes("_official"))
+    whole = docs.select(F.col(doc).alias("_doc"), audit_form(doc_text).alias("_quote")).where("_quote <> ''")
+    met = whole.join(own.where("size(_w) <= 2").select("_item", "_official"), F.contains("_quote", "_official"))
+    own = own.where("size(_w) > 2").withColumn("_n", F.least(F.size("_w") - 2, F.lit(ANCHOR)))
+    anchor = " ".join(f"when {n} then xxhash64({n}, {', '.join(f'_w[{j}]' for j in range(1, n + 1))})" for n in range(1, ANCHOR + 1))
+    own = own.withColumn("_anchor", F.expr(f"case _n {anchor} end")).drop("_w")
+    worded = whole.select("_doc", F.xxhash64("_quote").alias("_key"), word_hashes("_quote").alias("_w"))
+    runs = [worded.select("_doc", "_key", F.lit(n).alias("_run"), F.explode(F.expr(word_runs("_w", n))).alias("_hash")) for n in sorted(r["_n"] for r in own.select("_n").distinct().collect())]
+    anchors = own.select("_n", "_anchor").distinct()
+    anchors = F.broadcast(anchors) if anchors.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS else anchors
+    for run in runs:
+        hit = run.join(anchors, (F.col("_hash") == F.col("_anchor")) & (F.col("_run") == F.col("_n"))).select(F.col("_doc").alias("_d"), F.col("_key").alias("_k"), "_n", "_anchor").distinct()
+        text = hit.join(whole.withColumn("_key", F.xxhash64("_quote")), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).select("_doc", "_quote", "_n", "_anchor")
+        met = met.unionByName(text.join(own, ["_n", "_anchor"]).where(F.contains("_quote", "_official")).select("_doc", "_quote", "_item", "_official"))
+    relation = F.when(F.col("_quote") == F.col("_official"), "equal").otherwise("contained")
+    return met.select(F.col("_doc").alias(doc), F.col("_item").alias(item), relation.alias("relation"), F.sha2("_official", 256).alias("official_sha256"))
+
+
 def audited_confidence(audits: DataFrame, group: str, confidence: str) -> DataFrame:
     """Confidence of each group: 0.5 at most if any citation was rejected, within 0 and 1; retry if any was."""
     by = audits.groupBy(group).agg(F.bool_or(F.col("status") == "REJEITADA").alias("retry"), F.max(confidence).alias("_c"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, months_inclusive
 from ..functions.text import audit_form, estimated_tokens, preview, slug
-from ..operators.checks import applies_to, audit_citations, audited_confidence, conversation_state, cost_rollup, grouped_names, missing_items, violations
+from ..operators.checks import applies_to, audit_citations, audited_confidence, conversation_state, cost_rollup, grouped_names, missing_items, passages, violations
 from ..operators.fiscal import burden_by_year as by_year
 from ..operators.fiscal import burden_differential as differential
 from ..operators.fiscal import verdict
@@ -89,15 +89,25 @@ select doc_id, case when official is not null and trim(regexp_replace(quote, '\s
 from c left join b using (item_id)
 """)
 def audit_literal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes ascribed to benchmark items: those of every third document are literal, up to white space."""
+    """Quotes ascribed to benchmark items: those of every third document are literal, up to white space, the others whole texts. ``audit_passages`` holds all documents against all items."""
     items = table(spark, sf_dir, "benchmark")
     official = items.select("item_id", F.col("text").alias("official"))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("item_id"), "text")
     quoted = docs.join(items.select("item_id", audit_form("text").alias("exact")), "item_id", "left")
-    quotes = quoted.select("doc_id", "item_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "exact", F.lit("\n"))).otherwise(F.substring("text", 1, 80)).alias("quote"))
+    quotes = quoted.select("doc_id", "item_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "exact", F.lit("\n"))).otherwise(F.col("text")).alias("quote"))
     return audit_citations(quotes, official, "item_id", "quote", "official").select("doc_id", "status", "reason", "official_sha256")
 
 
+@query(r"""
+with b as (select item_id, trim(regexp_replace(regexp_replace(text, '[\x{FEFF}\x{200B}-\x{200D}]', '', 'g'), '\s+', ' ', 'g')) as official from benchmark),
+d as (select doc_id, trim(regexp_replace(regexp_replace(text, '[\x{FEFF}\x{200B}-\x{200D}]', '', 'g'), '\s+', ' ', 'g')) as quote from documents)
+select doc_id, item_id, case when quote = official then 'equal' else 'contained' end as relation, sha256(official) as official_sha256 from d join b on contains(quote, official) where item_id is not null and official <> ''
+""")
+def audit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose whole text equals a benchmark item or contains it, at any number of items."""
+    return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", "text")
+
+
 @query("""
 with a as (select doc_id % 50 as item_id, doc_id % 3 <> 0 or doc_id % 50 >= 40 as bad, (doc_id % 12) / 10.0::double as c from documents)
 select item_id, bool_or(bad) as retry, case when bool_or(bad) then least(least(greatest(max(c), 0), 1), 0.5) else least(greatest(max(c), 0), 1) end as confidence from a group by item_id
