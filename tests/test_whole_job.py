@@ -3,8 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+
 from vellum import registry
 from vellum.operators.parsing import citations, citations_of
+from vellum.operators.vector import nearest_to_each
 
 
 def stored(spark, path, **tables):
@@ -54,3 +58,19 @@ def test_a_whole_text_can_be_the_literal_quote(spark, tmp_path):
     item = "word " * 30 + "end"
     sf = stored(spark, tmp_path, documents=([(1, item), (2, item + " more")], "doc_id long, text string"), benchmark=([(1, item), (2, item)], "item_id long, text string"))
     assert {(r.doc_id, r.status) for r in registry.QUERIES["audit_literal_match"](spark, sf).collect()} == {(1, "APROVADA"), (2, "REJEITADA")}
+
+
+def test_nearest_to_any_number_of_queries(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(12_000, 2))
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(12_000), "v": v.tolist()}))
+    few = rows.where("id < 40")
+    got = {(x.query, x.id): (x.score, x["rank"]) for x in nearest_to_each(few, rows, "id", "v", 3).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(unit @ unit[:40].T, 6)
+    score[np.arange(40), np.arange(40)] = -2
+    order = np.lexsort((np.broadcast_to(np.arange(40), score.shape), -score), axis=1)[:, :3]
+    assert got == {(q, int(i)): (score[q, i], n + 1) for q in range(12_000) for n, i in enumerate(order[q])}
+    all_at_once = sorted(map(tuple, nearest_to_each(rows, few, "id", "v", 3).collect()))
+    assert sorted(map(tuple, nearest_to_each(rows, few, "id", "v", 3, 4, 7).collect())) == all_at_once and len(all_at_once) == 120
+    assert nearest_to_each(rows, rows.limit(0), "id", "v", 3).count() == 0

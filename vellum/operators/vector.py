@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,39 +32,59 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:
+#: Queries that are broadcast at a time (about 5 MB at 64 numbers each).
+QUERY_BLOCK = 10_000
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 256, at_once: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of each row of ``queries`` (same columns), itself left out: (query, key, score, rank).
 
-    Queries are numbered into blocks of ``block``; each task holds one block at a time as a matrix and keeps the best
-    ``k`` of its own rows, so that what is shuffled is k rows for each query and task, never all pairs.
+    Any number of queries is answered: they pass through the driver, ``at_once`` of them are broadcast as one matrix, and
+    the rows are read once for each such part. A task scores ``block`` queries at a time and keeps the best ``k`` of all
+    its rows, so that what is shuffled is k rows for each query and task, never all pairs.
     """
-    numbered = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).collect() if queries.count() <= 10_000 else None
-    if numbered is None:
-        raise ValueError("state at most 10,000 queries at a time")
-    ids = np.array([r.q for r in numbered])
-    matrix = np.array([r.v for r in numbered], np.float64)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    kind = dict(vectors.dtypes)[key]
+    schema = f"query {kind}, {key} {kind}, score double"
+    rows = vectors.select(key, vector)
+    parts = []
+    stream = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).toLocalIterator()
+    while some := list(islice(stream, at_once)):
+        matrix = np.array([r.v for r in some], np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        given = vectors.sparkSession.sparkContext.broadcast((np.array([r.q for r in some]), matrix))
+        parts.append(rows.mapInArrow(best_of_rows(given, key, k, block), schema))
+    while len(parts) > 1:  # by pairs, so that the plan stays shallow
+        parts = [a.union(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    best = parts[0] if parts else vectors.sparkSession.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def best_of_rows(given: Broadcast, key: str, k: int, block: int):
+    """The function for mapInArrow that finds the best ``k`` of a task's rows for each of the broadcast queries (ids, unit vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = given.value
+        starts = range(0, len(ids), block)
+        kept = {at: (np.empty((len(ids[at : at + block]), 0)), np.empty((len(ids[at : at + block]), 0), ids.dtype)) for at in starts}
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1)
             if not len(own):
                 continue
+            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            for at in range(0, len(ids), block):
+            for at in starts:
                 s = np.round(matrix[at : at + block] @ v.T, 6)
                 s[ids[at : at + block][:, None] == own[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                q = np.repeat(ids[at : at + block], order.shape[1])
-                score = np.take_along_axis(s, order, axis=1).ravel()
-                real = score > -2
-                yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(own[order.ravel()][real]), pa.array(score[real])], names=["query", key, "score"])
-
-    kind = dict(vectors.dtypes)[key]
-    best = vectors.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+                score, near = np.hstack([kept[at][0], s]), np.hstack([kept[at][1], np.broadcast_to(own, s.shape)])
+                order = np.lexsort((near, -score), axis=1)[:, :k]
+                kept[at] = np.take_along_axis(score, order, axis=1), np.take_along_axis(near, order, axis=1)
+        for at, (score, near) in kept.items():
+            real = score > -2
+            q = np.broadcast_to(ids[at : at + block][:, None], score.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(near[real]), pa.array(score[real])], names=["query", key, "score"])
+
+    return run
 
 
 def valid_dimension(vectors: DataFrame, vector: str, size: int) -> DataFrame:
