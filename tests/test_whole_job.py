@@ -8,6 +8,7 @@ import pandas as pd
 
 from vellum import registry
 from vellum.operators.parsing import citations, citations_of
+from vellum.operators.sequence import packed_chunks
 from vellum.operators.vector import nearest_to_each
 
 
@@ -74,3 +75,18 @@ def test_nearest_to_any_number_of_queries(spark):
     all_at_once = sorted(map(tuple, nearest_to_each(rows, few, "id", "v", 3).collect()))
     assert sorted(map(tuple, nearest_to_each(rows, few, "id", "v", 3, 4, 7).collect())) == all_at_once and len(all_at_once) == 120
     assert nearest_to_each(rows, rows.limit(0), "id", "v", 3).count() == 0
+
+
+def test_chunks_of_a_long_document_pass_as_a_stream(spark):
+    pages = spark.range(30_000).selectExpr("if(id % 3 = 0, 1L, id % 7) d", "id p", "concat('a', id, '\n\n', repeat('b', int(id % 50)))  t")
+    chunks = packed_chunks(pages, "d", "p", "t", 200)
+    want = {}
+    for d, p, t in sorted(map(tuple, pages.collect())):
+        for b in filter(None, t.split("\n\n")):
+            own = want.setdefault(d, [])
+            if not own or sum(len(x) + 2 for _, x in own[-1]) + len(b) + 2 > 200:
+                own.append([])
+            own[-1].append((p, b))
+    got = sorted(map(tuple, chunks.collect()))
+    assert got == [(d, i, "\n\n".join(b for _, b in c), c[0][0], c[-1][0]) for d in sorted(want) for i, c in enumerate(want[d])]
+    assert "collect_list" not in chunks._jdf.queryExecution().toString()

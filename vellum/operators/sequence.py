@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sequence_gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
@@ -70,22 +74,45 @@ def packed_chunks(pages: DataFrame, document: str, page: str, text: str, most: i
     """Packs the blocks of each document's pages, in order, into chunks of up to ``most`` characters: (document, chunk, text, first_page, last_page).
 
     A block (trimmed, not empty) is never cut: one longer than ``most`` makes a chunk of its own. Each block counts two
-    characters more for the blank line that joins it. The fold runs over one document's blocks, inside its row.
+    characters more for the blank line that joins it. Pages are sorted by document, page and text, in partitions by
+    document; the fold passes over them and holds one chunk only, so a document may be of any length.
     """
-    blocks = F.filter(F.transform(F.split(text, separator), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
-    per_page = pages.select(document, page, F.transform(blocks, lambda b: F.struct(F.length(b).alias("size"), b.alias("text"))).alias("blocks"))
-    whole = per_page.groupBy(document).agg(F.sort_array(F.collect_list(F.struct(page, "blocks"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda x: F.transform(x["blocks"], lambda b: F.struct(b["text"].alias("text"), b["size"].alias("size"), x[page].cast("long").alias("page")))))
-    numbered = whole.select(document, flat.alias("b")).select(
-        document,
-        "b",
-        F.expr(f"""aggregate(b, struct(0 as chunk, 0 as used, cast(array() as array<int>) as chunks), (a, x) ->
-            if(a.used > 0 and a.used + x.size + 2 > {most},
-               struct(a.chunk + 1 as chunk, x.size + 2 as used, array_append(a.chunks, a.chunk + 1) as chunks),
-               struct(a.chunk as chunk, a.used + x.size + 2 as used, array_append(a.chunks, a.chunk) as chunks)), a -> a.chunks)""").alias("chunks"),
-    )
-    return (
-        numbered.select(document, F.posexplode(F.arrays_zip("b", "chunks")).alias("at", "x"))
-        .groupBy(document, F.col("x.chunks").cast("long").alias("chunk"))
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.col("x.b.text").alias("t")))), lambda s: s["t"]), "\n\n").alias("text"), F.min("x.b.page").alias("first_page"), F.max("x.b.page").alias("last_page"))
-    )
+    kind = pages.schema[document].dataType
+    kept = pages.select(F.col(document).alias("d"), F.col(page).cast("long").alias("p"), F.col(text).alias("t"), F.col(page).alias("o"))
+    blocks = kept.select("d", "o", "p", F.posexplode(F.filter(F.transform(F.split("t", separator), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")).alias("i", "b"), "t")
+    sizes = blocks.select("d", "o", "p", F.xxhash64("t").alias("h"), "i", "b", F.length("b").alias("n"))
+    dealt = sizes.repartition("d").sortWithinPartitions("d", "o", "h", "i").select("d", "p", "b", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunk, used, held, first, last = None, 0, 0, [], None, None
+        done: list[tuple] = []
+        waiting = 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            for d, p, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (d != own or used + n + 2 > most):
+                    done.append((own, chunk, "\n\n".join(held), first, last))
+                    waiting += used
+                    chunk, used, held = chunk + 1, 0, []
+                if d != own:
+                    own, chunk, first, last = d, 0, None, None
+                if not held:
+                    first = last = p
+                held.append(b)
+                used += n + 2
+                last = p if p is not None else last
+                first = p if first is None else first
+                if waiting > 8_000_000 or len(done) >= 10_000:
+                    yield batch_of(done)
+                    done, waiting = [], 0
+        if held:
+            done.append((own, chunk, "\n\n".join(held), first, last))
+        if done:
+            yield batch_of(done)
+
+    names = [document, "chunk", "text", "first_page", "last_page"]
+    return dealt.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, (kind, T.LongType(), T.StringType(), T.LongType(), T.LongType()), strict=True)]))
