@@ -43,3 +43,9 @@ def test_parts_of_a_long_conversation(spark):
 
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_snapshots_that_end_inside_a_tie(spark, got):
+    rows = [x for i in range(0, 40, 2) for x in [(i, 1, "user", f"a{i}"), (i + 1, 1, "user", f"a{i}"), (i + 1, 1, "user", f"b{i}")]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert got(format_chats(df), "conv_id", "n_turns", "chat") == brute(rows) and len(brute(rows)) == 20

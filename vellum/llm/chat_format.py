@@ -25,11 +25,11 @@ LANES = ("a", "b", "c", "d")
 def turn_prefixes(turns: DataFrame, part_turns: int = PART) -> DataFrame:
     """(conv, part, turn, pos, prefix, last) of every turn: its place from 1, the hash up to it, whether it is the last.
 
-    ``turns`` has conv, turn, role, text. Equal turn numbers are ordered by role and text hash.
+    ``turns`` has conv, turn, role, text. Equal turn numbers are ordered by role, then text, as they are rendered.
     """
-    hashed = turns.select("conv", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part"), "turn", "role", F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("x"), F.xxhash64(F.lit(7), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("y"))
-    inside = Window.partitionBy("conv", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "x", "y")
-    numbered = hashed.withColumn("at", F.row_number().over(inside))
+    hashed = turns.select("conv", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long").alias("part"), "turn", "role", "text", F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("x"), F.xxhash64(F.lit(7), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("y"))
+    inside = Window.partitionBy("conv", "part").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    numbered = hashed.withColumn("at", F.row_number().over(inside)).drop("role", "text")
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = hashed.groupBy("conv", "part").agg(F.count("*").alias("n"))
     before = counts.select(F.col("conv").alias("c_conv"), F.col("part").alias("c_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("conv")).alias("turns"))
