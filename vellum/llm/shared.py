@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) a temporary folder is made and kept in the session.
+    Only on a local master (tests on one machine) a temporary folder is made where the session names none, and kept in
+    the session; elsewhere a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.vellum.local.shared", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-shared-")
         spark.conf.set("spark.vellum.local.shared", found)
     return found.rstrip("/")
@@ -28,13 +36,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
+def _open_scopes() -> list[list[str]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``new_path`` named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made inside; ``settled`` ones pass to the scope around it."""
+    made: list[str] = []
+    _open_scopes().append(made)
+    try:
+        yield
+    finally:
+        _open_scopes().remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def _stored(df: DataFrame, name: str, scopes: list[list[str]]) -> DataFrame:
     path = new_path(df.sparkSession, name)
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
+    return _stored(df, name, _open_scopes())
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, for the result of a ``scratch`` scope: the table outlives the scope."""
+    return _stored(df, name, _open_scopes()[:-1])
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``max_rows`` rows; beyond that unchanged, so that joins shuffle.
 
@@ -43,6 +87,16 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` column names, each with underscores put behind it until no column of ``df`` has it."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def crc_bucket(doc_id: str, buckets: int):
     """crc32 of the id as text, modulo ``buckets``: which fold a row belongs to."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(buckets))
