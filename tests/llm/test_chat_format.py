@@ -34,13 +34,33 @@ def test_against_brute_force(spark, got):
     assert got(format_chats(df), "conv_id", "n_turns", "chat") == brute(rows)
 
 
-def test_parts_of_a_long_conversation(spark):
+def test_parts_of_long_conversations(spark):
     rows = [(1, t, "user", f"t{t}") for t in range(50)] + [(2, t, "user", f"t{t}") for t in range(30)] + [(3, t, "user", f"t{t}") for t in range(49)] + [(3, 49, "user", "other")]
     out = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=8).orderBy("conv_id", "part").collect()
-    assert {r.conv_id for r in out} == {1, 3} and all(r.n_turns == 50 for r in out)
+    assert {r.conv_id for r in out} == {1, 3} and all(r.n_turns == 50 for r in out) and [r.part for r in out] == [*range(7)] * 2
     assert "".join(r.chat for r in out if r.conv_id == 1) == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(50))
 
 
+def test_long_and_tied_conversations_against_sql_and_brute_force(spark, tmp_path):
+    import duckdb
+
+    from vellum.llm.queries import ORACLES, op10_chat_format
+
+    rows = [(1, t, "user", f"t{t}") for t in range(3000)] + [(2, t, "user", f"t{t}") for t in range(2999)]  # 2 is a snapshot of 1
+    rows += [(3, 7, "user", "same")] * 2500 + [(4, 7, "user", "same")] * 2499 + [(5, 7, "user", "same")] * 2499 + [(5, 7, "user", "sane")]
+    rows += [(6, None, None, f"n{t:04}") for t in range(1500)] + [(7, 5000, "assistant", "late")]
+    rows += [x for i in range(10, 50, 2) for x in [(i, 1, "user", f"a{i}"), (i + 1, 1, "user", f"a{i}"), (i + 1, 1, "user", f"b{i}")]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = op10_chat_format(spark, str(tmp_path)).collect()
+    duckdb.sql(f"create or replace view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duckdb.sql(ORACLES["op10_chat_format"])
+    assert sorted(tuple(r) for r in out) == sorted(want.project(", ".join(out[0].__fields__)).fetchall())
+    chats = {}
+    for r in format_chats(spark.read.parquet(f"{tmp_path}/conversations.parquet")).orderBy("conv_id", "part").collect():
+        chats[r.conv_id] = r.n_turns, chats.get(r.conv_id, (0, ""))[1] + r.chat
+    assert sorted((c, n, x) for c, (n, x) in chats.items()) == sorted(brute(rows))
+
+
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 

@@ -117,10 +117,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with t as (
-    select conv_id, turn, '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as said,
-        row_number() over (partition by conv_id order by turn, role, text) as pos, count(*) over (partition by conv_id) as n_turns
-    from conversations where conv_id is not null
+with r as (
+    select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), t as (
+    select conv_id, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as said,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, count(*) over (partition by conv_id) as n_turns
+    from r
 ), p as (
     select conv_id, pos, n_turns, sha256(string_agg(said, '' order by pos) over (partition by conv_id order by pos)) as prefix from t
 ), e as (
@@ -128,8 +130,8 @@ with t as (
 ), m as (
     select conv_id from e where prefix not in (select prefix from p where pos < n_turns)
 )
-select conv_id, cast(0 as bigint) as part, any_value(n_turns) as n_turns, length(string_agg(said, '')) as n_chars, sha256(string_agg(said, '' order by pos)) as chat_sha256
-from t where conv_id in (select conv_id from m) group by conv_id
+select conv_id, cast((pos - 1) // 1024 as bigint) as part, any_value(n_turns) as n_turns, length(string_agg(said, '')) as n_chars, sha256(string_agg(said, '' order by pos)) as chat_sha256
+from t where conv_id in (select conv_id from m) group by conv_id, (pos - 1) // 1024
 """)
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = format_chats(table(spark, sf_dir, "conversations"))
