@@ -55,7 +55,7 @@ def cases():
 def test_against_brute_force(spark, got, monkeypatch, broadcast):
     monkeypatch.setattr(module, "BROADCAST_WINDOWS", broadcast)
     docs, items = cases()
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as items", "2 as hash", "3 as w", "4 as d_id", "5 as c_key")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as items", "2 as hash", "3 as w", "4 as d_id", "5 as c_key", "6 as _dc_id", "7 as own_key", "8 as aside_0")
     b = spark.createDataFrame(items, "item_id long, text string")
     assert got(decontaminate(d, b), *COLUMNS) == brute(docs, items)
 
