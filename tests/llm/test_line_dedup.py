@@ -29,11 +29,11 @@ def test_against_brute_force(spark, got):
     lines = [f"line {i}" for i in range(40)] + ["", " ", "\t"]
     rows = [(i, "\n".join(r.choice(lines[: r.choice([10, 43])]) for _ in range(r.randrange(12))), r.choice(["a", "b", "c", "d", "e", None])) for i in range(150)]
     rows += [(200, None, "a"), (201, "", "b"), (202, "line 1\nline 1\n\n" * 200, "c"), (3, rows[3][1], rows[3][2]), (None, "line 1\nline 2", "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line", "2 as gone", "3 as n_removed", "4 as at")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line", "2 as gone", "3 as n_removed", "4 as at", "5 as _ld_id", "6 as own_key", "7 as aside_0", "8 as l_id")
     for least in (1, 3, 5, 6):
         out = dedup_lines(df, min_sites=least)
         assert got(out, "doc_id", "text", "n_lines", "n_removed") == brute(rows, least)
-        assert {"line", "at"} <= set(out.columns)
+        assert all((x.line, x.gone, x.at, x._ld_id, x.own_key, x.aside_0, x.l_id) == (1, 2, 4, 5, 6, 7, 8) for x in out.collect())
 
 
 def test_many_sites_beyond_the_sketch_error(spark, got):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import aside, scratch, settled, written
 
 #: Sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -69,23 +69,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the first place. Repeated rows (same id, same text) are treated alike. A text may become empty: the row stays.
     An empty table gives no rows. Columns named n_lines or n_removed are replaced.
     """
-    kept = docs.drop(*(x for x in ("n_lines", "n_removed") if x not in (id_col, text_col)))
-    lines = exploded_lines(docs, id_col, text_col, site_col)
-    boiler = written(boilerplate_lines(lines, min_sites).select(F.col("line").alias("b_line"), "first"), "boilerplate")
+    made = ("n_lines", "n_removed")
+    kept, back = aside(docs.drop(*(x for x in made if x not in (id_col, text_col, site_col))), own_id=id_col, own_text=text_col, own_site=site_col)
+    lines = exploded_lines(kept, "own_id", "own_text", "own_site")
+    with scratch(docs.sparkSession):
+        boiler = settled(boilerplate_lines(lines, min_sites).select(F.col("line").alias("b_line"), "first"), "boilerplate")
     gone = (
         lines.join(boiler, F.col("line") == F.col("b_line"))
         .where(~(F.col("l_id").eqNullSafe(F.col("first.l_id")) & (F.col("at") == F.col("first.at"))))
-        .groupBy(F.col("l_id").alias("_ld_id"), F.col("l_key").alias("_ld_key"))
-        .agg(F.collect_set("at").alias("_ld_gone"))
+        .groupBy("l_id", "l_key")
+        .agg(F.collect_set("at").alias("gone"))
     )
-    text = F.col(text_col)
+    text = F.col("own_text")
     lined = F.split(text, "\n")
+    left = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lined) - 1), F.col("gone"))), lambda i: F.get(lined, i)), "\n")
     return (
-        kept.withColumn("_ld_k_key", F.xxhash64(text))
-        .join(gone, F.col(id_col).eqNullSafe(F.col("_ld_id")) & F.col("_ld_k_key").eqNullSafe(F.col("_ld_key")), "left")
-        .withColumn("n_lines", F.coalesce(F.size(F.filter(lined, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_ld_gone").isNull(), F.lit(0)).otherwise(F.size("_ld_gone")).cast("long"))
-        .withColumn(text_col, F.when(F.col("_ld_gone").isNull(), text).otherwise(F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lined) - 1), F.col("_ld_gone"))), lambda i: F.get(lined, i)), "\n")))
-        .drop("_ld_k_key", "_ld_id", "_ld_key", "_ld_gone")
+        kept.withColumn("own_key", F.xxhash64(text))
+        .join(gone, F.col("own_id").eqNullSafe(F.col("l_id")) & F.col("own_key").eqNullSafe(F.col("l_key")), "left")
+        .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(lined, lambda x: x.rlike(WORD)))).cast("long"))
+        .withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
+        .withColumn("own_text", F.when(F.col("gone").isNull(), text).otherwise(left))
+        .select(*back, "n_lines", "n_removed")
     )
