@@ -44,3 +44,32 @@ def test_target_words_score_higher_and_rules_hold(spark):
     assert all(r.llr == 0 for r in out if not r.text)
     assert {r.llr for r in quality_rules(df, trusted.limit(0)).collect()} == {0.0}
     assert quality_rules(df.limit(0), trusted).count() == 0
+
+
+def test_ratios_and_verdicts_against_brute_force(spark):
+    import math
+
+    import regex
+
+    from vellum.llm.quality_rules import BUCKETS
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["alpha", "beta,", "gamma!", "dé", "x1", "--", "omega"]) + str(r.randrange(4)) for _ in range(r.randrange(1, 60))) for _ in range(60)] + [None, "", "!!", "one"]
+    rows = [*enumerate(texts), (3, "another text of one id that is long enough to be kept, if its words are"), (4, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as _q_text", "'b' as _q_tokens", "'c' as own_id", "'d' as single", "'e' as llr", "'f' as aside_0")
+    trusted = set(range(0, 60, 3))
+    out = quality_rules(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), threshold=-0.05).collect()
+    split = lambda t: regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", t or "")
+    grams = {(w,) for _, t in rows for w in split(t)} | {p for _, t in rows for w in [split(t)] for p in zip(w, [*w[1:], None], strict=False)}
+    asked = spark.createDataFrame([(g[0], g[1] if len(g) > 1 else None, len(g)) for g in grams], "a string, b string, n int")
+    bucket = {(x.a, x.b)[: x.n]: x.h for x in asked.selectExpr("*", f"if(n = 1, xxhash64(a), xxhash64(1, a, b)) & {BUCKETS - 1} as h").collect()}
+    of = lambda t: [bucket[g] for w in [split(t)] for p in zip(w, [*w[1:], None], strict=False) for g in ((p[0],), p)]
+    n, t = Counter(b for _, x in rows for b in of(x)), Counter(b for i, x in rows if i in trusted for b in of(x))
+    ratio = {b: math.log((t[b] + 0.5) / (t.total() + BUCKETS / 2)) - math.log((n[b] + 0.5) / (n.total() + BUCKETS / 2)) for b in n}
+    want = []
+    for i, x in rows:
+        llr = sum(ratio[b] for b in of(x)) / max(1, len(of(x)))
+        words, _, _, _, repeat = brute(x)
+        want.append((i, x or "", round(llr, 5), not (words < 10 or 100 * repeat > 20 * words) and llr >= -0.05))
+    assert sorted((y.doc_id, y.text or "", round(y.llr, 5), y.kept) for y in out) == sorted(want)
+    assert {y.kept for y in out} == {True, False} and all((y._q_text, y._q_tokens, y.own_id, y.single, y.aside_0) == tuple("abcdf") for y in out)
