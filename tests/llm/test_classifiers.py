@@ -73,3 +73,98 @@ def test_labels_of_one_kind_nulls_and_empty(spark):
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert classify_held_out(docs.limit(0), labels).count() == 0
     assert classify_held_out(docs, labels.limit(0)).count() == 4
+
+
+def test_scores_against_brute_force(spark):
+    """The network's forward pass written out, byte by byte, over whole texts."""
+    from math import exp
+
+    from vellum.llm.quality_classifier import PAD, STRIDE, score_quality
+
+    r = random.Random(5)
+    texts = [None, "", "a", "é" * 9, "good words " * 5, *("".join(chr(r.randrange(32, 400)) for _ in range(r.randrange(1, 90))) for _ in range(12))]
+    net = train([(t or "").encode() for t in texts], [i % 2 for i in range(len(texts))])
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in score_quality(rows, net).collect():
+        data = list((row.text or "").encode())
+        top = [float("-inf")] * len(net.bias)
+        for at in range(0, max(1, len(data) - WIDTH + STRIDE), STRIDE):
+            chunk = (data[at : at + WIDTH] + [PAD] * WIDTH)[:WIDTH]
+            for f in range(len(top)):
+                own = net.bias[f] + sum(float(net.embed[b][e]) * float(net.filters[j * 8 + e][f]) for j, b in enumerate(chunk) for e in range(8))
+                top[f] = max(top[f], own)
+        total = net.offset[0] + sum(max(0, x) * w for x, w in zip(top, net.weight, strict=True))
+        assert abs(row.score - 1 / (1 + exp(-total))) < 1e-4 and row.predicted == int(row.score >= 0.3)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    from vellum.llm.quality_classifier import SAMPLE_BYTES, drawn_chunks
+
+    long = "plain words of a page " * 20_000
+    data, in_chunks = drawn_chunks(long.encode())
+    assert in_chunks and len(data) == SAMPLE_BYTES and drawn_chunks(b"short") == (b"short", False)
+    docs = spark.createDataFrame([(i, long + ("" if i % 2 else "&&&&" * 40_000)) for i in range(1, 41)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    out = classify_held_out(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
+
+
+def brute_mixture(languages, p, x, penalty):
+    """Greedy sets of languages and EM over single trigrams, without arrays."""
+    from math import log
+
+    n = len(x)
+    alone = [sum(log(q[b]) for b in x) for q in p]
+    chosen = [max(range(len(p)), key=lambda i: alone[i])]
+    share, best = {chosen[0]: 1.0}, alone[chosen[0]]
+    while len(chosen) < len(languages):
+        mix = [sum(share[i] * p[i][b] for i in chosen) for b in x]
+        slope = {i: sum(p[i][b] / m for b, m in zip(x, mix, strict=True)) / n for i in range(len(p)) if i not in chosen}
+        more = max(slope, key=slope.get)
+        if slope[more] <= 1:
+            break
+        pi = {**{i: 0.8 * s for i, s in share.items()}, more: 0.2}
+        while True:
+            gained = dict.fromkeys(pi, 0.0)
+            for b in x:
+                total = sum(pi[i] * p[i][b] for i in pi)
+                for i in pi:
+                    gained[i] += pi[i] * p[i][b] / total / n
+            moved, pi = max(abs(gained[i] - pi[i]) for i in pi), gained
+            if moved <= 1e-6:
+                break
+        reached = sum(log(sum(pi[i] * p[i][b] for i in pi)) for b in x)
+        if reached - best <= penalty * log(n + 1):
+            break
+        chosen, share, best = [*chosen, more], pi, reached
+    return {languages[i]: s for i, s in share.items()}
+
+
+def test_mixtures_of_any_number_of_languages_against_brute_force():
+    from vellum.llm.language_id import BUCKETS, PENALTY, SMOOTHING
+
+    r = random.Random(2)
+    names = [f"l{i}" for i in range(7)]
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    letters = {x: r.sample(alphabet, 7) for x in names}
+    say = lambda x, n: " ".join("".join(r.choice(letters[x]) for _ in range(6)) for _ in range(n))
+    counts = np.array([np.bincount(trigrams(say(x, 3000)), minlength=BUCKETS) for x in names])
+    model = Mixture(names, counts)
+    for mixed in (names[:1], names[:2], names[1:4], names[:6], names):
+        text = " ".join(say(x, 150) for x in mixed)
+        lang, score, found = model.infer(text)
+        want = brute_mixture(names, ((counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)).tolist(), trigrams(text).tolist(), PENALTY)
+        assert dict(found).keys() == want.keys() == set(mixed)
+        assert all(abs(s - want[x]) < 0.01 for x, s in found) and score == found[0][1] == max(s for _, s in found) and lang == found[0][0]
+
+
+def test_rare_languages_are_learned_and_nothing_learned_is_unknown(spark, monkeypatch):
+    from vellum.llm import language_id
+
+    monkeypatch.setattr(language_id, "LEAST_DOCS", 5)
+    rows = [(i, "common words in the usual tongue", "en") for i in range(3000)] + [(9000 + i, "zyx qwv zzyx vwq", "rare") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn_languages(df, sample_docs=20).languages == ["en", "rare"]
+    out = identify_held_out(df.withColumn("lang", df.lang.substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') as lang")).select("lang_pred", "score").distinct().collect()
+    assert [tuple(r) for r in out] == [("und", 0.0)]
+    assert identify_held_out(df.limit(0)).count() == 0

@@ -1,9 +1,10 @@
 """Language identification by mixture inference.
 
 Each language has a multinomial over hashed byte trigrams. A document's trigrams are taken as drawn from a mixture of
-languages: expectation-maximisation estimates its proportions. The set of languages grows greedily from the likeliest
-single one; a further language stays only if it raises the log-likelihood by more than a penalty that grows with the
-logarithm of the document's length. The language of the largest proportion is the prediction.
+languages: expectation-maximisation, run until the proportions settle, estimates them. The set of languages grows
+greedily from the likeliest single one; a further language stays only if it raises the log-likelihood by more than a
+penalty that grows with the logarithm of the document's length. Nothing else bounds the set. The language of the largest
+proportion is the prediction.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import bounded_sample
+from .sampling import sample_by_group
 from .sentencepiece_codec import slices
 from .shared import crc_bucket
 
-#: Documents from which the likelihoods are learned, about; buckets of hashed trigrams; smoothing of counts.
-SAMPLE_DOCS = 20_000
+#: Documents from which the likelihoods are learned, about, and those of a language at least (all, if it has fewer).
+SAMPLE_DOCS, LEAST_DOCS = 20_000, 200
+#: Buckets of hashed trigrams; smoothing of counts.
 BUCKETS = 2**15
 SMOOTHING = 0.2
-#: Penalty of a further language: so many times the log of the number of trigrams. Rounds of EM. Most languages of a set.
-PENALTY, ROUNDS, MOST = 3.0, 15, 4
+#: Penalty of a further language: so many times the log of the number of trigrams. EM ends when no proportion moves more.
+PENALTY, SETTLED = 3.0, 1e-4
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -69,17 +71,17 @@ class Mixture:
         alone = self.log_p[:, x] @ weight
         chosen = [int(np.argmax(alone))]
         share, best, mix = np.ones(1), alone[chosen[0]], p[chosen[0]]
-        while len(chosen) < min(MOST, len(self.languages)):
+        while len(chosen) < len(self.languages):
             slope = (p / mix) @ weight / n  # how fast the likelihood grows with a language's proportion
             slope[chosen] = 0
             more = int(np.argmax(slope))
             if slope[more] <= 1:
                 break
             wider, pi = [*chosen, more], np.append(share * 0.8, 0.2)
-            q = p[wider]
-            for _ in range(ROUNDS):
-                part = q * pi[:, None]
-                pi = (part / part.sum(axis=0)) @ weight / n
+            q, before = p[wider], np.zeros(len(wider))
+            while np.abs(pi - before).max() > SETTLED:
+                before = pi
+                pi = pi * (q @ (weight / (pi @ q))) / n
             total = pi @ q
             reached = np.log(total) @ weight
             if reached - best <= PENALTY * np.log(n + 1):
@@ -91,9 +93,14 @@ class Mixture:
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Mixture:
-    """Counts trigrams by language over a bounded sample of the rows with text and language, in tasks; the driver adds up."""
+    """Counts trigrams by language over a bounded sample of the rows with text and language, in tasks; the driver adds up.
+
+    The sample is drawn language by language: each gets an equal part of ``sample_docs`` (LEAST_DOCS at least), one with
+    fewer documents all of them, so that rare languages are learned whatever the size of the corpus.
+    """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = bounded_sample(known, id_col, sample_docs, "language").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sample = sample_by_group(known, "id", "lang", sample_docs, LEAST_DOCS, "language").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
