@@ -59,12 +59,13 @@ def cases(seed):
     return list(zip(ids, texts, strict=True)) + [(1, None), (2, ""), (3, " \t\n"), (4, None)]
 
 
-@pytest.mark.parametrize("seed,long,broadcast,rounds", [(1, 64, 400_000, 6), (2, 3, 0, 6), (3, 10, 400_000, 1)])
+@pytest.mark.parametrize("seed,long,broadcast,rounds", [(1, 64, 400_000, 2), (2, 3, 0, 1), (3, 10, 400_000, 0)])
 def test_against_brute_force(spark, got, monkeypatch, seed, long, broadcast, rounds):
     monkeypatch.setattr(module, "LONG_LIST", long)
     monkeypatch.setattr(module, "BROADCAST_DELIVERIES", broadcast)
-    monkeypatch.setattr(module, "MOST_ROUNDS", rounds)
-    monkeypatch.setattr(module, "HUB_SETS", 7)
+    monkeypatch.setattr(module, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(module, "SEGMENT", 5)
+    monkeypatch.setattr(module, "QUERY_SETS", 7)
     rows = cases(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as set", "3 as token").repartition(5)
     assert got(near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute(rows)

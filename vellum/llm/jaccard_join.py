@@ -2,21 +2,24 @@
 
 Two documents link if their sets of five-word shingles reach a Jaccard similarity of 3/4: then they share at least
 T = ceil(3/7 of the sum of both sizes) shingles. Shingles are put in one order: those on few documents by hash, then
-those on many (the long lists) by their number. After the manner of DivideSkip the inverted lists are divided:
-
-* For a pair of sets the T - k last shingles of each are the long lists. What comes before them is merged: sets that link
-  must meet there at least k times (k is MEETINGS, or less for sets of unlike size). This leaves out sets that share a
-  passage, whose shingles are on many documents and come last, but little else.
-* The long lists are never merged: for pairs that are left, the one set is probed by binary search in the other, and
-  pairs with T common shingles are links.
-
-Equal sets count once. To avoid all pairs of a group of near copies, lists are first compared with one hub each, and
-sets found linked are one component; then only sets of different components still have to be compared, and this is
-done for all of them. So all links between components are found, without any cap on lists or partners.
+those on many (the long lists) by their number. The inverted lists are searched after the manner of DivideSkip:
+
+* Of each set the first shingles in that order are its short lists, about a quarter. They are merged: all that the lists
+  of a query hold meet in one task, sorted by set, and a set that stands on fewer than T - L of them (L: the query's other
+  lists) is thrown out. Passages that many documents share come last in the order, so they bring few together.
+* For the sets that are left, a task inverts those of one query into lists, merges the short ones of these, and probes
+  the L longest by binary search, for the candidates of the merge only. Only pairs that reach T leave the task.
+
+Equal sets count once. To avoid all pairs of a group of near copies, lists are first searched with one query each, the
+set of the list with the fewest shingles of its own; sets found linked are one component. After that only sets of
+different components are compared, and this is done for all of them: their lists are delivered to them whole, in
+segments, a query with very long lists in several parts. So all links between components are found, without any cap
+on lists or partners.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,20 +30,21 @@ from pyspark.sql import types as T
 
 from .graph import connected_components
 from .sentencepiece_codec import slices
-from .shared import small_side, written
+from .shared import scratch, settled, small_side, written
 from .shingles import shingle_sets, text_groups
 
 #: Rows of a task's block that a shingle must be on to be counted there; documents from which a list is long; most long lists.
 LOCAL_MIN, LONG_LIST, MOST_LONG = 2, 16, 500_000
 #: Shingles that a block of the counting pass holds.
 BLOCK_SHINGLES = 4_000_000
-#: Sets compared with one copy of a hub; most rounds of hubs, and rows that may be left for each in a list without one more;
-#: most deliveries of texts that are broadcast.
-HUB_SETS, MOST_ROUNDS, LEFT_OVER, BROADCAST_DELIVERIES = 256, 4, 0.5, 400_000
-#: Times that linked sets of like size must meet in merged lists.
-MEETINGS = 4
-#: Share of the pairs compared that a round of hubs must have linked for another one.
-WORTHWHILE = 0.1
+#: Sets compared with one copy of a query; sets that a segment of a list holds, about; most deliveries of texts that are broadcast.
+QUERY_SETS, SEGMENT, BROADCAST_DELIVERIES = 256, 1024, 400_000
+#: Rounds in which lists are searched with one query each. More or fewer change the work, never the links.
+HUB_ROUNDS = 2
+#: Weight of a binary probe against a step of the merge, from which follows how many lists are long.
+PROBE = 0.01
+#: Bits of the hash by which long lists are cut into segments.
+CUT_BITS = 24
 
 
 def prefix_length(n):
@@ -88,9 +92,9 @@ def long_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_table(docs: DataFrame, long: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, key, n, set, short, long): size and hash of each document's set, and its first shingles in order."""
+    """(doc_id, key, n, set, other, short, long): size and hashes of each document's set, and its first shingles in order."""
     known = docs.sparkSession.sparkContext.broadcast(long)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("long", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("set", T.LongType()), T.StructField("other", T.LongType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("long", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,36 +115,46 @@ def set_table(docs: DataFrame, long: tuple[np.ndarray, np.ndarray]) -> DataFrame
                     short.append(first)
                     late.append(u[hot][np.argsort(rank[at[e - n : e][hot]])[: take - len(first)]] if take > len(first) else u[:0])
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (short, late)]
-                digest = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int32)), pa.array(digest), *lists], names=["doc_id", "key", "n", "set", "short", "long"])
+                digests = [pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed) for x in sets], np.uint64).view(np.int64)) for seed in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size.astype(np.int32)), *digests, *lists], names=["doc_id", "key", "n", "set", "other", "short", "long"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, schema)
 
 
-def shared_lists(sets: DataFrame) -> DataFrame:
-    """(token, set, n, pos, hub, hub_n, len) of the merged lists that hold two sets or more; hub is the first set of a list.
+def keyed_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sets`` written, with one ``set`` number for each distinct set, and (set, rep), a document of each.
+
+    Numbers are 64-bit hashes; sets of one number are held against a second hash, and if any differ all are numbered
+    anew by both: 128 bits tell sets apart.
+    """
+    while True:
+        sets = written(sets, "shingle-sets")
+        reps = written(sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"), (F.min("other") != F.max("other")).alias("mixed")), "distinct-sets")
+        if reps.where("mixed").limit(1).count() == 0:
+            return sets, reps.drop("mixed")
+        sets = sets.withColumn("set", F.xxhash64("set", "other"))
+
 
-    pos is the token's place in its set's order, from 0.
+def shared_lists(sets: DataFrame) -> DataFrame:
+    """(token, set, n, len, own) of the short lists that hold two sets or more; own: first shingles that no other set has.
 
-    Short lists are gathered by token, in order, and those of one set dropped on the way; long ones are only made
-    distinct, by token and set, and get their hubs by a join, so that no long list has to fit a task.
+    Lists of few documents are gathered by token, in order, and those of one set dropped on the way; long ones are only
+    made distinct, by token and set, so that no long list has to fit a task.
     """
-    rows = sets.where("n > 0").select("set", "n", F.posexplode("short").alias("pos", "token")).select("token", "set", "n", "pos")
-    schema = "token long, set long, n int, pos int, hub long, hub_n int, len int"
+    rows = sets.where("n > 0").select("set", "n", F.explode("short").alias("token")).select("token", "set", "n")
 
     def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4  # rows of the last token so far: its list may go on in the next batch
+        held = [np.empty(0, np.int64)] * 3  # rows of the last token so far: its list may go on in the next batch
 
-        def shared(token: np.ndarray, own: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        def shared(token: np.ndarray, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
-            token, own, n, pos = token[fresh], own[fresh], n[fresh], pos[fresh]
+            token, own, n = token[fresh], own[fresh], n[fresh]
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(start, len(token)))
-            first, count = np.repeat(start, length), np.repeat(length, length)
+            count = np.repeat(length, length)
             keep = count > 1
-            columns = token[keep], own[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32), own[first[keep]], n[first[keep]].astype(np.int32), count[keep].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "set", "n", "pos", "hub", "hub_n", "len"])
+            return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(own[keep]), pa.array(n[keep].astype(np.int32)), pa.array(count[keep])], names=["token", "set", "n", "len"])
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
@@ -153,41 +167,71 @@ def shared_lists(sets: DataFrame) -> DataFrame:
         if len(held[0]):
             yield shared(*held)
 
-    short = rows.repartition("token").sortWithinPartitions("token", "set").mapInArrow(keep_shared, schema)
-    late = written(sets.where("size(long) > 0").select("set", "n", F.size("short").alias("before"), F.posexplode("long").alias("at", "token")).select("token", "set", "n", (F.col("before") + F.col("at")).alias("pos")).distinct(), "long-list-rows")
-    hubs = late.groupBy(F.col("token").alias("h_token")).agg(F.min(F.struct("set", "n")).alias("hub"), F.count("*").cast("int").alias("len")).where("len > 1")
-    late = late.join(small_side(hubs, MOST_LONG), F.col("token") == F.col("h_token")).select("token", "set", "n", "pos", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"), "len")
-    return short.unionByName(late)
+    short = rows.repartition("token").sortWithinPartitions("token", "set").mapInArrow(keep_shared, "token long, set long, n int, len long")
+    late = written(sets.where("size(long) > 0").select("set", "n", F.explode("long").alias("token")).select("token", "set", "n").distinct(), "long-list-rows")
+    lengths = late.groupBy(F.col("token").alias("l_token")).agg(F.count("*").alias("len")).where("len > 1")
+    late = late.join(small_side(lengths, MOST_LONG), F.col("token") == F.col("l_token")).select("token", "set", "n", "len")
+    lists = written(short.unionByName(late), "lists")
+    met = lists.groupBy(F.col("set").alias("m_set")).agg(F.count("*").alias("met"))
+    return lists.join(met, F.col("set") == F.col("m_set")).select("token", "set", "n", "len", (F.expr(FIRST.format("n")) - F.col("met")).alias("own"))
+
+
+#: SQL for prefix_length.
+FIRST = "({0} - cast((3 * {0} + 3) / 4 as int) + 1)"
 
 
 def needed(n: str, m: str) -> F.Column:
-    """Times that sets of sizes ``n`` and ``m`` must meet in merged lists if they link."""
+    """T - L: times that sets of sizes ``n`` and ``m`` must meet in short lists if they link."""
     overlap = f"cast(ceil(3 * ({n} + {m}) / 7D) as int)"
-    first = lambda x: f"({x} - cast((3 * {x} + 3) / 4 as int) + 1)"
-    return F.expr(f"greatest(1, least({first(n)} - ({n} - {overlap}), {first(m)} - ({m} - {overlap})))")
-
+    return F.expr(f"greatest(1, least({FIRST.format(n)} - ({n} - {overlap}), {FIRST.format(m)} - ({m} - {overlap})))")
 
-def meetings(n: str, m: str) -> F.Column:
-    """Times that linked sets of sizes ``n`` and ``m`` must meet at places that ``early`` allows."""
-    return F.least(F.lit(MEETINGS), needed(n, m))
 
+def similar_sizes(n: str, m: str) -> F.Column:
+    return F.expr(f"4 * least({n}, {m}) >= 3 * greatest({n}, {m})")
 
-def early(pos: str, n: str, m: str) -> F.Column:
-    """Whether the shingle at ``pos`` of a set of ``n`` stands before its long lists for a partner of size ``m``."""
-    return 7 * (F.col(n) - F.col(pos) + meetings(n, m) - 1) >= 3 * (F.col(n) + F.col(m))
 
+def reached(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
+    """Which of ``members`` share enough shingles with ``query``, by DivideSkip over the members' inverted lists.
 
-def similar_sizes(n: str, m: str) -> F.Column:
-    return F.expr(f"4 * least({n}, {m}) >= 3 * greatest({n}, {m})")
+    All are sorted arrays of distinct shingles.
+    """
+    sizes = np.array([len(x) for x in members])
+    least = -(-3 * (len(query) + sizes) // 7)
+    token, owner = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    begin, end = np.searchsorted(token, query), np.searchsorted(token, query, "right")
+    found = end > begin
+    begin, end = begin[found], end[found]
+    length = end - begin
+    if not len(length):
+        return np.zeros(len(members), bool)
+    n_long = min(int(least.min()) - 1, int(least.min() / (PROBE * math.log2(length.max() + 1) + 1)), len(length))
+    by_length = np.argsort(length, kind="stable")
+    short, long = by_length[: len(length) - n_long], by_length[len(length) - n_long :]
+    # merge: all entries of the short lists, counted by owner
+    size = length[short]
+    at = np.arange(size.sum()) + np.repeat(begin[short] - np.cumsum(size) + size, size)
+    count = np.bincount(owner[at], minlength=len(members))
+    candidates = np.flatnonzero(count >= least - n_long)
+    # probe: (list, owner) of the long lists is in order, so a binary search tells whether a candidate is on a list
+    if len(long) and len(candidates):
+        size = length[long]
+        at = np.arange(size.sum()) + np.repeat(begin[long] - np.cumsum(size) + size, size)
+        entries = np.repeat(np.arange(len(long)), size) * len(members) + owner[at]
+        probes = np.arange(len(long))[:, None] * len(members) + candidates[None, :]
+        place = np.minimum(np.searchsorted(entries, probes), len(entries) - 1)
+        count[candidates] += (entries[place] == probes).sum(axis=0)
+    return count >= least
 
 
 def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b, len) of sets that reach the similarity, by binary probes of whole sets.
+    """The pairs (a, b, len) of sets that reach the similarity: each query ``b`` is searched for among its ``a``.
 
-    The text of each ``a`` goes to its ``b``; ``len`` is the length of the list they met in: it tells into how many
-    copies a ``b`` is dealt, so that HUB_SETS or so meet one copy.
+    The text of each ``a`` goes to its ``b``; ``len`` bounds the number of a ``b``'s partners: it tells into how many
+    copies the ``b`` is dealt, so that QUERY_SETS or so meet one copy.
     """
-    dealt = pairs.withColumn("copies", F.ceil(F.col("len") / HUB_SETS).cast("int")).select("a", "b", "copies", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
+    dealt = pairs.withColumn("copies", F.ceil(F.col("len") / QUERY_SETS).cast("int")).select("a", "b", "copies", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
     parcels = dealt.select("b", "copies", "copy", F.lit(1).alias("role"), F.col("a").alias("set")).unionByName(dealt.select("b", "copies", "copy", F.lit(0).alias("role"), F.col("b").alias("set")).distinct())
     addressed = written(parcels.join(reps, "set").select("b", "copies", "copy", "role", "set", "rep.*"), "parcels")
     given = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
@@ -199,80 +243,137 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, None
+        at, query, names, members = None, None, [], []
+
+        def links() -> pa.RecordBatch:
+            yes = reached(query, members) if members else np.zeros(0, bool)
+            found = [a for a, y in zip(names, yes.tolist(), strict=True) if y]
+            names.clear()
+            members.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([at and at[0]] * len(found), pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            found_a, found_b = [], []
             for part in slices(batch, 4, 1_000_000):
                 sets = shingle_sets(part.column(4).to_pylist())
                 for b, copy, role, own, x in zip(*(part.column(i).to_pylist() for i in range(4)), sets, strict=True):
                     if role == 0:
-                        at, hub = (b, copy), x
-                    elif at == (b, copy):
-                        small, large = (x, hub) if len(x) <= len(hub) else (hub, x)
-                        places = np.searchsorted(large, small)
-                        common = int((large[np.minimum(places, len(large) - 1)] == small).sum())
-                        if 7 * common >= 3 * (len(small) + len(large)):
-                            found_a.append(own)
-                            found_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    # repeated rows of a representative may bring a pair twice
+                        if at != (b, copy):  # repeated rows of the query's document bring it more than once
+                            yield links()
+                            at, query = (b, copy), x
+                    elif not names or names[-1] != own:
+                        names.append(own)
+                        members.append(x)
+                        if len(members) >= 2 * QUERY_SETS:  # a search at a time: memory stays bounded
+                            yield links()
+        yield links()
+
     return sent.mapInArrow(run, "a long, b long")
 
 
+def rooted_lists(lists: DataFrame, roots: DataFrame | None, by_share: bool = True) -> DataFrame:
+    """(token, set, n, len, own, root, weight) of each row, and of its token the top root: c_root, with its query hub, hub_n.
+
+    Only lists of two roots or more are left. ``weight`` is the number of sets of a root; the top root is that of most
+    sets, among single sets (``by_share``) that with the smallest share of shingles of its own, then that of the largest
+    number. Its query is the set with the smallest such share.
+    """
+    alone = F.col("own") / F.col("n")
+    if roots is None:
+        marked = lists.withColumn("root", F.col("set")).withColumn("weight", F.lit(1).cast("long"))
+    else:
+        weight = roots.groupBy(F.col("k_root").alias("w_root")).agg(F.count("*").alias("weight"))
+        known = roots.join(weight, F.col("k_root") == F.col("w_root")).select("k_set", "k_root", "weight")
+        marked = written(lists.join(known, F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "len", "own", F.coalesce("k_root", "set").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight")), "marked-lists")
+    top = F.max(F.struct(F.col("weight"), F.when(F.lit(by_share) & (F.col("weight") == 1), -alone).alias("share"), F.col("root"))).alias("top")
+    tops = marked.groupBy("token").agg(top, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    tops = written(tops.select(F.col("token").alias("c_token"), F.col("top.root").alias("c_root")), "top-roots")
+    open_rows = marked.join(tops, F.col("token") == F.col("c_token")).drop("c_token")
+    hubs = open_rows.where("root = c_root").groupBy(F.col("token").alias("h_token")).agg(F.min(F.struct(alone.alias("alone"), F.col("set"), F.col("n"))).alias("hub"))
+    return open_rows.join(hubs.select("h_token", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n")), F.col("token") == F.col("h_token")).drop("h_token")
+
+
+def met_in_lists(rows: DataFrame) -> DataFrame:
+    """(a, b, len): sets of different roots that meet in short lists as often as links must; b is of the weightier root.
+
+    Each set outside the top root of a list is a query, and the list is delivered to it in segments of SEGMENT sets or
+    so. A query whose lists are long is cut into parts by the same hash as they are, each with its own task.
+    """
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("len") / SEGMENT)))
+    place = F.pmod(F.xxhash64("set", F.lit("segment")), F.lit(1 << CUT_BITS)).cast("int")
+    rows = rows.withColumn("bits", F.least(F.lit(CUT_BITS), bits).cast("int")).withColumn("place", place)
+    member = F.struct("set", "n", "root", "weight", "place")
+    segments = rows.groupBy(F.col("token").alias("s_token"), F.expr(f"shiftright(place, {CUT_BITS} - bits)").alias("segment")).agg(F.collect_list(member).alias("members"))
+    asking = rows.where("root <> c_root").select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("weight").alias("weight_a"), "len", "bits")
+    widest = asking.groupBy(F.col("a").alias("w_a")).agg(F.max("bits").alias("a_bits"))
+    asking = asking.join(widest, F.col("a") == F.col("w_a")).drop("w_a").withColumn("part", F.explode(F.expr("sequence(0, cast(shiftleft(1, a_bits) as int) - 1)")))
+    delivered = asking.join(segments, (F.col("token") == F.col("s_token")) & (F.expr("shiftright(part, a_bits - bits)") == F.col("segment")))
+    names = ("set", "n", "root", "weight", "place")
+    sent = delivered.select("a", "part", "n_a", "root_a", "weight_a", "a_bits", "len", *(F.col(f"members.{x}").alias(x) for x in names)).repartition("a", "part").sortWithinPartitions("a", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asks, longest, held = None, (), 0, []
+
+        def merged() -> pa.RecordBatch:
+            a, part = at
+            n_a, root_a, weight_a, a_bits = asks
+            own, n, root, weight, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            mine = (place >> (CUT_BITS - a_bits) == part) & (root != root_a) & ((weight > weight_a) | (weight == weight_a) & (root > root_a))
+            mine &= 4 * np.minimum(n, n_a) >= 3 * np.maximum(n, n_a)
+            b, first, met = np.unique(own[mine], return_index=True, return_counts=True)
+            m = n[mine][first]
+            overlap = -(-3 * (n_a + m) // 7)
+            need = np.maximum(1, np.minimum(prefix_length(n_a) - n_a, prefix_length(m) - m) + overlap)
+            b = b[met >= need]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b), pa.array(np.full(len(b), longest))], names=["a", "b", "len"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(7)]
+            lists = [batch.column(7 + i) for i in range(5)]
+            flat, ends = [x.flatten().to_numpy() for x in lists], np.cumsum(lists[0].value_lengths().to_numpy())
+            for i, (a, part, *more, length) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+                if at != (a, part):
+                    if held:
+                        yield merged()
+                    at, asks, longest, held = (a, part), tuple(more), 0, []
+                longest = max(longest, length)
+                held.append([x[ends[i - 1] if i else 0 : ends[i]] for x in flat])
+        if held:
+            yield merged()
+
+    return sent.mapInArrow(run, "a long, b long, len long")
+
+
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets of ``docs`` (doc_id, text) and the components of linked sets: (doc_id, n, set) and (node, root)."""
-    sets = written(set_table(docs, long_shingles(docs)), "shingle-sets")
-    reps = sets.where("n > 0").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
+    """Sets of ``docs`` (doc_id, text) and the components of linked sets: (doc_id, key, n, set) and (node, root)."""
+    sets, reps = keyed_sets(set_table(docs, long_shingles(docs)))
     lists = written(shared_lists(sets), "shared-lists")
     links, roots = [], None
-    part = lists.where("set <> hub").withColumn("root", F.col("set")).withColumn("c_root", F.col("hub"))
-    for r in range(MOST_ROUNDS):
-        # each set goes to the hub that it meets most often, if often enough
-        pairs = part.where(similar_sizes("n", "hub_n")).groupBy(F.col("set").alias("a"), F.col("hub").alias("b"), "n", "hub_n", "root", "c_root").agg(F.count("*").alias("met"), F.max("len").alias("len"))
-        pairs = pairs.where(F.col("met") >= needed("n", "hub_n")).groupBy("a").agg(F.max(F.struct("met", "b", "len", "root", "c_root")).alias("best")).select("a", "best.b", "best.len", "best.root", "best.c_root")
+    for _ in range(HUB_ROUNDS):
+        # each set goes to the query that it meets most often, if often enough
+        rows = rooted_lists(lists, roots).where((F.col("root") != F.col("c_root")) & similar_sizes("n", "hub_n"))
+        pairs = rows.groupBy(F.col("set").alias("a"), F.col("hub").alias("b"), "n", "hub_n", "root", "c_root").agg(F.count("*").alias("met"), F.max("len").alias("len"))
+        pairs = pairs.where(F.col("met") >= needed("n", "hub_n")).groupBy("a").agg(F.max(F.struct("met", "b", "len", "root", "c_root")).alias("best")).select("a", "best.*")
         pairs = written(pairs, "hub-pairs")
         links.append(written(linked(pairs, reps, docs), "hub-links"))
-        # sets linked to a hub join its component: only the others of a list are still open
-        roots = written(_joined_roots(roots, links[-1].select("a").join(pairs, "a")), "known-roots")
-        rooted = lists.join(roots, F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "pos", "len", F.coalesce("k_root", "set").alias("root"))
-        rooted = written(rooted, "rooted-lists")
-        by_root = rooted.groupBy("token", "root").agg(F.count("*").alias("n_sets"), F.min(F.struct(F.xxhash64("set", F.lit(r)).alias("h"), F.col("set"), F.col("n"))).alias("hub"))
-        chief = by_root.groupBy("token").agg(F.max(F.struct("n_sets", "root", "hub")).alias("c"), F.count("*").alias("n_roots")).where("n_roots > 1")
-        chief = written(chief.select(F.col("token").alias("c_token"), F.col("c.root").alias("c_root"), F.col("c.hub.set").alias("hub"), F.col("c.hub.n").alias("hub_n")), "chiefs")
-        rows = written(rooted.join(chief, F.col("token") == F.col("c_token")).drop("c_token"), "open-lists")
-        part = rows.where("root <> c_root")
-        # rows that the last step would make, about: those at places where sets of like size may meet first
-        first = (F.col("root") != F.col("c_root")) & early("pos", "n", "n")
-        size = rows.agg(F.count("*"), F.sum(F.when(first, F.col("len").cast("long")))).first()
-        if (size[1] or 0) <= LEFT_OVER * size[0] or links[-1].count() <= WORTHWHILE * pairs.count():
-            break
-    # what is left: every set outside its list's chief component against all of the list
-    mine = part.select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("root").alias("root_a"), "len")
-    other = rows.select(F.col("token").alias("o_token"), F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("root").alias("root_b"), (F.col("root") == F.col("c_root")).alias("chief"))
-    apart = (F.col("root_a") != F.col("root_b")) & (F.col("chief") | (F.col("a") < F.col("b")))
-    met = (
-        mine.join(other, (F.col("token") == F.col("o_token")) & apart & similar_sizes("n_a", "n_b") & early("pos_a", "n_a", "n_b") & early("pos_b", "n_b", "n_a"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b"), "len")
-        .groupBy("a", "b", "n_a", "n_b")
-        .agg(F.count("*").alias("met"), F.max("len").alias("len"))
-        .where(F.col("met") >= meetings("n_a", "n_b"))
-    )
-    links.append(written(linked(met, reps, docs), "last-links"))
-    return sets.select("doc_id", "n", "set"), written(connected_components(_all(links)), "components")
+        roots = written(_joined_roots(roots, links[-1].select("a").distinct().join(pairs, "a")), "known-roots")
+    # what is left: the sets of lists on which several roots still stand
+    met = written(met_in_lists(written(rooted_lists(lists, roots, by_share=False), "open-lists")), "met-in-lists")
+    links.append(written(linked(met.groupBy("a", "b").agg(F.max("len").alias("len")), reps, docs), "last-links"))
+    return sets.select("doc_id", "key", "n", "set"), connected_components(_all(links))
 
 
 def _joined_roots(roots: DataFrame | None, joined: DataFrame) -> DataFrame:
-    """(k_set, k_root) after components ``root`` and ``c_root`` of ``joined`` have been found to be one.
+    """(k_set, k_root) after each ``root`` of ``joined`` has been found to be of one component with its ``c_root``.
 
-    Sets of one root are of one component; one component may still have several roots, which only leaves more to compare.
+    The c_root comes after the root in the order by which lists choose their top root, so there are no circles. Sets of
+    one root are of one component; one component may still have several roots, which only leaves more to compare.
     """
-    parents = joined.where("root <> c_root").groupBy(F.greatest("root", "c_root").alias("high")).agg(F.min(F.least("root", "c_root")).alias("low"))
-    parents = written(parents, "parents")
-    known = parents.select(F.col("high").alias("k_set"), F.col("high").alias("k_root"))
-    known = known if roots is None else known.unionByName(roots)
-    for _ in range(2):
-        known = known.join(parents, F.col("k_root") == F.col("high"), "left").select("k_set", F.coalesce("low", "k_root").alias("k_root"))
+    parents = written(joined.groupBy(F.col("root").alias("child")).agg(F.max(F.struct("met", "c_root")).alias("best")).select("child", F.col("best.c_root").alias("parent")), "parents")
+    fresh = parents.select(F.explode(F.array("child", "parent")).alias("k_set")).distinct()
+    known = fresh.select("k_set", F.col("k_set").alias("k_root"))
+    known = known if roots is None else roots.unionByName(known.join(roots, "k_set", "left_anti"))
+    for _ in range(3):
+        known = known.join(parents, F.col("k_root") == F.col("child"), "left").select("k_set", F.coalesce("parent", "k_root").alias("k_root"))
     return known
 
 
@@ -284,7 +385,11 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``; component_id is the least id that links lead to.
+    """(id, n_shingles, component_id, text_key, component_key) of every row of ``docs``.
+
+    component_id is the least id that links lead to. text_key is xxhash64 of the text: it tells rows of one id apart.
+    component_key is a number of the component, null for documents without shingles: unlike component_id it differs
+    between components that share their least id.
 
     Documents of fewer than five words have their whole sequence as one shingle. Null, empty and wordless texts have
     no shingles and are linked with nothing: their component is their own id. Repeated rows and equal texts are in one
@@ -292,7 +397,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows; other columns are left out, whatever their names.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets, roots = similar_components(given)
-    placed = written(sets.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("root")), "placed-documents")
-    least = written(placed.where("root is not null").groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("component_id")), "least-ids")
-    return placed.join(least, F.col("root") == F.col("l_root"), "left").select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        sets, roots = similar_components(given)
+        placed = sets.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "n", "key", F.when(F.col("n") > 0, F.coalesce("root", "set")).alias("root"))
+        placed = written(placed, "placed-documents")
+        least = written(placed.where("root is not null").groupBy(F.col("root").alias("l_root")).agg(F.min("doc_id").alias("component_id")), "least-ids")
+        found = placed.join(least, F.col("root") == F.col("l_root"), "left").select(
+            F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("text_key"), F.col("root").alias("component_key")
+        )
+        return settled(found, "near-duplicates")

@@ -193,4 +193,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

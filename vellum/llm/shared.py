@@ -87,14 +87,14 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """``wanted`` column names, each with underscores put behind it until no column of ``df`` has it."""
-    taken, found = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        found.append(name)
-    return found
+def aside(df: DataFrame, **used: str) -> tuple[DataFrame, list]:
+    """``df`` with the columns ``used`` under their keywords and all others under names like ``aside_3``, and the way back.
+
+    What an operator then adds can't clash with a column of its input, whatever that is called. The way back is a list
+    of columns for ``select``.
+    """
+    names = {c: k for k, c in used.items()} | {c: f"aside_{i}" for i, c in enumerate(df.columns) if c not in used.values()}
+    return df.toDF(*(names[c] for c in df.columns)), [F.col(names[c]).alias(c) for c in df.columns]
 
 
 def crc_bucket(doc_id: str, buckets: int):
