@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .norms import NORM_KINDS
+
 #: Accented Latin letters and what they become without accents.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
@@ -91,30 +93,41 @@ def slice_if_unchanged(c: Column | str, start: Column, stop: Column, digest: Col
     return F.when(same, F.substr(col(c), start + 1, stop - start)).otherwise(""), F.coalesce(same, F.lit(False))
 
 
+def first_where(tokens: Column, condition) -> Column:
+    return F.get(F.filter(tokens, condition), F.lit(0))
+
+
 def norm_slug(c: Column | str) -> Column:
-    """``type-number-year`` of a norm's readable name; null if a part is missing. More telling types come first."""
-    name = fold(c)
-    kind = (
-        F.when(name.rlike(r"lei\s+complementar|\blc\s"), "lc")
-        .when(name.rlike(r"emenda\s+constitucional|\bec\s"), "ec")
-        .when(name.rlike(r"instrucao\s+normativa|\bin\s"), "instrucao-normativa")
-        .when(name.contains("decreto"), "decreto")
-        .when(name.contains("constituicao"), "constituicao")
-        .when(name.rlike(r"\blei\b"), "lei")
-    )
-    number = F.nullif(F.replace(F.regexp_extract(name, r"(\d{1,3}(?:\.\d{3})+|\d+)", 1), F.lit("."), F.lit("")), F.lit(""))
-    year = F.nullif(F.regexp_extract(name, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+    """``type-number-year`` of a norm's readable name; null if a part is missing.
+
+    The name is read as words and numbers: the first number is the norm's, the first of four digits that can be a year
+    its year, and the type is the first of NORM_KINDS whose words stand in it.
+    """
+    tokens = F.regexp_extract_all(fold(c), F.lit(r"[a-z]+|\d[\d.]*"), 0)
+    words = F.concat(F.lit(" "), F.array_join(F.filter(tokens, lambda t: t.rlike("^[a-z]")), " "), F.lit(" "))
+    kind = F.coalesce(*(F.when(F.contains(words, F.lit(w)), k.slug) for k in NORM_KINDS for w in k.named))
+    number = F.replace(first_where(tokens, lambda t: t.rlike(r"^\d")), F.lit("."), F.lit(""))
+    year = first_where(F.transform(tokens, lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t.rlike(r"^(19|20)\d{2}$"))
     return F.concat(kind, F.lit("-"), number, F.lit("-"), year)
 
 
 def provision_ref(c: Column | str) -> Column:
-    """struct(article, paragraph, item, letter) of a readable reference; article null if there is none."""
-    article = F.regexp_extract(fold(c), r"art(?:igo|\.)?\s*(\d+)", 1)
-    paragraph = F.coalesce(F.nullif(F.regexp_extract(fold(c), r"(?:§|paragrafo)\s*(\d+)", 1), F.lit("")), F.when(fold(c).rlike(r"paragrafo\s+unico"), F.lit("unico")))
-    item = F.nullif(F.regexp_extract(col(c), r"\b([IVXLCDM]{1,7})\b", 1), F.lit(""))
-    letter = F.lower(F.coalesce(F.nullif(F.regexp_extract(fold(c), r"alinea\s+([a-z])\b", 1), F.lit("")), F.nullif(F.regexp_extract(col(c), r",\s*([a-z])\s*$", 1), F.lit(""))))
-    found = F.nullif(article, F.lit("")).cast("int")
-    return F.struct(*(F.when(found.isNotNull(), x).alias(n) for x, n in ((found, "article"), (paragraph, "paragraph"), (item, "item"), (letter, "letter"))))
+    """struct(article, paragraph, item, letter) of a readable reference; article null if there is none.
+
+    The reference is read as words, numbers, § and commas; each part is told by a pair of neighbours ("art", "5") or,
+    for Roman numerals, by its form. A single letter behind the last comma is a letter too.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"§|,|\p{L}+|\d+"), 0)
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.struct(fold(a).alias("a"), fold(b).alias("b")))
+    behind = lambda names, form: first_where(pairs, lambda p: p["a"].isin(names) & p["b"].rlike(form))["b"]
+    ending = F.get(pairs, F.size(pairs) - 2)
+    parts = {
+        "article": behind(["art", "artigo"], r"^\d+$").cast("int"),
+        "paragraph": behind(["§", "paragrafo"], r"^(\d+|unico)$"),
+        "item": first_where(tokens, lambda t: t.rlike("^[IVXLCDM]{1,7}$")),
+        "letter": F.coalesce(behind(["alinea"], "^[a-z]$"), F.when((ending["a"] == ",") & ending["b"].rlike("^[a-z]$"), ending["b"])),
+    }
+    return F.struct(*(F.when(parts["article"].isNotNull(), x).alias(n) for n, x in parts.items()))
 
 
 def provision_path(article: Column, paragraph: Column, item: Column, letter: Column) -> Column:
@@ -139,22 +152,30 @@ def backoff_ms(attempt: Column, base: int = 500) -> Column:
     return (F.lit(base) * F.pow(F.lit(2), attempt)).cast("long")
 
 
-#: What the sections of a ruling are called in its label.
-RULING_SECTIONS = {"sumario": "sumário", "voto": "voto", "relatorio": "relatório", "enunciado": "enunciado", "acordao": "item"}
+#: Sections of a ruling: what a label calls them, the form of a mark with a number, what stands before the
+#: number, and whether there is no label without one.
+RULING_SECTIONS = [
+    ("sumario", "sumário", None, "", False),
+    ("acordao", "item", r"(?i)^item\s*(\d.*)$", " ", True),
+    ("voto", "voto", r"(?i)^p0*(\d+)", " §", False),
+    ("relatorio", "relatório", r"(?i)^p0*(\d+)", " §", False),
+    ("enunciado", "enunciado", r"^(?:[eE](?=\d))?(.+)$", " ", True),
+]
+
+
+def ruling_place(section: Column, mark: Column) -> Column:
+    """struct(name, number) of the place in a ruling that a mark names; null where it names none."""
+    found = F.lit(None).cast("struct<name:string,number:string>")
+    for key, name, form, before, required in RULING_SECTIONS:
+        number = F.nullif(F.regexp_extract(mark, form, 1), F.lit("")) if form else F.lit(None).cast("string")
+        place = F.struct(F.lit(name).alias("name"), F.concat(F.lit(before), number).alias("number"))
+        found = F.when((section == key) & (number.isNotNull() if required else F.lit(True)), place).otherwise(found)
+    return F.when(F.coalesce(mark, F.lit("")) != "", found)
 
 
 def ruling_label(number: Column, year: Column, body: Column, section: Column, mark: Column) -> Column:
     """``Acórdão 12/2020-TCU-Plenário, voto §5``: paragraph and item numbers only where the mark has one, without leading zeros."""
-    base = F.concat(F.lit("Acórdão "), F.coalesce(number.cast("string"), F.lit("?")), F.lit("/"), F.coalesce(year.cast("string"), F.lit("?")), F.lit("-TCU-"), F.coalesce(body, F.lit("")))
-    paragraph = F.when(F.lower(mark).rlike(r"^p\d"), F.concat(F.lit(" §"), F.regexp_extract(F.lower(mark), r"^p0*(\d+)", 1))).otherwise("")
-    item = F.regexp_extract(F.lower(mark), r"^item\s*(\d.*)$", 1)
-    statement = F.regexp_replace(mark, r"^[eE](?=\d)", "")
-    tail = (
-        F.when(section == "sumario", F.lit(f", {RULING_SECTIONS['sumario']}"))
-        .when((section == "acordao") & (item != ""), F.concat(F.lit(f", {RULING_SECTIONS['acordao']} "), item))
-        .when(section == "voto", F.concat(F.lit(f", {RULING_SECTIONS['voto']}"), paragraph))
-        .when(section == "relatorio", F.concat(F.lit(f", {RULING_SECTIONS['relatorio']}"), paragraph))
-        .when(section == "enunciado", F.concat(F.lit(f", {RULING_SECTIONS['enunciado']} "), statement))
-        .otherwise("")
-    )
-    return F.concat(base, F.when(F.coalesce(mark, F.lit("")) == "", "").otherwise(F.coalesce(tail, F.lit(""))))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    place = ruling_place(section, mark)
+    ruling = F.format_string("Acórdão %s/%s-TCU-%s", shown(number), shown(year), F.coalesce(body, F.lit("")))
+    return F.concat_ws("", F.concat_ws(", ", ruling, place["name"]), place["number"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, index_form, terms
@@ -57,60 +58,130 @@ def expand_synonyms(text: str, groups: list[list[str]] = SYNONYMS) -> str:
     return " ".join(out)
 
 
-def occurrences(form: Column, token: str, prefix: bool) -> Column:
-    """Times that a token (one term, or a phrase of several) stands in a text's index form."""
-    needle = re.sub(r"[\W_]+", " ", plain(token)).strip()
-    if not needle:
-        return F.lit(0)
-    # every space counts for the term before and the one after: look ahead instead of consuming it
-    return F.regexp_count(form, F.lit(rf" {re.escape(needle)}" + ("" if prefix else "(?= )")))
+def needle(token: str) -> str:
+    """A query token as it stands in an index form: one term, or the terms of a phrase."""
+    return re.sub(r"[\W_]+", " ", plain(token)).strip()
+
+
+def times(text: Column, part: str) -> Column:
+    """How often ``part`` stands in a text, without overlaps."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long") if part else F.lit(0).cast("long")
+
+
+def token_table(docs: DataFrame, text: str, tokens: list[str] = (), substrings: list[str] = (), prefix: bool = False, keep: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with the counts that scoring needs: texts are read once, whatever follows.
+
+    length and tf0, tf1 ... are of terms (or phrases, or prefixes), grams and sf0, sf1 ... of character trigrams and
+    substrings; has_text says whether there is a text, kept whether ``keep`` holds. A few numbers a document: the table
+    is kept in memory, or on disk, until the session's cache is cleared.
+    """
+    form, low = index_form(text), F.lower(F.col(text))
+    base = docs.withColumn("kept", F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)).withColumn("has_text", F.coalesce(F.col(text), F.lit("")) != "")
+    if tokens:
+        # every space counts for the term before and the one after: doubled, each term has its own two
+        base = base.withColumn("_spaced", F.replace(form, F.lit(" "), F.lit("  ")))
+        base = base.withColumn("length", F.when(F.coalesce(F.trim("_spaced"), F.lit("")) == "", 0).otherwise(times(F.col("_spaced"), "  ") - 1).cast("long"))
+        for i, t in enumerate(map(needle, tokens)):
+            base = base.withColumn(f"tf{i}", F.coalesce(times(F.col("_spaced"), " " + t.replace(" ", "  ") + ("" if prefix else " ")), F.lit(0)) if t else F.lit(0).cast("long"))
+        base = base.drop("_spaced")
+    if substrings:
+        base = base.withColumn("_low", low).withColumn("grams", F.greatest(F.length(text) - 2, F.lit(0)).cast("long"))
+        for i, t in enumerate(substrings):
+            base = base.withColumn(f"sf{i}", F.coalesce(times(F.col("_low"), t), F.lit(0)))
+        base = base.drop("_low")
+    return base.drop(text).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def scored(table: DataFrame, count: str, length: str, n: int, every: bool = False) -> DataFrame:
+    """Rows of a token table that match, with score: BM25 over its counts ``count``0 to ``count``n-1.
+
+    Corpus figures (documents, mean length, documents of each token) come from all rows, kept or not: one row, joined by
+    broadcast.
+    """
+    if not n:
+        return table.where("false").withColumn("score", F.lit(0.0))
+    tf = [F.col(f"{count}{i}") for i in range(n)]
+    whole = table.agg(F.count("*").alias("_n"), F.avg(length).alias("_mean"), *(F.count_if(x > 0).alias(f"_df{i}") for i, x in enumerate(tf)))
+    score, match = F.lit(0.0), F.lit(every)
+    for i, x in enumerate(tf):
+        score = score + idf(F.col("_n"), F.col(f"_df{i}")) * saturated(x, F.col(length), F.col("_mean"))
+        match = match & (x > 0) if every else match | (x > 0)
+    found = table.where(F.col("kept") & match).join(F.broadcast(whole)).withColumn("score", score)
+    return found.drop("_n", "_mean", *(f"_df{i}" for i in range(n)))
+
+
+def idf(n: Column, df: Column) -> Column:
+    """Weight of a token on ``df`` of ``n`` documents, a millionth at least."""
+    weight = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(weight <= 0, 1e-6).otherwise(weight)
+
+
+def saturated(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+COUNTS = re.compile(r"^(tf|sf)\d+$|^(length|grams|kept|has_text)$")
+
+
+def without_counts(found: DataFrame) -> DataFrame:
+    return found.drop(*(c for c in found.columns if COUNTS.match(c)))
 
 
 def bm25(docs: DataFrame, text: str, tokens: list[str], every: bool = False, prefix: bool = False, keep: Column | None = None) -> DataFrame:
-    """Matching rows of ``docs`` with score (positive, larger is better).
+    """Matching rows of ``docs`` (its columns but the text) with score (positive, larger is better).
 
-    Corpus figures (documents, mean length, documents of each token) come from all of ``docs``; ``keep`` only restricts
-    the rows. They are one row, joined by broadcast. ``every`` asks for all tokens. Repeated tokens count again. No
-    tokens match nothing. Only the counts of the query's tokens are computed, no postings of other terms.
+    Corpus figures come from all of ``docs``; ``keep`` only restricts the rows. ``every`` asks for all tokens. Repeated
+    tokens count again. No tokens match nothing. Only the counts of the query's tokens are computed; where many queries
+    follow, ``write_index`` and ``bm25_indexed`` read the terms asked for only.
     """
-    form = index_form(text)
-    counted = docs.withColumn("_form", form)
-    counts = [occurrences(F.col("_form"), t, prefix) for t in tokens]
-    counted = counted.withColumn("_length", F.size(F.split(F.trim("_form"), " "))).withColumn("_length", F.when(F.trim("_form") == "", 0).otherwise(F.col("_length")))
-    for i, c in enumerate(counts):
-        counted = counted.withColumn(f"_tf{i}", c)
-    whole = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(tokens))))
-    score = F.lit(0.0)
-    for i in range(len(tokens)):
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-    hit = [F.col(f"_tf{i}") > 0 for i in range(len(tokens))]
-    match = F.lit(False)
-    for i, h in enumerate(hit):
-        match = h if i == 0 else (match & h if every else match | h)
-    found = counted.where(keep if keep is not None else F.lit(True)).where(match)
-    scored = found.join(F.broadcast(whole)).withColumn("score", score)
-    return scored.drop("_form", "_length", "_n", "_mean", *(f"_tf{i}" for i in range(len(tokens))), *(f"_df{i}" for i in range(len(tokens))))
+    return without_counts(scored(token_table(docs, text, tokens, prefix=prefix, keep=keep), "tf", "length", len(tokens), every))
+
+
+def substring_tokens(query: str) -> list[str]:
+    return [t.lower() for t in query.split() if len(t) >= 3]
 
 
 def substring_lane(docs: DataFrame, text: str, query: str, keep: Column | None = None) -> DataFrame:
     """Rows that hold a query token of three or more characters anywhere, case ignored, ranked by BM25 over character trigrams."""
-    tokens = [t.lower() for t in query.split() if len(t) >= 3]
-    low = F.lower(F.col(text))
-    counted = docs.withColumn("_length", F.greatest(F.length(text) - 2, F.lit(0)))
-    for i, t in enumerate(tokens):
-        counted = counted.withColumn(f"_tf{i}", ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int"))
-    whole = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(tokens))))
-    score, match = F.lit(0.0), F.lit(False)
-    for i in range(len(tokens)):
-        tf = F.col(f"_tf{i}")
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-        match = match | (tf > 0)
-    found = counted.where(keep if keep is not None else F.lit(True)).where(match).join(F.broadcast(whole)).withColumn("score", score)
-    return found.drop("_length", "_n", "_mean", *(f"_tf{i}" for i in range(len(tokens))), *(f"_df{i}" for i in range(len(tokens))))
+    tokens = substring_tokens(query)
+    return without_counts(scored(token_table(docs, text, substrings=tokens, keep=keep), "sf", "grams", len(tokens)))
+
+
+#: Folders over which terms are dealt in an index.
+TERM_BUCKETS = 64
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Postings of ``docs`` below ``path``: terms (dealt by hash, sorted by term in each file) and the corpus figures."""
+    rows = postings(docs, key, text)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    lengths = docs.select(F.size(terms(text)).alias("length"))
+    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/figures")
+
+
+def bm25_indexed(spark: SparkSession, path: str, key: str, tokens: list[str], every: bool = False) -> DataFrame:
+    """(key, score) of the rows that hold any (or every) one of the tokens, from an index: only their terms are read.
+
+    Tokens are single terms. The folders of their hashes are read, and in these the row groups that may hold them.
+    """
+    asked: dict[str, int] = {}
+    for t in map(needle, tokens):
+        if " " in t:
+            raise ValueError("an index holds terms, not phrases")
+        asked[t] = asked.get(t, 0) + 1
+    table = spark.read.parquet(f"{path}/terms")
+    if not asked:
+        return table.select(key, F.lit(0.0).alias("score")).where("false")
+    wanted = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(t).alias("w_term"), F.lit(n).alias("times")) for t, n in asked.items()))).alias("w")).select("w.*")
+    buckets = [r.b for r in wanted.select(F.pmod(F.xxhash64("w_term"), F.lit(TERM_BUCKETS)).cast("int").alias("b")).distinct().collect()]  # the query's terms
+    found = table.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(asked)))
+    df = found.groupBy(F.col("term").alias("w_term")).agg(F.count("*").alias("df")).join(wanted, "w_term")
+    figures = spark.read.parquet(f"{path}/figures")
+    each = found.join(F.broadcast(df), F.col("term") == F.col("w_term")).join(F.broadcast(figures))
+    weight = F.col("times") * idf(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("length"), F.col("mean"))
+    by_row = each.groupBy(key).agg(F.sum(weight).alias("score"), F.count("*").alias("n_terms"))
+    return by_row.where(F.col("n_terms") >= (len(asked) if every else 1)).select(key, "score")
 
 
 def and_first(docs: DataFrame, text: str, query: str, keep: Column | None = None) -> DataFrame:
@@ -156,7 +227,10 @@ def snippet(text: Column, token: str, around: int = 6) -> Column:
 
 
 def keyword_overlap(docs: DataFrame, text: str, query: str, key: str, k: int) -> DataFrame:
-    """Recommends rows by how many query tokens of five or more characters their text holds: score = min(1, hits / 5)."""
-    tokens = sorted({t for t in re.split(r"[\W_]+", plain(query)) if len(t) > 4})
-    hits = sum((fold(text).contains(t).cast("int") for t in tokens), F.lit(0))
+    """Recommends rows by how many query tokens of five or more characters their text holds: score = min(1, hits / 5).
+
+    Case is ignored, accents count. A repeated token counts each time.
+    """
+    tokens = [t for t in re.split(r"[\W_]+", query.lower()) if len(t) > 4]
+    hits = sum((F.lower(F.col(text)).contains(t).cast("int") for t in tokens), F.lit(0))
     return docs.withColumn("score", F.least(F.lit(1.0), hits / 5)).where("score > 0").orderBy(F.desc("score"), key).limit(k)

@@ -22,6 +22,25 @@ def relevance(samples: DataFrame, wanted: str, text: Column, least: float = 0.5)
     )
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, p): exact percentiles of whole numbers by group, linear between neighbours, as an array in the order of ``shares``.
+
+    Values are counted first, so that a group on a great part of all rows costs one row for each distinct value and task;
+    a cumulative sum over the counts then finds the two values around each share. Nulls don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    inside = Window.partitionBy(*by)
+    placed = counts.withColumn("upto", F.sum("c").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(inside))
+    # the value at a place (from 0) is that with upto - c <= place < upto
+    holds = lambda place: (F.col("upto") - F.col("c") <= place) & (place < F.col("upto"))
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("all") - 1)
+        found += [F.max(F.when(holds(F.floor(at)), F.col(value))).alias(f"low{i}"), F.max(F.when(holds(F.ceil(at)), F.col(value))).alias(f"high{i}"), F.max(at - F.floor(at)).alias(f"rest{i}")]
+    between = [F.col(f"low{i}") + F.col(f"rest{i}") * (F.col(f"high{i}") - F.col(f"low{i}")) for i in range(len(shares))]
+    return placed.groupBy(*by).agg(*found).select(*by, F.array(*between).alias("p"))
+
+
 def price_statistics(samples: DataFrame, item: str, unit: str, price: str, date: str, relevant: str) -> DataFrame:
     """One row for each item: n, median, mean, p25, p75, min, max, first and last date over its dominant unit of supply.
 
@@ -33,7 +52,6 @@ def price_statistics(samples: DataFrame, item: str, unit: str, price: str, date:
         F.count_if(F.col(relevant)).alias("n"),
         F.count_if(~F.col(relevant)).alias("irrelevant"),
         *(F.when(F.count_if(F.col(relevant)) > 0, f(F.when(F.col(relevant), F.col(price)))).alias(name) for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))),
-        F.percentile(F.when(F.col(relevant), F.col(price)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"),
         F.min(F.when(F.col(relevant), F.col(date))).alias("first_date"),
         F.max(F.when(F.col(relevant), F.col(date))).alias("last_date"),
     )
@@ -45,9 +63,11 @@ def price_statistics(samples: DataFrame, item: str, unit: str, price: str, date:
         F.sum("n").over(inside).alias("all_n"),
         F.sum("irrelevant").over(inside).alias("discarded_relevance"),
     )
+    shares = percentiles(samples.where(relevant), [item, unit], price, [0.25, 0.5, 0.75]).withColumnsRenamed({item: "p_item", unit: "p_unit"})
+    best = ranked.where("place = 1").join(shares, F.col(item).eqNullSafe(F.col("p_item")) & F.col(unit).eqNullSafe(F.col("p_unit")), "left")
     some = F.col("n") > 0
     whole = lambda c: half_up(F.round(c, 4)).cast("long")
-    return ranked.where("place = 1").select(
+    return best.select(
         item,
         F.when(some, F.col(unit)).alias("unit"),
         F.col("n").cast("long").alias("n"),
@@ -66,17 +86,37 @@ def price_statistics(samples: DataFrame, item: str, unit: str, price: str, date:
 
 def price_tails(samples: DataFrame, item: str, group: str, price: str, least: int = 5) -> DataFrame:
     """P5 and P95 for each item; items with fewer than ``least`` samples take their group's, groups too small the whole's."""
-    p = F.percentile(price, F.array(F.lit(0.05), F.lit(0.95)))
-    own = samples.groupBy(item, group).agg(p.alias("own"), F.count("*").alias("n"))
-    of_group = samples.groupBy(F.col(group).alias("g")).agg(p.alias("grouped"), F.count("*").alias("g_n"))
-    of_all = samples.agg(p.alias("whole"))  # one row
+    both, counted = [0.05, 0.95], F.count("*").alias
+    own = samples.groupBy(item, group).agg(counted("n"))
+    own_p = percentiles(samples, [item, group], price, both).select(F.col(item).alias("o_item"), F.col(group).alias("o_group"), F.col("p").alias("own"))
+    of_group = samples.groupBy(F.col(group).alias("g")).agg(counted("g_n"))
+    group_p = percentiles(samples, [group], price, both).select(F.col(group).alias("g_group"), F.col("p").alias("grouped"))
+    # of the whole, only counts by price meet in one task
+    of_all = percentiles(samples.withColumn("whole_of", F.lit(1)), ["whole_of"], price, both).select(F.col("p").alias("whole"))  # one row
+    one = lambda values: F.when(F.col("n") >= least, F.col("own")[values]).when(F.col("g_n") >= least, F.col("grouped")[values]).otherwise(F.col("whole")[values])
     return (
-        own.join(of_group, F.col(group).eqNullSafe(F.col("g")), "left")
-        .join(F.broadcast(of_all))
+        own.join(own_p, F.col(item).eqNullSafe(F.col("o_item")) & F.col(group).eqNullSafe(F.col("o_group")), "left")
+        .join(of_group, F.col(group).eqNullSafe(F.col("g")), "left")
+        .join(group_p, F.col(group).eqNullSafe(F.col("g_group")), "left")
+        .join(F.broadcast(of_all), how="left")
         .select(
             item,
             F.col("n").cast("long").alias("n"),
             F.when(F.col("n") >= least, "item").when(F.col("g_n") >= least, "group").otherwise("all").alias("level"),
-            *(half_up(F.round(F.when(F.col("n") >= least, F.col("own")[i]).when(F.col("g_n") >= least, F.col("grouped")[i]).otherwise(F.col("whole")[i]), 4)).cast("long").alias(name) for i, name in ((0, "p5"), (1, "p95"))),
+            *(half_up(F.round(one(i), 4)).cast("long").alias(name) for i, name in ((0, "p5"), (1, "p95"))),
         )
     )
+
+
+def price_report(samples: DataFrame, kind: str, item: str, unit: str, price: str, date: str, relevant: str, key: str, most: int = 50) -> DataFrame:
+    """Price statistics with the first samples: (item, n, median, samples), for materials only (``kind`` not "S").
+
+    samples: up to ``most`` relevant ones of the item, newest first, then by key. A sample's place is counted within its
+    item, so that no item's samples are gathered beyond ``most``.
+    """
+    materials = samples.where(F.coalesce(F.col(kind), F.lit("")) != "S")
+    figures = price_statistics(materials, item, unit, price, date, relevant).select(item, "n", "median")
+    place = F.row_number().over(Window.partitionBy(item).orderBy(F.desc(date), key))
+    shown = materials.where(relevant).select(item, key, date, price, place.alias("place")).where(F.col("place") <= most)
+    listed = shown.groupBy(F.col(item).alias("s_item")).agg(F.array_sort(F.collect_list(F.struct("place", key, price))).alias("samples"))
+    return figures.join(listed, F.col(item).eqNullSafe(F.col("s_item")), "left").drop("s_item")

@@ -72,11 +72,45 @@ def equals_where_given(**wanted) -> Column:
 def resolve_references(refs: DataFrame, catalogue: DataFrame, slug: str, key: str) -> DataFrame:
     """Each reference with the catalogue's key: that equal to its slug, else the least one that ends in its number and year, else null.
 
-    Two equi-joins: the second, on number and year, takes only what the first has left.
+    Two equi-joins: the second, on number and year, takes only what the first has left. Against an empty catalogue every
+    reference keeps its slug.
     """
     ending = lambda c: F.regexp_extract(c, r"(\d+-\d{4})$", 1)
     known = catalogue.select(F.col(key).alias("_exact")).distinct()
     by_ending = catalogue.where(ending(F.col(key)) != "").groupBy(ending(F.col(key)).alias("_ending")).agg(F.min(key).alias("_like"))
     exact = refs.join(known, F.col(slug) == F.col("_exact"), "left")
     open_ending = F.when(F.col("_exact").isNull(), F.nullif(ending(F.col(slug)), F.lit("")))
-    return exact.withColumn("_open", open_ending).join(by_ending, F.col("_open") == F.col("_ending"), "left").withColumn(key, F.coalesce("_exact", "_like")).drop("_exact", "_open", "_ending", "_like")
+    nothing = F.broadcast(catalogue.limit(1).agg((F.count("*") == 0).alias("_nothing")))
+    found = exact.withColumn("_open", open_ending).join(by_ending, F.col("_open") == F.col("_ending"), "left").join(nothing)
+    return found.withColumn(key, F.coalesce("_exact", "_like", F.when(F.col("_nothing"), F.col(slug)))).drop("_exact", "_open", "_ending", "_like", "_nothing")
+
+
+def provisions_in_force(provisions: DataFrame, versions: DataFrame, norms: DataFrame, norm: str, provision: str, start: str, end: str, at: Column | None = None) -> DataFrame:
+    """Provisions with their version in force (at a time, or the open one) and, where there is one, their norm.
+
+    provisions: norm, provision ...; versions: provision, start, end ...; norms: norm .... A provision without such a
+    version goes, one without a norm stays. Of versions that overlap the newest start counts.
+    """
+    valid = F.col(end).isNull() if at is None else (F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) > at))
+    rest = [c for c in versions.columns if c not in (provision, start)]
+    live = versions.where(valid).groupBy(provision).agg(F.max(F.struct(start, *rest)).alias("_v")).select(provision, "_v.*")
+    return provisions.join(live, provision).join(norms, norm, "left")
+
+
+def with_existence(rows: DataFrame, others: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a flag: whether ``others`` has a row of the same key, however many."""
+    known = others.select(F.col(key).alias("_known")).where("_known is not null").distinct()
+    return rows.join(known, F.col(key) == F.col("_known"), "left").withColumn(name, F.col("_known").isNotNull()).drop("_known")
+
+
+def last_in_order(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows, in ascending order."""
+    return rows.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)
+
+
+def compared_versions(versions: DataFrame, entity: str, start: str, end: str, text: str, first: Column | None = None, second: Column | None = None) -> DataFrame:
+    """(entity, old, new): the versions valid at two times; without times, the first and the last by start."""
+    if first is None or second is None:
+        return first_and_last(versions, entity, start, text).select(entity, F.col("first").alias("old"), F.col("last").alias("new"))
+    old, new = (valid_at(versions, entity, start, end, at, [text]).select(entity, F.col(text).alias(name)) for at, name in ((first, "old"), (second, "new")))
+    return old.join(new, entity)

@@ -42,16 +42,22 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     Any number of queries is answered: they pass through the driver, ``at_once`` of them are broadcast as one matrix, and
     the rows are read once for each such part. A task scores ``block`` queries at a time and keeps the best ``k`` of all
     its rows, so that what is shuffled is k rows for each query and task, never all pairs.
+
+    Rows without a vector, or with a number missing in it, are near to nothing and find nothing. Vectors of unequal
+    length are compared over the common one, as ``cosine`` does; norms are those of the common part.
     """
     kind = dict(vectors.dtypes)[key]
     schema = f"query {kind}, {key} {kind}, score double"
-    rows = vectors.select(key, vector)
+    whole = F.col(vector).isNotNull() & ~F.exists(F.coalesce(F.col(vector), F.array()), lambda x: x.isNull())
+    rows = vectors.where(whole).select(key, vector)
     parts = []
-    stream = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).toLocalIterator()
+    stream = queries.where(whole).select(F.col(key).alias("q"), F.col(vector).alias("v")).orderBy(F.size("v"), "q").toLocalIterator()
     while some := list(islice(stream, at_once)):
-        matrix = np.array([r.v for r in some], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        given = vectors.sparkSession.sparkContext.broadcast((np.array([r.q for r in some]), matrix))
+        by_size = {}
+        for r in some:
+            by_size.setdefault(len(r.v), []).append(r)
+        blocks = [(np.array([r.q for r in x]), np.array([r.v for r in x], np.float64).reshape(len(x), n)) for n, x in by_size.items()]
+        given = vectors.sparkSession.sparkContext.broadcast(blocks)
         parts.append(rows.mapInArrow(best_of_rows(given, key, k, block), schema))
     while len(parts) > 1:  # by pairs, so that the plan stays shallow
         parts = [a.union(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
@@ -61,27 +67,35 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
 
 
 def best_of_rows(given: Broadcast, key: str, k: int, block: int):
-    """The function for mapInArrow that finds the best ``k`` of a task's rows for each of the broadcast queries (ids, unit vectors)."""
+    """The function for mapInArrow that finds the best ``k`` of a task's rows for each of the broadcast queries.
+
+    Queries come as blocks (ids, vectors of one length); rows are taken by length too.
+    """
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = given.value
-        starts = range(0, len(ids), block)
-        kept = {at: (np.empty((len(ids[at : at + block]), 0)), np.empty((len(ids[at : at + block]), 0), ids.dtype)) for at in starts}
+        parts = [(ids[at : at + block], v[at : at + block]) for ids, v in given.value for at in range(0, len(ids), block)]
+        kept = [(np.empty((len(ids), 0)), np.empty((len(ids), 0), ids.dtype)) for ids, _ in parts]
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            for at in starts:
-                s = np.round(matrix[at : at + block] @ v.T, 6)
-                s[ids[at : at + block][:, None] == own[None, :]] = -2
-                score, near = np.hstack([kept[at][0], s]), np.hstack([kept[at][1], np.broadcast_to(own, s.shape)])
-                order = np.lexsort((near, -score), axis=1)[:, :k]
-                kept[at] = np.take_along_axis(score, order, axis=1), np.take_along_axis(near, order, axis=1)
-        for at, (score, near) in kept.items():
+            by_size: dict[int, list[int]] = {}
+            rows = batch.column(1).to_pylist()
+            for i, v in enumerate(rows):
+                by_size.setdefault(len(v), []).append(i)
+            for size, at in by_size.items():
+                own = batch.column(0).to_numpy(zero_copy_only=False)[at]
+                v = np.array([rows[i] for i in at], np.float64).reshape(len(at), size)
+                for p, (ids, queries) in enumerate(parts):
+                    n = min(size, queries.shape[1])
+                    s = np.round(unit(queries[:, :n]) @ unit(v[:, :n]).T, 6)
+                    s[ids[:, None] == own[None, :]] = -2
+                    score, near = np.hstack([kept[p][0], s]), np.hstack([kept[p][1], np.broadcast_to(own, s.shape)])
+                    order = np.lexsort((near, -score), axis=1)[:, :k]
+                    kept[p] = np.take_along_axis(score, order, axis=1), np.take_along_axis(near, order, axis=1)
+        for (ids, _), (score, near) in zip(parts, kept, strict=True):
             real = score > -2
-            q = np.broadcast_to(ids[at : at + block][:, None], score.shape)
+            q = np.broadcast_to(ids[:, None], score.shape)
             yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(near[real]), pa.array(score[real])], names=["query", key, "score"])
 
     return run
@@ -92,7 +106,3 @@ def valid_dimension(vectors: DataFrame, vector: str, size: int) -> DataFrame:
     v = F.col(vector)
     return vectors.withColumn("valid", F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False)))
 
-
-def fill_missing(rows: DataFrame, vector: str, encoder) -> DataFrame:
-    """Rows with the encoder's vector (a Column expression or pandas UDF result) where there is none yet."""
-    return rows.withColumn(vector, F.coalesce(F.col(vector), encoder))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical, norm_slug, ruling_label, strip_accents, term_set
-from ..operators.parsing import citations, diff_counts, keep_in_force, provisions, truncate_at, word_diff
-from ..operators.temporal import resolve_references
+from ..functions.text import canonical, norm_slug, provision_label, provision_path, provision_ref, ruling_label, slice_if_unchanged, strip_accents, term_set
+from ..operators.laws import CAPITALS, CONTENTS, EDITORIAL, GOES_ON, MARKER, MARKS, block_class, law_provisions, law_statistics, mark_number
+from ..operators.parsing import ROMAN, citation_labels, citations, diff_counts, internal_references, keep_in_force, normalised_id, provisions_of, truncate_at, word_diff
+from ..operators.temporal import compared_versions, resolve_references
 from ..session import table
 from .register import registry
 
@@ -39,7 +40,88 @@ select document, seq, case seq when 1 then 'article' when 2 then 'paragraph' whe
 from h where art = 1 and seq <= 6
 """)
 def provision_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provisions(order_blocks(spark, sf_dir)).select("document", "seq", "kind", "path")
+    blocks = order_blocks(spark, sf_dir).withColumn("kind", block_class(F.col("text"))).withColumn("number", mark_number(F.col("kind"), F.col("text")))
+    return provisions_of(blocks).select("document", "seq", "kind", "path")
+
+
+#: What stands before the lines of documents to make them blocks of laws, and how often.
+LAW_MARKS = {0: "'Art. ' || (i // 9 + 1) || 'º '", 1: "'§ ' || (i % 4 + 1) || 'º '", 2: "'II - '", 3: "'b) '", 5: "'Parágrafo único. '", 6: "'Decreto nº '", 7: "'IV – '"}
+
+
+def law_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents as blocks of laws, seven of nine with a mark in front of their own text."""
+    lines = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    kind = (F.col("document") + F.col("i")) % 9
+    mark = F.lit("")
+    for k, made in LAW_MARKS.items():
+        mark = F.when(kind == k, F.expr(made.replace("//", "div"))).otherwise(mark)
+    text = F.concat(mark, "line")
+    start = F.col("i") * 800
+    return lines.select("document", F.col("i").alias("seq"), start.alias("start"), (start + F.length(text)).alias("stop"), text.alias("text"))
+
+
+def re2(pattern: str) -> str:
+    return pattern.replace("(?iu)", "(?i)").replace("'", "''")
+
+
+TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+SHORT = r"length(t) < 60 and len(regexp_extract_all(t, '\.')) <= 1 and len(regexp_extract_all(t, ',')) <= 1 and regexp_matches(t, '^\p{Lu}') and len(regexp_split_to_array(t, '\s+')) <= 10"
+NUMERALS = ", ".join(f"'{x}'" for x in ROMAN)
+AS_MARK = "\n".join(
+    f"when regexp_matches(t, '{re2(p)}')" + (f" and regexp_extract(t, '{re2(p)}', 1) in ({NUMERALS})" if k == "item" else "") + f" then case when regexp_matches(t, '{re2(CONTENTS)}') then 'metadata' else '{k}' end" for k, p in MARKS.items()
+)
+AS_EDITED = "\n".join(f"when regexp_matches(t, '{re2(p)}') then '{k}'" for k, p in EDITORIAL)
+NUMERAL = rf"upper(regexp_extract(t, '(?i)^\s*([ivxl]+)\s*[-–—]', 1)) in ({NUMERALS})"
+LAWS = rf"""with l as (select doc_id as document, unnest(string_split(text, chr(10))) as line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as i from documents where text is not null),
+m as (select document, i as seq, i * 800 as start, case (document + i) % 9 {' '.join(f'when {k} then {x}' for k, x in LAW_MARKS.items())} else '' end || line as text from l),
+b as (select *, start + length(text) as stop, {TRIM} as t from m),
+k as (select *, case when t = '' then 'metadata'
+{AS_MARK}
+{AS_EDITED}
+when regexp_matches(t, '{re2(CAPITALS)}') and length(t) < 120 then 'heading' when regexp_matches(t, '{re2(MARKER)}') or {NUMERAL} then 'unclassified'
+when {SHORT} then 'heading' else 'unclassified' end as kind from b)"""
+
+
+@query(LAWS + " select document, seq, kind from k")
+def law_block_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return law_blocks(spark, sf_dir).select("document", F.col("seq").cast("long").alias("seq"), block_class(F.col("text")).alias("kind"))
+
+
+def as_number(part) -> str:
+    return f"regexp_replace({part}, '^0+([0-9])', '\\1')"
+
+
+UNFINISHED = rf"(?i)(,|(^|[^\p{{L}}\p{{N}}_])({GOES_ON.replace(' ', '|')}))\s*$"
+PROVISIONS = LAWS + rf""", n as (select *, case kind when 'article' then {as_number(f"replace(regexp_extract(t, '{re2(MARKS['article'])}', 1), '.', '')")} || regexp_extract(t, '{re2(MARKS['article'])}', 2)
+    when 'paragraph' then case when regexp_extract(t, '{re2(MARKS['paragraph'])}', 1) = '' then 'unico' else {as_number(f"regexp_extract(t, '{re2(MARKS['paragraph'])}', 1)")} end
+    when 'item' then regexp_extract(t, '{MARKS['item']}', 1) when 'letter' then regexp_extract(t, '{MARKS['letter']}', 1) end as number from k),
+g as (select *, count(*) filter (kind <> 'unclassified') over (partition by document order by seq) as no from n where kind in ('article', 'paragraph', 'item', 'letter', 'unclassified') and t <> ''),
+j as (select *, coalesce(kind <> 'unclassified' or start - first_value(stop) over (partition by document, no order by seq) <= 1500 or regexp_matches(lag(t) over (partition by document, no order by seq), '{UNFINISHED}'), false) as joins from g where no > 0),
+h as (select *, bool_and(joins) over (partition by document, no order by seq) as kept from j),
+o as (select document, no, min(seq) as seq, arg_min(kind, seq) as kind, arg_min(number, seq) as number, string_agg(case when kind = 'unclassified' then t else text end, chr(10) order by seq) as text from h where kept group by document, no),
+a as (select *, count(*) filter (kind = 'article') over (partition by document order by seq) as s0 from o),
+p as (select *, count(*) filter (kind = 'paragraph') over (partition by document, s0 order by seq) as s1 from a where s0 > 0),
+q as (select *, count(*) filter (kind = 'item') over (partition by document, s0, s1 order by seq) as s2 from p),
+r as (select *, first_value(case when kind = 'article' then number end) over (partition by document, s0 order by seq) as article,
+    first_value(case when kind = 'paragraph' then number end) over (partition by document, s0, s1 order by kind <> 'paragraph', seq) as paragraph,
+    first_value(case when kind = 'item' then number end) over (partition by document, s0, s1, s2 order by kind <> 'item', seq) as item, case when kind = 'letter' then number end as letter from q),
+u as (select document, seq, kind, text, case when letter is not null then 'ALI' when item is not null then 'INC' when paragraph is not null then 'PAR' else 'ART' end
+    || '-' || case when length(regexp_extract(article, '^\d+')) < 3 then lpad(regexp_extract(article, '^\d+'), 3, '0') else regexp_extract(article, '^\d+') end || regexp_extract(article, '^\d+(.*)$', 1)
+    || case when paragraph is null then '' when paragraph = 'unico' then '-0' else '-' || paragraph end || coalesce('-' || item, '') || coalesce('-' || letter, '') as span_id,
+    (paragraph is not null)::int + (item is not null)::int + (letter is not null)::int as depth from r),
+f as (select *, row_number() over (partition by document, span_id order by contains(regexp_replace(lower(text), '\s+', ' ', 'g'), 'vigência encerrada'), seq desc) as best from u),
+w as (select document, row_number() over (partition by document order by seq) as place, kind, span_id, depth, text from f where best = 1)"""
+
+
+@query(PROVISIONS + " select document, place, kind, span_id, depth, md5(text) as digest from w")
+def law_provision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From blocks to provisions: classes, orphans, levels, repeated provisions, ids."""
+    return law_provisions(law_blocks(spark, sf_dir)).select("document", "place", "kind", "span_id", F.col("depth").cast("int").alias("depth"), F.md5("text").alias("digest"))
+
+
+@query(PROVISIONS + " select document, count(*) as n, " + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in MARKS) + ", max(depth)::bigint as max_depth from w group by document")
+def law_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return law_statistics(law_provisions(law_blocks(spark, sf_dir)))
 
 
 @query("select o_custkey, arg_max(o_orderkey, (o_orderstatus <> 'F', o_orderkey)) as o_orderkey from orders group by o_custkey")
@@ -56,6 +138,68 @@ def extract_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations(docs.select("doc_id", text.alias("text")), "doc_id", "text")
 
 
+@query()
+def internal_law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References within whole texts, to which one of the document's own and one to another law are added."""
+    docs = table(spark, sf_dir, "documents")
+    own = F.format_string(". Aplica-se o art. %d, § 2º, inciso IV, desta lei e o art. %d da Lei nº 14.%03d/2021.", F.col("doc_id") % 40 + 1, F.col("doc_id") % 7 + 50, F.col("doc_id") % 1000)
+    return internal_references(docs.select("doc_id", F.concat("text", own).alias("text")), "doc_id", "text")
+
+
+@query("""
+select doc_id, ['LEI-14.' || lpad((doc_id % 1000)::varchar, 3, '0') || '-2021 art. ' || (doc_id % 30 + 1), 'DECRETO-99.' || lpad((doc_id % 1000)::varchar, 3, '0') || '-1990 art. ' || (doc_id % 30 + 1)] as labels
+from documents where text is not null and not regexp_matches(text, '(?i)\\b(lei|decreto|lc|ec|dl|mp|in|portaria|resolu..o|constitui..o|cf)\\b')
+""")
+def citation_label_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels, in order, of the documents that cite nothing of their own."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)\b(lei|decreto|lc|ec|dl|mp|in|portaria|resolu..o|constitui..o|cf)\b"))
+    text = F.concat("text", F.format_string(". O art. %d da Lei nº 14.%03d/2021; o art. %d do Decreto 99.%03d, de 1990; ainda o art. %d da Lei nº 14.%03d/2021.", *(x for _ in range(3) for x in (F.col("doc_id") % 30 + 1, F.col("doc_id") % 1000))))
+    return citation_labels(citations(docs.select("doc_id", text.alias("text")), "doc_id", "text"), "doc_id")
+
+
+@query("""
+select o_orderkey, case o_orderkey % 4 when 0 then 'LEI-' || n || '-2021' when 1 then 'IN-58-2022' when 2 then 'DECRETO-' || n || '-1998' else 'LC-' || n end as id
+from (select o_orderkey, case when o_orderkey >= 1000 then ltrim(format('{:,}', o_orderkey)) else o_orderkey::varchar end as d from orders) x, lateral (select replace(d, ',', '.') as n)
+""")
+def normalised_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    raw = F.when(key % 4 == 0, F.format_string(" lei nº %d/2021", key)).when(key % 4 == 1, "IN_58 / 2022").when(key % 4 == 2, F.format_string("Decreto %d-1998", key)).otherwise(F.concat(F.lit("lc N. "), F.replace(F.format_number(key, 0), F.lit(","), F.lit("."))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", normalised_id(raw).alias("id"))
+
+
+@query("""
+select l_orderkey, l_linenumber, l_orderkey::int as article, case l_linenumber when 1 then '3' when 2 then 'unico' end as paragraph, case when l_linenumber in (1, 3) then 'IV' end as item, case when l_linenumber in (3, 4) then 'b' end as letter,
+    concat_ws('-', 'art' || l_orderkey, 'par' || case l_linenumber when 1 then '3' when 2 then 'unico' end, 'inc' || case when l_linenumber in (1, 3) then 'IV' end, 'al' || case when l_linenumber in (3, 4) then 'b' end) as path,
+    concat_ws(', ', 'Art. ' || l_orderkey || 'º', '§' || case l_linenumber when 1 then '3' when 2 then 'unico' end || 'º', case when l_linenumber in (1, 3) then 'IV' end, case when l_linenumber in (3, 4) then 'b' end) || ' da Lei 1' as label
+from (select distinct l_orderkey, l_linenumber from lineitem)
+""")
+def provision_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable references of five forms read into levels, and these written as a path and a label."""
+    n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    said = F.concat(F.lit("Art. "), key, F.when(n == 1, "º, § 3º, IV").when(n == 2, ", parágrafo único").when(n == 3, ", inciso IV, alínea b").when(n == 4, "º, b").otherwise(""))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().select("*", provision_ref(said).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    levels = [F.col(x) for x in ("article", "paragraph", "item", "letter")]
+    return rows.withColumn("path", provision_path(*levels)).withColumn("label", provision_label(*levels, F.lit("Lei 1")))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then '' else substr(text, 6, 20) end as slice, doc_id % 3 <> 0 as unchanged from documents where text is not null")
+def verified_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices by offset, empty where the text isn't the one that was hashed."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    digest = F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    part, same = slice_if_unchanged("text", F.lit(5), F.lit(25), digest)
+    return docs.select("doc_id", part.alias("slice"), same.alias("unchanged"))
+
+
+@query("""
+select o_custkey, arg_min(o_orderpriority || ' ' || o_orderkey, (o_orderdate, o_orderpriority || ' ' || o_orderkey)) as old, arg_max(o_orderpriority || ' ' || o_orderkey, (o_orderdate, o_orderpriority || ' ' || o_orderkey)) as new from orders group by o_custkey
+""")
+def compared_redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last wording of each customer's orders, side by side."""
+    orders = table(spark, sf_dir, "orders").withColumn("wording", F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")))
+    return compared_versions(orders, "o_custkey", "o_orderdate", "o_orderdate", "wording")
+
+
 @query()
 def word_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that differ between each conversation's turns and the turn before."""
@@ -67,7 +211,17 @@ def word_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_counts(pairs, "at", "d").select("at.*", "n_same", "n_removed", "n_added")
 
 
-@query()
+def last_begin(mark: str) -> str:
+    """SQL for the place, from 0, of the last ``mark`` that begins at 400 or before; -1 without one."""
+    head = f"left(text, {400 + len(mark)})"
+    sql = " || ".join("chr(10)" if c == chr(10) else f"'{c}'" for c in mark[::-1])
+    return f"case when strpos(reverse({head}), {sql}) = 0 then -1 else length({head}) - strpos(reverse({head}), {sql}) + 1 - {len(mark)} end"
+
+
+CUTS = " ".join(f"when {last_begin(m)} > 240 then {last_begin(m)} + {len(m)}" for m in ("\n\n", "\n", ". ", "; ", ", "))
+
+
+@query(f"select doc_id, case when length(text) <= 400 then length(text) else case {CUTS} else 400 end end as n_chars, case when length(text) > 400 then case {CUTS} else 400 end end as next from documents")
 def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", truncate_at(F.col("text"), 0, 100).alias("t")).select("doc_id", F.length("t.text").alias("n_chars"), "t.next")
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN
 from ..operators.fusion import first_payload, fuse, page, rerank_all_or_nothing, rerank_first, rerank_mixed
-from ..operators.lexical import and_first, bm25, grep, keyword_overlap, postings, query_tokens, snippet, substring_lane, top
+from ..operators.lexical import and_first, bm25, bm25_indexed, grep, keyword_overlap, postings, query_tokens, snippet, substring_lane, top, write_index
 from ..operators.vector import nearest, nearest_to_each, valid_dimension
-from ..plans.hybrid import hybrid
-from ..session import table
+from ..plans.hybrid import hybrid, law_search, lexical_lanes, ruling_search, two_way_search
+from ..session import new_folder, table
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -43,6 +43,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(found, "doc_id", 20).select("doc_id", "score", "rank")
 
 
+@query(f"with {bm25_sql(['the', 'er', 'ment'])} select doc_id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, doc_id) as rank from m order by rank limit 20")
+def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, from an index written first."""
+    path = new_folder(spark, "terms-of-documents")
+    write_index(documents(spark, sf_dir), "doc_id", "text", path)
+    found = bm25_indexed(spark, path, "doc_id", query_tokens("the er ment")).withColumn("score", F.round("score", 6))
+    return top(found, "doc_id", 20).select("doc_id", "score", "rank")
+
+
 @query(f"with {bm25_sql(['the', 'er'], where=chr(39).join(['lang = ', 'en', ' and source = ', 'src3', '']))} select doc_id, round(score, 6) as score from m")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matching rows of one source; corpus figures come from all documents."""
@@ -158,17 +167,16 @@ lane_c as (select doc_id, row_number() over (order by score desc, doc_id) as ran
 """
 
 
-def lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir)
-    a = top(bm25(docs, "text", query_tokens("the er ment")).withColumn("score", F.round("score", 6)), "doc_id", 20)
+def lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with has_text, and the lanes by terms, by vectors and by substrings: texts are read once."""
+    counts, a, c = lexical_lanes(documents(spark, sf_dir), "doc_id", "text", "the er ment")
     b = nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", query_vector(spark, sf_dir), 20).withColumnRenamed("vec_id", "doc_id")
-    c = top(substring_lane(docs, "text", "the er ment").withColumn("score", F.round("score", 6)), "doc_id", 20)
-    return a, b, c
+    return counts, a, b, c
 
 
 @query(LANES + "u as (select * from lane_a union all select * from lane_b) select doc_id, round(sum(1 / (60 + rank)), 6) as rrf, count(*) as n_lanes from u group by doc_id")
 def rrf_two_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, _ = lanes(spark, sf_dir)
+    _, a, b, _ = lanes(spark, sf_dir)
     return fuse([a, b], "doc_id")
 
 
@@ -181,8 +189,8 @@ pool as (select f.*, d.lang, d.source from f join documents d using (doc_id) whe
 @query(THREE + "select doc_id, lang, source, rrf, n_lanes, row_number() over (order by rrf desc, doc_id) as place from pool")
 def hybrid_three_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, vectors and substrings fused; rows that no longer exist or have no text are dropped before the cut."""
-    a, b, c = lanes(spark, sf_dir)
-    return hybrid([a, b, c], documents(spark, sf_dir), "doc_id", "text", ["lang", "source"], 20)
+    rows, a, b, c = lanes(spark, sf_dir)
+    return hybrid([a, b, c], rows, "doc_id", ["lang", "source"], 20)
 
 
 RERANK = THREE + ", r as (select pool.*, quality::double as rerank from pool left join (select doc_id, max(quality) as quality from labels group by doc_id) using (doc_id))"
@@ -208,9 +216,37 @@ def rerank_mixed_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank_mixed(reranked_pool(spark, sf_dir), "doc_id")
 
 
+@query(LANES + """u as (select * from lane_a union all select * from lane_c), f as (select doc_id, round(sum(1 / (60 + rank)), 6) as rrf, count(*) as n_lanes from u group by doc_id)
+select doc_id, rrf, n_lanes, row_number() over (order by rrf desc, doc_id) as place from f join documents d using (doc_id) where coalesce(d.text, '') <> '' order by place limit 20""")
+def two_way_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_way_search(documents(spark, sf_dir), "doc_id", "text", "the er ment")
+
+
+@query(LANES + """u as (select * from lane_a union all select * from lane_b), f as (select doc_id, round(sum(1 / (60 + rank)), 6) as rrf from u group by doc_id),
+pool as (select doc_id, rrf from f join documents d using (doc_id) where coalesce(d.text, '') <> '' order by rrf desc, doc_id limit 20),
+r as (select doc_id, rrf, (doc_id % 97) / 97.0 as rerank from pool)
+select doc_id, rrf, rerank as score, true as reranked, row_number() over (order by rerank desc, doc_id) as place from r where rerank >= 0.02 order by place limit 5""")
+def law_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of law search; ids stand in for a model's rerank scores."""
+    docs, vectors = documents(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    scores = docs.select("doc_id", (F.col("doc_id") % 97 / 97).alias("rerank"))
+    return law_search(docs, vectors, scores, "doc_id", "text", "the er ment", query_vector(spark, sf_dir))
+
+
+@query(f"""
+with b as (select vec_id as doc_id, {COSINE} as rrf from embeddings order by rrf desc, vec_id limit 20),
+r as (select doc_id, rrf, quality::double as rerank from b join documents d using (doc_id) left join (select doc_id, max(quality) as quality from labels group by doc_id) using (doc_id) where coalesce(d.text, '') <> '')
+select doc_id, rrf, rerank, row_number() over (order by rerank is null, rerank desc nulls last, rrf desc, doc_id) as place from r order by place limit 10
+""")
+def ruling_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vectors = documents(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("rerank"))
+    return ruling_search(docs, vectors, quality, "doc_id", "text", "the er ment", query_vector(spark, sf_dir), 10)
+
+
 @query(LANES + "u as (select doc_id, rank, 0 as lane from lane_a union all select doc_id, rank, 1 from lane_c) select doc_id, arg_min(rank, lane) as rank, min(lane) as from_lane from u group by doc_id")
 def lane_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, _, c = lanes(spark, sf_dir)
+    _, a, _, c = lanes(spark, sf_dir)
     tagged = [x.withColumn("from_lane", F.lit(i).cast("long")) for i, x in enumerate((a, c))]
     return first_payload(tagged, "doc_id", ["rank", "from_lane"])
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import confirmed, delete_keys, keep_first, latest_wins, orphans
-from ..operators.pricing import price_statistics, price_tails, relevance
-from ..operators.temporal import append_versions, as_of_join, closed_intervals, equals_where_given, first_and_last, lookup, number_range, valid_at
+from ..functions.numbers import cents, two_letters
+from ..functions.text import backoff_ms, transient_error
+from ..operators.pricing import price_report, price_statistics, price_tails, relevance
+from ..operators.temporal import append_versions, as_of_join, closed_intervals, equals_where_given, first_and_last, last_in_order, lookup, number_range, provisions_in_force, valid_at, with_existence
 from ..session import table
 from .register import registry
 
@@ -191,3 +193,102 @@ def reference_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = samples(spark, sf_dir).where(during).join(F.broadcast(best), "l_partkey")
     out = price_statistics(found, "l_partkey", "l_returnflag", "price", "l_shipdate", "relevant").where("n > 0")
     return out.select("l_partkey", "unit", "n", "median", day("first_date").alias("first_date"))
+
+
+@query(f"""
+with {SAMPLES}, o as (select l_partkey, count(*) as n, quantile_cont(price, [0.05, 0.95]) as q from s group by all), w as (select quantile_cont(price, [0.05, 0.95]) as wq from s)
+select l_partkey, n, 'all' as level, floor(round(wq[1], 4) + 0.5)::bigint as p5, floor(round(wq[2], 4) + 0.5)::bigint as p95 from o, w
+""")
+def price_tails_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No item and no group has enough samples: all take the whole's."""
+    return price_tails(samples(spark, sf_dir).withColumn("none", F.lit("x")), "l_partkey", "none", "price", 2**40)
+
+
+@query(f"""
+with s as (select l_partkey, l_returnflag, l_orderkey * 10 + l_linenumber as id, l_shipdate, floor(100 * l_extendedprice / l_quantity + 0.5)::bigint as price, l_quantity >= 5 as relevant from lineitem where l_suppkey % 7 <> 0),
+u as (select l_partkey, l_returnflag, count(*) filter (relevant) as n, quantile_cont(price, 0.5) filter (relevant) as p50 from s group by all),
+r as (select *, row_number() over (partition by l_partkey order by n desc, l_returnflag nulls last) as place from u),
+t as (select l_partkey, id, price, row_number() over (partition by l_partkey order by l_shipdate desc, id) as place from s where relevant),
+l as (select l_partkey, string_agg(id || ':' || price, ',' order by place) as samples from t where place <= 5 group by l_partkey)
+select r.l_partkey, n, floor(round(p50, 4) + 0.5)::bigint as median, samples from r left join l using (l_partkey) where r.place = 1
+""")
+def price_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of materials with the first five samples; what a seventh of the suppliers sells stands for services."""
+    rows = samples_with_ids(spark, sf_dir)
+    out = price_report(rows, "kind", "l_partkey", "l_returnflag", "price", "l_shipdate", "relevant", "id", 5)
+    return out.select("l_partkey", "n", "median", F.array_join(F.transform("samples", lambda x: F.concat_ws(":", x["id"].cast("string"), x["price"].cast("string"))), ",").alias("samples"))
+
+
+def samples_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.floor(100 * F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("long")
+    kind = F.when(F.col("l_suppkey") % 7 == 0, "S").otherwise("M")
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_shipdate", price.alias("price"), (F.col("l_quantity") >= 5).alias("relevant"), kind.alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+
+
+@query(f"""
+with {VERSIONS}, p as (select c_custkey as o_custkey, c_name, c_nationkey from customer), live as (select o_custkey, arg_max(o_orderkey, (o_orderdate, valid_until, o_orderkey)) as o_orderkey from v where valid_until is null group by o_custkey)
+select p.o_custkey, c_name, o_orderkey, n_name from p join live using (o_custkey) left join nation on n_nationkey = c_nationkey and n_nationkey % 3 <> 0
+""")
+def provisions_versions_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as provisions, their open orders as versions, nations as norms, of which a third is missing."""
+    provisions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("norm"))
+    norms = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("norm"), "n_name")
+    versions = order_versions(spark, sf_dir).select("o_custkey", "o_orderdate", "valid_until", "o_orderkey")
+    return provisions_in_force(provisions, versions, norms, "norm", "o_custkey", "o_orderdate", "valid_until").select("o_custkey", "c_name", "o_orderkey", "n_name")
+
+
+@query("""
+select l_orderkey, l_linenumber, o_orderstatus, c_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_returnflag = 'R' and l_quantity >= 25
+""")
+def items_of_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables along their keys: found items, their rulings, and whom these belong to."""
+    found = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 25").select("l_orderkey", "l_linenumber")
+    rulings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return found.join(rulings, "l_orderkey").join(owners, "o_custkey").select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name")
+
+
+@query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') as has_report from customer")
+def analyses_with_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return with_existence(table(spark, sf_dir, "customer").select("c_custkey"), reports, "c_custkey", "has_report")
+
+
+@query("select o_custkey, sum(case when o_orderpriority <> '5-LOW' then floor(o_totalprice * 100 + 0.5)::bigint end)::bigint as claimed from orders group by o_custkey")
+def claimed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the values claimed, null where none is."""
+    value = F.when(F.col("o_orderpriority") != "5-LOW", cents(F.col("o_totalprice")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(value).alias("claimed"))
+
+
+@query("select source, count(*) as n_pages, sum(length(text))::bigint as n_chars, count(distinct lang) as n_langs from documents group by source")
+def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_pages"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.count_distinct("lang").alias("n_langs"))
+
+
+@query("select * from (select event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as moment from events order by ts desc, event_id desc limit 30)")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last thirty, in ascending order."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return last_in_order(rows, ["ts", "event_id"], 30).select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
+@query("""
+with j as (select o_orderkey, '{"status":"' || o_orderstatus || '","customer":{"key":' || o_custkey || '}' || case when o_orderkey % 5 = 0 then '' else '}' end as payload from orders)
+select o_orderkey, case when json_valid(payload) then payload ->> '$.status' end as status, case when json_valid(payload) then (payload ->> '$.customer.key')::bigint end as customer from j
+""")
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of JSON texts; a broken text gives nulls."""
+    orders = table(spark, sf_dir, "orders")
+    closing = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("}")
+    payload = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","customer":{"key":'), F.col("o_custkey").cast("string"), F.lit("}"), closing)
+    parsed = F.try_parse_json(payload)
+    return orders.select("o_orderkey", F.try_variant_get(parsed, "$.status", "string").alias("status"), F.try_variant_get(parsed, "$.customer.key", "long").alias("customer"))
+
+
+@query("select o_orderkey, floor(o_totalprice * 100 + 0.5)::bigint as total_cents, case when length(trim(o_orderstatus || substr(o_orderpriority, 3, 1))) = 2 then upper(trim(o_orderstatus || substr(o_orderpriority, 3, 1))) end as code, o_orderkey % 600 in (429, 500, 502, 503, 504) or lower(o_orderpriority) like '%urgent%' as transient, (500 * 2 ** (o_orderkey % 4))::bigint as wait_ms from orders")
+def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in cents, two-letter codes, which failures are worth another attempt, and how long to wait for it."""
+    message = F.regexp_replace(F.lower("o_orderpriority"), "urgent", "Timeout")
+    code = F.concat("o_orderstatus", F.substring("o_orderpriority", 3, 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("total_cents"), two_letters(code).alias("code"), transient_error(F.col("o_orderkey") % 600, message).alias("transient"), backoff_ms(F.col("o_orderkey") % 4).alias("wait_ms"))
