@@ -40,9 +40,11 @@ BLOCK_SHINGLES = 4_000_000
 #: Sets compared with one copy of a query; sets that a segment of a list holds, about; most deliveries of texts that are broadcast.
 QUERY_SETS, SEGMENT, BROADCAST_DELIVERIES = 256, 1024, 400_000
 #: Rounds in which lists are searched with one query each. More or fewer change the work, never the links.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Weight of a binary probe against a step of the merge, from which follows how many lists are long.
 PROBE = 0.01
+#: Ratio of the sizes of neighbouring classes: a little over 4/3, the most that linked sets may differ.
+SIZE_CLASS = 1.34
 #: Bits of the hash by which long lists are cut into segments.
 CUT_BITS = 24
 
@@ -136,7 +138,7 @@ def keyed_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_lists(sets: DataFrame) -> DataFrame:
-    """(token, set, n, len, own) of the short lists that hold two sets or more; own: first shingles that no other set has.
+    """(token, set, n, len, own) of the short lists that hold two sets or more; own: first shingles of the set that stand on no such list.
 
     Lists of few documents are gathered by token, in order, and those of one set dropped on the way; long ones are only
     made distinct, by token and set, so that no long list has to fit a task.
@@ -284,39 +286,45 @@ def rooted_lists(lists: DataFrame, roots: DataFrame | None, by_share: bool = Tru
         weight = roots.groupBy(F.col("k_root").alias("w_root")).agg(F.count("*").alias("weight"))
         known = roots.join(weight, F.col("k_root") == F.col("w_root")).select("k_set", "k_root", "weight")
         marked = written(lists.join(known, F.col("set") == F.col("k_set"), "left").select("token", "set", "n", "len", "own", F.coalesce("k_root", "set").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight")), "marked-lists")
-    top = F.max(F.struct(F.col("weight"), F.when(F.lit(by_share) & (F.col("weight") == 1), -alone).alias("share"), F.col("root"))).alias("top")
+    share = F.when(F.lit(by_share) & (F.col("weight") == 1), -alone)
+    top = F.max(F.struct(F.col("weight"), share.alias("share"), F.col("root"), (-alone).alias("common"), F.col("set"), F.col("n"))).alias("top")
     tops = marked.groupBy("token").agg(top, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    tops = written(tops.select(F.col("token").alias("c_token"), F.col("top.root").alias("c_root")), "top-roots")
-    open_rows = marked.join(tops, F.col("token") == F.col("c_token")).drop("c_token")
-    hubs = open_rows.where("root = c_root").groupBy(F.col("token").alias("h_token")).agg(F.min(F.struct(alone.alias("alone"), F.col("set"), F.col("n"))).alias("hub"))
-    return open_rows.join(hubs.select("h_token", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n")), F.col("token") == F.col("h_token")).drop("h_token")
+    tops = tops.select(F.col("token").alias("c_token"), F.col("top.root").alias("c_root"), F.col("top.set").alias("hub"), F.col("top.n").alias("hub_n"))
+    return marked.join(tops, F.col("token") == F.col("c_token")).drop("c_token")
 
 
 def met_in_lists(rows: DataFrame) -> DataFrame:
-    """(a, b, len): sets of different roots that meet in short lists as often as links must; b is of the weightier root.
+    """(a, b): sets of different roots that meet in short lists as often as links must; b is of the weightier root.
 
-    Each set outside the top root of a list is a query, and the list is delivered to it in segments of SEGMENT sets or
-    so. A query whose lists are long is cut into parts by the same hash as they are, each with its own task.
+    Lists are cut by the size of their sets, so that a set meets those of its own class and the two beside it, and
+    within a class into segments of SEGMENT sets or so. Each set outside the top root of a list is a query, to which the
+    segments that hold a weightier root are delivered. A query whose lists are long is cut into parts by the same hash
+    as they are, each with its own task.
     """
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("len") / SEGMENT)))
-    place = F.pmod(F.xxhash64("set", F.lit("segment")), F.lit(1 << CUT_BITS)).cast("int")
-    rows = rows.withColumn("bits", F.least(F.lit(CUT_BITS), bits).cast("int")).withColumn("place", place)
-    member = F.struct("set", "n", "root", "weight", "place")
-    segments = rows.groupBy(F.col("token").alias("s_token"), F.expr(f"shiftright(place, {CUT_BITS} - bits)").alias("segment")).agg(F.collect_list(member).alias("members"))
-    asking = rows.where("root <> c_root").select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("weight").alias("weight_a"), "len", "bits")
-    widest = asking.groupBy(F.col("a").alias("w_a")).agg(F.max("bits").alias("a_bits"))
-    asking = asking.join(widest, F.col("a") == F.col("w_a")).drop("w_a").withColumn("part", F.explode(F.expr("sequence(0, cast(shiftleft(1, a_bits) as int) - 1)")))
-    delivered = asking.join(segments, (F.col("token") == F.col("s_token")) & (F.expr("shiftright(part, a_bits - bits)") == F.col("segment")))
-    names = ("set", "n", "root", "weight", "place")
-    sent = delivered.select("a", "part", "n_a", "root_a", "weight_a", "a_bits", "len", *(F.col(f"members.{x}").alias(x) for x in names)).repartition("a", "part").sortWithinPartitions("a", "part")
+    bits = F.least(F.lit(CUT_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("len") / SEGMENT)))).cast("int")
+    place = F.shiftrightunsigned("set", 64 - CUT_BITS).cast("int")  # numbers of sets are hashes
+    size_class = F.floor(F.log("n") / math.log(SIZE_CLASS)).cast("int")
+    rows = rows.withColumn("bits", bits).withColumn("class", size_class).withColumn("weight", F.least("weight", F.lit(2**31 - 1)).cast("int"))
+    segments = rows.groupBy(F.col("token").alias("s_token"), F.col("class").alias("s_class"), F.call_function("shiftright", place, F.lit(CUT_BITS) - F.col("bits")).alias("segment")).agg(
+        F.collect_list(F.struct("set", "n", "root", "weight")).alias("members"), F.max(F.struct("weight", "root")).alias("most")
+    )
+    asking = rows.where("root <> c_root").select("token", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("weight").alias("weight_a"), "class", "bits")
+    widest = asking.groupBy(F.col("a").alias("w_a")).agg(F.max("bits").alias("a_bits")).where("a_bits > 0")
+    asking = asking.join(widest, F.col("a") == F.col("w_a"), "left").drop("w_a").withColumn("a_bits", F.coalesce("a_bits", F.lit(0)))
+    asking = asking.withColumn("near", F.explode(F.expr("array(class - 1, class, class + 1)"))).withColumn("part", F.explode(F.expr("sequence(0, cast(shiftleft(1, a_bits) as int) - 1)")))
+    weightier = F.col("most") > F.struct(F.col("weight_a").alias("weight"), F.col("root_a").alias("root"))
+    delivered = asking.join(segments, (F.col("token") == F.col("s_token")) & (F.col("near") == F.col("s_class")) & (F.expr("shiftright(part, a_bits - bits)") == F.col("segment")) & weightier)
+    names = ("set", "n", "root", "weight")
+    sent = delivered.select("a", "part", "n_a", "root_a", "weight_a", "a_bits", *(F.col(f"members.{x}").alias(x) for x in names)).repartition("a", "part").sortWithinPartitions("a", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asks, longest, held = None, (), 0, []
+        at, asks, held = None, (), []
 
         def merged() -> pa.RecordBatch:
             a, part = at
             n_a, root_a, weight_a, a_bits = asks
-            own, n, root, weight, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, n, root, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = (own.view(np.uint64) >> np.uint64(64 - CUT_BITS)).astype(np.int64)
             mine = (place >> (CUT_BITS - a_bits) == part) & (root != root_a) & ((weight > weight_a) | (weight == weight_a) & (root > root_a))
             mine &= 4 * np.minimum(n, n_a) >= 3 * np.maximum(n, n_a)
             b, first, met = np.unique(own[mine], return_index=True, return_counts=True)
@@ -324,23 +332,22 @@ def met_in_lists(rows: DataFrame) -> DataFrame:
             overlap = -(-3 * (n_a + m) // 7)
             need = np.maximum(1, np.minimum(prefix_length(n_a) - n_a, prefix_length(m) - m) + overlap)
             b = b[met >= need]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b), pa.array(np.full(len(b), longest))], names=["a", "b", "len"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(7)]
-            lists = [batch.column(7 + i) for i in range(5)]
+            columns = [batch.column(i).to_numpy() for i in range(6)]
+            lists = [batch.column(6 + i) for i in range(4)]
             flat, ends = [x.flatten().to_numpy() for x in lists], np.cumsum(lists[0].value_lengths().to_numpy())
-            for i, (a, part, *more, length) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+            for i, (a, part, *more) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
                 if at != (a, part):
                     if held:
                         yield merged()
-                    at, asks, longest, held = (a, part), tuple(more), 0, []
-                longest = max(longest, length)
+                    at, asks, held = (a, part), tuple(more), []
                 held.append([x[ends[i - 1] if i else 0 : ends[i]] for x in flat])
         if held:
             yield merged()
 
-    return sent.mapInArrow(run, "a long, b long, len long")
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +365,8 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         roots = written(_joined_roots(roots, links[-1].select("a").distinct().join(pairs, "a")), "known-roots")
     # what is left: the sets of lists on which several roots still stand
     met = written(met_in_lists(written(rooted_lists(lists, roots, by_share=False), "open-lists")), "met-in-lists")
-    links.append(written(linked(met.groupBy("a", "b").agg(F.max("len").alias("len")), reps, docs), "last-links"))
+    partners = met.groupBy(F.col("b").alias("p_b")).agg(F.count("*").alias("len"))
+    links.append(written(linked(met.join(partners, F.col("b") == F.col("p_b")).drop("p_b"), reps, docs), "last-links"))
     return sets.select("doc_id", "key", "n", "set"), connected_components(_all(links))
 
 
