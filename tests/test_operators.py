@@ -14,10 +14,12 @@ from vellum.operators.checks import audit_citations, cost_rollup, grounded, miss
 from vellum.operators.fiscal import burden_differential, rates, verdict
 from vellum.operators.fusion import fuse, rerank_all_or_nothing
 from vellum.operators.lexical import UNSAFE, expand_synonyms, query_tokens
-from vellum.operators.parsing import block_class, citations_of, diff_words, merge_orphans, provisions, sibling_order, truncate_at
-from vellum.operators.pricing import price_statistics, relevance
+from vellum.operators.laws import block_class, child_offsets, children_in_order, law_provisions, merge_orphans, split_headed_articles, split_page_headers
+from vellum.operators.parsing import citations_of, diff_words, normalised_id, own_references_of, sibling_order, truncate_at
+from vellum.operators.pricing import percentiles, price_statistics, relevance
 from vellum.operators.sequence import fixed_window_limits, packed_chunks
-from vellum.operators.temporal import as_of_join, lookup
+from vellum.operators.temporal import as_of_join, lookup, resolve_references
+from vellum.operators.vector import nearest_to_each
 
 
 def one(spark, *columns):
@@ -147,31 +149,106 @@ def test_text_functions(spark):
     assert (r.slug, r.norm, tuple(r.ref), len(r.cut), r.audit, r.canon, r.code) == ("acao-reacao", "lc-214-2025", (5, "3", "IV", "b"), 280, "a b", "a\nb\n", None)
 
 
+def blocks_of(spark, texts, step=100):
+    rows = [(1, i, i * step, i * step + len(t), t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "document int, seq int, start int, stop int, text string")
+
+
 def test_law_parsing(spark):
     lines = ["LEI Nº 1", "Art. 1º Texto.", "I - primeiro;", "a) letra;", "§ 1º Par.", "II - outro;", "Art. 2-A Novo.", "Parágrafo único. Fim.", "Art. 3º ........ 12"]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "document int, seq int, text string")
-    out = [(r.kind, r.path, r.parent, r.depth) for r in provisions(df).orderBy("seq").collect()]
-    assert out == [("article", "art1", None, 0), ("item", "art1-incI", "art1", 1), ("letter", "art1-incI-ala", "art1-incI", 2), ("paragraph", "art1-par1", "art1", 1), ("item", "art1-par1-incII", "art1-par1", 2), ("article", "art2-A", None, 0), ("paragraph", "art2-A-parunico", "art2-A", 1)]
-    kinds = [r.k for r in df.select(block_class(F.col("text")).alias("k"), "seq").orderBy("seq").collect()]
-    assert kinds[0] == "heading" and kinds[-1] == "metadata"
+    out = [(r.kind, r.path, r.parent, r.depth, r.span_id) for r in law_provisions(blocks_of(spark, lines)).orderBy("place").collect()]
+    assert out == [
+        ("article", "art1", None, 0, "ART-001"), ("item", "art1-incI", "art1", 1, "INC-001-I"), ("letter", "art1-incI-ala", "art1-incI", 2, "ALI-001-I-a"), ("paragraph", "art1-par1", "art1", 1, "PAR-001-1"),
+        ("item", "art1-par1-incII", "art1-par1", 2, "INC-001-1-II"), ("article", "art2-A", None, 0, "ART-002-A"), ("paragraph", "art2-A-parunico", "art2-A", 1, "PAR-002-A-0"),
+    ]
     s = spark.createDataFrame([("item", "IX"), ("item", "V"), ("letter", "b"), ("paragraph", "unico"), ("article", "10"), ("article", "9")], "k string, n string")
     assert [r.n for r in s.orderBy(sibling_order(F.col("k"), F.col("n"))).collect()] == ["9", "10", "V", "IX", "b", "unico"]
+    tree = {r.parent: r.children for r in children_in_order(law_provisions(blocks_of(spark, lines))).collect()}
+    assert tree == {"art1": ["art1-incI", "art1-par1"], "art1-incI": ["art1-incI-ala"], "art1-par1": ["art1-par1-incII"], "art2-A": ["art2-A-parunico"]}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("i - texto", "unclassified"), ("I -Texto", "item"), ("LXXXI - Texto longo", "heading"), ("Página 3 de 10", "metadata"), ("12", "metadata"), ("01/02/2024, 10:30", "metadata"), ("O MINISTRO DE ESTADO resolve:", "preamble"), ("Dispõe sobre o uso.", "preamble"),
+    ("DIÁRIO OFICIAL DA UNIÃO", "metadata"), ("Órgão: Ministério", "metadata"), ("LEI Nº 14.133, DE 1º DE ABRIL DE 2021", "heading"), ("CAPÍTULO I", "heading"), ("Das Licitações", "heading"), ("a) letra", "letter"), ("§ 2º Par", "paragraph"), ("Art. 5º ..... 12", "metadata"),
+    ("Art. 5º O", "article"), ("Artigo cinco", "heading"), ("", "metadata"), ("continuação do texto", "unclassified"), (None, "metadata"), ("1. Numerado", "unclassified"),
+])
+def test_block_class(spark, text, want):
+    assert one(spark, block_class(F.lit(text).cast("string")).alias("k")).k == want
+
 
+def test_bold_blocks_are_headings(spark):
+    long = "Título em negrito, com muitas palavras, que não caberia como texto simples"
+    r = one(spark, block_class(F.lit(long)).alias("a"), block_class(F.lit(long), F.lit(True)).alias("b"))
+    assert (r.a, r.b) == ("unclassified", "heading")
 
-def test_citations_and_diff():
+
+def test_splits_of_blocks(spark):
+    header = "01/02/2024, 10:30 Lei\nhttps://x.gov.br/lei.htm\n1/10\n"
+    rest = "Art. 1º Este é o texto de um artigo."
+    out = [(r.start, r.stop, r.text) for r in split_page_headers(blocks_of(spark, [header + rest, header + "curto"], 1000)).orderBy("start").collect()]
+    assert out == [(0, len(header), header.strip()), (len(header), len(header + rest), rest), (1000, 1000 + len(header) + 5, header + "curto")]
+    article = "Art. 35. O órgão adotará as medidas que forem necessárias ao caso."
+    cases = ["Subseção I\nAdoção\n" + article, "considerando o disposto no\n" + article, "ADOÇÃO\nArt. 3. curto", "x\n" * 120 + "SEÇÃO I\n" + article, article]
+    split = [(r.seq, r.text) for r in split_headed_articles(blocks_of(spark, cases, 5000)).orderBy("start").collect()]
+    assert split == [(0, "Subseção I\nAdoção"), (0, article), *((i, t) for i, t in enumerate(cases) if i)]
+
+
+def test_citations_and_diff(spark):
     found = citations_of("Nos termos do art. 124 da Lei nº 14.133/2021, da LC 214, de 2025, e da Constituição Federal.")
-    assert [(c[0], c[3]) for c in found] == [("LEI-14133-2021", 124), ("LC-214-2025", 124), ("CF-1988", None)]
-    assert citations_of("Decreto-Lei 2.848/40")[0][0] == "DL-2848-2040" and citations_of(None) == []
+    assert [(c[0], c[3]) for c in found] == [("LEI-14.133-2021", 124), ("LC-214-2025", 124), ("CF-1988", None)]
+    names = lambda t: [c[0] for c in citations_of(t)]
+    assert names("Decreto-Lei 2.848/40") == ["DL-2.848"] and names("Decreto-Lei 5.452/1943") == ["DL-5.452-1943"] and names("LC 87") == ["LC-87-1996"] and names("Lei 8.666/93") == ["LEI-8.666-1993"]
+    assert names("EC 5/1980") == ["EC-05"] and citations_of(None) == []
+    own = own_references_of("Conforme o art. 5º, § 2º, inciso IV, alínea b, e o art. 9º desta lei, o art. 7º da Lei nº 8.666/1993 e o art. 8 da portaria do órgão.")
+    assert [(r[2:]) for r in own] == [(5, "2", "IV", "b", 0.9), (9, None, None, None, 0.9), (8, None, None, None, 0.6)]
     assert diff_words("a b c", "a x c") == [("same", "a "), ("removed", "b"), ("added", "x"), ("same", " c")]
     assert diff_words("same", "same") == [("same", "same")] and diff_words("", "new") == [("added", "new")]
+    ids = spark.createDataFrame([("LEI 14133/2021",), ("IN-58-2022",), ("Decreto nº 10947 / 2022",), ("lc 214",)], "t string").select(normalised_id(F.col("t")).alias("i"))
+    assert [r.i for r in ids.collect()] == ["LEI-14.133-2021", "IN-58-2022", "DECRETO-10.947-2022", "LC-214"]
 
 
 def test_truncation_and_orphans(spark):
     text = "a" * 30 + ". " + "b" * 20
-    t = one(spark, truncate_at(F.lit(text), 0, 10).alias("t"), truncate_at(F.lit("short"), 0, 10).alias("s"), truncate_at(F.lit("short"), 9, 10).alias("e"))
+    at_budget = "a" * 40 + ". " + "b" * 20
+    t = one(spark, truncate_at(F.lit(text), 0, 10).alias("t"), truncate_at(F.lit("short"), 0, 10).alias("s"), truncate_at(F.lit("short"), 9, 10).alias("e"), truncate_at(F.lit(at_budget), 0, 10).alias("b"))
     assert (t.t.text, t.t.next, t.s.text, t.s.next, t.e.text) == ("a" * 30 + ". ", 32, "short", None, "")
-    b = spark.createDataFrame([(1, 0, "article", 0, 10, "Art. 1 begins"), (1, 1, "unclassified", 12, 20, "and ends."), (1, 2, "unclassified", 9000, 9010, "far off")], "document int, seq int, kind string, start int, stop int, text string")
-    assert [r.text for r in merge_orphans(b).collect()] == ["Art. 1 begins and ends."]
+    assert (t.b.text, t.b.next) == ("a" * 40 + ". ", 42)  # a separator may begin at the budget
+    rows = [(1, 0, "article", 0, 10, "Art. 1 begins"), (1, 1, "unclassified", 12, 20, "goes on com"), (1, 2, "metadata", 21, 30, "page 2"), (1, 3, "unclassified", 9000, 9010, " far but unfinished, "), (1, 4, "unclassified", 9100, 9110, "the end."), (1, 5, "unclassified", 9200, 9210, "left out")]
+    rows += [(2, 0, "unclassified", 0, 5, "lost"), (2, 1, "item", 10, 20, "I - x"), (2, 2, "letter", 21, 30, "a) y"), (2, 3, "unclassified", 31, 40, "  z  ")]
+    b = spark.createDataFrame(rows, "document int, seq int, kind string, start int, stop int, text string")
+    assert sorted((r.document, r.seq, r.text, r.stop) for r in merge_orphans(b).collect()) == [(1, 0, "Art. 1 begins\ngoes on com\nfar but unfinished,\nthe end.", 10), (2, 1, "I - x", 20), (2, 2, "a) y\nz", 30)]
+
+
+def test_child_offsets(spark):
+    text = "Art. 1 the cat. The cat sat; concat cats  here."
+    cases = [("the cat", 0, 47, None, 7, 14), ("", 0, 47, "EMPTY_TEXT", None, None), ("x", 9, 9, "INVALID_PARENT_RANGE", None, None), ("dog", 0, 47, "NOT_FOUND", None, None), ("cats here.", 0, 47, "NOT_FOUND_WHITESPACE_MISMATCH", None, None), ("cat", 0, 47, "AMBIGUOUS_MULTIPLE_MATCHES", None, None), (" sat; ", 15, 47, None, 24, 28), ("cat.", 0, 47, None, 11, 15)]
+    df = spark.createDataFrame([(i, text, *c[:3]) for i, c in enumerate(cases)], "i int, text string, child string, a int, b int").orderBy("i")
+    assert [(r.reason, r.child_start, r.child_stop) for r in child_offsets(df, "text", "a", "b", "child").orderBy("i").collect()] == [c[3:] for c in cases]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6))
+def test_percentiles_equal_the_sorted_ones(spark, seed):
+    r = random.Random(seed)
+    rows = [(g, r.choice([None, r.randrange(-50, 50), r.randrange(5)])) for g in (None, 1, 2) for _ in range(r.randrange(1, 60))] + [(3, 7)]
+    out = {x.g: x.p for x in percentiles(spark.createDataFrame(rows, "g int, v long"), ["g"], "v", [0.05, 0.25, 0.5, 1.0]).collect()}
+    for g in {g for g, _ in rows}:
+        own = sorted(v for h, v in rows if h == g and v is not None)
+        if own:
+            want = [own[int(s * (len(own) - 1))] + (s * (len(own) - 1) % 1) * (own[min(len(own) - 1, int(s * (len(own) - 1)) + 1)] - own[int(s * (len(own) - 1))]) for s in (0.05, 0.25, 0.5, 1.0)]
+            assert all(abs(a - b) < 1e-9 for a, b in zip(out[g], want, strict=True))
+
+
+def test_nearest_with_missing_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, [1.0, 0.1, 9.0]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(2)
+    out = [(r.query, r.vec_id) for r in nearest_to_each(df, df.where("vec_id in (1, 3, 4, 5)"), "vec_id", "embedding", 1).orderBy("query").collect()]
+    assert out == [(1, 5), (5, 1)]
+
+
+def test_references_against_an_empty_catalogue(spark):
+    refs = spark.createDataFrame([("lei-1-2020",), (None,)], "slug string")
+    assert sorted(str(r.norm) for r in resolve_references(refs, spark.createDataFrame([], "norm string"), "slug", "norm").collect()) == ["None", "lei-1-2020"]
 
 
 def test_checks(spark):

@@ -93,7 +93,22 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
 
 
 def test_upsert_batches(spark, tmp_path):
-    apply = upsert_batches(str(tmp_path / "t"), "k", "v")
-    apply(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string"), 0)
-    apply(spark.createDataFrame([(1, 2, "c"), (2, 0, "old")], "k int, v int, x string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/1")).collect())) == [(1, 2, "c"), (2, 1, "b")]
+    target = str(tmp_path / "t")
+    apply = upsert_batches(target, "k", "v", buckets=4)
+    rows = lambda x: spark.createDataFrame(x, "k int, v int, x string")
+    kept = lambda: sorted(map(tuple, spark.read.parquet(target).select("k", "v", "x").collect()))
+    apply(rows([(1, 1, "a"), (2, 1, "b"), (3, 1, "c")]), 0)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    apply(rows([(1, 2, "d"), (1, 0, "old")]), 1)
+    apply(rows([(1, 2, "d"), (1, 0, "old")]), 1)  # the batch comes again
+    assert kept() == [(1, 2, "d"), (2, 1, "b"), (3, 1, "c")]
+    assert any(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())  # folders without a key of the batch stay
+    apply(rows([]), 2)
+    assert len(kept()) == 3
+
+
+def test_front_matter_scalars_and_lists():
+    parsed = frontmatter.parse("---\na: 1.5\nb: null\nc: -7\nd: ['x, y', z, 3, true]\ne: \"q\"\nf: 9007199254740993\ng: []\n---\n")
+    assert parsed == {"a": "1.5", "b": "null", "c": -7, "d": ["x, y", "z", 3, True], "e": "q", "f": "9007199254740993", "g": []}
+    with pytest.raises(ValueError, match="line 3"):
+        frontmatter.parse("---\na:\n\t- x\n---\n")

@@ -25,18 +25,18 @@ def test_citations_are_found_in_the_whole_text(spark, tmp_path):
     got = Counter((r.doc_id, r.document) for r in registry.QUERIES["extract_citations"](spark, sf).collect())
     added = lambda i: f". Conforme o art. {i % 30 + 1} da Lei nº 14.{i:03}/2021 e do Decreto 99.{i:03}, de 1990."
     assert got == Counter((i, c[0]) for i, t in enumerate(texts) if t is not None for c in citations_of(t + added(i)))
-    assert {(1, "LEI-8666-1993"), (1, "LC-123-2006"), (2, "MP-7-2001")} <= set(got) and len(got) == 9
+    assert {(1, "LEI-8.666-1993"), (1, "LC-123-2006"), (2, "MP-07-2001")} <= set(got) and len(got) == 9
 
 
 def test_parts_are_read_before_and_behind_a_citation(spark):
     parts = lambda text: [(c[0], c[3], *c[5:]) for c in citations_of(text)]
-    assert parts("Lei 14.133/2021, art. 5, par. 2, inciso I") == [("LEI-14133-2021", 5, "2", "I", None)]
-    assert parts("Lei 14.133/2021, artigo 5º, § 2º, inciso iv, alínea 'b'.") == [("LEI-14133-2021", 5, "2", "IV", "b")]
-    assert parts("nos termos do art. 6º, parágrafo único, inciso II, alínea c, da Lei 14.133/2021") == [("LEI-14133-2021", 6, "unico", "II", "c")]
-    assert parts("arts. 3 e 4 da Lei 8.666/1993") == [("LEI-8666-1993", 3, None, None, None)]
+    assert parts("Lei 14.133/2021, art. 5, par. 2, inciso I") == [("LEI-14.133-2021", 5, "2", "I", None)]
+    assert parts("Lei 14.133/2021, artigo 5º, § 2º, inciso iv, alínea 'b'.") == [("LEI-14.133-2021", 5, "2", "IV", "b")]
+    assert parts("nos termos do art. 6º, parágrafo único, inciso II, alínea c, da Lei 14.133/2021") == [("LEI-14.133-2021", 6, "unico", "II", "c")]
+    assert parts("arts. 3 e 4 da Lei 8.666/1993") == [("LEI-8.666-1993", 3, None, None, None)]
     assert parts("art. 37, inciso XXI, da Constituição Federal") == [("CF-1988", 37, None, "XXI", None)]
-    assert parts("Lei 14.133/2021, art. 5, inciso I, e Decreto 99.000/1990") == [("LEI-14133-2021", 5, None, "I", None), ("DECRETO-99000-1990", None, None, None, None)]
-    assert parts("art. 1 da Lei 1/2020" + " x" * 60 + " Lei 2/2020" + " y" * 50 + " art. 2")[1] == ("LEI-2-2020", None, None, None, None)
+    assert parts("Lei 14.133/2021, art. 5, inciso I, e Decreto 99.000/1990") == [("LEI-14.133-2021", 5, None, "I", None), ("DECRETO-99.000-1990", None, None, None, None)]
+    assert parts("art. 1 da Lei 1/2020" + " x" * 60 + " Lei 2/2020" + " y" * 50 + " art. 2")[1] == ("LEI-02-2020", None, None, None, None)
     docs = spark.createDataFrame([(1, "Lei 14.133/2021, art. 5, § 2, inciso I, alínea a")], "d long, t string")
     r = citations(docs, "d", "t").first()
     assert (r.article, r.paragraph, r.item, r.letter) == (5, "2", "I", "a")

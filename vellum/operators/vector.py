@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,7 +47,7 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     Rows without a vector, or with a number missing in it, are near to nothing and find nothing. Vectors of unequal
     length are compared over the common one, as ``cosine`` does; norms are those of the common part.
     """
-    kind = dict(vectors.dtypes)[key]
+    kind, stored = dict(vectors.dtypes)[key], to_arrow_type(vectors.schema[key].dataType)
     schema = f"query {kind}, {key} {kind}, score double"
     whole = F.col(vector).isNotNull() & ~F.exists(F.coalesce(F.col(vector), F.array()), lambda x: x.isNull())
     rows = vectors.where(whole).select(key, vector)
@@ -58,7 +59,7 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
             by_size.setdefault(len(r.v), []).append(r)
         blocks = [(np.array([r.q for r in x]), np.array([r.v for r in x], np.float64).reshape(len(x), n)) for n, x in by_size.items()]
         given = vectors.sparkSession.sparkContext.broadcast(blocks)
-        parts.append(rows.mapInArrow(best_of_rows(given, key, k, block), schema))
+        parts.append(rows.mapInArrow(best_of_rows(given, key, stored, k, block), schema))
     while len(parts) > 1:  # by pairs, so that the plan stays shallow
         parts = [a.union(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
     best = parts[0] if parts else vectors.sparkSession.createDataFrame([], schema)
@@ -66,7 +67,7 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def best_of_rows(given: Broadcast, key: str, k: int, block: int):
+def best_of_rows(given: Broadcast, key: str, stored: pa.DataType, k: int, block: int):
     """The function for mapInArrow that finds the best ``k`` of a task's rows for each of the broadcast queries.
 
     Queries come as blocks (ids, vectors of one length); rows are taken by length too.
@@ -96,7 +97,7 @@ def best_of_rows(given: Broadcast, key: str, k: int, block: int):
         for (ids, _), (score, near) in zip(parts, kept, strict=True):
             real = score > -2
             q = np.broadcast_to(ids[:, None], score.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(near[real]), pa.array(score[real])], names=["query", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q[real]).cast(stored), pa.array(near[real]).cast(stored), pa.array(score[real])], names=["query", key, "score"])
 
     return run
 

@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import fixed_window_limits
-from ..session import table
+from ..session import new_folder, table
+from ..streaming.windows import limiter, run_to_table, upsert_batches, usage
 from ..streaming.windows import session_counts as sessions
 from ..streaming.windows import tumbling_counts as tumbling
-from ..streaming.windows import usage
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
 
 
-@query("select strftime(ts, '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, one file a trigger."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+
+
+TUMBLING = "select strftime(ts, '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"
+
+
+@query(TUMBLING)
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tumbling(table(spark, sf_dir, "events"), "ts", "event_type", "value")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("""
+@query(TUMBLING)
+def streamed_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tumbling_counts, over a stream."""
+    out = run_to_table(tumbling(event_stream(spark, sf_dir), "ts", "event_type", "value"), new_folder(spark, "tumbling"), complete=True)
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+SESSIONS = """
 with g as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 6 hour or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as fresh from events),
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts) as s from g)
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, s
-""")
+"""
+
+
+@query(SESSIONS)
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
@@ -35,14 +51,9 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, count(*) as n, sum(floor(value * 100 + 0.5))::bigint as total from events group by event_type")
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals over a stream of the table, one file a trigger, read from the sink when the stream has ended."""
-    events = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
-    totals = usage(stream.withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("long")), "event_type", "cents")
-    name = f"usage_{uuid.uuid4().hex}"
-    running = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    """Running totals over a stream of the table, one file a trigger."""
+    totals = usage(event_stream(spark, sf_dir).withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("long")), "event_type", "cents")
+    return run_to_table(totals, new_folder(spark, "usage"), complete=True)
 
 
 @query("""
@@ -54,3 +65,31 @@ def limiter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limiter's closed form, summed by client."""
     out = fixed_window_limits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1, 5)
     return out.groupBy("user_id").agg(F.count("*").alias("n_calls"), F.count_if("allowed").alias("n_allowed"))
+
+
+@query(SESSIONS)
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As session_counts, over a stream."""
+    out = run_to_table(sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"), new_folder(spark, "sessions"), complete=True)
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("""
+with a as (select event_id, user_id, ts, row_number() over (partition by user_id, date_trunc('minute', ts) order by ts, event_id) <= 1 as in_minute from events),
+b as (select *, count(*) filter (in_minute) over (partition by user_id, date_trunc('day', ts) order by ts, event_id rows unbounded preceding) as day_n from a)
+select event_id, in_minute and day_n <= 5 as allowed from b
+""")
+def streamed_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stateful limiter over a stream of all events."""
+    calls = event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("client"), F.col("event_id").cast("long").alias("event_id"), "ts")
+    return run_to_table(limiter(calls, 1, 5), new_folder(spark, "limits")).select("event_id", "allowed")
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
+def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user, kept by upserting the batches of a stream."""
+    folder = new_folder(spark, "latest")
+    rows = event_stream(spark, sf_dir).withColumn("version", F.struct("ts", "event_id"))
+    writer = rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(upsert_batches(f"{folder}/table", "user_id", "version")).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("user_id", "event_id", "event_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,28 +12,36 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+#: Fixed value: beyond it an integer stays a text.
+GREATEST = 2**53 - 1
+#: An item of an inline list: a quoted text (which may hold commas) or what stands up to the next comma.
+ITEM = re.compile(r"""\s*((?:"[^"]*"|'[^']*'|[^,"'])*)\s*(?:,|$)""")
+
+
 def scalar(text: str):
-    """A quoted text, true, false, null, a number, or the text itself."""
+    """true and false, an integer, a text without the quotes around it; all else, numbers with a point too, as it is."""
     text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
     if text in ("true", "false"):
         return text == "true"
-    if text in ("", "null", "~"):
-        return None
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
-    return text
+    if re.fullmatch(r"-?[0-9]+", text) and abs(int(text)) <= GREATEST:
+        return int(text)
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
 
 
 def value_of(text: str):
+    """An inline list, a scalar, or None where nothing stands: the lines that follow tell."""
     text = text.strip()
     if text.startswith("[") and text.endswith("]"):
-        return [scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    return scalar(text)
+        inside, at, found = text[1:-1], 0, []
+        while at < len(inside):
+            item = ITEM.match(inside, at)
+            if not item or item.end() == at:
+                raise ValueError("a quote doesn't end")
+            if item[1].strip():
+                found.append(scalar(item[1]))
+            at = item.end()
+        return found
+    return scalar(text) if text else None
 
 
 def parse(text: str) -> dict:
@@ -51,7 +60,9 @@ def parse(text: str) -> dict:
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         body = line.strip()
-        if line[0] in " \t":
+        if "\t" in line[: len(line) - len(line.lstrip())]:
+            raise ValueError(f"line {n}: indented by a tab")
+        if line[0] == " ":
             if open_key is None:
                 raise ValueError(f"line {n}: indented without a key")
             if body.startswith("- "):

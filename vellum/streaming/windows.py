@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +67,44 @@ def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     return calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).groupBy("client").applyInPandasWithState(run, LIMITS, STATE, "append", "EventTimeTimeout")
 
 
-def upsert_batches(target: str, key: str, version: str):
-    """A foreachBatch function: keeps, in a Parquet table written anew beside the old one, the latest row of each key."""
+#: Folders over which the keys of an upserted table are dealt.
+UPSERT_BUCKETS = 64
+
+
+def upsert_batches(target: str, key: str, version: str, buckets: int = UPSERT_BUCKETS):
+    """A foreachBatch function: keeps the latest row of each key in a Parquet table, dealt by the hash of the key.
+
+    A batch reads and replaces only the folders of its own keys, so the cost of a trigger follows the batch and not the
+    table. A batch that comes again after a failure changes nothing.
+    """
     from ..operators.dedupe import latest_wins
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{target}/{number - 1}") if number else batch.limit(0)
-        latest_wins(before, batch, [key], version).write.mode("overwrite").parquet(f"{target}/{number}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # as many as there are folders, at most
+        try:
+            before = spark.read.schema(dealt.schema).parquet(target).where(F.col("bucket").isin(touched))
+        except AnalysisException:  # nothing written yet
+            before = dealt.limit(0)
+        if touched:
+            latest_wins(before.select(*dealt.columns), dealt, [key], version).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+        dealt.unpersist()
 
     return apply
+
+
+def run_to_table(stream: DataFrame, folder: str, complete: bool = False) -> DataFrame:
+    """Runs a stream over what is there into a Parquet table below ``folder`` and reads it.
+
+    ``complete``: an aggregate whose whole result replaces the table at every trigger; else rows are appended.
+    """
+    spark, table = stream.sparkSession, f"{folder}/table"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if complete:
+        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(table)  # what a stream without rows leaves
+        running = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)).start()
+    else:
+        running = writer.outputMode("append").format("parquet").start(table)
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(table)
