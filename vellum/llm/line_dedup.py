@@ -3,7 +3,9 @@
 Every line that has a word counts for the sites (sources) on which it stands. A HyperLogLog sketch per line hash
 estimates its spread; sketches of tasks merge by aggregation, so a line on a third of all rows costs one sketch a
 task. Lines whose estimate is well above the threshold are boilerplate, lines well below are not, and those within
-the sketch's error get an exact distinct count. Of a boilerplate line the first occurrence (least document id, then
+the sketch's error (three standard errors) get an exact distinct count. With thresholds in the tens sketches are all but
+exact; with one in the thousands, a line further off than that is judged by its estimate, which is right with a
+probability of about 0.997 a line. Of a boilerplate line the first occurrence (least document id, then
 position) stays; all others are removed.
 """
 

@@ -60,7 +60,7 @@ select page_id, host, path, rule,
     case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict from z
 """)
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    rules = spark.sql("select * from values " + ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES) + " as rules(rule, verdict)")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 

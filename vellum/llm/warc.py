@@ -22,8 +22,8 @@ from .shared import new_path, small_side, written
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: Dictionary bytes, and the bound of its training sample: records and bytes of each.
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 * 1024, 1000, 8 * 1024
+#: Dictionary bytes, and the bound of its training sample: records and characters of each.
+DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 64 * 1024, 1000, 8 * 1024
 #: A file is closed beyond so many bytes.
 FILE_BYTES = 64 * 1024 * 1024
 #: Payloads from this size on are stored once.
@@ -58,12 +58,12 @@ def train_dictionary(pages: DataFrame, id_col: str, body_col: str) -> bytes:
     """A dictionary from the beginnings of a sample of bodies, spread evenly by the hash of the id; empty if there is too little.
 
     Rows whose hash lies below a bound are drawn, about twice SAMPLE_RECORDS whatever the table's size; what reaches
-    the driver is SAMPLE_RECORDS rows of SAMPLE_BYTES at most.
+    the driver is SAMPLE_RECORDS rows of SAMPLE_CHARS at most.
     """
     import zstandard
 
     share = int(min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count())) * 2**30)
-    hashed = pages.select(F.substring(F.col(body_col), 1, SAMPLE_BYTES).alias("body"), F.xxhash64(F.col(id_col), F.lit("dictionary")).alias("h"))
+    hashed = pages.select(F.substring(F.col(body_col), 1, SAMPLE_CHARS).alias("body"), F.xxhash64(F.col(id_col), F.lit("dictionary")).alias("h"))
     few = hashed.where((F.pmod("h", F.lit(2**30)) <= share) & (F.col("body") != ""))
     sample = [r.body.encode() for r in few.orderBy("h", "body").limit(SAMPLE_RECORDS).collect()]
     if len(sample) < 8:
