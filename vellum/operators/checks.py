@@ -33,6 +33,10 @@ def audit_citations(citations: DataFrame, official: DataFrame, ref: str, quote:
 ANCHOR, BROADCAST_ITEMS = 8, 300_000
 
 
+#: Up to so many prices are broadcast; more are joined by shuffling.
+BROADCAST_PRICES = 100_000
+
+
 def word_hashes(text: str) -> Column:
     return F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
 
@@ -89,13 +93,15 @@ def cost_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
     ``calls``: model, tokens_in, tokens_out. ``prices``: model, price_in, price_out for a million tokens.
     """
     p = prices.select(F.col("model").alias("_m"), "price_in", "price_out")
+    p = F.broadcast(p) if p.limit(BROADCAST_PRICES + 1).count() <= BROADCAST_PRICES else p
     cost = F.round((F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1e6, 6)
-    joined = calls.join(F.broadcast(p), F.col("model") == F.col("_m"), "left").withColumn("micro", F.round(cost * 1e6).cast("long"))
+    joined = calls.join(p, F.col("model") == F.col("_m"), "left").withColumn("micro", F.round(cost * 1e6).cast("long"))
     total = joined.rollup("model").agg(F.count("*").alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("micro").alias("cost_micro"))
     return total
 
 
 def conversation_state(has_document: Column, has_draft: Column, analysis: Column, has_report: Column) -> Column:
+    """The state that four facts stand for, under fixed names; the first fact that is missing decides."""
     return (
         F.when(~has_document, "AGUARDANDO_DOCUMENTO")
         .when(~has_draft, "DOCUMENTO_RECEBIDO")
@@ -105,6 +111,40 @@ def conversation_state(has_document: Column, has_draft: Column, analysis: Column
     )
 
 
+#: What may be done next in a state; in the others nothing.
+STEPS = {"DOCUMENTO_RECEBIDO": ["extrair_peticao_do_documento"], "PETICAO_EXTRAIDA": ["extrair_peticao_do_documento", "analisar_reequilibrio"], "ANALISE_PRONTA": ["gerar_parecer"]}
+
+
+def allowed_steps(state: Column) -> Column:
+    """The steps that a state allows, in order; none for an unknown one."""
+    known = F.create_map(*(x for k, v in STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(known[state], F.array().cast("array<string>"))
+
+
+def analysis_rules() -> dict[str, Column]:
+    """Rules of an analysis: citations and points (arrays of struct with status, severity), calculations (success), verdict, confidence."""
+    some = lambda c, field, value: F.exists(c, lambda x: x[field] == value)
+    verdict = F.col("verdict")
+    return {
+        "rejected_citation_lowers_confidence": ~some("citations", "status", "REJEITADA") | (F.col("confidence") <= 0.5),
+        "inconclusive_has_blocking_point": (verdict != "inconclusiva") | some("points", "severity", "bloqueante"),
+        "granted_has_calculation": ~verdict.isin("procedente", "parcialmente_procedente") | some("calculations", "success", True),
+        "diligence_has_point": (verdict != "diligencia") | (F.size("points") >= 1),
+    }
+
+
+def report_rules() -> dict[str, Column]:
+    """Rules of a report: its first five sections are I to V, in order, and all its citations are approved."""
+    five = F.slice(F.transform("sections", lambda x: x["number"]), 1, 5)
+    return {"sections_in_order": five == F.array(*map(F.lit, ("I", "II", "III", "IV", "V"))), "only_approved_citations": F.forall("citations", lambda x: x["status"] == "APROVADA")}
+
+
+def calculation_rules() -> dict[str, Column]:
+    """Rules of a calculation: a failed one names its error, a successful one has a value and at least one step."""
+    ok = F.col("success")
+    return {"failed_has_error": ok | (F.length("error") > 0), "succeeded_has_value": ~ok | F.col("value").isNotNull(), "succeeded_has_steps": ~ok | (F.size("steps") > 0)}
+
+
 def missing_items(value_cents: Column, summary: Column) -> Column:
     """What a draft still needs before it can be analysed."""
     return F.array_compact(F.array(F.when(F.coalesce(value_cents, F.lit(0)) <= 0, "contract value"), F.when(F.length(F.trim(F.coalesce(summary, F.lit("")))) < 50, "description of at least 50 characters")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, months_inclusive
 from ..functions.text import audit_form, estimated_tokens, preview, slug
-from ..operators.checks import applies_to, audit_citations, audited_confidence, conversation_state, cost_rollup, grouped_names, missing_items, passages, violations
+from ..operators.checks import allowed_steps, analysis_rules, applies_to, audit_citations, audited_confidence, calculation_rules, conversation_state, cost_rollup, grounded, grouped_names, missing_items, passages, report_rules, violations
 from ..operators.fiscal import burden_by_year as by_year
 from ..operators.fiscal import burden_differential as differential
 from ..operators.fiscal import verdict
@@ -128,6 +128,57 @@ def invariant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(table(spark, sf_dir, "customer"), rules).select("c_custkey", F.array_join("violations", ",").alias("violations"))
 
 
+VERDICTS = ["inconclusiva", "procedente", "parcialmente_procedente", "diligencia", "improcedente"]
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as analyses: their lines are citations, points (from the fourth on), calculations and sections."""
+    lines = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_returnflag") == "R", "REJEITADA").otherwise("APROVADA")
+    severity = F.when(F.col("l_quantity") > 40, "bloqueante").otherwise("leve")
+    roman = F.get(F.array(*map(F.lit, ("I", "II", "III", "IV", "V", "VI", "VII"))), F.col("l_linenumber") - 1)
+    listed = lambda x: F.collect_list(x)
+    section = F.array_sort(F.collect_set(F.struct(F.col("l_linenumber").alias("at"), roman.alias("number"))))
+    by = lines.groupBy("l_orderkey").agg(listed(F.struct(status.alias("status"))).alias("citations"), listed(F.when(F.col("l_linenumber") >= 4, F.struct(severity.alias("severity")))).alias("points"), listed(F.struct((F.col("l_tax") > 0.06).alias("success"))).alias("calculations"), section.alias("sections"))
+    key = F.col("l_orderkey")
+    return by.withColumn("verdict", F.get(F.array(*map(F.lit, VERDICTS)), (key % 5).cast("int"))).withColumn("confidence", key % 10 / 10)
+
+
+@query(f"""
+with b as (select l_orderkey, bool_or(l_returnflag = 'R') as rejected, count(*) filter (l_linenumber >= 4) as n_points, coalesce(bool_or(l_quantity > 40) filter (l_linenumber >= 4), false) as blocking, bool_or(l_tax > 0.06) as calculated,
+    count(distinct l_linenumber) filter (l_linenumber <= 5) = 5 as ordered from lineitem group by l_orderkey),
+v as (select *, {VERDICTS}[(l_orderkey % 5 + 1)::int] as verdict, (l_orderkey % 10) / 10.0 as confidence from b)
+select l_orderkey, concat_ws(',', case when rejected and confidence > 0.5 then 'rejected_citation_lowers_confidence' end, case when verdict = 'inconclusiva' and not blocking then 'inconclusive_has_blocking_point' end,
+    case when verdict in ('procedente', 'parcialmente_procedente') and not calculated then 'granted_has_calculation' end, case when verdict = 'diligencia' and n_points = 0 then 'diligence_has_point' end) as of_analysis,
+    concat_ws(',', case when not ordered then 'sections_in_order' end, case when rejected then 'only_approved_citations' end) as of_report from v
+""")
+def analysis_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = violations(analyses(spark, sf_dir), analysis_rules()).withColumnRenamed("violations", "first")
+    found = violations(found, report_rules())
+    return found.select("l_orderkey", F.array_join("first", ",").alias("of_analysis"), F.array_join("violations", ",").alias("of_report"))
+
+
+@query("""
+select o_orderkey, concat_ws(',', case when o_orderstatus <> 'F' and o_orderkey % 3 = 0 then 'failed_has_error' end, case when o_orderstatus = 'F' and o_orderkey % 5 = 0 then 'succeeded_has_value' end, case when o_orderstatus = 'F' and o_orderkey % 7 = 0 then 'succeeded_has_steps' end) as violations from orders
+""")
+def calculation_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("success"), F.when(key % 3 != 0, "late").alias("error"), F.when(key % 5 != 0, F.col("o_totalprice")).alias("value"), F.when(key % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderpriority")).alias("steps"))
+    return violations(rows, calculation_rules()).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""
+select min('Acórdão ' || o_orderkey || '/' || year(o_orderdate) || '-Plenário') as label from orders where o_orderkey % 3 = 0 and o_custkey % 2 = 0 group by o_orderkey, year(o_orderdate)
+""")
+def grounded_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rulings cited in answers, of which a third has been retrieved."""
+    orders = table(spark, sf_dir, "orders")
+    named = F.format_string("Acórdão %d/%d", F.col("o_orderkey"), F.year("o_orderdate"))
+    answers = orders.where("o_custkey % 2 = 0").select(F.concat(F.lit("segundo o "), named, F.lit(", decide-se")).alias("said"))
+    retrieved = orders.where("o_orderkey % 3 = 0").select(F.concat(named, F.lit("-Plenário")).alias("label"))
+    return grounded(answers, retrieved, "said", "label").select("label")
+
+
 PRICES = [("assistant", 0.075, 0.3), ("user", 1.25, 5.0)]
 
 
