@@ -52,7 +52,7 @@ def test_paged_source(spark):
                 return
             self.send_response(200)
             self.end_headers()
-            self.wfile.write(json.dumps({"rows": [{"n": int(self.path[-1])}]}).encode())
+            self.wfile.write(json.dumps({"rows": [{"n": int(self.path[-1])}], "total": 3}).encode())
 
         def log_message(self, *a):
             pass
@@ -61,7 +61,9 @@ def test_paged_source(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(PagedSource)
     out = spark.read.format("paged").options(url=f"http://127.0.0.1:{server.server_port}/?p={{page}}", pages=3, field="rows", wait=0.01).load().collect()
+    counted = spark.read.format("paged").options(url=f"http://127.0.0.1:{server.server_port}/?p={{page}}", pagesField="total", field="rows", wait=0.01).load().collect()
     server.shutdown()
+    assert len(counted) == 3
     assert sorted((r.page, r.row) for r in out) == [(i, json.dumps({"n": i})) for i in (1, 2, 3)]
 
 

@@ -152,6 +152,13 @@ def backoff_ms(attempt: Column, base: int = 500) -> Column:
     return (F.lit(base) * F.pow(F.lit(2), attempt)).cast("long")
 
 
+def control_url(control: Column, base: str) -> Column:
+    """The public address of a purchase from its control number ``owner-n-sequence/year``; the bare address if it is none."""
+    part = lambda i: F.regexp_extract(control, r"^(\d+)-\d+-(\d+)/(\d+)$", i)
+    sequence = F.regexp_replace(part(2), r"^0+(?=\d)", "")
+    return F.when(F.coalesce(part(1), F.lit("")) != "", F.concat_ws("/", F.lit(base), F.lit("app/editais"), part(1), part(3), sequence)).otherwise(base)
+
+
 #: Sections of a ruling: what a label calls them, the form of a mark with a number, what stands before the
 #: number, and whether there is no label without one.
 RULING_SECTIONS = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import confirmed, delete_keys, keep_first, latest_wins, orphans
 from ..functions.numbers import cents, two_letters
-from ..functions.text import backoff_ms, transient_error
+from ..functions.text import backoff_ms, control_url, transient_error
 from ..operators.pricing import price_report, price_statistics, price_tails, relevance
 from ..operators.temporal import append_versions, as_of_join, closed_intervals, equals_where_given, first_and_last, last_in_order, lookup, number_range, provisions_in_force, valid_at, with_existence
 from ..session import table
@@ -292,3 +292,11 @@ def call_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.regexp_replace(F.lower("o_orderpriority"), "urgent", "Timeout")
     code = F.concat("o_orderstatus", F.substring("o_orderpriority", 3, 1))
     return table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("total_cents"), two_letters(code).alias("code"), transient_error(F.col("o_orderkey") % 600, message).alias("transient"), backoff_ms(F.col("o_orderkey") % 4).alias("wait_ms"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 0 then 'https://example.org' else 'https://example.org/app/editais/' || o_custkey || '/' || year(o_orderdate) || '/' || o_orderkey end as url from orders")
+def purchase_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public addresses from control numbers, a quarter of which are none."""
+    orders = table(spark, sf_dir, "orders")
+    control = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderkey").cast("string")).otherwise(F.format_string("%d-1-%06d/%d", F.col("o_custkey"), F.col("o_orderkey"), F.year("o_orderdate")))
+    return orders.select("o_orderkey", control_url(control, "https://example.org").alias("url"))

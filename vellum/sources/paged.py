@@ -20,30 +20,41 @@ class Page(InputPartition):
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.pages = options["url"], int(options["pages"])
+        self.url, self.pages, self.pages_field = options["url"], int(options.get("pages", 0)), options.get("pagesfield", options.get("pagesField", ""))
+        if not self.pages and not self.pages_field:
+            raise ValueError("pages or pagesField must be given")
+        self.timeout = float(options.get("timeout", 30))
         self.first, self.tries, self.wait = int(options.get("first", 1)), int(options.get("tries", 4)), float(options.get("wait", 0.5))
         self.field = options.get("field", "")
 
     def partitions(self) -> list[Page]:
-        return [Page(self.first + i) for i in range(self.pages)]
+        pages = self.pages or int(self.fetch(self.first)[self.pages_field])
+        return [Page(self.first + i) for i in range(pages)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        url = self.url.replace("{page}", str(partition.number))
+    def fetch(self, number: int):
+        """A page as JSON; answers that may be better next time, and connections that fail, are tried again."""
+        url = self.url.replace("{page}", str(number))
         for attempt in range(self.tries):
             try:
-                with urllib.request.urlopen(url) as answer:
-                    found = json.load(answer)
-                break
-            except urllib.error.HTTPError as e:
-                if e.code not in TRANSIENT or attempt == self.tries - 1:
+                with urllib.request.urlopen(url, timeout=self.timeout) as answer:
+                    return json.load(answer)
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+                if (isinstance(e, urllib.error.HTTPError) and e.code not in TRANSIENT) or attempt == self.tries - 1:
                     raise
                 time.sleep(self.wait * 2**attempt)
+        raise ValueError("tries must be positive")
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        found = self.fetch(partition.number)
         for row in found[self.field] if self.field else found:
             yield partition.number, json.dumps(row, ensure_ascii=False)
 
 
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``; then ``spark.read.format("paged")`` with url (holding ``{page}``), pages and field."""
+    """``spark.dataSource.register(PagedSource)``; then ``spark.read.format("paged")`` with url (holding ``{page}``), field, and pages or pagesField.
+
+    ``pagesField`` names the field of the first page that holds their number. Further options: first, tries, wait, timeout.
+    """
 
     @classmethod
     def name(cls) -> str:
