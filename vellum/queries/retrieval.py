@@ -117,7 +117,13 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"))
 
 
-@query()
+@query(r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where contains(lower(text), 'than')),
+p as (select *, coalesce(list_position(list_transform(w, lambda x: contains(lower(strip_accents(x)), 'than')), true), 0) as place from w),
+f as (select *, greatest(place - 6, 1) as head from p)
+select doc_id, case when place > 0 then case when head > 1 then '…' else '' end || array_to_string(list_transform(w[head : head + 11], lambda x: case when contains(lower(strip_accents(x)), 'than') then '[' || x || ']' else x end), ' ')
+    || case when len(w) > head + 11 then '…' else '' end end as snippet from f
+""")
 def highlight_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(F.lower("text").contains("than")).select("doc_id", snippet(F.col("text"), "than").alias("snippet"))
 
