@@ -3,7 +3,8 @@
 In models whose pieces hold the whitespace marker only at their front, no merge can cross from a word into the marker
 of the next. A marked text therefore splits before each run of markers into chunks whose segmentations are
 independent. Each task keeps one table: a chunk is segmented by the library when first seen, later occurrences take
-its ids by number, and a text's ids are put together by position. The table is bounded; a full one is started anew.
+its ids by number, and a text's ids are put together by position. The table is bounded: a full one keeps the half that
+was used most, so only rare chunks may be segmented again in a task.
 
 A table for the whole corpus, joined back by word, would shuffle every word of every text (over ten times the input)
 to save segmenting a word once for each task, so the table belongs to the task.
@@ -39,13 +40,21 @@ class ChunkTable:
 
     def __init__(self, processor, limit: int = TABLE_CHUNKS):
         self.processor, self.limit = processor, limit
-        self.clear()
-
-    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.decoded: list[str] = []
         self.start, self.ids = [0], np.empty(0, np.int32)
-        self.arrays: tuple | None = None
+        self.uses = np.empty(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the half of the table that was used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.limit // 2])
+        chunks, start = list(self.number), np.asarray(self.start, np.int64)
+        length = np.diff(start)[kept]
+        self.start = [0, *np.cumsum(length).tolist()]
+        self.ids = self.ids[np.arange(length.sum()) + np.repeat(start[kept] - np.cumsum(length) + length, length)]
+        self.number = {chunks[k]: i for i, k in enumerate(kept.tolist())}
+        self.decoded = [self.decoded[k] for k in kept.tolist()]
+        self.uses = self.uses[kept]
 
     def add(self, chunks: list[str]) -> None:
         """Segments chunks that aren't in the table yet. The library puts a marker in front, so each goes without its first."""
@@ -59,7 +68,7 @@ class ChunkTable:
             self.decoded.append(" " + text)
             self.start.append(self.start[-1] + len(ids))
         self.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in found)])
-        self.arrays = None
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Ids of all texts one after another, where each text's begin (one more than texts), and the decoded texts."""
@@ -67,13 +76,14 @@ class ChunkTable:
         new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.number))
         if new:
             if len(self.number) + len(new) > self.limit and self.number:
-                self.clear()
-                new = list(dict.fromkeys(c for chunks in split for c in chunks))
+                self.shrink()
+                new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.number))
             self.add(new)
         number, decoded = self.number, self.decoded
         codes = [[number[c] for c in chunks] for chunks in split]
         back = ["".join([decoded[k] for k in x])[1:] for x in codes]
         flat = np.fromiter((k for x in codes for k in x), np.int64, sum(map(len, codes)))
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         start = np.asarray(self.start, np.int64)
         length = np.diff(start)[flat]
         ends = np.cumsum(length)
