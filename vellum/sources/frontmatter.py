@@ -23,7 +23,7 @@ def scalar(text: str):
     text = text.strip()
     if text in ("true", "false"):
         return text == "true"
-    if re.fullmatch(r"-?[0-9]+", text) and abs(int(text)) <= GREATEST:
+    if re.match(r"-?[0-9]+\Z", text) and abs(int(text)) <= GREATEST:
         return int(text)
     return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
 
