@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .jaccard_join import near_duplicates
 from .language_id import identify_held_out
 from .line_dedup import dedup_lines
+from .periodic_runs import periodic_runs
 from .quality_classifier import classify_held_out
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode_decode
@@ -194,3 +195,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def looped_text(doc_id: str, text: str) -> F.Column:
+    """The text of op13: of ids whose crc32 h is divisible by 10 all words from a on repeat the first p from there.
+
+    a = g % n and p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), n words. Other texts stay as they are.
+    """
+    h = F.crc32(F.col(doc_id).cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    g, n = F.floor(h / 10), F.size(words)
+    a = F.pmod(g, n)
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    looped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
+    return F.when((h % 10 == 0) & F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), looped).otherwise(F.col(text))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped_text("doc_id", "text").alias("text"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = periodic_runs(docs).withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.floor(F.col("longest.length") * 1000 / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
