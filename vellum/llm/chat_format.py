@@ -45,29 +45,35 @@ def placed_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def positions() -> F.Column:
-    """All places of a row of ``placed_turns``."""
-    return F.explode(F.sequence("start", F.col("start") + F.col("copies") - 1)).alias("pos")
+def every_place(placed: DataFrame, *kept: str) -> DataFrame:
+    """The columns ``kept`` of every turn, with its place pos; copies of a row are told in steps of ``PART``."""
+    steps = placed.select(*kept, "start", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PART).cast("long"))).alias("step"))
+    last = F.col("start") + F.least(F.col("step") + PART, F.col("copies")) - 1
+    return steps.select(*kept, F.explode(F.sequence(F.col("start") + F.col("step"), last)).alias("pos"))
 
 
 def part_of(part_turns: int) -> F.Column:
     return F.floor((F.col("pos") - 1) / part_turns).cast("long").alias("part")
 
 
-def turn_prefixes(placed: DataFrame, part_turns: int = PART) -> DataFrame:
-    """(conv, pos, turns, a, b, c, d) of every turn: its place from 1 and the hash of the conversation up to it."""
-    every = placed.select("conv", "x", "y", "turns", positions())
+def turn_prefixes(placed: DataFrame, part_turns: int = PART, also: tuple[str, ...] = ()) -> DataFrame:
+    """(conv, pos, turns, a, b, c, d) of every turn: its place from 1 and the hash of the conversation up to it.
+
+    The columns ``also`` come along; if there are any, so do p_a to p_d, the hash of the conversation before the turn.
+    """
+    every = every_place(placed, "conv", "x", "y", "turns", *also)
     h1, h2 = F.xxhash64("pos", "x"), F.xxhash64("pos", "y")
     low = F.lit(0xFFFFFFFF)
-    laned = every.select("conv", part_of(part_turns), "pos", "turns", F.shiftrightunsigned(h1, 32).alias("a"), h1.bitwiseAND(low).alias("b"), F.shiftrightunsigned(h2, 32).alias("c"), h2.bitwiseAND(low).alias("d"))
+    laned = every.select("conv", part_of(part_turns), "pos", "turns", *also, F.shiftrightunsigned(h1, 32).alias("a"), h1.bitwiseAND(low).alias("b"), F.shiftrightunsigned(h2, 32).alias("c"), h2.bitwiseAND(low).alias("d"))
     running = Window.partitionBy("conv", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = laned.groupBy("conv", "part").agg(*(F.sum(x).alias(x) for x in LANES))
     offsets = sums.select(F.col("conv").alias("o_conv"), F.col("part").alias("o_part"), *(F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"o_{x}") for x in LANES))
-    return (
-        laned.select("conv", "part", "pos", "turns", *(F.sum(x).over(running).alias(x) for x in LANES))
-        .join(offsets, (F.col("conv") == F.col("o_conv")) & (F.col("part") == F.col("o_part")))
-        .select("conv", "pos", "turns", *((F.col(x) + F.col(f"o_{x}")).alias(x) for x in LANES))
+    own = [F.col(x).alias(f"p_{x}") for x in LANES if also]
+    summed = laned.select("conv", "part", "pos", "turns", *also, *own, *(F.sum(x).over(running).alias(x) for x in LANES))
+    before = [(F.col(x) + F.col(f"o_{x}") - F.col(f"p_{x}")).alias(f"p_{x}") for x in LANES if also]
+    return summed.join(offsets, (F.col("conv") == F.col("o_conv")) & (F.col("part") == F.col("o_part"))).select(
+        "conv", "pos", "turns", *also, *before, *((F.col(x) + F.col(f"o_{x}")).alias(x) for x in LANES)
     )
 
 
@@ -99,7 +105,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         shown = settled(placed.join(kept.select(F.col("conv").alias("k_conv")), F.col("conv") == F.col("k_conv"), "left_semi").select("conv", "role", "text", "start", "copies", "turns"), "shown-turns")
     rendered = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     return (
-        shown.select("conv", "turns", rendered.alias("said"), positions())
+        every_place(shown.select("conv", "turns", rendered.alias("said"), "start", "copies"), "conv", "turns", "said")
         .groupBy("conv", part_of(part_turns), "turns")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("said"))
         .select(F.col("conv").alias(conv_col), "part", F.col("turns").alias("n_turns"), F.array_join(F.col("said.said"), "").alias("chat"))

@@ -12,9 +12,11 @@ from .jaccard_join import near_duplicates
 from .language_id import identify_held_out
 from .line_dedup import dedup_lines
 from .periodic_runs import periodic_runs
+from .prefix_trie import grafted, placed_words, trie_of
 from .quality_classifier import classify_held_out
 from .quality_rules import quality_rules
 from .sentencepiece_codec import encode_decode
+from .shared import scratch, settled, written
 from .url_filters import filter_urls
 from .warc import archive, read_archives
 
@@ -228,3 +230,51 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Conversations of a family, and the number that bounds the turns taken from its first.
+FAMILY, HEADS = 20, 4
+
+
+@query(r"""
+with t as (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+    from conversations where conv_id is not null
+), l as (
+    -- crc32 of the decimal id by its half-bytes, the lower first; the table is that of the polynomial EDB88320
+    select c, max(p) as n, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ascii(x)::bigint & 15, ascii(x)::bigint >> 4]))),
+        lambda crc, x: xor(crc >> 4, [TABLE][(xor(crc, x) & 15) + 1])) as crc from t group by c
+), m as (
+    select c, n, xor(crc, 4294967295) % 4 as h, c - ((c % 20 + 20) % 20) as b from l
+), k as (
+    select m.c, m.b, m.h, least(m.h, coalesce(x.n, 0)) as k from m left join m x on m.b = x.c
+), r as (
+    select k.c, t.p as d, role, text from k join t on t.c = k.b and t.p <= k.k
+    union all
+    select k.c, t.p - k.h + k.k, role, text from k join t on t.c = k.c and t.p > k.h
+), s as (
+    select c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, sha256(string_agg(sha256(role) || sha256(text), '' order by d) over (partition by c order by d)) as prefix from r
+    union all
+    select c, 0, 0, '' from m
+), v as (
+    select *, min(c) over (partition by d, prefix) as o, count(*) over (partition by d, prefix) as n_convs, max(d) over (partition by c) as last from s
+), w as (
+    select *, lag(o) over (partition by c order by d) as po from v
+), e as (
+    select o, d, max(po) as po, max(n_convs) as n_convs, max(words) as words, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = last), '')) as ends from w group by o, d
+), kids as (
+    select po, d - 1 as d, count(*) as n from e where po is not null group by po, d
+), f as (
+    select e.*, coalesce(kids.n, 0) as n_children from e left join kids on e.o = kids.po and e.d = kids.d
+), totals as (
+    -- each node counts for all nodes on the path of its name-giver
+    select w.o, w.d, sum(case when f.n_children = 0 then 1 else 0 end) as n_leaves, sum((f.n_convs - 1) * f.words) as saved from f join w on w.c = f.o and w.d <= f.d group by w.o, w.d
+)
+select f.o as conv_id, f.d as depth, f.po as parent_conv_id, f.n_convs, f.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, ends as ends_sha256
+from f join totals on f.o = totals.o and f.d = totals.d
+""".replace("TABLE", "0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108"))
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark):
+        placed = written(placed_words(table(spark, sf_dir, "conversations")), "trie-turns")
+        return settled(trie_of(*grafted(placed, FAMILY, HEADS)), "prefix-trie")

@@ -31,9 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, scoped: bool = False) -> str:
+    """A path of its own below the shared folder; a ``scoped`` one is deleted at the end of the innermost ``scratch``."""
+    path = f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    if scoped and _open_scopes():
+        _open_scopes()[-1].append(path)
+    return path
 
 
 def _open_scopes() -> list[list[str]]:
