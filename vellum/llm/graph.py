@@ -33,3 +33,18 @@ def connected_components(links: DataFrame) -> DataFrame:
             changed = n_after != n or after.join(edges, ["u", "v"], "left_anti").limit(1).count() > 0
             edges, n = after, n_after
         return settled(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``parents`` (node, up), in which each node has one row; roots have themselves as up.
+
+    Pointers are doubled until all lead to a root: rounds grow with the logarithm of a path's length. To be called within
+    a ``scratch`` scope; there must be no circles.
+    """
+    found = written(parents.select("node", F.col("up").alias("root")), "pointers")
+    while True:
+        above = found.where("node <> root").select(F.col("node").alias("a_node"), F.col("root").alias("a_root"))
+        moved = found.join(above, F.col("root") == F.col("a_node"), "left")
+        if moved.where("a_root is not null").limit(1).count() == 0:
+            return found
+        found = written(moved.select("node", F.coalesce("a_root", "root").alias("root")), "pointers")

@@ -227,9 +227,11 @@ def reached(query: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
     return count >= least
 
 
-def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sets_of=shingle_sets, reach=reached) -> DataFrame:
     """The pairs (a, b, len) of sets that reach the similarity: each query ``b`` is searched for among its ``a``.
 
+    ``sets_of`` makes sets of texts, ``reach`` tells which of several sets are similar to one.
+
     The text of each ``a`` goes to its ``b``; ``len`` bounds the number of a ``b``'s partners: it tells into how many
     copies the ``b`` is dealt, so that QUERY_SETS or so meet one copy.
     """
@@ -248,7 +250,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         at, query, names, members = None, None, [], []
 
         def links() -> pa.RecordBatch:
-            yes = reached(query, members) if members else np.zeros(0, bool)
+            yes = reach(query, members) if members else np.zeros(0, bool)
             found = [a for a, y in zip(names, yes.tolist(), strict=True) if y]
             names.clear()
             members.clear()
@@ -256,7 +258,7 @@ def linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 4, 1_000_000):
-                sets = shingle_sets(part.column(4).to_pylist())
+                sets = sets_of(part.column(4).to_pylist())
                 for b, copy, role, own, x in zip(*(part.column(i).to_pylist() for i in range(4)), sets, strict=True):
                     if role == 0:
                         if at != (b, copy):  # repeated rows of the query's document bring it more than once

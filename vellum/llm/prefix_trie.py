@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import LANES, PART, placed_turns, turn_prefixes
 from .files import NewFile, open_to_read
+from .graph import forest_roots
 from .shared import new_path, scratch, settled, written
 
 #: Conversations from which on a stretch is left to the next pass; each pass takes so many times more.
@@ -129,19 +130,10 @@ def _stretches(nodes: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def _shard_roots(stretches: DataFrame) -> DataFrame:
-    """(owner, shard) of the owners of ``stretches``, of which those in one subtree have the same shard: its root's owner.
-
-    Pointers are doubled until all lead to a root.
-    """
+    """(s_owner, shard) of the owners of ``stretches``, of which those in one subtree have the same shard: its root's owner."""
     top = F.max(F.struct("n_convs", "inside", "p_owner")).alias("top")
     found = stretches.groupBy("owner").agg(top).select("owner", F.when(F.col("top.inside"), F.col("top.p_owner")).otherwise(F.col("owner")).alias("shard"))
-    found = written(found, "trie-pointers")
-    while True:
-        above = found.where("owner <> shard").select(F.col("owner").alias("a_owner"), F.col("shard").alias("a_shard"))
-        moved = found.join(above, F.col("shard") == F.col("a_owner"), "left")
-        if moved.where("a_shard is not null").limit(1).count() == 0:
-            return found
-        found = written(moved.select("owner", F.coalesce("a_shard", "shard").alias("shard")), "trie-pointers")
+    return forest_roots(found.select(F.col("owner").alias("node"), F.col("shard").alias("up"))).select(F.col("node").alias("s_owner"), F.col("root").alias("shard"))
 
 
 def _totals(stretches: DataFrame, messages: DataFrame | None, queue: int) -> DataFrame:
@@ -155,7 +147,7 @@ def _totals(stretches: DataFrame, messages: DataFrame | None, queue: int) -> Dat
         stretches = stretches.withColumn("m_leaves", F.lit(0).cast("long")).withColumn("m_saved", F.lit(0).cast("long"))
     else:
         stretches = stretches.join(messages, (F.col("owner") == F.col("m_owner")) & (F.col("hi") == F.col("m_hi")), "left").withColumn("m_leaves", F.coalesce("m_leaves", F.lit(0))).withColumn("m_saved", F.coalesce("m_saved", F.lit(0)))
-    dealt = stretches.join(_shard_roots(stretches).select(F.col("owner").alias("s_owner"), "shard"), F.col("owner") == F.col("s_owner"))
+    dealt = stretches.join(_shard_roots(stretches), F.col("owner") == F.col("s_owner"))
     columns = ["owner", "hi", "leaf", "gain", "m_leaves", "m_saved", "p_owner", "p_hi", "inside"]
     levels = dealt.select("shard", *columns).repartition("shard").sortWithinPartitions(F.col("hi").desc(), F.col("owner").asc()).select(*columns)
 

@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .jaccard_join import near_duplicates
 from .language_id import identify_held_out
 from .line_dedup import dedup_lines
+from .minhash_forest import minhash_duplicates
 from .periodic_runs import periodic_runs
 from .prefix_trie import grafted, placed_words, trie_of
 from .quality_classifier import classify_held_out
@@ -199,24 +200,30 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-def looped_text(doc_id: str, text: str) -> F.Column:
-    """The text of op13: of ids whose crc32 h is divisible by 10 all words from a on repeat the first p from there.
+@query()
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of op13: of ids whose crc32 h is divisible by 10 all words from a on repeat the first p from there.
 
-    a = g % n and p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), n words. Other texts stay as they are.
+    a = g % n and p = 1 + floor((n - a) / (3 + g % 8)), g = floor(h / 10), n words. Other texts stay as they are. Words
+    and numbers are columns of their own: within the function of transform() they would be made anew for each word.
     """
-    h = F.crc32(F.col(doc_id).cast("string"))
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    g, n = F.floor(h / 10), F.size(words)
-    a = F.pmod(g, n)
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    looped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
-    return F.when((h % 10 == 0) & F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), looped).otherwise(F.col(text))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    worded = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"))
+    n = F.size("words")
+    begun = worded.select("doc_id", "text", "g", "words", F.when(n > 0, F.pmod("g", n)).cast("int").alias("a"))
+    timed = begun.select("doc_id", "text", "words", "a", (F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int").alias("p"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    looped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", place(i))), " ")
+    return timed.select("doc_id", F.when(F.col("a").isNotNull(), looped).otherwise(F.col("text")).alias("text"))
 
 
 @query()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", looped_text("doc_id", "text").alias("text"))
+    docs = looped_texts(table(spark, sf_dir, "documents"))
     line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
     found = periodic_runs(docs).withColumn("longest", longest)

@@ -1,4 +1,4 @@
-"""Sets of five-word shingles as sorted 64-bit hashes, computed for many texts at once with numpy."""
+"""Sets of word shingles as sorted 64-bit hashes, computed for many texts at once with numpy."""
 
 from __future__ import annotations
 
@@ -31,11 +31,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (uint64) of each text.
+def shingle_sets(texts: list[str | None], words: int = SIZE) -> list[np.ndarray]:
+    """Sorted distinct hashes (uint64) of each text's shingles of ``words`` words, SIZE at most.
 
-    A-Z are lower-cased; words are runs of anything but space and the ASCII controls 9 to 13. A text of fewer than
-    SIZE words has its whole sequence as one shingle; null and wordless texts have none.
+    A-Z are lower-cased; words are runs of anything but space and the ASCII controls 9 to 13. A text of fewer
+    words has its whole sequence as one shingle; null and wordless texts have none.
     """
     raw = [(t or "").encode().lower() for t in texts]  # bytes.lower() changes A-Z only
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
@@ -47,14 +47,14 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power(_BASE, len(data)))])
         word = _mixed((sums[stop] - sums[start]) * _power(_BASE_INVERSE, len(data))[start] + (stop - start).astype(np.uint64))
         bounds = np.searchsorted(start, begins)
-        full = np.zeros(max(0, len(word) - SIZE + 1), np.uint64)
-        for j in range(SIZE):
+        full = np.zeros(max(0, len(word) - words + 1), np.uint64)
+        for j in range(words):
             full += word[j : j + len(full)] * _PLACE[j]
         full = _mixed(full)
         found = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a >= SIZE:
-                found.append(np.unique(full[a : b - SIZE + 1]))
+            if b - a >= words:
+                found.append(np.unique(full[a : b - words + 1]))
             elif b > a:
                 found.append(_mixed(np.array([(word[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64)))
             else:
