@@ -36,7 +36,7 @@ def test_front_matter(spark, tmp_path):
     assert json.loads(out[0].f.fields)["d"] == {"k": True} and out[0].b.strip() == "Body"
     assert [r.f.error for r in out[1:]] == ["line 1: no front matter", "line 2: indented without a key"]
     made = spark.createDataFrame([("n1", "t")], "norm string, text string").select("norm", frontmatter.render({"norm": F.col("norm"), "none": F.lit(None)}, F.col("text")).alias("doc"))
-    assert made.first().doc == "---\nnorm: n1\n---\n\nt"
+    assert made.first().doc == '---\nnorm: "n1"\n---\n\nt\n'
     frontmatter.write_markdown(made, str(tmp_path / "md"), "norm", "doc")
     assert list((tmp_path / "md").glob("norm=n1/*.txt"))
 

@@ -75,13 +75,14 @@ def packed_chunks(pages: DataFrame, document: str, page: str, text: str, most: i
 
     A block (trimmed, not empty) is never cut: one longer than ``most`` makes a chunk of its own. Each block counts two
     characters more for the blank line that joins it. Pages are sorted by document, page and text, in partitions by
-    document; the fold passes over them and holds one chunk only, so a document may be of any length.
+    document, equal ones one after another; the fold passes over them and holds one chunk only, so a document may be of
+    any length.
     """
     kind = pages.schema[document].dataType
-    kept = pages.select(F.col(document).alias("d"), F.col(page).cast("long").alias("p"), F.col(text).alias("t"), F.col(page).alias("o"))
-    blocks = kept.select("d", "o", "p", F.posexplode(F.filter(F.transform(F.split("t", separator), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")).alias("i", "b"), "t")
-    sizes = blocks.select("d", "o", "p", F.xxhash64("t").alias("h"), "i", "b", F.length("b").alias("n"))
-    dealt = sizes.repartition("d").sortWithinPartitions("d", "o", "h", "i").select("d", "p", "b", "n")
+    kept = pages.select(F.col(document).alias("d"), F.col(page).cast("long").alias("p"), F.col(text).alias("t"), F.col(page).alias("o")).withColumn("c", F.monotonically_increasing_id())
+    blocks = kept.select("d", "o", "p", "c", F.posexplode(F.filter(F.transform(F.split("t", separator), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")).alias("i", "b"), "t")
+    sizes = blocks.select("d", "o", "p", "c", F.xxhash64("t").alias("h"), "i", "b", F.length("b").alias("n"))
+    dealt = sizes.repartition("d").sortWithinPartitions("d", "o", "h", "c", "i").select("d", "p", "b", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chunk, used, held, first, last = None, 0, 0, [], None, None

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..storage import folders, kept_table, result_table
 
 
 def valid_at(versions: DataFrame, entity: str, start: str, end: str, at: Column, payload: list[str]) -> DataFrame:
@@ -13,19 +19,71 @@ def valid_at(versions: DataFrame, entity: str, start: str, end: str, at: Column,
 
 
 def as_of_join(facts: DataFrame, versions: DataFrame, entity: str, at: str, start: str, end: str, payload: list[str]) -> DataFrame:
-    """Each fact with the payload of its entity's version valid at the fact's time; facts without one have nulls.
+    """Each fact with the payload of its entity's version valid at the fact's time, as ``valid_at``: the newest start of
+    those with start <= at < end (null end: open), of equal starts the greatest payload. Facts without one have nulls.
+
+    A sweep: facts and versions are sorted by entity and time, and one pass keeps the open versions as a stack, the newest
+    on top. A version that ends no later than a newer one can't count again and goes, so ends grow down the stack, and
+    what has ended lies on top and is taken off: each version comes and goes once, however versions overlap.
 
-    Facts and versions meet by entity: one union ordered by time, in which the last version before a fact is carried
-    forward. No pairs are formed, so an entity with many facts and versions costs their sum and not their product.
+    Rows are dealt by ranges of (entity, time), so an entity of any size lies in many slices; the stack that a slice leaves
+    of its last entity is carried into the later slices of that entity. Null entities, times and starts match nothing.
     """
-    state = F.struct(F.col(start), F.col(end), *payload)
-    v = versions.select(entity, F.col(start).alias("_t"), F.lit(0).alias("_kind"), state.alias("_state"), F.lit(None).cast(facts.select(F.struct("*").alias("s")).schema["s"].dataType).alias("_fact"))
-    f = facts.select(entity, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(v.schema["_state"].dataType).alias("_state"), F.struct("*").alias("_fact"))
-    order = Window.partitionBy(entity).orderBy("_t", "_kind", "_state").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("_state", ignorenulls=True).over(order)
-    met = v.unionByName(f).withColumn("_last", last).where("_kind = 1")
-    open_still = F.col(f"_last.{end}").isNull() | (F.col(f"_last.{end}") > F.col("_t"))
-    return met.select("_fact.*", *(F.when(open_still, F.col(f"_last.{p}")).alias(p) for p in payload))
+    types = {facts.schema[at].dataType, versions.schema[start].dataType, versions.schema[end].dataType}
+    common = None if len(types) == 1 else T.TimestampType() if types & {T.DateType(), T.TimestampType()} else T.DoubleType()
+    time = lambda c: F.col(c).cast(common) if common else F.col(c)
+    value, fact = F.struct(*payload), F.struct("*")
+    value_type, fact_type = versions.select(value.alias("x")).schema["x"].dataType, facts.select(fact.alias("x")).schema["x"].dataType
+    v = versions.where(F.col(start).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), time(start).alias("t"), F.lit(0).alias("kind"), time(end).alias("end"), value.alias("value"), F.lit(None).cast(fact_type).alias("fact"))
+    f = facts.select(F.col(entity).cast(versions.schema[entity].dataType).alias("e"), time(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(v.schema["end"].dataType).alias("end"), F.lit(None).cast(value_type).alias("value"), fact.alias("fact"))
+    order = ["e", "t", "kind", "value"]
+    with folders(facts.sparkSession):
+        # written: slices follow from a sample and have to be the same in all that comes
+        dealt = kept_table(v.unionByName(f).repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "as-of-slices")
+        edges = dealt.groupBy("slice").agg(F.max("e").alias("last"), F.min(F.struct("e", "t")).alias("first"))
+        edges = edges.withColumn("goes_on", F.lead("first.e").over(Window.orderBy("slice")) == F.col("last"))  # one row a slice
+        edges = kept_table(edges, "as-of-edges")
+        leaving = F.broadcast(edges.where("goes_on").select(F.col("slice").alias("s"), "last"))
+        left = _outlasting(dealt.where("kind = 0").join(leaving, (F.col("slice") == F.col("s")) & (F.col("e") == F.col("last"))))
+        entering = F.broadcast(edges.select(F.col("slice").alias("into"), F.col("first.e").alias("into_e"), F.col("first.t").alias("into_t")))
+        carried = left.join(entering, (F.col("into") > F.col("slice")) & (F.col("e") == F.col("into_e")) & (F.col("end").isNull() | (F.col("end") > F.col("into_t"))))
+        carried = carried.select("e", "t", "kind", "end", "value", "fact", F.col("into").alias("slice"))
+        met = _swept(dealt.unionByName(carried))
+        return result_table(met.select("fact.*", *(F.col(f"value.{p}").alias(p) for p in payload)), "as-of-facts")
+
+
+def _outlasting(versions: DataFrame) -> DataFrame:
+    """The versions (slice, e, t, end, value) that no later one of their slice and entity outlasts."""
+    later = Window.partitionBy("slice", "e").orderBy(F.col("t").desc(), F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    open_later = F.coalesce(F.max(F.col("end").isNull()).over(later), F.lit(False))
+    marked = versions.withColumn("_open", open_later).withColumn("_until", F.max("end").over(later))
+    return marked.where(~F.col("_open") & (F.col("end").isNull() | F.col("_until").isNull() | (F.col("end") > F.col("_until"))))
+
+
+def _swept(rows: DataFrame) -> DataFrame:
+    """(fact, value) of the facts among ``rows`` (e, t, kind, end, value, fact, slice): one pass over each slice with a stack of versions."""
+    dealt = rows.repartition("slice").sortWithinPartitions("slice", "e", "t", "kind", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, stack = None, []
+        for batch in batches:
+            value, fact = batch.column(4), batch.column(5)
+            found, places = [], []
+            for i, (e, t, kind, end, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 6)), strict=True)):
+                if own != (at, e):
+                    own, stack = (at, e), []
+                if kind == 0:
+                    while stack and (end is None or stack[-1][0] is not None and stack[-1][0] <= end):
+                        stack.pop()
+                    stack.append((end, value[i].as_py()))
+                    continue
+                while t is not None and stack and stack[-1][0] is not None and stack[-1][0] <= t:
+                    stack.pop()
+                places.append(i)
+                found.append(stack[-1][1] if t is not None and e is not None and stack else None)
+            yield pa.RecordBatch.from_arrays([fact.take(pa.array(places, pa.int64())), pa.array(found, value.type)], names=["fact", "value"])
+
+    return dealt.select("e", "t", "kind", "end", "value", "fact", "slice").mapInArrow(run, T.StructType([dealt.schema["fact"], dealt.schema["value"]]))
 
 
 def closed_intervals(rows: DataFrame, entity: str, start: str, tie: str) -> DataFrame:

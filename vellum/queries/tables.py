@@ -117,6 +117,22 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of_join(facts, order_versions(spark, sf_dir), "o_custkey", "t", "o_orderdate", "valid_until", ["o_orderkey"]).drop("t")
 
 
+@query("""
+with v as (select l_suppkey, l_shipdate as sent, l_shipdate + to_days(l_quantity::integer) as came, l_orderkey * 10 + l_linenumber as line from lineitem)
+select f.l_orderkey, f.l_linenumber, (select arg_max(v.line, (v.sent, v.line)) from v where v.l_suppkey = f.l_suppkey and v.sent <= f.l_shipdate + to_days(f.l_linenumber::integer * 9) and v.came > f.l_shipdate + to_days(f.l_linenumber::integer * 9)) as line from lineitem f
+""")
+def overlapping_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line, some days after it was sent, with that of its supplier which was the last sent and still on its way then.
+
+    A line is on its way for as many days as its quantity, so many of a supplier's overlap, and short ones lie within long ones.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    ways = lines.select("l_suppkey", F.col("l_shipdate").alias("sent"), (F.col("l_shipdate") + days(F.col("l_quantity"))).alias("came"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    facts = lines.select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_shipdate") + days(F.col("l_linenumber") * 9)).alias("t"))
+    return as_of_join(facts, ways, "l_suppkey", "t", "sent", "came", ["line"]).select("l_orderkey", "l_linenumber", "line")
+
+
 @query("select o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) as first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last from orders group by o_custkey")
 def first_and_last_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_and_last(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")

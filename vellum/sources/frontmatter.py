@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.text import slug
 
 #: Fixed value: beyond it an integer stays a text.
 GREATEST = 2**53 - 1
-#: An item of an inline list: a quoted text (which may hold commas) or what stands up to the next comma.
-ITEM = re.compile(r"""\s*((?:"[^"]*"|'[^']*'|[^,"'])*)\s*(?:,|$)""")
+#: What the inside of an inline list is made of: a quoted text (to the end, if the quote doesn't end), a bracket, a comma, other text.
+PIECE = re.compile(r"""(?P<quoted>"[^"]*"?|'[^']*'?)|(?P<open>\[)|(?P<close>\])|(?P<comma>,)|[^"'\[\],]+""")
 
 
 def scalar(text: str):
@@ -28,19 +29,23 @@ def scalar(text: str):
     return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
 
 
+def items_of(inside: str) -> list[str]:
+    """The items between commas; one within quotes or brackets parts nothing, and what is empty at the end is no item."""
+    items, depth = [""], 0
+    for piece in PIECE.finditer(inside.strip()):
+        depth += bool(piece["open"]) - bool(piece["close"])
+        if piece["comma"] and not depth:
+            items.append("")
+        else:
+            items[-1] += piece[0]
+    return items if items[-1].strip() else items[:-1]
+
+
 def value_of(text: str):
     """An inline list, a scalar, or None where nothing stands: the lines that follow tell."""
     text = text.strip()
     if text.startswith("[") and text.endswith("]"):
-        inside, at, found = text[1:-1], 0, []
-        while at < len(inside):
-            item = ITEM.match(inside, at)
-            if not item or item.end() == at:
-                raise ValueError("a quote doesn't end")
-            if item[1].strip():
-                found.append(scalar(item[1]))
-            at = item.end()
-        return found
+        return [scalar(x) for x in items_of(text[1:-1])]
     return scalar(text) if text else None
 
 
@@ -108,10 +113,41 @@ def body(text: Column) -> Column:
     return F.when(text.startswith("---\n"), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n?", "")).otherwise(text)
 
 
-def render(fields: dict[str, Column], text: Column) -> Column:
-    """A Markdown document: front matter of the given fields (null ones left out) and the text."""
-    lines = F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in fields.items()))
-    return F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"), text)
+def quoted(value: Column) -> Column:
+    """A text as a front-matter value of one line: in double quotes, with these and backslashes escaped, line breaks as spaces."""
+    escaped = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\\", r"\\\\"), '"', r'\\"')
+    return F.concat(F.lit('"'), F.replace(escaped, F.lit("\n"), F.lit(" ")), F.lit('"'))
+
+
+def render(fields: dict[str, Column], text: Column, numbers: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> Column:
+    """A Markdown document: front matter of the given fields and the text, each on lines of its own.
+
+    Values are ``quoted`` but for those of ``numbers``; those of ``lists`` are arrays, written as a block list. Null values
+    and empty lists are left out.
+    """
+    lines = []
+    for name, value in fields.items():
+        if name in lists:
+            items = F.array_join(F.transform(F.filter(value, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("\n  - "), quoted(x))), "")
+            lines.append(F.when(items != "", F.concat(F.lit(f"{name}:"), items)))
+        else:
+            lines.append(F.concat(F.lit(f"{name}: "), value.cast("string") if name in numbers else quoted(value)))
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
+
+
+def provision_path(law: Column, levels: Column, provision: Column, article: Column, paragraph: Column, item: Column, letter: Column) -> Column:
+    """Where a provision's file lies: ``<law>/dispositivos/<level>/.../art-005-p-1-i-ii-a-a.md``.
+
+    ``levels`` is an array of headings above it (``sem-hierarquia`` stands for none); a provision outside an article has
+    its id as name. Article numbers have three digits at least.
+    """
+    number = article.cast("string")
+    number = F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))
+    part = lambda tag, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"{tag}-"), slug(c.cast("string"))))
+    name = F.when(article.isNull(), slug(provision.cast("string"))).otherwise(F.concat_ws("-", F.concat(F.lit("art-"), number), part("p", paragraph), part("i", item), part("a", letter)))
+    folders = F.filter(F.transform(F.coalesce(levels, F.array().cast("array<string>")), slug), lambda x: x != "")
+    middle = F.when(F.size(folders) > 0, F.array_join(folders, "/")).otherwise(F.lit("sem-hierarquia"))
+    return F.concat_ws("/", law, F.lit("dispositivos"), middle, F.concat(name, F.lit(".md")))
 
 
 def write_markdown(rows: DataFrame, path: str, folder: str, text: str) -> None:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: How long a window waits for late rows.
 LATENESS = "10 minutes"
@@ -33,38 +34,67 @@ def usage(events: DataFrame, key: str, amount: str) -> DataFrame:
 
 
 LIMITS = "client long, event_id long, allowed boolean, scope string"
-STATE = "minute long, minute_n long, day long, day_n long"
+MINUTE, DAY = 60, 86_400
 
 
-def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
-    """The fixed-window limiter over a stream (client, event_id, ts), with four numbers of state for each client.
+class FixedWindows(StatefulProcessor):
+    """Counts of a client's passed calls by minute and by day, each a map from the window's number.
 
-    Within a trigger a client's calls are taken in order of time and id; only calls that pass are counted. State that
-    a client hasn't used for a day of event time is dropped.
+    A window's count goes when the watermark has passed its end, by a timer: no call of it can come any more.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        minute, minute_n, day, day_n = state.get if state.exists else (-1, 0, -1, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            second = int(ts.timestamp())
-            if second // 60 != minute:
-                minute, minute_n = second // 60, 0
-            if second // 86400 != day:
-                day, day_n = second // 86400, 0
-            scope = "minute" if minute_n >= per_minute else "day" if day_n >= per_day else None
-            if scope is None:
-                minute_n, day_n = minute_n + 1, day_n + 1
-            out.append((key[0], event_id, scope is None, scope))
-        state.update((minute, minute_n, day, day_n))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
+    def __init__(self, per_minute: int, per_day: int):
+        self.limits = {"minute": (MINUTE, per_minute), "day": (DAY, per_day)}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = {scope: handle.getMapState(scope, "window long", "n long") for scope in self.limits}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        known: dict[tuple[str, int], int] = {}
+        changed, out = set(), []
+        for event_id, ts in zip(calls["event_id"], calls["ts"], strict=True):
+            windows = {scope: int(ts.timestamp()) // size for scope, (size, _) in self.limits.items()}
+            for at in windows.items():
+                if at not in known:
+                    state = self.counts[at[0]]
+                    known[at] = state.getValue((at[1],))[0] if state.containsKey((at[1],)) else 0
+            full = [scope for scope, (_, most) in self.limits.items() if known[scope, windows[scope]] >= most]
+            if not full:
+                for at in windows.items():
+                    known[at] += 1
+                    changed.add(at)
+            out.append((key[0], event_id, not full, full[0] if full else None))
+        for scope, window in changed:
+            self.counts[scope].updateValue((window,), (known[scope, window],))
+            self.handle.registerTimer((window + 1) * self.limits[scope][0] * 1000)
         yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "scope"])
 
-    return calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).groupBy("client").applyInPandasWithState(run, LIMITS, STATE, "append", "EventTimeTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        for scope, (size, _) in self.limits.items():
+            if end % size == 0:
+                self.counts[scope].removeKey((end // size - 1,))
+        yield pd.DataFrame([], columns=["client", "event_id", "allowed", "scope"])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps maps and timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
+    """The fixed-window limiter over a stream (client, event_id, ts): client, event_id, allowed and the scope that denied.
+
+    A call counts in the minute and the day of its own time, whenever it comes, as long as it is no later than the
+    watermark. Within a trigger a client's calls are taken in order of time and id; only calls that pass are counted.
+    """
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    return timed.groupBy("client").transformWithStateInPandas(FixedWindows(per_minute, per_day), LIMITS, "Append", "EventTime")
 
 
 #: Folders over which the keys of an upserted table are dealt.
