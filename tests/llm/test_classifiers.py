@@ -97,16 +97,27 @@ def test_scores_against_brute_force(spark):
         assert abs(row.score - 1 / (1 + exp(-total))) < 1e-4 and row.predicted == int(row.score >= 0.3)
 
 
-def test_long_labelled_texts_are_learned_from(spark):
-    from vellum.llm.quality_classifier import SAMPLE_BYTES, drawn_chunks
-
-    long = "plain words of a page " * 20_000
-    data, in_chunks = drawn_chunks(long.encode())
-    assert in_chunks and len(data) == SAMPLE_BYTES and drawn_chunks(b"short") == (b"short", False)
-    docs = spark.createDataFrame([(i, long + ("" if i % 2 else "&&&&" * 40_000)) for i in range(1, 41)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
-    out = classify_held_out(docs, labels).collect()
+def test_long_labelled_texts_are_learned_from_whole(spark, monkeypatch):
+    from vellum.llm import quality_classifier as module
+
+    long = "plain words of a page " * 5_000
+    docs = spark.createDataFrame([(i, long + ("" if i % 2 else "&&&&" * 300)) for i in range(1, 41)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)] + [(50, 1)], "doc_id long, quality int")
+    seen, train = [], module.train
+    monkeypatch.setattr(module, "train", lambda texts, given: seen.append((texts, given)) or train(texts, given))
+    out = classify_held_out(docs, labels).where("doc_id < 50").collect()
     assert all(r.predicted == r.doc_id % 2 for r in out)
+    whole = {r.text.encode() for r in docs.where("text is not null").collect()} | {b""}
+    assert set(seen[0][0]) <= whole and len(seen[0][0]) > 25
+    module.learn_quality(docs, labels, sample_bytes=5 * len(long) + 20_000)
+    assert 3 <= len(seen[1][0]) <= 6 and set(seen[1][0]) <= whole
+    assert len(seen) == 2
+
+
+def test_numerals_are_no_letters():
+    from vellum.llm.language_id import has_letter
+
+    assert not any(map(has_letter, ("½ ② ³ Ⅷ", "12 _ -", "", "٣"))) and all(map(has_letter, ("½ a", "ª", "語", "ǅ")))
 
 
 def brute_mixture(languages, p, x, penalty):

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from vellum.llm.warc import DICTIONARY_FRAME, archive, archived_records, read_archives
 
@@ -25,11 +26,14 @@ def test_round_trip_and_revisits(spark, got):
     given = {(None if i is None else str(i), (h or "").encode()) for i, _, h in rows}
     assert all((r.page_id, bytes(r.payload)) in given for r in back.where("record_type = 'response'").collect())
     assert {r.url for r in back.collect() if r.page_id == "201"} == {"bad%0D%0Aurl"}
+    named = []
     for m in manifest.collect():
         with open(m.path.removeprefix("file://"), "rb") as f:
             assert int.from_bytes(f.read(4), "little") == DICTIONARY_FRAME and int.from_bytes(f.read(4), "little") > 0
         offsets = [o for o, _ in archived_records(m.path)]
+        named += [re.search(rb"WARC-Record-ID: (\S+)", raw)[1] for _, raw in archived_records(m.path)]
         assert len(offsets) == m.records and offsets == sorted(set(offsets))
+    assert len(set(named)) == len(named) - 1  # row 59 is there twice
 
 
 def test_only_null_ids_and_empty_table(spark, got):

@@ -31,10 +31,15 @@ SMOOTHING = 0.2
 PENALTY, SETTLED = 3.0, 1e-4
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the Unicode letter classes; numerals like ½, ② or Ⅷ are none."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Bucket of every byte trigram of the lower-cased text, runs of ASCII other than letters taken as one space."""
     b = np.frombuffer(b" " + text.lower().encode().translate(_ASCII) + b"  ", np.uint8)
@@ -58,7 +63,7 @@ class Mixture:
 
     def infer(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
         """Predicted language, its proportion, and the proportions of the whole set."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, []
         x = trigrams(text)
         if len(x) > BUCKETS:

@@ -23,9 +23,9 @@ from .shared import crc_bucket, small_side
 
 #: Bytes of a chunk and from one chunk's start to the next's; embedding size; filters.
 WIDTH, STRIDE, EMBED, FILTERS = 16, 8, 8, 32
-#: Labelled documents for training, about. Of a text of more than SAMPLE_BYTES, training sees so many bytes' worth of
-#: chunks, drawn at equal distances over the whole text; no text is left out for its length.
-SAMPLE_DOCS, SAMPLE_BYTES = 2000, 32 * 1024
+#: Labelled documents for training, about, and bytes of all of them together. Texts are trained on whole: the more bytes
+#: they have, the fewer of them are taken.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 * 1024 * 1024
 EPOCHS, BATCH, RATE, SEED = 10, 16, 0.01, 7
 #: The byte that fills the last chunk.
 PAD = 256
@@ -74,22 +74,14 @@ def chunks(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, WIDTH)[::STRIDE]
 
 
-def drawn_chunks(data: bytes, most: int = SAMPLE_BYTES) -> tuple[bytes, bool]:
-    """What training needs of a text: itself, or (marked True) ``most`` bytes of whole chunks from all over a longer one."""
-    if len(data) <= most:
-        return data, False
-    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), WIDTH)[::STRIDE]
-    return every[np.linspace(0, len(every) - 1, most // WIDTH).astype(np.int64)].tobytes(), True
-
-
-def train(texts: list[bytes | np.ndarray], labels: list[int]) -> ByteNet:
-    """A network fitted by Adam on the logistic loss to texts, or to arrays of their chunks; the same data give the same network."""
+def train(texts: list[bytes], labels: list[int]) -> ByteNet:
+    """A network fitted by Adam on the logistic loss to whole texts; the same data give the same network."""
     net, order = ByteNet.new(), np.random.default_rng(SEED)
     if len(set(labels)) < 2:  # nothing to tell apart: the smoothed share of label 1
         net.weight[:] = 0
         net.offset[:] = np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))
         return net
-    cut = [chunks(t) if isinstance(t, bytes) else t for t in texts]
+    cut = [chunks(t) for t in texts]
     net.offset[:] = np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))
     first = [np.zeros_like(a) for a in net.arrays()]
     second = [np.zeros_like(a) for a in net.arrays()]
@@ -125,26 +117,32 @@ def train(texts: list[bytes | np.ndarray], labels: list[int]) -> ByteNet:
     return net
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> ByteNet:
-    """Trains on a bounded sample of the labelled documents, on the driver: at most 2 * sample_docs of SAMPLE_BYTES each.
+def learn_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
+) -> ByteNet:
+    """Trains on a bounded sample of the labelled documents, on the driver: at most 2 * sample_docs rows, whole texts, of
+    ``sample_bytes`` together (or one row).
 
-    ``labels`` has the ids that may be learned from. The ids drawn are few and broadcast; each brings its document. Of
-    an id that stands on several documents as many count as the bound allows, in the order of hashes.
+    ``labels`` has the ids that may be learned from. The ids drawn are few and broadcast; each brings its document. Rows
+    are taken in the order of hashes as long as the bytes of all taken keep within the bound, whatever their lengths; of
+    an id that stands on several documents as many count as the bounds allow.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("l_label"))
     drawn = small_side(bounded_sample(known, "l_id", sample_docs, "quality"), 2 * sample_docs)
     found = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("d_text")).join(drawn, F.col("d_id") == F.col("l_id"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2, 8_000_000):
-                some = [drawn_chunks(t.encode()) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([x for x, _ in some], pa.binary()), pa.array([x for _, x in some], pa.bool_())], names=["h", "l_label", "data", "in_chunks"])
-
-    small = found.select(F.xxhash64("d_id", F.lit("order")).alias("h"), "l_label", "d_text").mapInArrow(cut, "h long, l_label int, data binary, in_chunks boolean")
-    rows = small.orderBy("h", "l_label", "data").limit(2 * sample_docs).collect()
-    texts = [np.frombuffer(r.data, np.uint8).reshape(-1, WIDTH).astype(np.int16) if r.in_chunks else bytes(r.data) for r in rows]
-    return train(texts, [r.l_label for r in rows])
+    hashed = found.select(F.xxhash64("d_id", F.lit("order")).alias("h"), F.xxhash64("d_text").alias("t"), "l_label", "d_text")
+    few = hashed.select("h", "t", "l_label", F.octet_length("d_text").cast("long").alias("size")).orderBy("h", "t").limit(2 * sample_docs)
+    taken, used = [], 0
+    for r in few.collect():
+        if taken and used + r.size > sample_bytes:
+            break
+        taken.append(r)
+        used += r.size
+    if not taken:
+        return train([], [])
+    inside = F.struct("h", "t") <= F.struct(F.lit(taken[-1].h), F.lit(taken[-1].t))
+    rows = hashed.where(inside).orderBy("h", "t").limit(len(taken)).collect()
+    return train([r.d_text.encode() for r in rows], [r.l_label for r in rows])
 
 
 def score_quality(docs: DataFrame, net: ByteNet, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .files import NewFile, open_to_read
 from .shared import new_path, small_side, written
 
+#: When pages were fetched, where nothing tells.
+DATE = "2024-01-01T00:00:00Z"
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: Dictionary bytes, and the bound of its training sample: records and characters of each.
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 64 * 1024, 1000, 8 * 1024
+#: Dictionary bytes, and the bounds of its training sample: whole records, and bytes of all of them together.
+DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 64 * 1024, 1000, 16 * 1024 * 1024
 #: A file is closed beyond so many bytes.
 FILE_BYTES = 64 * 1024 * 1024
 #: Payloads from this size on are stored once.
@@ -54,20 +56,30 @@ def marked_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, l
     )
 
 
-def train_dictionary(pages: DataFrame, id_col: str, body_col: str) -> bytes:
-    """A dictionary from the beginnings of a sample of bodies, spread evenly by the hash of the id; empty if there is too little.
+def train_dictionary(pages: DataFrame, id_col: str, url_col: str, body_col: str, date: str = DATE, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary from a sample of whole records, spread evenly by the hash of id and body; empty if there is too little.
 
-    Rows whose hash lies below a bound are drawn, about twice SAMPLE_RECORDS whatever the table's size; what reaches
-    the driver is SAMPLE_RECORDS rows of SAMPLE_CHARS at most.
+    About twice ``sample_records`` rows are drawn, whatever the table's size. In the order of hashes they are taken as long
+    as there are no more than ``sample_records``, and none that makes all taken exceed ``sample_bytes``; only these reach the
+    driver, as records that hold their payload.
     """
     import zstandard
 
-    share = int(min(1.0, 2 * SAMPLE_RECORDS / max(1, pages.count())) * 2**30)
-    hashed = pages.select(F.substring(F.col(body_col), 1, SAMPLE_CHARS).alias("body"), F.xxhash64(F.col(id_col), F.lit("dictionary")).alias("h"))
+    share = int(min(1.0, 2 * sample_records / max(1, pages.count())) * 2**30)
+    body = F.coalesce(F.col(body_col), F.lit(""))
+    hashed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("body"), F.xxhash64(F.col(id_col), F.lit("dictionary")).alias("h"), F.xxhash64(body, F.col(url_col)).alias("t"))
     few = hashed.where((F.pmod("h", F.lit(2**30)) <= share) & (F.col("body") != ""))
-    sample = [r.body.encode() for r in few.orderBy("h", "body").limit(SAMPLE_RECORDS).collect()]
-    if len(sample) < 8:
+    taken, used = [], 0
+    for r in few.select("h", "t", F.octet_length("body").alias("size")).orderBy("h", "t").limit(sample_records).collect():
+        if used + r.size <= sample_bytes:
+            taken.append((r.h, r.t))
+            used += r.size
+    if len(taken) < 8:
         return b""
+    wanted = pages.sparkSession.createDataFrame(sorted(set(taken)), "w_h long, w_t long")
+    rows = few.join(F.broadcast(wanted), (F.col("h") == F.col("w_h")) & (F.col("t") == F.col("w_t"))).orderBy("h", "t").limit(len(taken)).collect()
+    bodies = [(r, r.body.encode()) for r in rows]
+    sample = [record_bytes(None if r.page_id is None else str(r.page_id), r.url, b, hashlib.sha1(b).hexdigest(), None, date, f"sample:{i}") for i, (r, b) in enumerate(bodies)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 10)), sample).as_bytes()
     except zstandard.ZstdError:  # too uniform to learn from
@@ -79,26 +91,31 @@ def header_value(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
-    """One WARC/1.1 record."""
-    name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, 'page:' + ('' if x is None else str(x)))}>"
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str, own: str) -> bytes:
+    """One WARC/1.1 record.
+
+    A response of a page with id is named by id and digest, so that revisits can tell its name; all other records by
+    ``own``, which no other record has.
+    """
+    name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, x)}>"
+    mine = own if page_id is None or refers_to is not None else f"page:{page_id}:{digest}"
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", name(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", name(mine)), ("WARC-Date", date)]
     if page_id is not None:
         fields.append(("X-Page-ID", header_value(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", header_value(url)))
     fields += [("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", name(refers_to)), ("X-Refers-To-Page-ID", header_value(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", name(f"page:{refers_to}:{digest}")), ("X-Refers-To-Page-ID", header_value(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields.append(("Content-Length", str(len(block))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, dictionary: bytes, to: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, dictionary: bytes, to: str, date: str = DATE, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the rows of ``records`` as archive files below ``to``; returns the manifest (path, records, bytes).
 
     Files get names of their own and appear only when complete. The manifest is written as a table: it names the files
@@ -118,7 +135,7 @@ def write_archives(records: DataFrame, dictionary: bytes, to: str, date: str = "
                     size = file.stream.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 page = None if r["page_id"] is None else str(r["page_id"])
                 refers = None if r["refers_to"] is None else str(r["refers_to"])
-                size += file.stream.write(compressor.compress(record_bytes(page, r["url"], r["payload"], r["payload_digest"], refers, date)))
+                size += file.stream.write(compressor.compress(record_bytes(page, r["url"], r["payload"], r["payload_digest"], refers, date, f"{file.uri}:{count}")))
                 count += 1
                 if size >= file_bytes:
                     file.finish()
@@ -214,10 +231,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
     Null bodies are empty payloads; null urls leave out the target; null ids are stored without id and, of equal
     bodies, refer to the largest id there is (all stored if there is none). Repeated rows: all rows of the largest id
-    are stored. Bodies of any length are stored whole. An empty table gives no files. Other columns are left out.
+    are stored, and as they are one page of one body their records bear the same name. Bodies of any length are stored whole. An empty table gives no files. Other columns are left out.
     """
     records = marked_records(pages, id_col, url_col, body_col, least)
-    return write_archives(records, train_dictionary(pages, id_col, body_col), to or new_path(pages.sparkSession, "warc"))
+    return write_archives(records, train_dictionary(pages, id_col, url_col, body_col), to or new_path(pages.sparkSession, "warc"))
 
 
 __all__ = ["archive", "archived_records", "parse_record", "read_archives", "record_bytes", "train_dictionary", "write_archives"]
