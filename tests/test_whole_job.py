@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 
 from vellum import registry
-from vellum.operators.parsing import citations, citations_of
+from vellum.operators.parsing import citations, citations_of, own_references_of
 from vellum.operators.sequence import packed_chunks
 from vellum.operators.vector import nearest_to_each
 
@@ -42,6 +42,14 @@ def test_parts_are_read_before_and_behind_a_citation(spark):
     assert (r.article, r.paragraph, r.item, r.letter) == (5, "2", "I", "a")
 
 
+def test_norms_by_name_and_confidence():
+    sure = lambda text: [(c[0], c[3], c[4]) for c in citations_of(text)]
+    assert sure("art. 3 do Código Tributário Nacional, a Lei Kandir e a carta magna") == [("LEI-5.172-1966", 3, 0.3), ("LC-87-1996", 3, 0.3), ("CF-1988", None, 0.3)]
+    assert sure("CTN") == [("LEI-5.172-1966", None, 0.3)] and sure("Lei 5") == [("LEI-05", None, 0.6)] and sure("Lei 5/2001") == [("LEI-05-2001", None, 0.95)]
+    own = [r[6] for r in own_references_of("o art. 1º " + "y " * 30 + "e o art. 2º da portaria x", known=False)]
+    assert own == [0.5, 0.6] and [r[6] for r in own_references_of("o art. 1º")] == [0.9]
+
+
 def test_passages_against_brute_force(spark, tmp_path):
     r = random.Random(7)
     say = lambda n: " ".join(r.choice("ab bcd efg hij kl mnop q".split()) + str(r.randrange(3)) for _ in range(n))

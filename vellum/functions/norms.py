@@ -40,3 +40,13 @@ YEAR_BOUNDS = {
     "LEI": (1824, 2030), "LC": (1967, 2030), "DECRETO": (1889, 2030), "DL": (1937, 1988), "IN": (1990, 2030),
     "PORTARIA": (1950, 2030), "RESOLUCAO": (1950, 2030), "MP": (1988, 2030), "EC": (1992, 2030),
 }
+
+#: Norms that are cited by a name, without a number.
+NAMED_NORMS = [
+    (r"constitui[çc][ãa]o(?:\s+federal|\s+da\s+rep[úu]blica)?", "CF-1988"),
+    (r"CF(?:/(?:19)?88)?", "CF-1988"),
+    (r"carta\s+magna", "CF-1988"),
+    (r"c[óo]digo\s+tribut[áa]rio\s+nacional", "LEI-5.172-1966"),
+    (r"CTN", "LEI-5.172-1966"),
+    (r"lei\s+kandir", "LC-87-1996"),
+]

@@ -83,7 +83,7 @@ def verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 with b as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as official from benchmark),
-c as (select doc_id, doc_id % 50 as item_id, case when doc_id % 3 = 0 then '  ' || official || chr(10) else substr(text, 1, 80) end as quote from documents d left join b on b.item_id = d.doc_id % 50)
+c as (select doc_id, doc_id % (select count(*) from b) as item_id, case when doc_id % 3 = 0 then '  ' || official || chr(10) else text end as quote from documents d left join b on b.item_id = d.doc_id % (select count(*) from b))
 select doc_id, case when official is not null and trim(regexp_replace(quote, '\s+', ' ', 'g')) = official then 'APROVADA' else 'REJEITADA' end as status,
     case when official is null then 'reference not found' when trim(regexp_replace(quote, '\s+', ' ', 'g')) is distinct from official then 'text differs' end as reason, sha256(official) as official_sha256
 from c left join b using (item_id)
@@ -92,7 +92,7 @@ def audit_literal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes ascribed to benchmark items: those of every third document are literal, up to white space, the others whole texts. ``audit_passages`` holds all documents against all items."""
     items = table(spark, sf_dir, "benchmark")
     official = items.select("item_id", F.col("text").alias("official"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("item_id"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % items.count()).alias("item_id"), "text")
     quoted = docs.join(items.select("item_id", audit_form("text").alias("exact")), "item_id", "left")
     quotes = quoted.select("doc_id", "item_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  "), "exact", F.lit("\n"))).otherwise(F.col("text")).alias("quote"))
     return audit_citations(quotes, official, "item_id", "quote", "official").select("doc_id", "status", "reason", "official_sha256")
@@ -109,12 +109,14 @@ def audit_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select doc_id % 50 as item_id, doc_id % 3 <> 0 or doc_id % 50 >= 40 as bad, (doc_id % 12) / 10.0::double as c from documents)
+with n as (select count(*) as n from benchmark), a as (select doc_id % n as item_id, doc_id % 3 <> 0 or 5 * (doc_id % n) >= 4 * n as bad, (doc_id % 12) / 10.0::double as c from documents, n)
 select item_id, bool_or(bad) as retry, case when bool_or(bad) then least(least(greatest(max(c), 0), 1), 0.5) else least(greatest(max(c), 0), 1) end as confidence from a group by item_id
 """)
 def audit_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "benchmark").count()
+    item = F.col("doc_id") % n
     audits = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 50).alias("item_id"), F.when((F.col("doc_id") % 3 != 0) | (F.col("doc_id") % 50 >= 40), "REJEITADA").otherwise("APROVADA").alias("status"), ((F.col("doc_id") % 12) / 10).alias("confidence")
+        item.alias("item_id"), F.when((F.col("doc_id") % 3 != 0) | (5 * item >= 4 * n), "REJEITADA").otherwise("APROVADA").alias("status"), ((F.col("doc_id") % 12) / 10).alias("confidence")
     )
     return audited_confidence(audits, "item_id", "confidence")
 
