@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents; further columns of the input, whatever their names, come
 through unchanged. A stage on an empty table gives an empty table. Ids may be null and may repeat: a row is told from
-others by its id and its text, so what befalls one text of an id doesn't touch another.
+others by its id and its text, so what befalls one text of an id doesn't touch another. All stages take texts whole,
+however long.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """One row of each group of documents linked by shingle overlap, directly or through others.
 
     The row of least id stays, a null id coming last; of several texts of that id that of least hash, of exact repeats
-    one row, with the least of what they have in the other columns. Documents without words are in no group: all stay.
+    one row, that whose other columns, of whatever types, come first as JSON. Documents without words are in no group: all
+    stay. Texts of any length count whole.
     """
     plain, back = _plain(docs)
     with scratch(spark):
@@ -68,7 +70,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     single = plain.join(marked, mine, "left_anti")
     repeated = plain.join(marked.where("stays"), mine, "left_semi")
     others = [c for c in plain.columns if c not in ("doc_id", "text")]
-    one = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("rest")).select("doc_id", "text", "rest.*")
+    whole = F.struct(*others)
+    one = repeated.groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("rest")).select("doc_id", "text", "rest.*")
     return single.unionByName(one).select(*back)
 
 
