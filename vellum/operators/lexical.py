@@ -132,7 +132,7 @@ def bm25(docs: DataFrame, text: str, tokens: list[str], every: bool = False, pre
 
     Corpus figures come from all of ``docs``; ``keep`` only restricts the rows. ``every`` asks for all tokens. Repeated
     tokens count again. No tokens match nothing. Only the counts of the query's tokens are computed; where many queries
-    follow, ``write_index`` and ``bm25_indexed`` read the terms asked for only.
+    follow, an index reads the terms asked for only.
     """
     return without_counts(scored(token_table(docs, text, tokens, prefix=prefix, keep=keep), "tf", "length", len(tokens), every))
 
@@ -147,43 +147,6 @@ def substring_lane(docs: DataFrame, text: str, query: str, keep: Column | None =
     return without_counts(scored(token_table(docs, text, substrings=tokens, keep=keep), "sf", "grams", len(tokens)))
 
 
-#: Folders over which terms are dealt in an index.
-TERM_BUCKETS = 64
-
-
-def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Postings of ``docs`` below ``path``: terms (dealt by hash, sorted by term in each file) and the corpus figures."""
-    rows = postings(docs, key, text)
-    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-    rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    lengths = docs.select(F.size(terms(text)).alias("length"))
-    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/figures")
-
-
-def bm25_indexed(spark: SparkSession, path: str, key: str, tokens: list[str], every: bool = False) -> DataFrame:
-    """(key, score) of the rows that hold any (or every) one of the tokens, from an index: only their terms are read.
-
-    Tokens are single terms. The folders of their hashes are read, and in these the row groups that may hold them.
-    """
-    asked: dict[str, int] = {}
-    for t in map(needle, tokens):
-        if " " in t:
-            raise ValueError("an index holds terms, not phrases")
-        asked[t] = asked.get(t, 0) + 1
-    table = spark.read.parquet(f"{path}/terms")
-    if not asked:
-        return table.select(key, F.lit(0.0).alias("score")).where("false")
-    wanted = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(t).alias("w_term"), F.lit(n).alias("times")) for t, n in asked.items()))).alias("w")).select("w.*")
-    buckets = [r.b for r in wanted.select(F.pmod(F.xxhash64("w_term"), F.lit(TERM_BUCKETS)).cast("int").alias("b")).distinct().collect()]  # the query's terms
-    found = table.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(asked)))
-    df = found.groupBy(F.col("term").alias("w_term")).agg(F.count("*").alias("df")).join(wanted, "w_term")
-    figures = spark.read.parquet(f"{path}/figures")
-    each = found.join(F.broadcast(df), F.col("term") == F.col("w_term")).join(F.broadcast(figures))
-    weight = F.col("times") * idf(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("length"), F.col("mean"))
-    by_row = each.groupBy(key).agg(F.sum(weight).alias("score"), F.count("*").alias("n_terms"))
-    return by_row.where(F.col("n_terms") >= (len(asked) if every else 1)).select(key, "score")
-
-
 def and_first(docs: DataFrame, text: str, query: str, keep: Column | None = None) -> DataFrame:
     """Rows with all tokens; only if there are none, rows with any token of the query and its synonyms. Adds mode."""
     strict = bm25(docs, text, query_tokens(query, "catalogue"), every=True, keep=keep)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..functions.text import term_set
+from ..storage import folders, kept_table, result_table
 
 
 def relevance(samples: DataFrame, wanted: str, text: Column, least: float = 0.5) -> DataFrame:
@@ -25,20 +26,31 @@ def relevance(samples: DataFrame, wanted: str, text: Column, least: float = 0.5)
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """(by, p): exact percentiles of whole numbers by group, linear between neighbours, as an array in the order of ``shares``.
 
-    Values are counted first, so that a group on a great part of all rows costs one row for each distinct value and task;
-    a cumulative sum over the counts then finds the two values around each share. Nulls don't count.
+    Values are counted first. The counts are dealt by ranges of (group, value), so that a group of any size lies in many
+    slices; sums by slice tell which places each slice holds, and the running sum that finds the values around a share is
+    taken within a slice. No group, the whole table as one included, meets in one task. Nulls don't count.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    inside = Window.partitionBy(*by)
-    placed = counts.withColumn("upto", F.sum("c").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(inside))
-    # the value at a place (from 0) is that with upto - c <= place < upto
-    holds = lambda place: (F.col("upto") - F.col("c") <= place) & (place < F.col("upto"))
-    found = []
-    for i, share in enumerate(shares):
-        at = F.lit(share) * (F.col("all") - 1)
-        found += [F.max(F.when(holds(F.floor(at)), F.col(value))).alias(f"low{i}"), F.max(F.when(holds(F.ceil(at)), F.col(value))).alias(f"high{i}"), F.max(at - F.floor(at)).alias(f"rest{i}")]
-    between = [F.col(f"low{i}") + F.col(f"rest{i}") * (F.col(f"high{i}") - F.col(f"low{i}")) for i in range(len(shares))]
-    return placed.groupBy(*by).agg(*found).select(*by, F.array(*between).alias("p"))
+    with folders(rows.sparkSession):
+        counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+        # written: slices follow from a sample and have to be the same in all that comes
+        dealt = kept_table(counts.repartitionByRange(*by, value).withColumn("slice", F.spark_partition_id()), "counted-values")
+        slices = dealt.groupBy(*by, "slice").agg(F.sum("c").alias("n"))
+        inside = Window.partitionBy(*by)
+        before = F.coalesce(F.sum("n").over(inside.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = slices.select(*(F.col(g).alias(f"o_{g}") for g in by), F.col("slice").alias("o_slice"), before.alias("before"), F.sum("n").over(inside).alias("all"))
+        same = F.col("slice") == F.col("o_slice")
+        for g in by:
+            same = same & F.col(g).eqNullSafe(F.col(f"o_{g}"))
+        running = F.sum("c").over(Window.partitionBy(*by, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        placed = dealt.withColumn("upto", running).join(offsets, same).withColumn("upto", F.col("upto") + F.col("before"))
+        # the value at a place (from 0) is that with upto - c <= place < upto
+        holds = lambda place: (F.col("upto") - F.col("c") <= place) & (place < F.col("upto"))
+        found = []
+        for i, share in enumerate(shares):
+            at = F.lit(share) * (F.col("all") - 1)
+            found += [F.max(F.when(holds(F.floor(at)), F.col(value))).alias(f"low{i}"), F.max(F.when(holds(F.ceil(at)), F.col(value))).alias(f"high{i}"), F.max(at - F.floor(at)).alias(f"rest{i}")]
+        between = [F.col(f"low{i}") + F.col(f"rest{i}") * (F.col(f"high{i}") - F.col(f"low{i}")) for i in range(len(shares))]
+        return result_table(placed.groupBy(*by).agg(*found).select(*by, F.array(*between).alias("p")), "percentiles")
 
 
 def price_statistics(samples: DataFrame, item: str, unit: str, price: str, date: str, relevant: str) -> DataFrame:
@@ -91,7 +103,6 @@ def price_tails(samples: DataFrame, item: str, group: str, price: str, least: in
     own_p = percentiles(samples, [item, group], price, both).select(F.col(item).alias("o_item"), F.col(group).alias("o_group"), F.col("p").alias("own"))
     of_group = samples.groupBy(F.col(group).alias("g")).agg(counted("g_n"))
     group_p = percentiles(samples, [group], price, both).select(F.col(group).alias("g_group"), F.col("p").alias("grouped"))
-    # of the whole, only counts by price meet in one task
     of_all = percentiles(samples.withColumn("whole_of", F.lit(1)), ["whole_of"], price, both).select(F.col("p").alias("whole"))  # one row
     one = lambda values: F.when(F.col("n") >= least, F.col("own")[values]).when(F.col("g_n") >= least, F.col("grouped")[values]).otherwise(F.col("whole")[values])
     return (

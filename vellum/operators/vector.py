@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,16 +29,17 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
-#: Queries that are broadcast at a time (about 5 MB at 64 numbers each).
-QUERY_BLOCK = 10_000
+#: Queries, and rows, that meet in one task.
+QUERY_BLOCK, ROW_BLOCK = 4_096, 65_536
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 256, at_once: int = QUERY_BLOCK) -> DataFrame:
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of each row of ``queries`` (same columns), itself left out: (query, key, score, rank).
 
-    Any number of queries is answered: they pass through the driver, ``at_once`` of them are broadcast as one matrix, and
-    the rows are read once for each such part. A task scores ``block`` queries at a time and keeps the best ``k`` of all
-    its rows, so that what is shuffled is k rows for each query and task, never all pairs.
+    Queries and rows are dealt into blocks by the hash of their keys, and every block of queries meets every block of rows
+    in a task of its own, which multiplies them as matrices and keeps the best ``k`` of each query. Nothing passes through
+    the driver but two counts, and nothing is broadcast: a row is sent once for each block of queries, a query once for
+    each block of rows, and k rows leave for each of both.
 
     Rows without a vector, or with a number missing in it, are near to nothing and find nothing. Vectors of unequal
     length are compared over the common one, as ``cosine`` does; norms are those of the common part.
@@ -50,56 +47,56 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     kind, stored = dict(vectors.dtypes)[key], to_arrow_type(vectors.schema[key].dataType)
     schema = f"query {kind}, {key} {kind}, score double"
     whole = F.col(vector).isNotNull() & ~F.exists(F.coalesce(F.col(vector), F.array()), lambda x: x.isNull())
-    rows = vectors.where(whole).select(key, vector)
-    parts = []
-    stream = queries.where(whole).select(F.col(key).alias("q"), F.col(vector).alias("v")).orderBy(F.size("v"), "q").toLocalIterator()
-    while some := list(islice(stream, at_once)):
-        by_size = {}
-        for r in some:
-            by_size.setdefault(len(r.v), []).append(r)
-        blocks = [(np.array([r.q for r in x]), np.array([r.v for r in x], np.float64).reshape(len(x), n)) for n, x in by_size.items()]
-        given = vectors.sparkSession.sparkContext.broadcast(blocks)
-        parts.append(rows.mapInArrow(best_of_rows(given, key, stored, k, block), schema))
-    while len(parts) > 1:  # by pairs, so that the plan stays shallow
-        parts = [a.union(b[0]) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
-    best = parts[0] if parts else vectors.sparkSession.createDataFrame([], schema)
+    rows, asking = vectors.where(whole).select(key, vector), queries.where(whole).select(key, vector)
+    n_rows, n_asking = (max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (asking, query_block)))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select(dealt(n_asking).alias("b"), each(n_rows).alias("r"), key, vector).groupBy("b", "r")
+    right = rows.select(each(n_asking).alias("b"), dealt(n_rows).alias("r"), key, vector).groupBy("b", "r")
+
+    def best(some: pa.Table, others: pa.Table) -> pa.Table:
+        found = [best_of(a, b, k) for a in matrices(some, stored) for b in matrices(others, stored)]
+        columns = [pa.array(np.concatenate(x)) if found else pa.array([], stored) for x in (zip(*found, strict=True) if found else ((), (), ()))]
+        return pa.Table.from_arrays([columns[0].cast(stored), columns[1].cast(stored), columns[2].cast(pa.float64())], names=["query", key, "score"])
+
+    near = left.cogroup(right).applyInArrow(best, schema)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-
-def best_of_rows(given: Broadcast, key: str, stored: pa.DataType, k: int, block: int):
-    """The function for mapInArrow that finds the best ``k`` of a task's rows for each of the broadcast queries.
-
-    Queries come as blocks (ids, vectors of one length); rows are taken by length too.
-    """
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(ids[at : at + block], v[at : at + block]) for ids, v in given.value for at in range(0, len(ids), block)]
-        kept = [(np.empty((len(ids), 0)), np.empty((len(ids), 0), ids.dtype)) for ids, _ in parts]
-        for batch in batches:
-            by_size: dict[int, list[int]] = {}
-            rows = batch.column(1).to_pylist()
-            for i, v in enumerate(rows):
-                by_size.setdefault(len(v), []).append(i)
-            for size, at in by_size.items():
-                own = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                v = np.array([rows[i] for i in at], np.float64).reshape(len(at), size)
-                for p, (ids, queries) in enumerate(parts):
-                    n = min(size, queries.shape[1])
-                    s = np.round(unit(queries[:, :n]) @ unit(v[:, :n]).T, 6)
-                    s[ids[:, None] == own[None, :]] = -2
-                    score, near = np.hstack([kept[p][0], s]), np.hstack([kept[p][1], np.broadcast_to(own, s.shape)])
-                    order = np.lexsort((near, -score), axis=1)[:, :k]
-                    kept[p] = np.take_along_axis(score, order, axis=1), np.take_along_axis(near, order, axis=1)
-        for (ids, _), (score, near) in zip(parts, kept, strict=True):
-            real = score > -2
-            q = np.broadcast_to(ids[:, None], score.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q[real]).cast(stored), pa.array(near[real]).cast(stored), pa.array(score[real])], names=["query", key, "score"])
-
-    return run
+    return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+#: Scores that are worked on at once.
+SCORES = 4_000_000
+
+
+def matrices(rows: pa.Table, stored: pa.DataType) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a block (its last two columns), one matrix for each length of vector."""
+    ids, vectors = rows.column(2).to_numpy(), rows.column(3).combine_chunks()
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    found = []
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        found.append((ids[at], vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)))
+    return found
+
+
+def best_of(asking: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, key, score) of the best ``k`` of ``rows`` for each of the queries, equal scores by key."""
+    (q_ids, q), (ids, v) = asking, rows
+    n = min(q.shape[1], v.shape[1])
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    order = np.argsort(ids, kind="stable")
+    ids, v, q = ids[order], unit(v[order, :n]), unit(q[:, :n])
+    found = []
+    step = max(1, SCORES // max(1, len(ids)))
+    for at in range(0, len(q), step):
+        some = q_ids[at : at + step]
+        s = np.round(q[at : at + step] @ v.T, 6)
+        s[some[:, None] == ids[None, :]] = -2
+        first = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids are in order: equal scores come by id
+        score = np.take_along_axis(s, first, axis=1)
+        real = score > -2
+        found.append((np.broadcast_to(some[:, None], score.shape)[real], ids[first][real], score[real]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def valid_dimension(vectors: DataFrame, vector: str, size: int) -> DataFrame:

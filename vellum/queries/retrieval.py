@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN
 from ..operators.fusion import first_payload, fuse, page, rerank_all_or_nothing, rerank_first, rerank_mixed
-from ..operators.lexical import and_first, bm25, bm25_indexed, grep, keyword_overlap, postings, query_tokens, snippet, substring_lane, top, write_index
+from ..operators.index import SearchIndex
+from ..operators.lexical import and_first, bm25, grep, keyword_overlap, postings, query_tokens, snippet, substring_lane, top
 from ..operators.vector import nearest, nearest_to_each, valid_dimension
 from ..plans.hybrid import hybrid, law_search, lexical_lanes, ruling_search, two_way_search
 from ..session import new_folder, table
@@ -45,11 +46,22 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {bm25_sql(['the', 'er', 'ment'])} select doc_id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, doc_id) as rank from m order by rank limit 20")
 def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As bm25_topk, from an index written first."""
-    path = new_folder(spark, "terms-of-documents")
-    write_index(documents(spark, sf_dir), "doc_id", "text", path)
-    found = bm25_indexed(spark, path, "doc_id", query_tokens("the er ment")).withColumn("score", F.round("score", 6))
-    return top(found, "doc_id", 20).select("doc_id", "score", "rank")
+    """As bm25_topk, from the index: only blocks that may hold one of the best are read."""
+    return documents_index(spark, sf_dir).best(query_tokens("the er ment"), 20)
+
+
+#: Indexes that were built in this process: one build serves all queries of a session.
+_built: dict[tuple[str, str], str] = {}
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of the documents of a folder, built when it is first asked for."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _built:
+        path = new_folder(spark, "index-of-documents")
+        SearchIndex(spark, path).add(documents(spark, sf_dir), "doc_id", "text")
+        _built[at] = path
+    return SearchIndex(spark, _built[at])
 
 
 @query(f"with {bm25_sql(['the', 'er'], where=chr(39).join(['lang = ', 'en', ' and source = ', 'src3', '']))} select doc_id, round(score, 6) as score from m")
@@ -70,6 +82,33 @@ def phrase_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(documents(spark, sf_dir), "text", query_tokens("of-the with", "grep"), every=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"with {bm25_sql(['thti', 'onan'], prefix=True)} select doc_id, round(score, 6) as score from m")
+def indexed_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As prefix_search, from the index: terms that begin so lie in one range."""
+    return documents_index(spark, sf_dir).search(query_tokens("Thti, onan", "rulings"), prefix=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {bm25_sql(['of the', 'with'], every=True)} select doc_id, round(score, 6) as score from m")
+def indexed_phrase_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As phrase_and_search, from the positions in the index."""
+    return documents_index(spark, sf_dir).search(query_tokens("of-the with", "grep"), every=True).select("doc_id", F.round("score", 6).alias("score"))
+
+
+CHANGED = "documents as (select doc_id, lang, source, case when doc_id % 5 = 0 then 'the er ' || coalesce(text, '') else text end as text from documents where doc_id % 7 <> 0)"
+
+
+@query(f"with {CHANGED}, {bm25_sql(['the', 'er', 'ment'])} select doc_id, round(score, 6) as score from m")
+def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the documents, to which the others are added, in which some are replaced and some deleted; searched like one built anew."""
+    docs, index = documents(spark, sf_dir).select("doc_id", "text"), SearchIndex(spark, new_folder(spark, "changing-index"))
+    index.add(docs.where("doc_id % 2 = 0"), "doc_id", "text")
+    index.add(docs.where("doc_id % 2 = 1"), "doc_id", "text")
+    index.add(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("the er "), F.coalesce("text", F.lit("")))), "doc_id", "text")
+    index.delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    index.merge()
+    return index.search(query_tokens("the er ment")).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("""
 with f as (select p_partkey, p_name, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) || ' ' as form from part),
 a as (select p_partkey from f where form like '% small %' and form like '% notebook %'),
@@ -95,6 +134,12 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_lane(documents(spark, sf_dir), "text", "Thereon tionst on").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["substring_search"])
+def indexed_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As substring_search, from the index: rows that hold the rarest trigrams of a token are read."""
+    return documents_index(spark, sf_dir).substring("Thereon tionst on").select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("select doc_id, source from documents where regexp_matches(text, '(?i)token\\s*=\\s*\"[0-9a-f]{8}') order by doc_id limit 50")
 def regex_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep(documents(spark, sf_dir), "text", 'token\\s*=\\s*"[0-9a-f]{8}', "doc_id", 50).select("doc_id", "source")
