@@ -103,3 +103,42 @@ def test_limiter_counts_late_calls_in_their_own_windows(spark, tmp_path):
     assert out == sequential(triggers, 1, 20) and out[3] == (False, "minute")
     left = [json.loads(x.json) for x in spark.read.format("statestore").option("stateVarName", "minute").load(f"file://{tmp_path}/out/checkpoint").select(F.to_json(F.struct("*")).alias("json")).collect()]
     assert 0 < len(left) < len({(c, int(t.timestamp()) // 60) for calls in triggers for c, t, _ in calls})
+
+
+def test_jobs_are_worked_off_once_and_fail_alone(spark, tmp_path):
+    from vellum.streaming.windows import dead_letters, drain_jobs
+
+    path, noon = str(tmp_path / "in"), datetime(2024, 5, 1, 12)
+    batches = [[(1, 11, noon, "a"), (1, 10, noon, "bad"), (2, 20, noon, "c")], [(1, 12, noon - timedelta(hours=1), "d"), (2, 20, noon, "c")], [(1, 13, noon, "bad"), (1, 14, noon, "e")]]
+    for jobs in batches:
+        spark.createDataFrame(jobs, "queue long, job_id long, created_at timestamp, payload string").coalesce(1).write.mode("append").parquet(path)
+
+    def handler(payload):
+        if payload == "bad":
+            raise RuntimeError("no")
+        return payload * 2
+
+    stream = lambda: spark.readStream.schema("queue long, job_id long, created_at timestamp, payload string").option("maxFilesPerTrigger", 1).parquet(path)
+    folder = f"file://{tmp_path}/out"
+    out = drain_jobs(stream(), handler, folder)
+    want = {(10, 1, "failed", None), (11, 2, "done", "aa"), (12, 3, "done", "dd"), (13, 4, "failed", None), (14, 5, "done", "ee"), (20, 1, "done", "cc")}
+    assert {(x.job_id, x.place, x.status, x.result) for x in out.collect()} == want
+    assert {(x.job_id, x.error) for x in dead_letters(out).collect()} == {(10, "RuntimeError: no"), (13, "RuntimeError: no")}
+    assert {(x.job_id, x.place, x.status, x.result) for x in drain_jobs(stream(), handler, folder).collect()} == want  # nothing new: nothing is done again
+
+
+def test_windows_and_sessions_of_late_files(spark, tmp_path):
+    from vellum.streaming.windows import run_closed, run_upserted, session_counts, tumbling_counts
+
+    noon, r = datetime(2024, 5, 1, 12), random.Random(3)
+    rows = sorted(((noon + timedelta(seconds=r.randrange(0, 40_000)), r.randrange(3), 1.0) for _ in range(600)), key=lambda x: x[0] + timedelta(seconds=r.randrange(0, 590)))
+    path = str(tmp_path / "in")
+    for k in range(6):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], "ts timestamp, k long, v double").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema("ts timestamp, k long, v double").option("maxFilesPerTrigger", 1).parquet(path)
+    whole = spark.read.parquet(path)
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(run_upserted(tumbling_counts(stream(), "ts", "k", "v", "1 hour"), f"file://{tmp_path}/a", ["start", "k"])) == as_rows(tumbling_counts(whole, "ts", "k", "v", "1 hour"))
+    assert as_rows(run_closed(stream(), lambda e: session_counts(e, "ts", "k", "4 minutes"), "ts", "k", f"file://{tmp_path}/b")) == as_rows(session_counts(whole, "ts", "k", "4 minutes"))
+    left = spark.read.format("statestore").load(f"file://{tmp_path}/a/checkpoint").count()
+    assert left < 12 * 3  # windows that the watermark has passed are gone

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sequence import fixed_window_limits
 from ..session import new_folder, table
-from ..streaming.windows import limiter, run_to_table, upsert_batches, usage
+from ..streaming.windows import dead_letters, drain_jobs, limiter, run_closed, run_to_table, run_upserted, upsert_batches, usage
 from ..streaming.windows import session_counts as sessions
 from ..streaming.windows import tumbling_counts as tumbling
 from .register import registry
@@ -15,9 +15,20 @@ from .register import registry
 QUERIES, ORACLES, query = registry()
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, one file a trigger."""
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+#: Files of an event stream, and seconds by which rows may lie in a later file than their time says.
+FILES, LATE = 5, 300
+
+
+def event_stream(spark: SparkSession, sf_dir: str, late: int = LATE) -> DataFrame:
+    """The events table as a stream of several files, one a trigger; ``late`` seconds bound how late a row comes."""
+    events, path = table(spark, sf_dir, "events"), new_folder(spark, "event-files")
+    seconds = F.unix_timestamp("ts")
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    span = max(1, -(-((last or 0) - (first or 0) + late + 1) // FILES))
+    came = seconds + (F.pmod(F.xxhash64("event_id"), F.lit(late)) if late else 0)
+    for k in range(FILES):  # one write after another: files are read in the order of their times
+        events.where(F.floor((came - F.lit(first)) / span) == k).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 TUMBLING = "select strftime(ts, '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"
@@ -31,8 +42,8 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TUMBLING)
 def streamed_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As tumbling_counts, over a stream."""
-    out = run_to_table(tumbling(event_stream(spark, sf_dir), "ts", "event_type", "value"), new_folder(spark, "tumbling"), complete=True)
+    """As tumbling_counts, over a stream of several files with late rows."""
+    out = run_upserted(tumbling(event_stream(spark, sf_dir), "ts", "event_type", "value"), new_folder(spark, "tumbling"), ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -53,7 +64,7 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals over a stream of the table, one file a trigger."""
     totals = usage(event_stream(spark, sf_dir).withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("long")), "event_type", "cents")
-    return run_to_table(totals, new_folder(spark, "usage"), complete=True)
+    return run_upserted(totals, new_folder(spark, "usage"), ["event_type"])
 
 
 @query("""
@@ -69,8 +80,8 @@ def limiter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SESSIONS)
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As session_counts, over a stream."""
-    out = run_to_table(sessions(event_stream(spark, sf_dir), "ts", "user_id", "6 hours"), new_folder(spark, "sessions"), complete=True)
+    """As session_counts, over a stream of several files with late rows."""
+    out = run_closed(event_stream(spark, sf_dir), lambda e: sessions(e, "ts", "user_id", "6 hours"), "ts", "user_id", new_folder(spark, "sessions"))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
@@ -80,8 +91,8 @@ b as (select *, count(*) filter (in_minute) over (partition by user_id, date_tru
 select event_id, in_minute and day_n <= 5 as allowed from b
 """)
 def streamed_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful limiter over a stream of all events."""
-    calls = event_stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("client"), F.col("event_id").cast("long").alias("event_id"), "ts")
+    """The stateful limiter over a stream of all events, in several files and in order."""
+    calls = event_stream(spark, sf_dir, late=0).select(F.col("user_id").cast("long").alias("client"), F.col("event_id").cast("long").alias("event_id"), "ts")
     return run_to_table(limiter(calls, 1, 5), new_folder(spark, "limits")).select("event_id", "allowed")
 
 
@@ -93,3 +104,30 @@ def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     writer.foreachBatch(upsert_batches(f"{folder}/table", "user_id", "version")).start().awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("user_id", "event_id", "event_type")
+
+
+def worked_off(payload: str) -> str:
+    """The handler of streamed_jobs: an event's type in capitals; some types can't be handled."""
+    kind, number = payload.split("/")
+    if int(number) % 11 == 0:
+        raise ValueError(f"{kind} can't be handled")
+    return kind.upper()
+
+
+def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs of their users, worked off from a stream of several files."""
+    jobs = event_stream(spark, sf_dir, late=0).select(F.col("user_id").cast("long").alias("queue"), F.col("event_id").cast("long").alias("job_id"), F.col("ts").alias("created_at"), F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("payload"))
+    return drain_jobs(jobs, worked_off, new_folder(spark, "jobs"))
+
+
+@query("""
+select user_id as queue, event_id as job_id, row_number() over (partition by user_id order by ts, event_id) as place, case when event_id % 11 = 0 then 'failed' else 'done' end as status,
+    case when event_id % 11 <> 0 then upper(event_type) end as result from events
+""")
+def streamed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_outcomes(spark, sf_dir).select("queue", "job_id", "place", "status", "result")
+
+
+@query("select user_id as queue, event_id as job_id, 'ValueError: ' || event_type || ' can''t be handled' as error from events where event_id % 11 = 0")
+def streamed_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dead_letters(job_outcomes(spark, sf_dir)).select("queue", "job_id", "error")

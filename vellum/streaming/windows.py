@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,7 +29,7 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str = "5 minutes")
 
 
 def usage(events: DataFrame, key: str, amount: str) -> DataFrame:
-    """Running totals by key, for the update or complete output mode."""
+    """Running totals by key, for the update output mode; state is a row a key."""
     return events.groupBy(key).agg(F.count("*").alias("n"), F.sum(amount).alias("total"))
 
 
@@ -124,17 +124,92 @@ def upsert_batches(target: str, key: str, version: str, buckets: int = UPSERT_BU
     return apply
 
 
-def run_to_table(stream: DataFrame, folder: str, complete: bool = False) -> DataFrame:
-    """Runs a stream over what is there into a Parquet table below ``folder`` and reads it.
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there, in append mode, into a Parquet table below ``folder`` and reads it."""
+    table = f"{folder}/table"
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("append").format("parquet").start(table).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(table)
 
-    ``complete``: an aggregate whose whole result replaces the table at every trigger; else rows are appended.
+
+def run_upserted(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Runs an aggregate over what is there in update mode: each trigger upserts the rows that it has changed, by ``keys``.
+
+    State that the watermark has passed is dropped, and the table keeps what it last said.
     """
     spark, table = stream.sparkSession, f"{folder}/table"
-    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if complete:
-        spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(table)  # what a stream without rows leaves
-        running = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)).start()
-    else:
-        running = writer.outputMode("append").format("parquet").start(table)
-    running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(table)
+    apply = upsert_batches(table, "upsert_key", "upsert_batch")
+
+    def update(batch: DataFrame, number: int) -> None:
+        apply(batch.withColumn("upsert_key", F.struct(*keys)).withColumn("upsert_batch", F.lit(number)), number)
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("update").foreachBatch(update).start().awaitTermination()
+    try:
+        return spark.read.parquet(table).select(*stream.columns)
+    except AnalysisException:  # no row has come
+        return spark.createDataFrame([], stream.schema)
+
+
+def run_closed(events: DataFrame, operator, ts: str, key: str, folder: str) -> DataFrame:
+    """Runs ``operator`` (a function of the stream) in append mode over what is there, and closes what is still open at the end.
+
+    Append mode gives a window or session only when the watermark has passed it. After all rows a last one is sent, far
+    ahead and without ``key``, that moves the watermark past all others; it never comes out itself.
+    """
+    spark, closing = events.sparkSession, f"{folder}/closing"
+    spark.createDataFrame([], events.schema).write.parquet(closing)
+    stream = operator(events.unionByName(spark.readStream.schema(events.schema).parquet(closing)))
+    table = run_to_table(stream, folder)
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != ts]
+    spark.range(1).select(F.lit(FAR_AHEAD).cast(events.schema[ts].dataType).alias(ts), *others).write.mode("append").parquet(closing)
+    table = run_to_table(stream, folder)
+    return table.where(F.col(key).isNotNull())
+
+
+#: A time after all others.
+FAR_AHEAD = "2262-01-01 00:00:00"
+
+JOB = "queue long, job_id long, place long, status string, result string, error string"
+
+
+def drain_jobs(jobs: DataFrame, handler, folder: str) -> DataFrame:
+    """Works off a stream of jobs (queue, job_id, created_at, payload) and returns their outcomes (see JOB, and batch).
+
+    Each trigger takes the jobs of a queue in order of creation and id, one after another in one task, different queues
+    side by side. ``handler`` gets a payload and returns a text; what it raises is the job's error, and the next job goes
+    on. ``place`` numbers the jobs of a queue over all triggers. Outcomes are written to the folder of their batch, which
+    a replay replaces, and a job that an earlier batch has worked off isn't taken again, so each counts once.
+    """
+    spark, table = jobs.sparkSession, f"{folder}/outcomes"
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for queue, job_id, place, payload in zip(rows["queue"], rows["job_id"], rows["place"], rows["payload"], strict=True):
+                try:
+                    out.append((queue, job_id, place, "done", str(handler(payload)), None))
+                except Exception as e:  # noqa: BLE001 - whatever a job raises is its outcome
+                    out.append((queue, job_id, place, "failed", None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in JOB.split(", ")])
+
+    def drain(batch: DataFrame, number: int) -> None:
+        try:
+            before = spark.read.schema(f"{JOB}, batch long").parquet(table).where(F.col("batch") != number)
+        except AnalysisException:  # the first batch
+            before = spark.createDataFrame([], f"{JOB}, batch long")
+        worked = before.groupBy(F.col("queue").alias("w_queue")).agg(F.max("place").alias("last"))
+        fresh = batch.dropDuplicates(["job_id"]).join(before.select("job_id"), "job_id", "left_anti")
+        order = Window.partitionBy("queue").orderBy("created_at", "job_id")
+        placed = fresh.withColumn("place", F.row_number().over(order)).join(worked, F.col("queue") == F.col("w_queue"), "left").withColumn("place", F.col("place") + F.coalesce("last", F.lit(0)))
+        claimed = placed.select("queue", "job_id", "place", "payload").repartition("queue").sortWithinPartitions("queue", "place")
+        claimed.mapInPandas(work, JOB).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    jobs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(drain).start().awaitTermination()
+    try:
+        return spark.read.schema(f"{JOB}, batch long").parquet(table)
+    except AnalysisException:  # no job has come
+        return spark.createDataFrame([], f"{JOB}, batch long")
+
+
+def dead_letters(outcomes: DataFrame) -> DataFrame:
+    """The jobs that failed, with what they raised."""
+    return outcomes.where("status = 'failed'").select("queue", "job_id", "place", "error")
