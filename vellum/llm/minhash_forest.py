@@ -11,8 +11,9 @@ so a set that leaves a large group of copies as the prefix grows meets the group
 In a region, and in a part, sets are compared by one byte of each min-hash: those that agree in fewer than ``AGREE``
 places, or whose sizes differ too much, are no candidates (a pair at the threshold falls below once in ten million). In a
 first pass every set looks for the first set of its regions that agrees with it, and one such pair a set is confirmed by
-the texts; what is linked has one root. A second pass takes all candidates of different roots, without any cap, and these
-are confirmed too. A pair of similarity s meets in a tree at depth d with probability s^d: at the threshold 16 trees miss
+the texts; what is linked has one root. A second pass takes all candidates of different roots, without any cap: only the
+sets that have one leave their task, their texts are delivered to the regions, and there all candidates are held against
+each other in full. What leaves a region are links between roots, fewer than it has sets. A pair of similarity s meets in a tree at depth d with probability s^d: at the threshold 16 trees miss
 one in 10^11 at depth 1, one in 10^7 at depth 2, one in 50,000 at depth 3.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .graph import connected_components, forest_roots
 from .jaccard_join import keyed_sets, linked
 from .sentencepiece_codec import slices
-from .shared import scratch, settled, written
+from .shared import scratch, settled, small_side, written
 from .shingles import shingle_sets
 
 #: Words of a shingle; least similarity in hundredths.
@@ -42,6 +43,8 @@ VALUES = TREES * STRIDE
 AGREE = 80
 #: Sets of a region that are compared with each other; more part it.
 CROWD = 1024
+#: Most addresses of texts that are broadcast (some 200 bytes each); more are joined by shuffling.
+BROADCAST_ADDRESSED = 100_000
 
 _rng = np.random.default_rng(20240401)
 _TURN = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, VALUES, dtype=np.uint64)
@@ -137,48 +140,106 @@ def _regions(signed: DataFrame, crowd: int) -> DataFrame:
     return every
 
 
-def _candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """(a, b, agree), a > b, of the pairs of ``rows`` (region, set, n, bytes, root) that may be similar.
-
-    With ``all_pairs`` those of different roots, else for each set the first of its region that agrees with it and with
-    no set before. A region is held in memory whole: it is bounded.
+class Region:
+    """The sets of a region that a task has gathered: numbers, sizes, roots and one byte of each min-hash."""
+
+    def __init__(self, rows: list[tuple]):
+        self.own, self.n, self.root = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
+        self.values = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), VALUES)
+
+    def near(self, i: int, others: np.ndarray, roots: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places ``others`` that may be similar to place ``i``, with ``roots`` of other roots only; places in which they agree."""
+        may = 100 * np.minimum(self.n[others], self.n[i]) >= LEAST * np.maximum(self.n[others], self.n[i])
+        if roots:
+            may &= self.root[others] != self.root[i]
+        others = others[may]
+        same = (self.values[others] == self.values[i]).sum(axis=1)
+        return others[same >= AGREE], same[same >= AGREE]
+
+    def first_pairs(self) -> tuple[list, list, list]:
+        """Each place with the first that agrees with it and with no place before: numbers of both, places in which they agree."""
+        a, b, agree = [], [], []
+        left = np.arange(len(self.own))
+        while len(left) > 1:
+            near, same = self.near(left[0], left[1:], False)
+            a += self.own[near].tolist()
+            b += [int(self.own[left[0]])] * len(near)
+            agree += same.tolist()
+            left = np.setdiff1d(left[1:], near, assume_unique=True)
+        return a, b, agree
+
+    def open_places(self) -> np.ndarray:
+        """The places that may be similar to one of another root."""
+        found = np.zeros(len(self.own), bool)
+        for i in range(len(self.own) - 1):
+            near, _ = self.near(i, np.arange(i + 1, len(self.own)), True)
+            found[near] = True
+            found[i] |= len(near) > 0
+        return np.flatnonzero(found)
+
+    def links(self, sets: list[np.ndarray]) -> tuple[list, list]:
+        """Pairs of similar sets of different roots; roots that have been linked count as one from then on."""
+        a, b = [], []
+        for i in range(len(self.own) - 1):
+            near, _ = self.near(i, np.arange(i + 1, len(self.own)), True)
+            for j in near[alike(sets[i], [sets[k] for k in near])] if len(near) else ():
+                if self.root[j] != self.root[i]:
+                    a.append(int(self.own[j]))
+                    b.append(int(self.own[i]))
+                    self.root[self.root == self.root[j]] = self.root[i]
+        return a, b
+
+
+def _by_region(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """``work`` on the rows (first ``region``, then ``columns``) of each region, which it gets as a list of tuples.
+
+    A region is held in memory whole: it has ``crowd`` sets and one more at most.
     """
-    sent = rows.select("region", "set", "n", "bytes", "root").repartition("region").sortWithinPartitions("region", "set")
+    sent = rows.select("region", *columns).repartition("region").sortWithinPartitions("region", "set")
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-
-        def compared() -> pa.RecordBatch:
-            own, n, root = (np.array([r[i] for r in held], np.int64) for i in (0, 1, 3))
-            values = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), VALUES)
-            a, b, agree = [], [], []
-            left = np.arange(len(held))
-            while len(left) > 1:
-                i, rest = left[0], left[1:]
-                may = 100 * np.minimum(n[rest], n[i]) >= LEAST * np.maximum(n[rest], n[i])
-                if all_pairs:
-                    may &= root[rest] != root[i]
-                near = rest[may]
-                same = (values[near] == values[i]).sum(axis=1)
-                near, same = near[same >= AGREE], same[same >= AGREE]
-                a.append(own[near])
-                b.append(np.full(len(near), own[i]))
-                agree.append(same)
-                left = rest if all_pairs else np.setdiff1d(rest, near, assume_unique=True)
-            cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([cat(a), cat(b), cat(agree)], names=["a", "b", "agree"])
-
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
         for batch in batches:
-            for region, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if region != at:
-                    if len(held) > 1:
-                        yield compared()
-                    at, held = region, []
-                held.append(row)
+            for part in slices(batch, len(columns), 4_000_000) if columns[-1] == "text" else [batch]:
+                for region, *row in zip(*(part.column(i).to_pylist() for i in range(len(columns) + 1)), strict=True):
+                    if region != at:
+                        if len(held) > 1:
+                            yield made(work(at, held))
+                        at, held = region, []
+                    if columns[-1] == "text":  # sets take the place of texts as these come
+                        row[-1] = shingle_sets([row[-1]], WORDS)[0]
+                    if not held or held[-1][0] != row[0]:  # a repeated document brings its set more than once
+                        held.append(row)
         if len(held) > 1:
-            yield compared()
+            yield made(work(at, held))
+
+    return sent.mapInArrow(run, schema)
+
+
+def _first_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, agree) of ``rows`` (region, set, n, bytes, root): a set, and the first set of its region that agrees with it."""
+    return _by_region(rows, ["set", "n", "bytes", "root"], "a long, b long, agree long", lambda at, held: Region(held).first_pairs())
+
+
+def _open_sets(rows: DataFrame) -> DataFrame:
+    """(region, set, root) of the rows (region, set, n, bytes, root) that have a candidate of another root in their region."""
+
+    def work(at: int, held: list) -> tuple:
+        region = Region(held)
+        places = region.open_places()
+        return np.full(len(places), at), region.own[places], region.root[places]
+
+    return _by_region(rows, ["set", "n", "bytes", "root"], "region long, set long, root long", work)
+
 
-    return sent.mapInArrow(run, "a long, b long, agree long")
+def _links_in_regions(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): links between the rows (region, set, n, bytes, root) of a region that have different roots, by their full texts."""
+    addressed = written(rows.join(reps, "set").select("region", "set", "n", "bytes", "root", "rep.*"), "forest-addressed")
+    given = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
+    sent = given.join(small_side(addressed, BROADCAST_ADDRESSED), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("key")))
+    return _by_region(sent, ["set", "n", "bytes", "root", "text"], "a long, b long", lambda at, held: Region(held).links([r[4] for r in held]))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -194,7 +255,7 @@ def similar_components(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame,
     regions = _regions(signed, crowd)
     shown = signed.select(F.col("set").alias("s_set"), "n", "bytes")
     rows = regions.join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes")
-    first = _candidates(rows.withColumn("root", F.col("set")), False).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
+    first = _first_pairs(rows.withColumn("root", F.col("set"))).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
     first = written(first, "forest-first-pairs")
     links = written(_confirmed(first, reps, docs), "forest-first-links")
 
@@ -204,8 +265,8 @@ def similar_components(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame,
     rooted = written(regions.join(roots, F.col("set") == F.col("k_set"), "left").select("region", "set", F.coalesce("root", "set").alias("root")), "forest-rooted")
     open_regions = rooted.groupBy(F.col("region").alias("o_region")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("o_region")
     rows = rooted.join(open_regions, F.col("region") == F.col("o_region")).join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes", "root")
-    others = _candidates(rows, True).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    last = written(_confirmed(written(others, "forest-other-pairs"), reps, docs), "forest-last-links")
+    open_sets = written(_open_sets(rows), "forest-open-sets")
+    last = written(_links_in_regions(open_sets.join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes", "root"), reps, docs), "forest-last-links")
     return sets.select("doc_id", "key", "n", "set"), connected_components(links.unionByName(last))
 
 
