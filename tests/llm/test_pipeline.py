@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_classifiers import brute_mixture
 from test_decontaminate import brute as brute_contamination
 from test_jaccard_join import brute as brute_components
@@ -61,8 +62,8 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(*r, len(r[1]) if r[1] is not None else None, "s", i, "g", -9.0, "l") for i, r in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_key string, n_hit int, `gone.by` string, score double, lang_pred string")
+    rows = [(*r, len(r[1]) if r[1] is not None else None, "s", i, "g", -9.0, "l", {"k": i} if i % 3 else None) for i, r in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_key string, n_hit int, `gone.by` string, score double, lang_pred string, extra map<string,int>")
 
 
 @pytest.mark.parametrize("k", range(5))
@@ -83,6 +84,17 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark, odd, k):
         assert got == whole
 
 
+def test_very_long_texts(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    long = " ".join(f"the word{i} and" for i in range(150_000))
+    one = docs.where("lang = 'en'").limit(1).withColumns({"doc_id": F.lit(10**6).cast("long"), "text": F.lit(long)})
+    docs = written(docs.unionByName(one), "test-long")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), f"test-long-{name}")
+        assert docs.where("doc_id = 1000000").count() == 1, name
+    assert docs.where("doc_id = 1000000").first().round_trip
+
+
 def test_line_dedup(steps):
     before, after, _ = steps["line_dedup"]
     want = {i: t for i, t, _, _ in brute_lines([(r.doc_id, r.text, r.source) for r in before], 10)}
