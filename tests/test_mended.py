@@ -142,3 +142,22 @@ def test_windows_and_sessions_of_late_files(spark, tmp_path):
     assert as_rows(run_closed(stream(), lambda e: session_counts(e, "ts", "k", "4 minutes"), "ts", "k", f"file://{tmp_path}/b")) == as_rows(session_counts(whole, "ts", "k", "4 minutes"))
     left = spark.read.format("statestore").load(f"file://{tmp_path}/a/checkpoint").count()
     assert left < 12 * 3  # windows that the watermark has passed are gone
+
+
+def test_only_missing_vectors_are_made_and_only_their_folders_replaced(spark, tmp_path):
+    from pathlib import Path
+
+    from vellum.operators.vector import fill_missing, fill_table
+
+    schema = "id long, text string, v array<double>, part int"
+    rows = [(1, "aa", [9.0], 0), (2, "bbb", None, 1), (3, None, None, 2), (4, "", None, 2), (5, "c", None, 1), (6, "d", [8.0], 1)]
+    spark.createDataFrame(rows, schema).write.partitionBy("part").parquet(f"{tmp_path}/t")
+    files = lambda: {k: sorted(x.name for x in Path(f"{tmp_path}/t/part={k}").glob("*.parquet")) for k in (0, 1, 2)}
+    before = files()
+    assert fill_table(spark, f"{tmp_path}/t", "part", "text", "v", lambda ts: [[float(len(t))] for t in ts], 1) == 1
+    after = files()
+    assert after[0] == before[0] and after[2] == before[2] and after[1] != before[1]
+    assert {x.id: x.v for x in spark.read.parquet(f"{tmp_path}/t").collect()} == {1: [9.0], 2: [3.0], 3: None, 4: None, 5: [1.0], 6: [8.0]}
+    assert fill_table(spark, f"{tmp_path}/t", "part", "text", "v", lambda ts: 1 / 0, 1) == 0
+    with pytest.raises(Exception, match="not 2 finite ones"):
+        fill_missing(spark.createDataFrame(rows, schema), "text", "v", lambda ts: [[1.0] for _ in ts], 2).collect()

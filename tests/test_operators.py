@@ -167,6 +167,21 @@ def test_law_parsing(spark):
     assert tree == {"art1": ["art1-incI", "art1-par1"], "art1-incI": ["art1-incI-ala"], "art1-par1": ["art1-par1-incII"], "art2-A": ["art2-A-parunico"]}
 
 
+def test_summary_tree(spark):
+    import json
+
+    from vellum.operators.laws import classified, nested_children, subtree_counts
+    from vellum.operators.parsing import provisions_of
+
+    lines = ["Art. 1º Um.", "II - dois;", "I - um;", "a) letra;", "§ 1º Par.", "Art. 2º Dois."]
+    rows = provisions_of(classified(blocks_of(spark, lines)))
+    assert {r.path: r.n_nodes for r in subtree_counts(rows).collect()} == {"art1": 5, "art1-incII": 1, "art1-incI": 2, "art1-incI-ala": 1, "art1-par1": 1, "art2": 1}
+    tree = {r.path: json.loads(r.tree) for r in nested_children(rows.unionByName(rows)).collect()}
+    assert set(tree) == {"art1", "art2"} and list(tree["art1"]["children"]) == ["ite:I", "ite:II", "par:1"] and tree["art2"]["children"] == {}
+    assert tree["art1"]["children"]["ite:I"]["children"]["let:a"] == {"kind": "letter", "number": "a", "children": {}}
+    assert nested_children(rows.limit(0)).count() == 0 and subtree_counts(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text,want", [
     ("i - texto", "unclassified"), ("I -Texto", "item"), ("LXXXI - Texto longo", "heading"), ("Página 3 de 10", "metadata"), ("12", "metadata"), ("01/02/2024, 10:30", "metadata"), ("O MINISTRO DE ESTADO resolve:", "preamble"), ("Dispõe sobre o uso.", "preamble"),
     ("DIÁRIO OFICIAL DA UNIÃO", "metadata"), ("Órgão: Ministério", "metadata"), ("LEI Nº 14.133, DE 1º DE ABRIL DE 2021", "heading"), ("CAPÍTULO I", "heading"), ("Das Licitações", "heading"), ("a) letra", "letter"), ("§ 2º Par", "paragraph"), ("Art. 5º ..... 12", "metadata"),
@@ -207,6 +222,38 @@ def test_citations_and_diff(spark):
     assert [r.i for r in ids.collect()] == ["LEI-14.133-2021", "IN-58-2022", "DECRETO-10.947-2022", "LC-214"]
 
 
+def test_differences_of_long_texts():
+    import random
+    import time
+
+    from vellum.operators import parsing
+
+    r = random.Random(4)
+
+    def by_table(old, new):
+        """The way that a whole table of common lengths gives."""
+        x, y = old.split(), new.split()
+        longest = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                longest[i][j] = longest[i - 1][j - 1] + 1 if x[i - 1] == y[j - 1] else max(longest[i - 1][j], longest[i][j - 1])
+        return longest[-1][-1]
+
+    for kept in (1, 3, 256):
+        parsing.FRONTIERS, before = kept, parsing.FRONTIERS
+        for _ in range(60):
+            a, b = (" ".join(r.choice("abc") for _ in range(r.randrange(0, 15))) for _ in range(2))
+            d = diff_words(a, b)
+            assert "".join(t for k, t in d if k != "added") == a and "".join(t for k, t in d if k != "removed") == b
+            assert sum(len(t.split()) for k, t in d if k == "same") <= by_table(a, b)
+        parsing.FRONTIERS = before
+    words = [f"w{r.randrange(2000)}" for _ in range(20_000)]
+    new = [f"w{r.randrange(2000)}" if r.random() < 0.02 else w for w in words]
+    began = time.time()
+    d = diff_words(" ".join(words), " ".join(new))
+    assert time.time() - began < 60 and "".join(t for k, t in d if k != "added") == " ".join(words) and "".join(t for k, t in d if k != "removed") == " ".join(new)
+
+
 def test_truncation_and_orphans(spark):
     text = "a" * 30 + ". " + "b" * 20
     at_budget = "a" * 40 + ". " + "b" * 20

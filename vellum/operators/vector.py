@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..storage import folders, kept_table
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -104,3 +108,46 @@ def valid_dimension(vectors: DataFrame, vector: str, size: int) -> DataFrame:
     v = F.col(vector)
     return vectors.withColumn("valid", F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)), F.lit(False)))
 
+
+#: Texts that an encoder gets at once.
+ENCODED = 64
+
+
+def fill_missing(rows: DataFrame, text: str, vector: str, encode, size: int, at_once: int = ENCODED) -> DataFrame:
+    """``rows`` with the vectors that are missing made from their texts; those that are there stay, and aren't sent to the encoder.
+
+    ``encode`` is a function of a list of texts that returns as many vectors of ``size`` finite numbers; anything else is an
+    error. Rows without a text keep their null vector. The order of columns and their types stay.
+    """
+    at = rows.columns.index(text), rows.columns.index(vector)
+    missing = F.col(vector).isNull() & (F.coalesce(F.col(text), F.lit("")) != "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = batch.column(at[0]).to_pylist(), []
+            for i in range(0, len(texts), at_once):
+                part = texts[i : i + at_once]
+                found = np.asarray(encode(part), np.float64)
+                if found.shape != (len(part), size) or not np.isfinite(found).all():
+                    raise ValueError(f"the encoder gave {found.shape} numbers for {len(part)} texts, not {size} finite ones each")
+                made += found.tolist()
+            columns = list(batch.columns)
+            columns[at[1]] = pa.array(made, batch.schema.field(at[1]).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rows.where(~missing).unionByName(rows.where(missing).mapInArrow(run, rows.schema))
+
+
+def fill_table(spark: SparkSession, path: str, folder: str, text: str, vector: str, encode, size: int) -> int:
+    """Fills the missing vectors of a Parquet table dealt into folders by the column ``folder``; returns the number of folders touched.
+
+    Only folders that hold a text without vector are read whole and replaced; what is made is written aside first, so that
+    no folder is replaced by what is still read from it.
+    """
+    table = spark.read.parquet(path)
+    touched = [r[0] for r in table.where(F.col(vector).isNull() & (F.coalesce(F.col(text), F.lit("")) != "")).select(folder).distinct().collect()]  # as many as there are folders, at most
+    if touched:
+        with folders(spark):
+            filled = kept_table(fill_missing(table.where(F.col(folder).isin(touched)), text, vector, encode, size), "filled-vectors")
+            filled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
+    return len(touched)

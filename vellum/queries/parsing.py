@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, norm_slug, provision_label, provision_path, provision_ref, ruling_label, slice_if_unchanged, strip_accents, term_set
-from ..operators.laws import CAPITALS, CONTENTS, EDITORIAL, GOES_ON, MARKER, MARKS, block_class, law_provisions, law_statistics, mark_number
+from ..operators.laws import CAPITALS, CONTENTS, EDITORIAL, GOES_ON, MARKER, MARKS, block_class, law_provisions, law_statistics, mark_number, subtree_counts
 from ..operators.parsing import ROMAN, citation_labels, citations, diff_counts, internal_references, keep_in_force, normalised_id, provisions_of, truncate_at, word_diff
 from ..operators.temporal import compared_versions, resolve_references
+from ..plans.versions import version_differences
 from ..session import table
 from .register import registry
 
@@ -44,6 +45,15 @@ def provision_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provisions_of(blocks).select("document", "seq", "kind", "path")
 
 
+@query(ORACLES["provision_hierarchy"].replace("select document, seq, case seq", ", p as (select document, seq, case seq").strip() + """)
+select t.document, t.path, count(*) as n_nodes from p t join p d on d.document = t.document and (d.path = t.path or starts_with(d.path, t.path || '-')) group by t.document, t.path
+""")
+def provision_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each provision with the number of provisions at and below it, by recursion over parents."""
+    blocks = order_blocks(spark, sf_dir).withColumn("kind", block_class(F.col("text"))).withColumn("number", mark_number(F.col("kind"), F.col("text")))
+    return subtree_counts(provisions_of(blocks))
+
+
 #: What stands before the lines of documents to make them blocks of laws, and how often.
 LAW_MARKS = {0: "'Art. ' || (i // 9 + 1) || 'º '", 1: "'§ ' || (i % 4 + 1) || 'º '", 2: "'II - '", 3: "'b) '", 5: "'Parágrafo único. '", 6: "'Decreto nº '", 7: "'IV – '"}
 
@@ -276,3 +286,15 @@ def ruling_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(n == 1, "x").when(n == 2, F.concat(F.lit("item9."), key)).when(n == 3, F.concat(F.lit("p0"), (F.col("l_orderkey") % 90).cast("string"))).when(n == 4, "w06").when(n == 5, F.concat(F.lit("e0"), n.cast("string"))).otherwise("y")
     label = ruling_label(F.col("l_orderkey"), F.year("l_shipdate"), F.lit("Plenário"), section, mark)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"))
+
+
+@query("""
+with v as (select o_custkey, 'status ' || o_orderstatus || ' priority ' || replace(o_orderpriority, ' ', '_') as text, o_orderdate, o_orderkey, o_orderstatus as s, replace(o_orderpriority, ' ', '_') as p from orders),
+w as (select o_custkey, arg_min((s, p), (o_orderdate, text)) as a, arg_max((s, p), (o_orderdate, text)) as b from v group by o_custkey)
+select o_custkey, 2 + (a[1] = b[1])::bigint + (a[2] = b[2])::bigint as n_same, (a[1] <> b[1])::bigint + (a[2] <> b[2])::bigint as n_removed, (a[1] <> b[1])::bigint + (a[2] <> b[2])::bigint as n_added from w
+""")
+def version_difference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stay, go and come between the first and the last version of each customer's orders."""
+    text = F.concat(F.lit("status "), "o_orderstatus", F.lit(" priority "), F.replace("o_orderpriority", F.lit(" "), F.lit("_")))
+    versions = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.lit(None).cast("timestamp").alias("end"), text.alias("text"))
+    return version_differences(versions, "o_custkey", "o_orderdate", "end", "text").select("o_custkey", "n_same", "n_removed", "n_added")
