@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, norm_slug, provision_label, provision_path, provision_ref, ruling_label, slice_if_unchanged, strip_accents, term_set
-from ..operators.laws import CAPITALS, CONTENTS, EDITORIAL, GOES_ON, MARKER, MARKS, block_class, law_provisions, law_statistics, mark_number, subtree_counts
+from ..operators.laws import block_class, law_provisions, law_statistics, mark_number, subtree_counts
 from ..operators.parsing import ROMAN, citation_labels, citations, diff_counts, internal_references, keep_in_force, normalised_id, provisions_of, truncate_at, word_diff
 from ..operators.temporal import compared_versions, resolve_references
 from ..plans.versions import version_differences
@@ -54,12 +54,18 @@ def provision_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtree_counts(provisions_of(blocks))
 
 
+#: A browser's page header, and a heading, that may stand before a line.
+PRINTED = "'01/02/2024, 10:30 Lei' || chr(10) || 'https://x.gov.br/lei.htm' || chr(10) || '1/10' || chr(10)"
+HEADED = "'CAPÍTULO I' || chr(10) || 'Das Regras' || chr(10)"
 #: What stands before the lines of documents to make them blocks of laws, and how often.
-LAW_MARKS = {0: "'Art. ' || (i // 9 + 1) || 'º '", 1: "'§ ' || (i % 4 + 1) || 'º '", 2: "'II - '", 3: "'b) '", 5: "'Parágrafo único. '", 6: "'Decreto nº '", 7: "'IV – '"}
+LAW_MARKS = {
+    0: "'Art. ' || (i // 9 + 1) || 'º '", 1: "'§ ' || (i % 4 + 1) || 'º '", 2: "'II - '", 3: "'b) '", 4: f"case when i % 2 = 1 then {HEADED} || 'Art. ' || (i % 50 + 60) || '. ' else '' end",
+    5: "case when i % 3 = 0 then 'DIÁRIO OFICIAL DA UNIÃO ' else 'Parágrafo único. ' end", 6: "'Decreto nº '", 7: "'IV – '", 8: f"case when i % 2 = 0 then {PRINTED} else '' end",
+}
 
 
 def law_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of documents as blocks of laws, seven of nine with a mark in front of their own text."""
+    """The lines of documents as blocks of laws, most of them with a mark, a heading or a page header in front of their own text."""
     lines = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     kind = (F.col("document") + F.col("i")) % 9
     mark = F.lit("")
@@ -70,26 +76,43 @@ def law_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("document", F.col("i").alias("seq"), start.alias("start"), (start + F.length(text)).alias("stop"), text.alias("text"))
 
 
-def re2(pattern: str) -> str:
-    return pattern.replace("(?iu)", "(?i)").replace("'", "''")
-
-
-TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-SHORT = r"length(t) < 60 and len(regexp_extract_all(t, '\.')) <= 1 and len(regexp_extract_all(t, ',')) <= 1 and regexp_matches(t, '^\p{Lu}') and len(regexp_split_to_array(t, '\s+')) <= 10"
+# The SQL of the law queries has rules of its own, written from the order of classes and not from the operator's patterns.
+TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 NUMERALS = ", ".join(f"'{x}'" for x in ROMAN)
-AS_MARK = "\n".join(
-    f"when regexp_matches(t, '{re2(p)}')" + (f" and regexp_extract(t, '{re2(p)}', 1) in ({NUMERALS})" if k == "item" else "") + f" then case when regexp_matches(t, '{re2(CONTENTS)}') then 'metadata' else '{k}' end" for k, p in MARKS.items()
-)
-AS_EDITED = "\n".join(f"when regexp_matches(t, '{re2(p)}') then '{k}'" for k, p in EDITORIAL)
-NUMERAL = rf"upper(regexp_extract(t, '(?i)^\s*([ivxl]+)\s*[-–—]', 1)) in ({NUMERALS})"
-LAWS = rf"""with l as (select doc_id as document, unnest(string_split(text, chr(10))) as line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as i from documents where text is not null),
-m as (select document, i as seq, i * 800 as start, case (document + i) % 9 {' '.join(f'when {k} then {x}' for k, x in LAW_MARKS.items())} else '' end || line as text from l),
-b as (select *, start + length(text) as stop, {TRIM} as t from m),
-k as (select *, case when t = '' then 'metadata'
-{AS_MARK}
-{AS_EDITED}
-when regexp_matches(t, '{re2(CAPITALS)}') and length(t) < 120 then 'heading' when regexp_matches(t, '{re2(MARKER)}') or {NUMERAL} then 'unclassified'
-when {SHORT} then 'heading' else 'unclassified' end as kind from b)"""
+SQL_MARKS = {
+    "article": r"regexp_matches(t, '(?i)^art\.\s*[0-9]+([.][0-9]+)*[º°o]?(-[a-z]+)?[0-9a-z_-]*[.\s]')",
+    "paragraph": r"(regexp_matches(t, '^§\s*[0-9]+[ºo°]?[.]?\s') or regexp_matches(t, '(?i)^par[áa]grafo\s+[úu]nico'))",
+    "item": rf"(regexp_matches(t, '^[A-Z]+\s*[–—-]') and regexp_extract(t, '^[A-Z]+') in ({NUMERALS}))",
+    "letter": r"(t[1] between 'a' and 'z' and regexp_matches(t[2:3], '^[)]\s'))",
+}
+SQL_CONTENTS = r"(contains(t, '.....') or regexp_matches(t, '\s(_\s|-\s\s)'))"
+AS_MARK = "\n".join(f"when {rule} then case when {SQL_CONTENTS} then 'metadata' else '{kind}' end" for kind, rule in SQL_MARKS.items())
+AS_EDITED = r"""
+when contains(t, 'DIÁRIO OFICIAL DA UNIÃO') or contains(t, 'Publicado em:') or contains(t, 'Imprensa Nacional') or contains(t, 'http://') or contains(t, 'https://') then 'metadata'
+when regexp_matches(t, '^[0-9][0-9]/[0-9][0-9]/[0-9]{4},?\s+[0-9][0-9]:[0-9][0-9]') then 'metadata'
+when regexp_matches(lower(t), '^(p[áa]gina|p[áa]ginas|p[áa]g|p[áa]g\.|fl|fls|fl\.|fls\.)?\s*[0-9]+(\s*(/|de)\s*[0-9]+)?$') then 'metadata'
+when regexp_matches(lower(t), '^[óo]rg[ãa]o\s*:') then 'metadata'
+when starts_with(lower(t), 'instrução normativa') or starts_with(lower(t), 'decreto') or starts_with(lower(t), 'portaria') or starts_with(lower(t), 'resolução') or regexp_matches(lower(t), '^lei\s+(complementar\s+)?n[º°]') then 'heading'
+when regexp_matches(lower(t), '^o\s+(secretári[ao]|ministro|presidente|diretor)') or starts_with(lower(t), 'resolve') or starts_with(lower(t), 'considerando')
+    or regexp_matches(t, 'no uso d[ae]s?\s+atribuiç') or regexp_matches(t, 'resolve\s*:') then 'preamble'
+when regexp_matches(lower(t), '^(altera|dispõe|estabelece|institui|regulamenta)\s') then 'preamble'
+when regexp_matches(lower(t), '^cap[ií]tulo\s') then 'heading'"""
+AS_SHAPED = rf"""
+when length(t) < 120 and regexp_matches(t, '^[\sA-ZÁÂÃÉÊÍÓÔÕÚÇ(),./:;–—-]+$') then 'heading'
+when starts_with(lower(t), 'art.') or starts_with(t, '§') or regexp_matches(t, '^([a-zA-Z]\)|[0-9]+\.)') or upper(regexp_extract(t, '^([ivxlIVXL]+)\s*[–—-]', 1)) in ({NUMERALS}) then 'unclassified'
+when length(t) < 60 and length(t) - length(replace(t, '.', '')) <= 1 and length(t) - length(replace(t, ',', '')) <= 1 and regexp_matches(t, '^\p{{Lu}}') and len(regexp_split_to_array(t, '\s+')) <= 10 then 'heading'"""
+LINES = rf"""l as (select doc_id as document, unnest(string_split(text, chr(10))) as line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as i from documents where text is not null),
+m as (select document, i, (document + i) % 9 as mark, line, i * 800 as start, case (document + i) % 9 {' '.join(f'when {k} then {x}' for k, x in LAW_MARKS.items())} else '' end || line as text from l)"""
+CLASSES = rf"k as (select *, case when t = '' then 'metadata' {AS_MARK} {AS_EDITED} {AS_SHAPED} else 'unclassified' end as kind from b)"
+LAWS = rf"with {LINES}, b as (select document, i as seq, start, start + length(text) as stop, text, {TRIM.format('text')} as t from m), {CLASSES}"
+# a page header with more than 20 characters behind it, and a heading with an article of 50 or more, are blocks of their own
+SPLIT_LAWS = rf"""with {LINES},
+c as (select *, case when mark = 8 and i % 2 = 0 and length({TRIM.format('line')}) > 20 then length({PRINTED})
+    when mark = 4 and i % 2 = 1 and length({TRIM.format(f"substr(text, length({HEADED}) + 1)")}) >= 50 then length({HEADED}) else 0 end as cut from m),
+b as (select *, {TRIM.format('text')} as t from (
+    select document, 2 * i as seq, start, start + length(text) as stop, text from c where cut = 0
+    union all select document, 2 * i, start, start + cut, {TRIM.format('substr(text, 1, cut)')} from c where cut > 0
+    union all select document, 2 * i + 1, start + cut, start + length(text), {TRIM.format('substr(text, cut + 1)')} from c where cut > 0)), {CLASSES}"""
 
 
 @query(LAWS + " select document, seq, kind from k")
@@ -101,12 +124,16 @@ def as_number(part) -> str:
     return f"regexp_replace({part}, '^0+([0-9])', '\\1')"
 
 
-UNFINISHED = rf"(?i)(,|(^|[^\p{{L}}\p{{N}}_])({GOES_ON.replace(' ', '|')}))\s*$"
-PROVISIONS = LAWS + rf""", n as (select *, case kind when 'article' then {as_number(f"replace(regexp_extract(t, '{re2(MARKS['article'])}', 1), '.', '')")} || regexp_extract(t, '{re2(MARKS['article'])}', 2)
-    when 'paragraph' then case when regexp_extract(t, '{re2(MARKS['paragraph'])}', 1) = '' then 'unico' else {as_number(f"regexp_extract(t, '{re2(MARKS['paragraph'])}', 1)")} end
-    when 'item' then regexp_extract(t, '{MARKS['item']}', 1) when 'letter' then regexp_extract(t, '{MARKS['letter']}', 1) end as number from k),
+#: Words after which a sentence goes on: articles, prepositions, conjunctions and pronouns.
+LEADING_ON = ["a", "as", "o", "os", "um", "uma", "uns", "umas", "e", "ou", "de", "do", "dos", "da", "das", "no", "nos", "na", "nas", "ao", "aos", "à", "às", "em", "com", "sem", "por", "para", "pelo", "pelos", "pela", "pelas", "sob", "sobre", "entre",
+    "até", "perante", "mediante", "conforme", "como", "que", "se", "qual", "quais", "quando", "onde", "cujo", "cujos", "cuja", "cujas", "seu", "seus", "sua", "suas"]
+BEFORE = "lag(t) over (partition by document, no order by seq)"
+UNFINISHED = rf"(regexp_matches({BEFORE}, ',$') or regexp_extract(lower({BEFORE}), '[\p{{L}}\p{{N}}_]+$') in ({', '.join(f"'{x}'" for x in LEADING_ON)}))"
+ARTICLE_NO, ARTICLE_SUFFIX, PARAGRAPH_NO = (f"regexp_extract(t, '{p}', 1)" for p in (r"(?i)^art\.\s*([0-9]+([.][0-9]+)*)", r"(?i)^art\.\s*[0-9]+(?:[.][0-9]+)*[º°o]?(-[a-z]+)?", r"^§\s*([0-9]+)"))
+PROVISIONS = SPLIT_LAWS + rf""", n as (select *, case kind when 'article' then {as_number(f"replace({ARTICLE_NO}, '.', '')")} || coalesce({ARTICLE_SUFFIX}, '')
+    when 'paragraph' then case when {PARAGRAPH_NO} = '' then 'unico' else {as_number(PARAGRAPH_NO)} end when 'item' then regexp_extract(t, '^[IVXL]+') when 'letter' then t[1] end as number from k),
 g as (select *, count(*) filter (kind <> 'unclassified') over (partition by document order by seq) as no from n where kind in ('article', 'paragraph', 'item', 'letter', 'unclassified') and t <> ''),
-j as (select *, coalesce(kind <> 'unclassified' or start - first_value(stop) over (partition by document, no order by seq) <= 1500 or regexp_matches(lag(t) over (partition by document, no order by seq), '{UNFINISHED}'), false) as joins from g where no > 0),
+j as (select *, coalesce(kind <> 'unclassified' or start - first_value(stop) over (partition by document, no order by seq) <= 1500 or {UNFINISHED}, false) as joins from g where no > 0),
 h as (select *, bool_and(joins) over (partition by document, no order by seq) as kept from j),
 o as (select document, no, min(seq) as seq, arg_min(kind, seq) as kind, arg_min(number, seq) as number, string_agg(case when kind = 'unclassified' then t else text end, chr(10) order by seq) as text from h where kept group by document, no),
 a as (select *, count(*) filter (kind = 'article') over (partition by document order by seq) as s0 from o),
@@ -129,7 +156,7 @@ def law_provision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law_provisions(law_blocks(spark, sf_dir)).select("document", "place", "kind", "span_id", F.col("depth").cast("int").alias("depth"), F.md5("text").alias("digest"))
 
 
-@query(PROVISIONS + " select document, count(*) as n, " + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in MARKS) + ", max(depth)::bigint as max_depth from w group by document")
+@query(PROVISIONS + " select document, count(*) as n, " + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in SQL_MARKS) + ", max(depth)::bigint as max_depth from w group by document")
 def law_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law_statistics(law_provisions(law_blocks(spark, sf_dir)))
 
