@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.fusion import fuse, rerank_all_or_nothing, rerank_first
-from ..operators.lexical import query_tokens, scored, substring_tokens, token_table, top
+from ..operators.lexical import expand_synonyms, query_tokens, scored, substring_tokens, token_table, top
 from ..operators.vector import nearest
 
 #: Rows that a lane, and the pool that is reranked, may have.
@@ -43,6 +43,23 @@ def two_way_search(docs: DataFrame, key: str, text: str, query: str, k: int | No
     return hybrid([terms_lane, parts_lane], counts, key, [], clamp(k, 20, 50)).select(key, "rrf", "n_lanes", "place")
 
 
+def catalogue_search(docs: DataFrame, key: str, text: str, query: str, k: int | None = None) -> DataFrame:
+    """Catalogue search with both lanes: rows with all terms, or, if there are none, with any of them or of their synonyms,
+    fused with the substring lane: (key, rrf, n_lanes, place, mode), up to ``k`` (20; 50 at most).
+
+    mode says whether all terms were found together. Texts are read once, for the terms of both ways.
+    """
+    wide, parts = query_tokens(expand_synonyms(query), "catalogue"), substring_tokens(query)
+    n_strict = len(query_tokens(query, "catalogue"))  # the query's own terms come first
+    counts = token_table(docs, text, wide, parts)
+    strict = scored(counts, "tf", "length", n_strict, every=True)
+    found = n_strict > 0 and not strict.isEmpty()
+    by_terms = strict if found else scored(counts, "tf", "length", len(wide))
+    by_parts = scored(counts, "sf", "grams", len(parts))
+    lanes = [top(x.select(key, F.round("score", 6).alias("score")), key, LANE) for x in (by_terms, by_parts)]
+    return hybrid(lanes, counts, key, [], clamp(k, 20, 50)).select(key, "rrf", "n_lanes", "place").withColumn("mode", F.lit("all" if found else "any"))
+
+
 def law_search(docs: DataFrame, vectors: DataFrame, rerank: DataFrame, key: str, text: str, query: str, vector: list[float], k: int | None = None) -> DataFrame:
     """Law search: vector and term lanes of LANE rows, fused; rows without text go; POOL rows reranked; the best ``k`` (5; 20 at most).
 

@@ -10,7 +10,7 @@ from ..operators.fusion import first_payload, fuse, page, rerank_all_or_nothing,
 from ..operators.index import SearchIndex
 from ..operators.lexical import and_first, bm25, grep, keyword_overlap, postings, query_tokens, snippet, substring_lane, top
 from ..operators.vector import fill_missing, nearest, nearest_to_each, valid_dimension
-from ..plans.hybrid import hybrid, law_search, lexical_lanes, ruling_search, two_way_search
+from ..plans.hybrid import catalogue_search, hybrid, law_search, lexical_lanes, ruling_search, two_way_search
 from ..session import new_folder, table
 from .register import registry
 
@@ -273,6 +273,36 @@ def two_way_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_way_search(documents(spark, sf_dir), "doc_id", "text", "the er ment")
 
 
+def substring_sql(tokens: list[str]) -> str:
+    """CTEs up to ``s``: (doc_id, score) of the documents that hold a token anywhere."""
+    held = ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)} as sf{i}" for i, t in enumerate(tokens))
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * sf{i} * 2.2 / (sf{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(tokens)))
+    return f"""s_c as (select doc_id, greatest(length(text) - 2, 0) as dl, {held} from documents),
+s_w as (select count(*) as n, avg(dl) as mean, {', '.join(f'count(*) filter (sf{i} > 0) as d{i}' for i in range(len(tokens)))} from s_c),
+s as (select doc_id, {score} as score from s_c, s_w where {' or '.join(f'sf{i} > 0' for i in range(len(tokens)))})"""
+
+
+def catalogue_sql(strict: list[str], wide: list[str], parts: list[str]) -> str:
+    return f"""with {bm25_sql(strict, 'a', every=True)}, {bm25_sql(wide, 'o')}, {substring_sql(parts)},
+t as (select *, 'all' as mode from a union all select *, 'any' from o where not exists (select 1 from a)),
+lane_t as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as rank from t qualify rank <= 20),
+lane_s as (select doc_id, row_number() over (order by round(score, 6) desc, doc_id) as rank from s qualify rank <= 20),
+u as (select * from lane_t union all select * from lane_s), f as (select doc_id, round(sum(1 / (60 + rank)), 6) as rrf, count(*) as n_lanes from u group by doc_id)
+select doc_id, rrf, n_lanes, row_number() over (order by rrf desc, doc_id) as place, (select min(mode) from t) as mode from f join documents d using (doc_id) where coalesce(d.text, '') <> '' order by place limit 20"""
+
+
+@query(catalogue_sql(["the", "ment"], ["the", "ment"], ["the", "ment"]))
+def catalogue_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with all terms are found, so only these make the lane of terms."""
+    return catalogue_search(documents(spark, sf_dir), "doc_id", "text", "the er ment")
+
+
+@query(catalogue_sql(["the", "notebook"], ["the", "notebook", "laptop", "computador", "portatil"], ["the", "notebook"]))
+def catalogue_any_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row has all terms: any of them counts, synonyms too."""
+    return catalogue_search(documents(spark, sf_dir), "doc_id", "text", "the notebook")
+
+
 @query(LANES + """u as (select * from lane_a union all select * from lane_b), f as (select doc_id, round(sum(1 / (60 + rank)), 6) as rrf from u group by doc_id),
 pool as (select doc_id, rrf from f join documents d using (doc_id) where coalesce(d.text, '') <> '' order by rrf desc, doc_id limit 20),
 r as (select doc_id, rrf, (doc_id % 97) / 97.0 as rerank from pool)
