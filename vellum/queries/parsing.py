@@ -188,9 +188,9 @@ select doc_id, 'LEI-14.' || lpad((doc_id % 1000)::varchar, 3, '0') || '-2021 art
 from documents where text is not null
 """)
 def citation_label_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct labels, in order, of whole texts whose own numbers are masked, so that they cite what is added to them only."""
+    """Distinct labels, in order, of whole texts whose own digits are masked by a letter, so that they cite what is added to them only."""
     docs = table(spark, sf_dir, "documents")
-    text = F.concat(F.translate("text", "0123456789", "#" * 10), F.format_string(". O art. %d da Lei nº 14.%03d/2021; o art. %d do Decreto 99.%03d, de 1990; ainda o art. %d da Lei nº 14.%03d/2021.", *(x for _ in range(3) for x in (F.col("doc_id") % 30 + 1, F.col("doc_id") % 1000))))
+    text = F.concat(F.translate("text", "0123456789", "x" * 10), F.format_string(". O art. %d da Lei nº 14.%03d/2021; o art. %d do Decreto 99.%03d, de 1990; ainda o art. %d da Lei nº 14.%03d/2021.", *(x for _ in range(3) for x in (F.col("doc_id") % 30 + 1, F.col("doc_id") % 1000))))
     found = citation_labels(citations(docs.select("doc_id", text.alias("text")), "doc_id", "text"), "doc_id")
     return found.select("doc_id", F.array_join("labels", "; ").alias("labels"))
 
