@@ -73,3 +73,20 @@ def test_ratios_and_verdicts_against_brute_force(spark):
         want.append((i, x or "", round(llr, 5), not (words < 10 or 100 * repeat > 20 * words) and llr >= -0.05))
     assert sorted((y.doc_id, y.text or "", round(y.llr, 5), y.kept) for y in out) == sorted(want)
     assert {y.kept for y in out} == {True, False} and all((y._q_text, y._q_tokens, y.own_id, y.single, y.aside_0) == tuple("abcdf") for y in out)
+
+
+def test_very_long_texts(spark):
+    from vellum.llm.decontaminate import decontaminate
+    from vellum.llm.line_dedup import dedup_lines
+    from vellum.llm.quality_rules import quality_rules
+
+    words = [f"w{i}" for i in range(200_000)]
+    text = "\n".join(" ".join(words[i : i + 40]) for i in range(0, len(words), 40)) + "\n" + " ".join(words[:40])
+    docs = spark.createDataFrame([(i, text if i == 1 else "the last line\nand one more", f"s{i % 12}") for i in range(1, 30)], "doc_id long, text string, source string")
+    base = quality_rules(docs, docs.where("doc_id = 2")).where("doc_id = 1").first()
+    assert (base.n_words, base.n_dup_lines, base.n_repeat_words) == (200_040, 1, 80)
+    items = spark.createDataFrame([(7, " ".join(words[199_980:199_995])), (8, "nowhere " * 12)], "item_id long, text string")
+    hit = decontaminate(docs, items).where("doc_id = 1").first()
+    assert (hit.n_words, hit.n_hit, hit.n_items) == (200_040, 15, 1)
+    lines = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert lines[1].text == text and lines[1].n_lines == 5001 and lines[3].n_removed == 2

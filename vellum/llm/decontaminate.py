@@ -105,7 +105,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null and wordless texts have no words and no hits; null, wordless and id-less items have no windows. Repeated
     rows (same id, same text) each get the result; rows of one id with different texts are told apart. Equal and
-    overlapping items all count. Empty tables on either side give no hits.
+    overlapping items all count. Texts of any length are searched whole, from the first word to the last. Empty tables on
+    either side give no hits.
     """
     made = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
     kept, back = aside(docs.drop(*(x for x in made if x not in (id_col, text_col))), own_id=id_col, own_text=text_col)

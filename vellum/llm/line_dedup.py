@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     on ``min_sites`` sites or more, except at its first place: least id, then least line number.
 
     Null texts stay null (0 lines) and empty ones empty; null sites count for no site; rows with a null id are never
-    the first place. Repeated rows (same id, same text) are treated alike. A text may become empty: the row stays.
+    the first place. Repeated rows (same id, same text) are treated alike. A text may become empty: the row stays. Texts
+    of any length, and of any number of lines, count whole.
     An empty table gives no rows. Columns named n_lines or n_removed are replaced.
     """
     made = ("n_lines", "n_removed")

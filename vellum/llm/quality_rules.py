@@ -110,7 +110,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     base_failed: fewer than 10 words, or over a fifth of the words repeat in five-word windows. llr: mean log ratio
     of the text's n-grams, 0 for a text without any. kept: not base_failed and llr >= threshold.
 
-    Null texts count as empty: they fail the base rules. Repeated rows and null ids are judged each by its own text
+    Null texts count as empty: they fail the base rules. All words of a text count, however long it is. Repeated rows and null ids are judged each by its own text
     (a null id is never trusted). Empty ``docs`` give no rows; empty ``trusted`` gives llr 0. Columns of any other name
     stay as they are.
     """
