@@ -13,7 +13,8 @@ places, or whose sizes differ too much, are no candidates (a pair at the thresho
 first pass every set looks for the first set of its regions that agrees with it, and one such pair a set is confirmed by
 the texts; what is linked has one root. A second pass takes all candidates of different roots, without any cap: only the
 sets that have one leave their task, their texts are delivered to the regions, and there all candidates are held against
-each other in full. What leaves a region are links between roots, fewer than it has sets. A pair of similarity s meets in a tree at depth d with probability s^d: at the threshold 16 trees miss
+each other in full. Each pair of sets is looked at in the first tree only in which both share a whole region by one value:
+the first values of both, and which of their regions are whole, tell. What leaves a region are links between roots, fewer than it has sets. A pair of similarity s meets in a tree at depth d with probability s^d: at the threshold 16 trees miss
 one in 10^11 at depth 1, one in 10^7 at depth 2, one in 50,000 at depth 3.
 """
 
@@ -115,7 +116,10 @@ def _deeper(depth: int) -> int:
 
 
 def _regions(signed: DataFrame, crowd: int) -> DataFrame:
-    """(region, set) of all regions and parts of crowded regions that hold two sets or more."""
+    """(region, set, tree) of all regions and parts of crowded regions that hold two sets or more.
+
+    tree is that of a whole region of sets with the same first value, -1 for all others.
+    """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = signed.select("set", "values", trees).select("set", "tree", F.xxhash64("tree", _value("tree", 0)).alias("prefix"))
     depth, found = 1, []
@@ -124,10 +128,11 @@ def _regions(signed: DataFrame, crowd: int) -> DataFrame:
         sizes = rows.groupBy(F.col("tree").alias("p_tree"), F.col("prefix").alias("p_prefix")).agg(F.count("*").alias("size"), F.min("set").alias("first")).where("size > 1")
         shared = written(rows.join(sizes, (F.col("tree") == F.col("p_tree")) & (F.col("prefix") == F.col("p_prefix"))).select("set", "tree", "prefix", "size", "first"), "forest-shared")
         parts = F.ceil(F.col("size") / crowd)
-        dealt = shared.select("set", F.xxhash64("tree", F.lit(depth), "prefix", F.pmod(F.xxhash64("set", "tree"), parts)).alias("region"))
+        whole = F.when((F.lit(depth) == 1) & (F.col("size") <= crowd), F.col("tree")).otherwise(-1).alias("whole_of")
+        dealt = shared.select("set", F.xxhash64("tree", F.lit(depth), "prefix", F.pmod(F.xxhash64("set", "tree"), parts)).alias("region"), whole.alias("tree"))
         crowded = shared.where(F.col("size") > crowd)
         firsts = crowded.where("set = first").select("set", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "tree", "prefix")
-        found.append(written(dealt.unionByName(firsts.select("set", F.xxhash64("tree", F.lit(depth), "prefix", "part").alias("region"))).distinct(), "forest-regions"))
+        found.append(written(dealt.unionByName(firsts.select("set", F.xxhash64("tree", F.lit(depth), "prefix", "part").alias("region"), F.lit(-1).alias("tree"))).distinct(), "forest-regions"))
         if depth == VALUES or crowded.limit(1).count() == 0:
             break
         further = _deeper(depth)
@@ -141,17 +146,29 @@ def _regions(signed: DataFrame, crowd: int) -> DataFrame:
 
 
 class Region:
-    """The sets of a region that a task has gathered: numbers, sizes, roots and one byte of each min-hash."""
+    """The sets of a region that a task has gathered: numbers, sizes, one byte of each min-hash, and for the second pass
+    roots, the first values of all trees, and in which trees these make a whole region."""
 
-    def __init__(self, rows: list[tuple]):
-        self.own, self.n, self.root = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3))
+    def __init__(self, rows: list[tuple], tree: int = -1):
+        self.own, self.n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
         self.values = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), VALUES)
+        if len(rows[0]) > 3:
+            self.root = np.array([r[3] for r in rows], np.int64)
+            self.begins = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), TREES)
+            trees = np.arange(TREES if tree < 0 else tree)
+            self.before = (np.array([r[5] for r in rows])[:, None] >> trees & 1).astype(bool)
 
     def near(self, i: int, others: np.ndarray, roots: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the places ``others`` that may be similar to place ``i``, with ``roots`` of other roots only; places in which they agree."""
+        """Those of the places ``others`` that may be similar to place ``i``, and places in which they agree.
+
+        With ``roots`` only those of other roots that don't meet ``i`` in an earlier tree.
+        """
         may = 100 * np.minimum(self.n[others], self.n[i]) >= LEAST * np.maximum(self.n[others], self.n[i])
         if roots:
             may &= self.root[others] != self.root[i]
+            others, may = others[may], may[may]
+            trees = np.flatnonzero(self.before[i])
+            may &= ~(self.begins[others][:, trees] == self.begins[i, trees]).any(axis=1)
         others = others[may]
         same = (self.values[others] == self.values[i]).sum(axis=1)
         return others[same >= AGREE], same[same >= AGREE]
@@ -219,27 +236,31 @@ def _by_region(rows: DataFrame, columns: list[str], schema: str, work) -> DataFr
 
 
 def _first_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, agree) of ``rows`` (region, set, n, bytes, root): a set, and the first set of its region that agrees with it."""
-    return _by_region(rows, ["set", "n", "bytes", "root"], "a long, b long, agree long", lambda at, held: Region(held).first_pairs())
+    """(a, b, agree) of ``rows`` (region, set, n, bytes): a set, and the first set of its region that agrees with it."""
+    return _by_region(rows, ["set", "n", "bytes"], "a long, b long, agree long", lambda at, held: Region(held).first_pairs())
+
+
+#: What the second pass knows of a set in a region.
+KNOWN = ["set", "n", "bytes", "root", "begins", "whole_in", "tree"]
 
 
 def _open_sets(rows: DataFrame) -> DataFrame:
-    """(region, set, root) of the rows (region, set, n, bytes, root) that have a candidate of another root in their region."""
+    """(region, set, root, tree) of the rows (region and KNOWN) that have a candidate of another root in their region."""
 
     def work(at: int, held: list) -> tuple:
-        region = Region(held)
+        region = Region(held, held[0][6])
         places = region.open_places()
-        return np.full(len(places), at), region.own[places], region.root[places]
+        return np.full(len(places), at), region.own[places], region.root[places], np.full(len(places), held[0][6])
 
-    return _by_region(rows, ["set", "n", "bytes", "root"], "region long, set long, root long", work)
+    return _by_region(rows, KNOWN, "region long, set long, root long, tree long", work)
 
 
 def _links_in_regions(rows: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links between the rows (region, set, n, bytes, root) of a region that have different roots, by their full texts."""
-    addressed = written(rows.join(reps, "set").select("region", "set", "n", "bytes", "root", "rep.*"), "forest-addressed")
+    """(a, b): links between the rows (region and KNOWN) of a region that have different roots, by their full texts."""
+    addressed = written(rows.join(reps, "set").select("region", *KNOWN, "rep.*"), "forest-addressed")
     given = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_key"), "text")
     sent = given.join(small_side(addressed, BROADCAST_ADDRESSED), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_key") == F.col("key")))
-    return _by_region(sent, ["set", "n", "bytes", "root", "text"], "a long, b long", lambda at, held: Region(held).links([r[4] for r in held]))
+    return _by_region(sent, [*KNOWN, "text"], "a long, b long", lambda at, held: Region(held, held[0][6]).links([r[7] for r in held]))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -253,20 +274,23 @@ def similar_components(docs: DataFrame, crowd: int = CROWD) -> tuple[DataFrame,
     sets, reps = keyed_sets(_set_table(docs))
     signed = written(_signed(sets, reps), "forest-signatures")
     regions = _regions(signed, crowd)
-    shown = signed.select(F.col("set").alias("s_set"), "n", "bytes")
+    whole_in = regions.where("tree >= 0").groupBy(F.col("set").alias("w_set")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("tree"))).alias("whole_in"))
+    begins = F.concat(*(F.substring("values", t * STRIDE * 4 + 1, 4) for t in range(TREES))).alias("begins")
+    shown = signed.select("set", "n", "bytes", begins).join(whole_in, F.col("set") == F.col("w_set"), "left")
+    shown = written(shown.select(F.col("set").alias("s_set"), "n", "bytes", "begins", F.coalesce("whole_in", F.lit(0)).alias("whole_in")), "forest-shown")
     rows = regions.join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes")
-    first = _first_pairs(rows.withColumn("root", F.col("set"))).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
+    first = _first_pairs(rows).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", "best.b")
     first = written(first, "forest-first-pairs")
     links = written(_confirmed(first, reps, docs), "forest-first-links")
 
     up = links.select(F.col("a").alias("node"), F.col("b").alias("up"))
     tops = links.select(F.col("b").alias("node")).distinct().join(up.select("node"), "node", "left_anti").select("node", F.col("node").alias("up"))
     roots = forest_roots(up.unionByName(tops)).select(F.col("node").alias("k_set"), "root")
-    rooted = written(regions.join(roots, F.col("set") == F.col("k_set"), "left").select("region", "set", F.coalesce("root", "set").alias("root")), "forest-rooted")
+    rooted = written(regions.join(roots, F.col("set") == F.col("k_set"), "left").select("region", "set", "tree", F.coalesce("root", "set").alias("root")), "forest-rooted")
     open_regions = rooted.groupBy(F.col("region").alias("o_region")).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("o_region")
-    rows = rooted.join(open_regions, F.col("region") == F.col("o_region")).join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes", "root")
-    open_sets = written(_open_sets(rows), "forest-open-sets")
-    last = written(_links_in_regions(open_sets.join(shown, F.col("set") == F.col("s_set")).select("region", "set", "n", "bytes", "root"), reps, docs), "forest-last-links")
+    with_known = lambda some: some.join(shown, F.col("set") == F.col("s_set")).select("region", *KNOWN)
+    open_sets = written(_open_sets(with_known(rooted.join(open_regions, F.col("region") == F.col("o_region")))), "forest-open-sets")
+    last = written(_links_in_regions(with_known(open_sets), reps, docs), "forest-last-links")
     return sets.select("doc_id", "key", "n", "set"), connected_components(links.unionByName(last))
 
 
