@@ -94,7 +94,8 @@ def cost_rollup(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """
     p = prices.select(F.col("model").alias("_m"), "price_in", "price_out")
     p = F.broadcast(p) if p.limit(BROADCAST_PRICES + 1).count() <= BROADCAST_PRICES else p
-    cost = F.round((F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1e6, 6)
+    # six digits as doubles have them: F.round(x, 6) would round the shortest decimal, which lifts halves that lie just below
+    cost = F.round((F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1e6 * 1e6) / 1e6
     joined = calls.join(p, F.col("model") == F.col("_m"), "left").withColumn("micro", F.round(cost * 1e6).cast("long"))
     total = joined.rollup("model").agg(F.count("*").alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("micro").alias("cost_micro"))
     return total
