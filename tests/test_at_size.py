@@ -7,3 +7,18 @@ def test_costs_are_rounded_as_doubles(spark):
     calls = spark.createDataFrame([("m", 332, 332)], "model string, tokens_in long, tokens_out long")
     prices = spark.createDataFrame([("m", 0.075, 0.3)], "model string, price_in double, price_out double")
     assert {r.cost_micro for r in cost_rollup(calls, prices).collect()} == {124}  # 0.0001245 * 1e6 is 124.49999999999999
+
+
+def test_rows_that_arrive_in_several_files_are_taken_in_order(spark, tmp_path):
+    import pandas as pd
+
+    from vellum import registry
+
+    n = 400
+    events = pd.DataFrame({"event_id": range(n), "ts": pd.date_range("2024-01-01", periods=n, freq="7min"), "user_id": [i % 3 for i in range(n)], "event_type": "view", "value": 1.0, "props": "{}"})
+    spark.createDataFrame(events).repartition(6, "event_id").write.parquet(f"{tmp_path}/events.parquet")  # each file holds rows of all times
+    places = {r.job_id: r.place for r in registry.QUERIES["streamed_jobs"](spark, str(tmp_path)).collect()}
+    assert places == {i: i // 3 + 1 for i in range(n)}
+    allowed = {r.event_id for r in registry.QUERIES["streamed_limiter"](spark, str(tmp_path)).collect() if r.allowed}
+    of_day = events.groupby([events["user_id"], events["ts"].dt.date])["ts"].rank()
+    assert allowed == set(events["event_id"][of_day <= 5])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import fixed_window_limits
 from ..session import new_folder, table
-from ..streaming.windows import dead_letters, drain_jobs, limiter, run_closed, run_to_table, run_upserted, upsert_batches, usage
+from ..streaming.windows import dead_letters, drain_jobs, in_turn, limiter, run_closed, run_to_table, run_upserted, upsert_batches, usage
 from ..streaming.windows import session_counts as sessions
 from ..streaming.windows import tumbling_counts as tumbling
 from .register import registry
@@ -15,20 +17,24 @@ from .register import registry
 QUERIES, ORACLES, query = registry()
 
 
-#: Files of an event stream, and seconds by which rows may lie in a later file than their time says.
-FILES, LATE = 5, 300
+#: Times at which rows of an event stream arrive, and seconds by which rows may arrive later than their time says.
+TIMES, LATE = 5, 300
+
 
+def event_stream(spark: SparkSession, sf_dir: str, late: int = LATE) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """The events table as a stream, and what makes its rows arrive, span by span; ``late`` seconds bound how late a row comes.
 
-def event_stream(spark: SparkSession, sf_dir: str, late: int = LATE) -> DataFrame:
-    """The events table as a stream of several files, one a trigger; ``late`` seconds bound how late a row comes."""
+    The rows of a span arrive together, in as many files as they are written in, so that no later row is worked off before
+    an earlier one but for ``late``.
+    """
     events, path = table(spark, sf_dir, "events"), new_folder(spark, "event-files")
     seconds = F.unix_timestamp("ts")
     first, last = events.agg(F.min(seconds), F.max(seconds)).first()
-    span = max(1, -(-((last or 0) - (first or 0) + late + 1) // FILES))
+    span = max(1, -(-((last or 0) - (first or 0) + late + 1) // TIMES))
     came = seconds + (F.pmod(F.xxhash64("event_id"), F.lit(late)) if late else 0)
-    for k in range(FILES):  # one write after another: files are read in the order of their times
-        events.where(F.floor((came - F.lit(first)) / span) == k).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    arrivals = [lambda k=k: events.where(F.floor((came - F.lit(first)) / span) == k).write.mode("append").parquet(path) for k in range(TIMES)]
+    events.limit(0).write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path), arrivals
 
 
 TUMBLING = "select strftime(ts, '%Y-%m-%d') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all"
@@ -43,7 +49,8 @@ def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(TUMBLING)
 def streamed_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As tumbling_counts, over a stream of several files with late rows."""
-    out = run_upserted(tumbling(event_stream(spark, sf_dir), "ts", "event_type", "value"), new_folder(spark, "tumbling"), ["start", "event_type"])
+    events, arrivals = event_stream(spark, sf_dir)
+    out = run_upserted(tumbling(events, "ts", "event_type", "value"), new_folder(spark, "tumbling"), ["start", "event_type"], arrivals)
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -62,9 +69,10 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, count(*) as n, sum(floor(value * 100 + 0.5))::bigint as total from events group by event_type")
 def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals over a stream of the table, one file a trigger."""
-    totals = usage(event_stream(spark, sf_dir).withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("long")), "event_type", "cents")
-    return run_upserted(totals, new_folder(spark, "usage"), ["event_type"])
+    """Running totals over a stream of the table."""
+    events, arrivals = event_stream(spark, sf_dir)
+    totals = usage(events.withColumn("cents", F.floor(F.col("value") * 100 + 0.5).cast("long")), "event_type", "cents")
+    return run_upserted(totals, new_folder(spark, "usage"), ["event_type"], arrivals)
 
 
 @query("""
@@ -81,7 +89,8 @@ def limiter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SESSIONS)
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As session_counts, over a stream of several files with late rows."""
-    out = run_closed(event_stream(spark, sf_dir), lambda e: sessions(e, "ts", "user_id", "6 hours"), "ts", "user_id", new_folder(spark, "sessions"))
+    events, arrivals = event_stream(spark, sf_dir)
+    out = run_closed(events, lambda e: sessions(e, "ts", "user_id", "6 hours"), "ts", "user_id", new_folder(spark, "sessions"), arrivals)
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
@@ -92,17 +101,18 @@ select event_id, in_minute and day_n <= 5 as allowed from b
 """)
 def streamed_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful limiter over a stream of all events, in several files and in order."""
-    calls = event_stream(spark, sf_dir, late=0).select(F.col("user_id").cast("long").alias("client"), F.col("event_id").cast("long").alias("event_id"), "ts")
-    return run_to_table(limiter(calls, 1, 5), new_folder(spark, "limits")).select("event_id", "allowed")
+    events, arrivals = event_stream(spark, sf_dir, late=0)
+    calls = events.select(F.col("user_id").cast("long").alias("client"), F.col("event_id").cast("long").alias("event_id"), "ts")
+    return run_to_table(limiter(calls, 1, 5), new_folder(spark, "limits"), arrivals).select("event_id", "allowed")
 
 
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user, kept by upserting the batches of a stream."""
     folder = new_folder(spark, "latest")
-    rows = event_stream(spark, sf_dir).withColumn("version", F.struct("ts", "event_id"))
-    writer = rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(upsert_batches(f"{folder}/table", "user_id", "version")).start().awaitTermination()
+    events, arrivals = event_stream(spark, sf_dir)
+    rows = events.withColumn("version", F.struct("ts", "event_id"))
+    in_turn(rows.writeStream.foreachBatch(upsert_batches(f"{folder}/table", "user_id", "version")), folder, arrivals)
     return spark.read.parquet(f"{folder}/table").select("user_id", "event_id", "event_type")
 
 
@@ -116,8 +126,9 @@ def worked_off(payload: str) -> str:
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as jobs of their users, worked off from a stream of several files."""
-    jobs = event_stream(spark, sf_dir, late=0).select(F.col("user_id").cast("long").alias("queue"), F.col("event_id").cast("long").alias("job_id"), F.col("ts").alias("created_at"), F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("payload"))
-    return drain_jobs(jobs, worked_off, new_folder(spark, "jobs"))
+    events, arrivals = event_stream(spark, sf_dir, late=0)
+    jobs = events.select(F.col("user_id").cast("long").alias("queue"), F.col("event_id").cast("long").alias("job_id"), F.col("ts").alias("created_at"), F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("payload"))
+    return drain_jobs(jobs, worked_off, new_folder(spark, "jobs"), arrivals)
 
 
 @query("""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 #: How long a window waits for late rows.
 LATENESS = "10 minutes"
@@ -38,9 +38,10 @@ MINUTE, DAY = 60, 86_400
 
 
 class FixedWindows(StatefulProcessor):
-    """Counts of a client's passed calls by minute and by day, each a map from the window's number.
+    """Counts of a client's passed calls by minute and by day: of each the windows that may still get calls, in a list.
 
-    A window's count goes when the watermark has passed its end, by a timer: no call of it can come any more.
+    A client's lists are read and written once a trigger, whatever the number of calls. Windows whose end the watermark has passed
+    go with the next trigger of their client, or by a timer at the end of its last window: no call of them can come any more.
     """
 
     def __init__(self, per_minute: int, per_day: int):
@@ -48,41 +49,49 @@ class FixedWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = {scope: handle.getMapState(scope, "window long", "n long") for scope in self.limits}
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        known: dict[tuple[str, int], int] = {}
-        changed, out = set(), []
-        for event_id, ts in zip(calls["event_id"], calls["ts"], strict=True):
-            windows = {scope: int(ts.timestamp()) // size for scope, (size, _) in self.limits.items()}
-            for at in windows.items():
-                if at not in known:
-                    state = self.counts[at[0]]
-                    known[at] = state.getValue((at[1],))[0] if state.containsKey((at[1],)) else 0
-            full = [scope for scope, (_, most) in self.limits.items() if known[scope, windows[scope]] >= most]
-            if not full:
-                for at in windows.items():
-                    known[at] += 1
-                    changed.add(at)
-            out.append((key[0], event_id, not full, full[0] if full else None))
-        for scope, window in changed:
-            self.counts[scope].updateValue((window,), (known[scope, window],))
-            self.handle.registerTimer((window + 1) * self.limits[scope][0] * 1000)
-        yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "scope"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        for scope, (size, _) in self.limits.items():
-            if end % size == 0:
-                self.counts[scope].removeKey((end // size - 1,))
-        yield pd.DataFrame([], columns=["client", "event_id", "allowed", "scope"])
+        self.open = {scope: handle.getListState(scope, "window long, n long") for scope in self.limits}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        client, known = key[0], self._read(timerValues)
+        last = -1
+        for ts, event_id in sorted((r.ts, r.event_id) for r in rows):
+            second = int(ts.timestamp())
+            full, places = None, []
+            for scope, (size, most) in self.limits.items():
+                n = known[scope].get(second // size, 0)
+                places.append((known[scope], second // size, n))
+                if n >= most and full is None:
+                    full = scope
+            if full is None:
+                for counts, window, n in places:
+                    counts[window] = n + 1
+                last = max(last, (second // DAY + 1) * DAY)
+            yield Row(client=client, event_id=event_id, allowed=full is None, scope=full)
+        self._write(known)
+        if last >= 0:
+            self.handle.registerTimer(last * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._write(self._read(timerValues))
+        yield from ()
+
+    def _read(self, timerValues) -> dict[str, dict[int, int]]:
+        """Of each scope the windows, with their counts, whose end the watermark hasn't passed."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        return {scope: {w: n for w, n in self.open[scope].get() if (w + 1) * size * 1000 > watermark} for scope, (size, _) in self.limits.items()}
+
+    def _write(self, known: dict[str, dict[int, int]]) -> None:
+        for scope, counts in known.items():
+            if counts:
+                self.open[scope].put(list(counts.items()))
+            else:
+                self.open[scope].clear()
 
     def close(self) -> None:
         pass
 
 
-#: The state store that keeps maps and timers.
+#: The state store that keeps timers.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -94,7 +103,7 @@ def limiter(calls: DataFrame, per_minute: int, per_day: int) -> DataFrame:
     """
     calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     timed = calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
-    return timed.groupBy("client").transformWithStateInPandas(FixedWindows(per_minute, per_day), LIMITS, "Append", "EventTime")
+    return timed.groupBy("client").transformWithState(FixedWindows(per_minute, per_day), LIMITS, "Append", "EventTime")
 
 
 #: Folders over which the keys of an upserted table are dealt.
@@ -124,15 +133,33 @@ def upsert_batches(target: str, key: str, version: str, buckets: int = UPSERT_BU
     return apply
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what is there, in append mode, into a Parquet table below ``folder`` and reads it."""
+def nothing() -> None:
+    """An arrival of no rows."""
+
+
+#: Each writes rows to where a stream reads: they are worked off before the next are written.
+Arrivals = Iterable[Callable[[], None]]
+
+
+def in_turn(writer: DataStreamWriter, folder: str, arrivals: Arrivals) -> None:
+    """Lets rows arrive and runs a stream over what is there, from its checkpoint below ``folder``, once for each arrival.
+
+    What has arrived at once is worked off in one trigger, in however many files it lies.
+    """
+    for arrive in arrivals:
+        arrive()
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_table(stream: DataFrame, folder: str, arrivals: Arrivals = (nothing,)) -> DataFrame:
+    """Runs a stream over what is there (or what arrives), in append mode, into a Parquet table below ``folder`` and reads it."""
     table = f"{folder}/table"
-    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("append").format("parquet").start(table).awaitTermination()
+    in_turn(stream.writeStream.outputMode("append").format("parquet").option("path", table), folder, arrivals)
     return stream.sparkSession.read.schema(stream.schema).parquet(table)
 
 
-def run_upserted(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Runs an aggregate over what is there in update mode: each trigger upserts the rows that it has changed, by ``keys``.
+def run_upserted(stream: DataFrame, folder: str, keys: list[str], arrivals: Arrivals = (nothing,)) -> DataFrame:
+    """Runs an aggregate over what is there (or what arrives) in update mode: each trigger upserts the rows that it has changed, by ``keys``.
 
     State that the watermark has passed is dropped, and the table keeps what it last said.
     """
@@ -142,14 +169,14 @@ def run_upserted(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     def update(batch: DataFrame, number: int) -> None:
         apply(batch.withColumn("upsert_key", F.struct(*keys)).withColumn("upsert_batch", F.lit(number)), number)
 
-    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).outputMode("update").foreachBatch(update).start().awaitTermination()
+    in_turn(stream.writeStream.outputMode("update").foreachBatch(update), folder, arrivals)
     try:
         return spark.read.parquet(table).select(*stream.columns)
     except AnalysisException:  # no row has come
         return spark.createDataFrame([], stream.schema)
 
 
-def run_closed(events: DataFrame, operator, ts: str, key: str, folder: str) -> DataFrame:
+def run_closed(events: DataFrame, operator, ts: str, key: str, folder: str, arrivals: Arrivals = (nothing,)) -> DataFrame:
     """Runs ``operator`` (a function of the stream) in append mode over what is there, and closes what is still open at the end.
 
     Append mode gives a window or session only when the watermark has passed it. After all rows a last one is sent, far
@@ -158,7 +185,7 @@ def run_closed(events: DataFrame, operator, ts: str, key: str, folder: str) -> D
     spark, closing = events.sparkSession, f"{folder}/closing"
     spark.createDataFrame([], events.schema).write.parquet(closing)
     stream = operator(events.unionByName(spark.readStream.schema(events.schema).parquet(closing)))
-    table = run_to_table(stream, folder)
+    table = run_to_table(stream, folder, arrivals)
     others = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields if f.name != ts]
     spark.range(1).select(F.lit(FAR_AHEAD).cast(events.schema[ts].dataType).alias(ts), *others).write.mode("append").parquet(closing)
     table = run_to_table(stream, folder)
@@ -171,7 +198,7 @@ FAR_AHEAD = "2262-01-01 00:00:00"
 JOB = "queue long, job_id long, place long, status string, result string, error string"
 
 
-def drain_jobs(jobs: DataFrame, handler, folder: str) -> DataFrame:
+def drain_jobs(jobs: DataFrame, handler, folder: str, arrivals: Arrivals = (nothing,)) -> DataFrame:
     """Works off a stream of jobs (queue, job_id, created_at, payload) and returns their outcomes (see JOB, and batch).
 
     Each trigger takes the jobs of a queue in order of creation and id, one after another in one task, different queues
@@ -203,7 +230,7 @@ def drain_jobs(jobs: DataFrame, handler, folder: str) -> DataFrame:
         claimed = placed.select("queue", "job_id", "place", "payload").repartition("queue").sortWithinPartitions("queue", "place")
         claimed.mapInPandas(work, JOB).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    jobs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(drain).start().awaitTermination()
+    in_turn(jobs.writeStream.foreachBatch(drain), folder, arrivals)
     try:
         return spark.read.schema(f"{JOB}, batch long").parquet(table)
     except AnalysisException:  # no job has come
