@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, norm_slug, provision_label, provision_path, provision_ref, ruling_label, slice_if_unchanged, strip_accents, term_set
-from ..operators.laws import block_class, law_provisions, law_statistics, mark_number, subtree_counts
+from ..operators.laws import block_class, counts_below_levels, law_provisions, law_statistics, mark_number
 from ..operators.parsing import ROMAN, citation_labels, citations, diff_counts, internal_references, keep_in_force, normalised_id, provisions_of, truncate_at, word_diff
 from ..operators.temporal import compared_versions, resolve_references
 from ..plans.versions import version_differences
@@ -49,9 +49,9 @@ def provision_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 select t.document, t.path, count(*) as n_nodes from p t join p d on d.document = t.document and (d.path = t.path or starts_with(d.path, t.path || '-')) group by t.document, t.path
 """)
 def provision_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each provision with the number of provisions at and below it, by recursion over parents."""
+    """Each provision with the number of provisions at and below it."""
     blocks = order_blocks(spark, sf_dir).withColumn("kind", block_class(F.col("text"))).withColumn("number", mark_number(F.col("kind"), F.col("text")))
-    return subtree_counts(provisions_of(blocks))
+    return counts_below_levels(provisions_of(blocks))
 
 
 #: A browser's page header, and a heading, that may stand before a line.
