@@ -43,3 +43,13 @@ def test_levels_are_carried_in_one_order(spark):
     assert [r.path for r in rows.where("document = 1").orderBy("seq").collect()] == want
     assert sorted(map(tuple, counts_below_levels(rows).collect())) == sorted(map(tuple, subtree_counts(rows).collect()))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_places_of_terms_do_not_travel(spark, tmp_path):
+    from vellum.operators.index import _postings
+
+    spark.createDataFrame([(1, "a b a", 3), (2, "b", 1)], "k long, text string, length long").write.parquet(f"{tmp_path}/rows")
+    made = _postings(spark.read.parquet(f"{tmp_path}/rows"), "k")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # plans are printed from the top
+    assert {(r.term, r.k, r.tf, tuple(r.positions)) for r in made.collect()} == {("a", 1, 2, (0, 2)), ("b", 1, 1, (1,)), ("b", 2, 1, (0,))}

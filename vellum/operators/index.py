@@ -291,7 +291,8 @@ def _postings(rows: DataFrame, key: str) -> DataFrame:
     """(term, block, key, tf, length, positions) of rows (key, text, length)."""
     band = F.floor(F.log2(F.col("length") + 1) * BANDS)
     block = (band * SPREAD + F.pmod(F.xxhash64(key), F.lit(SPREAD))).cast("int")
-    each = rows.select(key, "length", block.alias("block"), F.posexplode(terms_of("text")).alias("pos", "term"))
+    # texts are dealt by key, so that the places of a term meet where its text was split: places don't travel
+    each = rows.repartition(key).select(key, "length", block.alias("block"), F.posexplode(terms_of("text")).alias("pos", "term"))
     return each.groupBy(key, "length", "block", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "block", key, F.size("positions").cast("long").alias("tf"), "length", "positions")
 
 
