@@ -77,3 +77,16 @@ def test_differences_of_many_pairs_take_little_memory_and_time():
     tracemalloc.stop()
     assert peak < 10e6 and time.process_time() - began < 30  # as dicts 57 MB; unlike texts took 40 ms a pair
     assert made.slice(0, 1).to_pylist() == segments_of(zip(texts[:1], texts[1:2])).to_pylist()
+
+
+def test_a_reference_is_split_into_words_once(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.functions.text import provision_ref
+
+    said = ["Art. 5º, § 3º, IV", "artigo 7, parágrafo único, alínea b", "ARTIGO 12, inciso XL, c", "art. 9, b", "§ 2º, IV", "", None, "art", ", a"]
+    rows = spark.createDataFrame([(x,) for x in said], "said string").distinct().select("said", provision_ref("said").alias("r")).select("said", "r.*")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    found = {r.said: tuple(r)[1:] for r in rows.collect()}
+    none = (None,) * 4
+    assert [found[x] for x in said] == [(5, "3", "IV", None), (7, "unico", None, "b"), (12, None, "XL", "c"), (9, None, None, "b"), *[none] * 5]

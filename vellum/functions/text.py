@@ -97,6 +97,11 @@ def first_where(tokens: Column, condition) -> Column:
     return F.get(F.filter(tokens, condition), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm_slug(c: Column | str) -> Column:
     """``type-number-year`` of a norm's readable name; null if a part is missing.
 
@@ -118,16 +123,20 @@ def provision_ref(c: Column | str) -> Column:
     for Roman numerals, by its form. A single letter behind the last comma is a letter too.
     """
     tokens = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"§|,|\p{L}+|\d+"), 0)
-    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.struct(fold(a).alias("a"), fold(b).alias("b")))
-    behind = lambda names, form: first_where(pairs, lambda p: p["a"].isin(names) & p["b"].rlike(form))["b"]
-    ending = F.get(pairs, F.size(pairs) - 2)
-    parts = {
-        "article": behind(["art", "artigo"], r"^\d+$").cast("int"),
-        "paragraph": behind(["§", "paragrafo"], r"^(\d+|unico)$"),
-        "item": first_where(tokens, lambda t: t.rlike("^[IVXLCDM]{1,7}$")),
-        "letter": F.coalesce(behind(["alinea"], "^[a-z]$"), F.when((ending["a"] == ",") & ending["b"].rlike("^[a-z]$"), ending["b"])),
-    }
-    return F.struct(*(F.when(parts["article"].isNotNull(), x).alias(n) for n, x in parts.items()))
+
+    def named(tokens: Column, pairs: Column) -> Column:
+        behind = lambda names, form: first_where(pairs, lambda p: p["a"].isin(names) & p["b"].rlike(form))["b"]
+        letter = lambda ending: F.coalesce(behind(["alinea"], "^[a-z]$"), F.when((ending["a"] == ",") & ending["b"].rlike("^[a-z]$"), ending["b"]))
+        rest = lambda: {
+            "paragraph": behind(["§", "paragrafo"], r"^(\d+|unico)$"),
+            "item": first_where(tokens, lambda t: t.rlike("^[IVXLCDM]{1,7}$")),
+            "letter": once(F.get(pairs, F.size(pairs) - 2), letter),
+        }
+        article = behind(["art", "artigo"], r"^\d+$").cast("int")
+        return once(article, lambda a: F.struct(a.alias("article"), *(F.when(a.isNotNull(), x).alias(n) for n, x in rest().items())))
+
+    neighbours = lambda folded: F.zip_with(folded, F.slice(folded, F.lit(2), F.greatest(F.size(folded), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return once(tokens, lambda t: once(once(F.transform(t, fold), neighbours), lambda p: named(t, p)))
 
 
 def provision_path(article: Column, paragraph: Column, item: Column, letter: Column) -> Column:
