@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import folders, kept_table
@@ -119,23 +118,25 @@ def fill_missing(rows: DataFrame, text: str, vector: str, encode, size: int, at_
     ``encode`` is a function of a list of texts that returns as many vectors of ``size`` finite numbers; anything else is an
     error. Rows without a text keep their null vector. The order of columns and their types stay.
     """
-    at = rows.columns.index(text), rows.columns.index(vector)
     missing = F.col(vector).isNull() & (F.coalesce(F.col(text), F.lit("")) != "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, made = batch.column(at[0]).to_pylist(), []
-            for i in range(0, len(texts), at_once):
-                part = texts[i : i + at_once]
-                found = np.asarray(encode(part), np.float64)
-                if found.shape != (len(part), size) or not np.isfinite(found).all():
-                    raise ValueError(f"the encoder gave {found.shape} numbers for {len(part)} texts, not {size} finite ones each")
-                made += found.tolist()
-            columns = list(batch.columns)
-            columns[at[1]] = pa.array(made, batch.schema.field(at[1]).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return rows.where(~missing).unionByName(rows.where(missing).mapInArrow(run, rows.schema))
+    kind = to_arrow_type(rows.schema[vector].dataType)
+
+    def vectors(texts: list[str]) -> pa.Array:
+        found = np.asarray(encode(texts), np.float64)
+        if found.shape != (len(texts), size) or not np.isfinite(found).all():
+            raise ValueError(f"the encoder gave {found.shape} numbers for {len(texts)} texts, not {size} finite ones each")
+        return pa.array(found.tolist(), kind)
+
+    def run(texts: pa.Array) -> pa.Array:
+        asked = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+        made = [vectors(texts.take(pa.array(asked[i : i + at_once])).to_pylist()) for i in range(0, len(asked), at_once)]
+        at = np.full(len(texts), -1)
+        at[asked] = np.arange(len(asked))
+        return pa.concat_arrays([*made, pa.array([], kind)]).take(pa.array(at, mask=at < 0))
+
+    # only texts go to Python, and only numbers come back; no more than ``at_once`` texts are Python's at a time
+    filled = F.coalesce(F.col(vector), arrow_udf(run, rows.schema[vector].dataType)(F.when(missing, F.col(text))))
+    return rows.select(*(filled.alias(c) if c == vector else F.col(c) for c in rows.columns))
 
 
 def fill_table(spark: SparkSession, path: str, folder: str, text: str, vector: str, encode, size: int) -> int:
