@@ -114,3 +114,37 @@ def test_only_texts_without_vector_go_to_the_encoder(spark):
     assert {r.id: r.v for r in made.collect()} == {1: [3.0], 2: [9.0], 3: None, 4: None, 5: [2.0]}
     plan = made.select("id", "v")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and "mapInArrow" not in plan.replace("MapInArrow", "mapInArrow")  # the texts don't pass through Python and back
+
+
+def test_as_of_rows_are_dealt_once_and_swept_by_columns(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from vellum.operators import temporal
+
+    dice = random.Random(19)
+    written, store = [], temporal.kept_table
+    monkeypatch.setattr(temporal, "kept_table", lambda df, name: (written.append(name), store(df, name))[1])
+    versions = [(e, s, dice.choice([None] + [s + dice.randrange(60)] * 9), i) for i in range(500) if (e := dice.choice("aaab")) and (s := dice.randrange(200)) >= 0]
+    versions += [("nest", i, 1000 - i, i) for i in range(100)]
+    facts = [(i, dice.choice("aab"), dice.randrange(260)) for i in range(500)] + [(1000 + i, "nest", 850 + i) for i in range(160)] + [(2000, "a", None), (2001, None, 5)]
+    v, f = spark.createDataFrame(versions, "e string, start long, stop long, n long"), spark.createDataFrame(facts, "id long, e string, at long")
+    seconds = lambda df, *names: df.withColumns({c: F.timestamp_seconds(c) for c in names})
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, x in settings.items():
+        spark.conf.set(k, x)
+    try:
+        made = [{r.id: r.n for r in temporal.as_of_join(a, b, "e", "at", "start", "stop", ["n"]).collect()} for a, b in ((f, v), (seconds(f, "at"), seconds(v, "start", "stop")))]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    best = lambda e, at: max(((s, n) for x, s, end, n in versions if x == e and at is not None and s <= at and (end is None or end > at)), default=(0, None))[1]
+    assert made == [{i: best(e, at) for i, e, at in facts}] * 2
+    assert written == ["as-of-facts"] * 2  # neither the slices nor their edges are written and dealt again
+
+    ends, low = np.array([dice.randrange(50) for _ in range(300)]), np.sort([dice.randrange(300) for _ in range(200)])
+    high, at = np.array([dice.randrange(x, 301) for x in low]), np.array([dice.randrange(55) for _ in low])
+    assert [max((j for j in range(a, z) if ends[j] > t), default=a - 1) for a, z, t in zip(low, high, at)] == temporal._last_above(ends, low, high, at).tolist()

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import folders, kept_table, result_table
+from ..storage import kept_table
 
 
 def valid_at(versions: DataFrame, entity: str, start: str, end: str, at: Column, payload: list[str]) -> DataFrame:
@@ -26,64 +30,119 @@ def as_of_join(facts: DataFrame, versions: DataFrame, entity: str, at: str, star
     on top. A version that ends no later than a newer one can't count again and goes, so ends grow down the stack, and
     what has ended lies on top and is taken off: each version comes and goes once, however versions overlap.
 
-    Rows are dealt by ranges of (entity, time), so an entity of any size lies in many slices; the stack that a slice leaves
-    of its last entity is carried into the later slices of that entity. Null entities, times and starts match nothing.
+    Rows are dealt by ranges of (entity, time) and swept where they arrive, so an entity of any size lies in many slices.
+    The stack that a slice leaves of its last entity is carried into the later slices of that entity, for those facts of
+    theirs that met no version of their own slice. Null entities, times and starts match nothing.
     """
     types = {facts.schema[at].dataType, versions.schema[start].dataType, versions.schema[end].dataType}
     common = None if len(types) == 1 else T.TimestampType() if types & {T.DateType(), T.TimestampType()} else T.DoubleType()
     time = lambda c: F.col(c).cast(common) if common else F.col(c)
     value, fact = F.struct(*payload), F.struct("*")
     value_type, fact_type = versions.select(value.alias("x")).schema["x"].dataType, facts.select(fact.alias("x")).schema["x"].dataType
-    v = versions.where(F.col(start).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), time(start).alias("t"), F.lit(0).alias("kind"), time(end).alias("end"), value.alias("value"), F.lit(None).cast(fact_type).alias("fact"))
-    f = facts.select(F.col(entity).cast(versions.schema[entity].dataType).alias("e"), time(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(v.schema["end"].dataType).alias("end"), F.lit(None).cast(value_type).alias("value"), fact.alias("fact"))
+    v = versions.where(F.col(start).isNotNull() & F.col(entity).isNotNull()).select(F.col(entity).alias("e"), time(start).alias("t"), F.lit(VERSION).alias("kind"), time(end).alias("end"), value.alias("value"), F.lit(None).cast(fact_type).alias("fact"))
+    f = facts.select(F.col(entity).cast(versions.schema[entity].dataType).alias("e"), time(at).alias("t"), F.lit(FACT).alias("kind"), F.lit(None).cast(v.schema["end"].dataType).alias("end"), F.lit(None).cast(value_type).alias("value"), fact.alias("fact"))
     order = ["e", "t", "kind", "value"]
-    with folders(facts.sparkSession):
-        # written: slices follow from a sample and have to be the same in all that comes
-        dealt = kept_table(v.unionByName(f).repartitionByRange(*order).withColumn("slice", F.spark_partition_id()), "as-of-slices")
-        edges = dealt.groupBy("slice").agg(F.max("e").alias("last"), F.min(F.struct("e", "t")).alias("first"))
-        edges = edges.withColumn("goes_on", F.lead("first.e").over(Window.orderBy("slice")) == F.col("last"))  # one row a slice
-        edges = kept_table(edges, "as-of-edges")
-        leaving = F.broadcast(edges.where("goes_on").select(F.col("slice").alias("s"), "last"))
-        left = _outlasting(dealt.where("kind = 0").join(leaving, (F.col("slice") == F.col("s")) & (F.col("e") == F.col("last"))))
-        entering = F.broadcast(edges.select(F.col("slice").alias("into"), F.col("first.e").alias("into_e"), F.col("first.t").alias("into_t")))
-        carried = left.join(entering, (F.col("into") > F.col("slice")) & (F.col("e") == F.col("into_e")) & (F.col("end").isNull() | (F.col("end") > F.col("into_t"))))
-        carried = carried.select("e", "t", "kind", "end", "value", "fact", F.col("into").alias("slice"))
-        met = _swept(dealt.unionByName(carried))
-        return result_table(met.select("fact.*", *(F.col(f"value.{p}").alias(p) for p in payload)), "as-of-facts")
-
-
-def _outlasting(versions: DataFrame) -> DataFrame:
-    """The versions (slice, e, t, end, value) that no later one of their slice and entity outlasts."""
-    later = Window.partitionBy("slice", "e").orderBy(F.col("t").desc(), F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    open_later = F.coalesce(F.max(F.col("end").isNull()).over(later), F.lit(False))
-    marked = versions.withColumn("_open", open_later).withColumn("_until", F.max("end").over(later))
-    return marked.where(~F.col("_open") & (F.col("end").isNull() | F.col("_until").isNull() | (F.col("end") > F.col("_until"))))
+    dealt = v.unionByName(f).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id())
+    # written: slices follow from a sample and have to be the same in all that comes
+    swept = kept_table(_swept(dealt), "as-of-facts")
+    of = lambda kind: swept.where(F.col("kind") == kind)
+    entering = F.broadcast(of(FIRST).select(F.col("slice").alias("into"), F.col("e").alias("into_e"), F.col("t").alias("into_t")))
+    carried = of(VERSION).join(entering, (F.col("into") > F.col("slice")) & (F.col("e") == F.col("into_e")) & (F.col("end").isNull() | (F.col("end") > F.col("into_t"))))
+    carried = carried.select("e", "t", "kind", "end", "value", "fact", F.col("into").alias("slice"))
+    late = _swept(of(FACT).unionByName(carried).repartition("slice").sortWithinPartitions("slice", *order))
+    met = of(DONE).unionByName(late.where(F.col("kind").isin(FACT, DONE)))
+    return met.select("fact.*", *(F.col(f"value.{p}").alias(p) for p in payload))
+
+
+#: Rows of a sweep: versions (that come, or are left on the stack), facts (that come, or that an earlier slice may still
+#: meet), facts that are done, and the first row of a slice.
+VERSION, FACT, DONE, FIRST = range(4)
+#: An end that doesn't come.
+NEVER = np.iinfo(np.int64).max
 
 
 def _swept(rows: DataFrame) -> DataFrame:
-    """(fact, value) of the facts among ``rows`` (e, t, kind, end, value, fact, slice): one pass over each slice with a stack of versions."""
-    dealt = rows.repartition("slice").sortWithinPartitions("slice", "e", "t", "kind", "value")
+    """Rows of all four kinds (e, t, kind, end, value, fact, slice) from sorted versions and facts: one pass over each
+    partition with a stack of versions, which works batch by batch on whole columns."""
+    columns = ["e", "t", "kind", "end", "value", "fact", "slice"]
+    table = partial(pa.RecordBatch.from_arrays, names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, stack = None, []
-        for batch in batches:
-            value, fact = batch.column(4), batch.column(5)
-            found, places = [], []
-            for i, (e, t, kind, end, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 6)), strict=True)):
-                if own != (at, e):
-                    own, stack = (at, e), []
-                if kind == 0:
-                    while stack and (end is None or stack[-1][0] is not None and stack[-1][0] <= end):
-                        stack.pop()
-                    stack.append((end, value[i].as_py()))
-                    continue
-                while t is not None and stack and stack[-1][0] is not None and stack[-1][0] <= t:
-                    stack.pop()
-                places.append(i)
-                found.append(stack[-1][1] if t is not None and e is not None and stack else None)
-            yield pa.RecordBatch.from_arrays([fact.take(pa.array(places, pa.int64())), pa.array(found, value.type)], names=["fact", "value"])
-
-    return dealt.select("e", "t", "kind", "end", "value", "fact", "slice").mapInArrow(run, T.StructType([dealt.schema["fact"], dealt.schema["value"]]))
+        own, first, stack, still_first = None, None, None, True
+        for batch in (b for b in batches if b.num_rows):
+            e, t, kind, _, _, fact, at = batch.columns
+            begins = np.concatenate(([True], _differs(e) | _differs(at)))
+            goes_on = own == (at[0].as_py(), e[0].as_py())
+            still_first = first is None or (still_first and goes_on)
+            first = first if first is not None else batch.slice(0, 1)
+            segment = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
+            is_version = kind.to_numpy() == VERSION
+            known, facts = batch.take(pa.array(np.flatnonzero(is_version))), np.flatnonzero(~is_version)
+            held = stack.num_rows if goes_on else 0
+            if held:
+                known = table([pa.concat_arrays(x) for x in zip(stack.columns, known.columns, strict=True)])
+            ends, times = _comparable(known.column(3), t)
+
+            # versions before each fact, and before its entity; those of the stack belong to the batch's first entity
+            before = np.cumsum(is_version) - is_version
+            met = _last_above(ends[held:], before[segment[facts]], before[facts], times[facts]) + held
+            below = np.flatnonzero((met < before[segment[facts]] + held) & (segment[facts] == 0))
+            met[met < before[segment[facts]] + held] = -1
+            met[below] = held - np.searchsorted(ends[:held][::-1], times[facts[below]], side="right") - 1
+            met[~t.is_valid().to_numpy(zero_copy_only=False)[facts]] = -1
+            unmet = (met < 0) & (segment[facts] == 0) & still_first
+            pick = lambda x, places, none: x.take(pa.array(places, pa.int64(), mask=none))
+            kinds = pa.array(np.where(unmet, FACT, DONE), pa.int32())
+            yield table([pick(e, facts, ~unmet), pick(t, facts, ~unmet), kinds, pa.nulls(len(facts), t.type), pick(known.column(4), met, met < 0), pick(fact, facts, None), pick(at, facts, None)])
+
+            own, last = (at[-1].as_py(), e[-1].as_py()), segment[-1]
+            low = held + before[last] if last else 0
+            stays = np.append(ends[low:], times[-1] if t[-1].is_valid else np.iinfo(np.int64).min)
+            stays = stays[:-1] > np.maximum.accumulate(stays[::-1])[::-1][1:]
+            stack = known.take(pa.array(low + np.flatnonzero(stays)))
+        if first is not None:
+            yield table(stack.columns)
+            yield table([*first.columns[:2], pa.array([FIRST], pa.int32()), *first.columns[3:5], pa.nulls(1, first.column(5).type), first.column(6)])
+
+    return rows.select(columns).mapInArrow(run, T.StructType([T.StructField(c, rows.schema[c].dataType) for c in columns]))
+
+
+def _differs(x: pa.Array) -> np.ndarray:
+    """Whether each item but the first differs from the one before; nulls do."""
+    if pa.types.is_nested(x.type):
+        items = x.to_pylist()
+        return np.array([a != b for a, b in pairwise(items)], bool)
+    return pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)
+
+
+def _comparable(ends: pa.Array, times: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Both as whole numbers in one order: dates and timestamps as they are stored, all else by rank; null ends are NEVER."""
+    if pa.types.is_date32(ends.type) or pa.types.is_timestamp(ends.type):
+        stored = pa.int32() if pa.types.is_date32(ends.type) else pa.int64()
+        both = [x.view(stored).cast(pa.int64()) for x in (ends, times)]
+    else:
+        ranks = pc.rank(pa.concat_arrays([ends, times]), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").cast(pa.int64())
+        both = [ranks[: len(ends)], ranks[len(ends) :]]
+    ends_known = ends.is_valid().to_numpy(zero_copy_only=False)
+    return np.where(ends_known, both[0].fill_null(0).to_numpy(zero_copy_only=False), NEVER), both[1].fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _last_above(values: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each row the last place in [low, high) whose value is above ``least``; low - 1 if there is none.
+
+    By maxima over the 2, 4, 8 ... values up to a place: each row steps down over the longest stretches without one.
+    """
+    high, longest = high.astype(np.int64), int((high - low).max(initial=0)).bit_length()
+    maxima = [values]
+    for k in range(longest - 1):
+        wide = maxima[-1].copy()
+        wide[1 << k :] = np.maximum(wide[1 << k :], maxima[-1][: -(1 << k)])
+        maxima.append(wide)
+    for k in reversed(range(longest)):
+        goes = np.flatnonzero(high - low >= 1 << k)
+        goes = goes[maxima[k][high[goes] - 1] <= least[goes]]
+        high[goes] -= 1 << k
+    return high - 1
 
 
 def closed_intervals(rows: DataFrame, entity: str, start: str, tie: str) -> DataFrame:
