@@ -148,3 +148,30 @@ def test_as_of_rows_are_dealt_once_and_swept_by_columns(spark, monkeypatch):
     ends, low = np.array([dice.randrange(50) for _ in range(300)]), np.sort([dice.randrange(300) for _ in range(200)])
     high, at = np.array([dice.randrange(x, 301) for x in low]), np.array([dice.randrange(55) for _ in low])
     assert [max((j for j in range(a, z) if ends[j] > t), default=a - 1) for a, z, t in zip(low, high, at)] == temporal._last_above(ends, low, high, at).tolist()
+
+
+def test_terms_are_counted_without_rewriting_the_texts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from vellum.functions.text import ACCENTED, index_form
+    from vellum.operators.lexical import needle, token_table
+
+    dice = random.Random(20)
+    letters = "aeyk" * 6 + " " * 14 + ".,_-\n1" + ACCENTED + "ŸÅKİ̇ſßΣσςéÉÿåŷǻ日𝒳١"
+    texts = ["".join(dice.choices(letters, k=dice.randrange(60))) for _ in range(3000)] + [None, "", " .", "a" * 9, "a a a a a", "A.a-Á_à", "İa iİ xi", "Ÿ y ÿ a Å å", "a.c abc"]
+    tokens, parts = ["a", "É", "a a", "y", "k a", "i", "xi", "a-e", "!!", "ss", "σ", "日"], ["a", "a.", "ya", "1", "k"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    for prefix in (False, True):
+        rows = token_table(docs, "text", tokens, parts, prefix)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString() + rows._jdf.queryExecution().analyzed().toString()
+        assert "regexp_replace" not in plan and "replace(" not in plan
+        got = {r.id: r for r in rows.collect()}
+        for r in docs.select("id", "text", index_form("text").alias("form"), F.lower("text").alias("low")).collect():
+            doubled, low = (r.form or "").replace(" ", "  "), r.low or ""
+            want = [doubled.count(" " + needle(t).replace(" ", "  ") + ("" if prefix else " ")) if needle(t) else 0 for t in tokens]
+            have = got[r.id]
+            assert [have[f"tf{i}"] for i in range(len(tokens))] == want, (r.text, want)
+            assert (have.length, have.grams) == (len((r.form or "").split()), max(len(r.text or "") - 2, 0))
+            assert [have[f"sf{i}"] for i in range(len(parts))] == [low.count(t) for t in parts]

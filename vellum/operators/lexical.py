@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, index_form, terms
+from ..functions.text import ACCENTED, PLAIN, fold, terms
 
 K1, B = 1.2, 0.75
 
@@ -68,6 +68,35 @@ def times(text: Column, part: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long") if part else F.lit(0).cast("long")
 
 
+WORD, BREAK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+#: WORD, with a letter beyond U+FFFF by name: only then such letters are seen by looking back.
+WORD_BEFORE = "[\\p{L}\\p{N}\U0001d49c]"
+#: Letters that become accented Latin letters in lower case, but aren't in ACCENTED themselves; what they become is put
+#: as letters that no needle has.
+LATE, LATE_LOWER, APART = "\u0178\u212b", "ÿå", "ŷǻ"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """How often a pattern stands in a text, without overlaps; never in a null."""
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def word_form(text: str, low: Column) -> Column:
+    """The text, with its lower case ``low``, as ``word_pattern`` reads it: accents stay, and are read as what they fold to."""
+    apart = F.translate(fold(text), LATE_LOWER, APART)
+    return F.when(F.col(text).rlike(f"[{LATE}]"), apart).otherwise(low)
+
+
+def word_pattern(needle: str, prefix: bool = False) -> str:
+    """A needle (a term, the terms of a phrase, or, last, a prefix) in a ``word_form``, as whole terms."""
+    variants: dict[str, str] = {}
+    for accented, plain in zip(ACCENTED.lower(), PLAIN.lower(), strict=True):
+        variants[plain] = variants.get(plain, plain) + accented
+    first, *more = ("".join(f"[{variants[c]}]" if c in variants else re.escape(c) for c in term) for term in needle.split(" "))
+    # the letters come first: what stands before them is looked at only where they are found
+    return f"{first}(?<!{WORD_BEFORE}{first})" + "".join(f"{BREAK}++{term}" for term in more) + ("" if prefix else f"(?!{WORD})")
+
+
 def token_table(docs: DataFrame, text: str, tokens: list[str] = (), substrings: list[str] = (), prefix: bool = False, keep: Column | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text``, with the counts that scoring needs: texts are read once, whatever follows.
 
@@ -75,20 +104,18 @@ def token_table(docs: DataFrame, text: str, tokens: list[str] = (), substrings:
     substrings; has_text says whether there is a text, kept whether ``keep`` holds. A few numbers a document: the table
     is kept in memory, or on disk, until the session's cache is cleared.
     """
-    form, low = index_form(text), F.lower(F.col(text))
     base = docs.withColumn("kept", F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)).withColumn("has_text", F.coalesce(F.col(text), F.lit("")) != "")
+    base = base.withColumn("_low", F.lower(F.col(text)))
     if tokens:
-        # every space counts for the term before and the one after: doubled, each term has its own two
-        base = base.withColumn("_spaced", F.replace(form, F.lit(" "), F.lit("  ")))
-        base = base.withColumn("length", F.when(F.coalesce(F.trim("_spaced"), F.lit("")) == "", 0).otherwise(times(F.col("_spaced"), "  ") - 1).cast("long"))
+        base = base.withColumn("_form", word_form(text, F.col("_low"))).withColumn("length", matches(F.col("_form"), f"{WORD}++"))
         for i, t in enumerate(map(needle, tokens)):
-            base = base.withColumn(f"tf{i}", F.coalesce(times(F.col("_spaced"), " " + t.replace(" ", "  ") + ("" if prefix else " ")), F.lit(0)) if t else F.lit(0).cast("long"))
-        base = base.drop("_spaced")
+            base = base.withColumn(f"tf{i}", matches(F.col("_form"), word_pattern(t, prefix)) if t else F.lit(0).cast("long"))
+        base = base.drop("_form")
     if substrings:
-        base = base.withColumn("_low", low).withColumn("grams", F.greatest(F.length(text) - 2, F.lit(0)).cast("long"))
+        base = base.withColumn("grams", F.greatest(F.length(text) - 2, F.lit(0)).cast("long"))
         for i, t in enumerate(substrings):
-            base = base.withColumn(f"sf{i}", F.coalesce(times(F.col("_low"), t), F.lit(0)))
-        base = base.drop("_low")
+            base = base.withColumn(f"sf{i}", matches(F.col("_low"), re.escape(t)) if t else F.lit(0).cast("long"))
+    base = base.drop("_low")
     return base.drop(text).persist(StorageLevel.MEMORY_AND_DISK)
 
 
