@@ -47,21 +47,23 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {bm25_sql(['the', 'er', 'ment'])} select doc_id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, doc_id) as rank from m order by rank limit 20")
 def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_topk, from the index: only blocks that may hold one of the best are read."""
-    return documents_index(spark, sf_dir).best(query_tokens("the er ment"), 20)
+    return documents_index(spark, sf_dir, "terms", "blocks").best(query_tokens("the er ment"), 20)
 
 
 #: Indexes that were built in this process: one build serves all queries of a session.
 _built: dict[tuple[str, str], str] = {}
 
 
-def documents_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The index of the documents of a folder, built when it is first asked for."""
+def documents_index(spark: SparkSession, sf_dir: str, *parts: str) -> SearchIndex:
+    """The index of the documents of a folder, built when it is first asked for; each part when it first is."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _built:
         path = new_folder(spark, "index-of-documents")
-        SearchIndex(spark, path).add(documents(spark, sf_dir), "doc_id", "text")
+        SearchIndex(spark, path, parts).add(documents(spark, sf_dir), "doc_id", "text")
         _built[at] = path
-    return SearchIndex(spark, _built[at])
+    index = SearchIndex(spark, _built[at])
+    index.ensure(*parts)
+    return index
 
 
 @query(f"with {bm25_sql(['the', 'er'], where=chr(39).join(['lang = ', 'en', ' and source = ', 'src3', '']))} select doc_id, round(score, 6) as score from m")
@@ -85,13 +87,13 @@ def phrase_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {bm25_sql(['thti', 'onan'], prefix=True)} select doc_id, round(score, 6) as score from m")
 def indexed_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As prefix_search, from the index: terms that begin so lie in one range."""
-    return documents_index(spark, sf_dir).search(query_tokens("Thti, onan", "rulings"), prefix=True).select("doc_id", F.round("score", 6).alias("score"))
+    return documents_index(spark, sf_dir, "terms").search(query_tokens("Thti, onan", "rulings"), prefix=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {bm25_sql(['of the', 'with'], every=True)} select doc_id, round(score, 6) as score from m")
 def indexed_phrase_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As phrase_and_search, from the positions in the index."""
-    return documents_index(spark, sf_dir).search(query_tokens("of-the with", "grep"), every=True).select("doc_id", F.round("score", 6).alias("score"))
+    return documents_index(spark, sf_dir, "terms").search(query_tokens("of-the with", "grep"), every=True).select("doc_id", F.round("score", 6).alias("score"))
 
 
 CHANGED = "documents as (select doc_id, lang, source, case when doc_id % 5 = 0 then 'the er ' || coalesce(text, '') else text end as text from documents where doc_id % 7 <> 0)"
@@ -137,7 +139,7 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["substring_search"])
 def indexed_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As substring_search, from the index: rows that hold the rarest trigrams of a token are read."""
-    return documents_index(spark, sf_dir).substring("Thereon tionst on").select("doc_id", F.round("score", 6).alias("score"))
+    return documents_index(spark, sf_dir, "grams").substring("Thereon tionst on").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("select doc_id, source from documents where regexp_matches(text, '(?i)token\\s*=\\s*\"[0-9a-f]{8}') order by doc_id limit 50")
