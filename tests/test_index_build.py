@@ -87,3 +87,25 @@ def test_parts_are_made_when_they_are_asked_for(spark, tmp_path):
     same(again.search(["a", "y"]), bm25(left, "text", ["a", "y"]))
     same(again.best(["a", "y"], 10**6), bm25(left, "text", ["a", "y"]))
     same(again.substring("aaa"), substring_lane(left, "text", "aaa"))
+
+
+def test_terms_are_inverted_without_a_shuffle(spark, tmp_path):
+    frame(spark, ODD).withColumn("length", F.coalesce(F.size(module.terms_of("text")), F.lit(0)).cast("long")).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows").withColumn("length", F.greatest("length", F.lit(0).cast("long")))
+    made = module._terms(rows.drop("length"), "id")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    seen = lambda df: {(r.term, r.block, r.id, r.tf, r.length, tuple(r.positions)) for r in df.collect()}
+    found = seen(made)
+    assert {x for x in found if x[0]} == seen(module._postings(rows, "id"))
+    assert {(x[2], x[4]) for x in found if not x[0]} == {(r.id, r.length) for r in rows.collect()}
+    assert made.count() == len(found)
+
+
+def test_a_run_is_in_order():
+    import pyarrow as pa
+
+    forms = ["b a b", "", "são sao a", "z"]
+    found = [r for x in module._inverted(pa.array([4, 3, 2, 1]), pa.array([0, 0, 0, 0]), pa.array(forms), ["term", "block", "key", "tf", "length", "positions"]) for r in x.to_pylist()]
+    places = [(r["term"], r["block"], r["key"]) for r in found]
+    assert places == sorted(places) and [p for p in places if p[0] == ""] and len(places) == 4 + 5
+    assert {(r["term"], r["key"]): r["positions"] for r in found if r["term"]} == {("a", 2): [2], ("a", 4): [1], ("b", 4): [0, 2], ("sao", 2): [0, 1], ("z", 1): [0]}

@@ -49,7 +49,7 @@ BROADCAST_DELETED = 200_000
 #: Keys of rows that may hold a substring and are broadcast; more are joined by shuffling. Parts that are asked for by number.
 BROADCAST_KEYS, ASKED_PARTS = 2_000_000, 1_000
 #: Bytes of text that are inverted together, for terms and for trigrams; rows at most; rows that leave together.
-TERM_RUN, GRAM_RUN, RUN_ROWS, LEAVING = 16_000_000, 4_000_000, 2**16, 2**16
+TERM_RUN, GRAM_RUN, RUN_ROWS, LEAVING = 8_000_000, 4_000_000, 2**16, 2**16
 FIGURES = ("n", "length", "grams")
 
 
@@ -412,7 +412,7 @@ def _inverted(keys: pa.Array, spread: pa.Array, forms: pa.StringArray, names: li
     rank[in_order.to_numpy()] = np.arange(len(in_order))
     term = rank[folded.indices.to_numpy()][met.indices.to_numpy()][some_terms]
     row, widest = np.repeat(place_of[some], lengths[some]), int(lengths.max())
-    # term, row and place of each word in one number: 2^22 terms, 2^16 rows and 2^24 places at most
+    # term, row and place of each word in one number: runs are short enough for 63 bits
     packed = np.sort((term * n + row) * widest + places[some_terms])
     pairs = packed // widest
     starts = _firsts(pairs)
