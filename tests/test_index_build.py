@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vellum.functions.text import ACCENTED
@@ -109,3 +110,14 @@ def test_a_run_is_in_order():
     places = [(r["term"], r["block"], r["key"]) for r in found]
     assert places == sorted(places) and [p for p in places if p[0] == ""] and len(places) == 4 + 5
     assert {(r["term"], r["key"]): r["positions"] for r in found if r["term"]} == {("a", 2): [2], ("a", 4): [1], ("b", 4): [0, 2], ("sao", 2): [0, 1], ("z", 1): [0]}
+
+
+def test_postings_of_a_phrase_are_joined_once(spark, tmp_path):
+    docs = frame(spark, [*ODD, "a y k", "K, a-y a y", "a k y"])
+    idx = SearchIndex(spark, f"file://{tmp_path}/index", ("terms",))
+    idx.add(docs, "id", "text")
+    found = idx.search(["a y", "k"], every=True)
+    assert found._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") == 2  # the weights and the scores
+    same(found, bm25(docs, "text", ["a y", "k"], every=True))
+    with pytest.raises(AnalysisException):  # parts that weren't asked for aren't there
+        spark.read.parquet(idx._at(next(iter(idx.segments)), "grams"))

@@ -258,6 +258,7 @@ class SearchIndex:
             c = c.select(F.lit(i).alias("token"), self.key, "tf", "length")
             every = c if every is None else every.unionByName(c)
         if weights is None:
+            every = every.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers a posting: read and joined once
             df = every.groupBy(F.col("token").alias("d_token")).agg(idf(F.lit(n), F.count("*")).alias("weight"))  # a row a token
             every = every.join(F.broadcast(df), F.col("token") == F.col("d_token"))
         else:
