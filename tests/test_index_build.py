@@ -121,3 +121,26 @@ def test_postings_of_a_phrase_are_joined_once(spark, tmp_path):
     same(found, bm25(docs, "text", ["a y", "k"], every=True))
     with pytest.raises(AnalysisException):  # parts that weren't asked for aren't there
         spark.read.parquet(idx._at(next(iter(idx.segments)), "grams"))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_texts_do_not_travel_to_a_merge_with_many_tombstones(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(module, "BROADCAST_DELETED", 0)
+    monkeypatch.setattr(module, "BROADCAST_KEYS", most)
+    docs = frame(spark, ODD)
+    idx = SearchIndex(spark, f"file://{tmp_path}/index", ("terms",))
+    idx.add(docs.where("id % 2 = 0"), "id", "text")
+    idx.add(docs.where("id % 2 = 1"), "id", "text")
+    idx.add(docs.where("id % 5 = 0").withColumn("text", F.lit("a new text")), "id", "text")
+    idx.delete(docs.where("id % 7 = 0").select("id"))
+    left = docs.withColumn("text", F.when(F.col("id") % 5 == 0, "a new text").otherwise(F.col("text"))).where("id % 7 <> 0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ("SortMergeJoin" in idx._live("rows")._jdf.queryExecution().executedPlan().toString()) == (not most)
+        assert {(r.id, r.text) for r in idx.rows().collect()} == {(r.id, r.text) for r in left.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    same(idx.search(["a", "new"]), bm25(left, "text", ["a", "new"]))
+    idx.merge()
+    assert len(idx.segments) == 2
+    same(idx.search(["a", "new"]), bm25(left, "text", ["a", "new"]))

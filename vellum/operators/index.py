@@ -46,7 +46,7 @@ MOST_SEGMENTS = 8
 RARE = 3
 #: Tombstones that are broadcast; more are joined by shuffling.
 BROADCAST_DELETED = 200_000
-#: Keys of rows that may hold a substring and are broadcast; more are joined by shuffling. Parts that are asked for by number.
+#: Keys that are broadcast in lists by part (of rows that may hold a substring or are deleted); more are joined by shuffling. Parts that are asked for by number.
 BROADCAST_KEYS, ASKED_PARTS = 2_000_000, 1_000
 #: Bytes of text that are inverted together, for terms and for trigrams; rows at most; rows that leave together.
 TERM_RUN, GRAM_RUN, RUN_ROWS, LEAVING = 8_000_000, 4_000_000, 2**16, 2**16
@@ -160,13 +160,13 @@ class SearchIndex:
         """Adds tombstones for the live rows of ``keys`` and takes these off the figures of their segments."""
         if not self.segments:
             return
-        dead = self._live("rows").select("segment", self.key, "grams").join(keys, self.key, "left_semi")
+        dead = self._live("rows").select("segment", "part", self.key, "grams").join(keys, self.key, "left_semi")
         if "terms" in self.parts:
             dead = dead.join(self._table("terms", list(self.segments)).where("term = ''").select("segment", self.key, "length"), ["segment", self.key])
         else:
             dead = dead.withColumn("length", F.lit(0).cast("long"))
         at = f"deleted/{uuid.uuid4().hex}"
-        dead.select("segment", self.key, "length", "grams").write.parquet(f"{self.path}/{at}")
+        dead.select("segment", "part", self.key, "length", "grams").write.parquet(f"{self.path}/{at}")
         found = self.spark.read.parquet(f"{self.path}/{at}").groupBy("segment").agg(F.count("*").alias("n"), F.sum("length").alias("length"), F.sum("grams").alias("grams")).collect()  # a row a segment
         if found:
             self.deleted = [*self.deleted, at]
@@ -179,8 +179,8 @@ class SearchIndex:
     # -- reading -----------------------------------------------------------------------------------------------------
     def _deleted(self) -> DataFrame:
         if not self.deleted:
-            return self._table("rows", list(self.segments)).select("segment", self.key).where("false")
-        return self.spark.read.parquet(*(f"{self.path}/{x}" for x in self.deleted)).select("segment", self.key, "length", "grams")
+            return self._table("rows", list(self.segments)).select("segment", "part", self.key).where("false")
+        return self.spark.read.parquet(*(f"{self.path}/{x}" for x in self.deleted)).select("segment", "part", self.key, "length", "grams")
 
     def _table(self, table: str, names: list[str]) -> DataFrame:
         found = None
@@ -195,9 +195,13 @@ class SearchIndex:
         return self._alive(rows.where(where) if where is not None else rows)
 
     def _alive(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with segment and key) without the deleted ones."""
+        """``rows`` (with segment and key) without the deleted ones; texts stay where they are while the tombstones can be broadcast."""
         if not self.deleted:
             return rows
+        if {"part", "text"} <= {*rows.columns} and self.n_deleted <= BROADCAST_KEYS:
+            dead = self._deleted().groupBy("segment", "part").agg(F.collect_list(self.key).alias("dead"))
+            kept = rows.join(F.broadcast(dead), ["segment", "part"], "left").where(~F.coalesce(F.array_contains("dead", F.col(self.key)), F.lit(False)))
+            return kept.select(rows.columns)
         dead = self._deleted().select("segment", self.key)
         return rows.join(F.broadcast(dead) if self.n_deleted <= BROADCAST_DELETED else dead, ["segment", self.key], "left_anti")
 

@@ -101,8 +101,8 @@ CHANGED = "documents as (select doc_id, lang, source, case when doc_id % 5 = 0 t
 
 @query(f"with {CHANGED}, {bm25_sql(['the', 'er', 'ment'])} select doc_id, round(score, 6) as score from m")
 def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of half of the documents, to which the others are added, in which some are replaced and some deleted; searched like one built anew."""
-    docs, index = documents(spark, sf_dir).select("doc_id", "text"), SearchIndex(spark, new_folder(spark, "changing-index"))
+    """An index of the terms of half of the documents, to which the others are added, in which some are replaced and some deleted; searched like one built anew."""
+    docs, index = documents(spark, sf_dir).select("doc_id", "text"), SearchIndex(spark, new_folder(spark, "changing-index"), ("terms",))
     index.add(docs.where("doc_id % 2 = 0"), "doc_id", "text")
     index.add(docs.where("doc_id % 2 = 1"), "doc_id", "text")
     index.add(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("the er "), F.coalesce("text", F.lit("")))), "doc_id", "text")
