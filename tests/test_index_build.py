@@ -144,3 +144,15 @@ def test_texts_do_not_travel_to_a_merge_with_many_tombstones(spark, tmp_path, mo
     idx.merge()
     assert len(idx.segments) == 2
     same(idx.search(["a", "new"]), bm25(left, "text", ["a", "new"]))
+
+
+def test_blocks_are_read_off_the_runs(spark, tmp_path):
+    idx = SearchIndex(spark, f"file://{tmp_path}/index", ("terms", "blocks"))
+    idx.add(frame(spark, ODD), "id", "text")
+    (name,) = idx.segments
+    terms = spark.read.parquet(idx._at(name, "terms"))
+    made = module._blocks(terms)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    figures = lambda df, most, least, rows: {tuple(r) for r in df.groupBy("term", "block").agg(F.max(most), F.min(least), rows).collect()}
+    want = figures(terms.where("term <> ''"), "tf", "length", F.count("*"))
+    assert figures(made, "most", "shortest", F.sum("rows")) == figures(spark.read.parquet(idx._at(name, "blocks")), "most", "shortest", F.sum("rows")) == want

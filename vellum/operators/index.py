@@ -301,9 +301,8 @@ class SearchIndex:
         scored = lambda blocks: self._scored([self._counts(t, False, F.col("block").isin(blocks)) for t in asked], n, mean, 1, weights).withColumn("score", F.round("score", 6))
         cut = lambda found: found.orderBy(F.desc("score"), self.key).limit(k)
         tried = [b.block for b in bounds[:first]]
-        kth = cut(scored(tried)).orderBy("score").limit(1).first() if len(bounds) > first else None
-        enough = kth is not None and cut(scored(tried)).count() >= k
-        self.read_blocks = [b.block for b in bounds if not enough or b.bound + 1e-6 >= kth.score]
+        best = [r.score for r in cut(scored(tried)).select("score").collect()] if len(bounds) > first else []  # k numbers at most
+        self.read_blocks = [b.block for b in bounds if not best or len(best) < k or b.bound + 1e-6 >= min(best)]
         return cut(scored(self.read_blocks)).withColumn("rank", place)
 
     def substring(self, query: str) -> DataFrame:
